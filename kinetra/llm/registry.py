@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, sharding
+from . import bpe, lm_scoring, sharding, substring_dedup
 
 
 def queries():
     return {
         "op1_sharding": sharding.op1_sharding,
+        "op7_substring": substring_dedup.op7_substring,
+        "op4_lm_scoring": lm_scoring.op4_lm_scoring,
         "op9_bpe": bpe.op9_bpe,
     }
 
