@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, lm_scoring, sharding, substring_dedup
+from . import bpe, lm_scoring, near_dedup, sharding, substring_dedup
 
 
 def queries():
@@ -11,6 +11,7 @@ def queries():
         "op7_substring": substring_dedup.op7_substring,
         "op4_lm_scoring": lm_scoring.op4_lm_scoring,
         "op9_bpe": bpe.op9_bpe,
+        "op10_near_dedup": near_dedup.op10_near_dedup,
     }
 
 
