@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, lm_scoring, near_dedup, sharding, substring_dedup
+from . import bpe, lm_scoring, near_dedup, sharding, substring_dedup, toxicity
 
 
 def queries():
@@ -10,6 +10,7 @@ def queries():
         "op1_sharding": sharding.op1_sharding,
         "op7_substring": substring_dedup.op7_substring,
         "op4_lm_scoring": lm_scoring.op4_lm_scoring,
+        "op8_toxicity": toxicity.op8_toxicity,
         "op9_bpe": bpe.op9_bpe,
         "op10_near_dedup": near_dedup.op10_near_dedup,
     }

@@ -52,9 +52,9 @@ def chunks(ends, size=CHUNK_BYTES):
         i = j
 
 
-def word_hashes(raw, ends, lower):
-    """Hashes of all words in order, and the n + 1 places where each text's words begin."""
-    hashes, counts = [], []
+def word_hashes(raw, ends, lower, spans=False):
+    """Hashes of all words in order, and the n + 1 places where each text's words begin; with spans, also each word's first and last + 1 byte."""
+    hashes, counts, at = [], [], []
     for i, j in chunks(ends):
         b = raw[ends[i] : ends[j]]
         if lower:
@@ -80,11 +80,14 @@ def word_hashes(raw, ends, lower):
         back[0] = 1
         np.multiply.accumulate(back, out=back)
         hashes.append(mix((total[stops] - total[starts]) * back[starts] + (stops - starts).astype(np.uint64)))
+        if spans:
+            at.append(np.stack([starts, stops]) + ends[i])
         counts.append(np.diff(np.searchsorted(starts, ends[i : j + 1] - ends[i])))
     places = np.zeros(len(ends), np.int64)
     if counts:
         np.cumsum(np.concatenate(counts), out=places[1:])
-    return (np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)), places
+    found = (np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)), places
+    return (*found, np.concatenate(at, axis=1) if at else np.zeros((2, 0), np.int64)) if spans else found
 
 
 def windows(h, size):
