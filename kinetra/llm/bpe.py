@@ -14,6 +14,7 @@ import heapq
 import json
 import unicodedata
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -23,7 +24,8 @@ from pyspark.sql import functions as F
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+"
 WORD_END = "</w>"
 #: Word forms kept from one batch to the next.
-MEMO_FORMS = 200_000
+MEMO_FORMS = 400_000
+SYMBOL_BITS = 20
 
 
 def byte_alphabet() -> list[str]:
@@ -45,11 +47,16 @@ class Vocabulary:
     def __init__(self, source: str):
         spec = json.loads(source)
         self.ids = spec["model"]["vocab"]
-        self.ranks = {}
-        for rank, pair in enumerate(spec["model"]["merges"]):
-            a, b = pair if isinstance(pair, list) else pair.split(" ")
-            self.ranks.setdefault((self.ids[a], self.ids[b]), (rank, self.ids[a + b]))
-        self.alphabet = byte_alphabet()
+        #: by rank: the two symbols and what they make; rank by pair
+        self.merges = [(self.ids[a], self.ids[b], self.ids[a + b]) for a, b in (m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"])]
+        self.rank_of = {a << SYMBOL_BITS | b: r for r, (a, b, _) in reversed([*enumerate(self.merges)])}
+        pairs = np.array(list(self.rank_of), np.int64)
+        order = np.argsort(pairs)
+        self.pairs, self.pair_ranks = pairs[order], np.array(list(self.rank_of.values()), np.int64)[order]
+        # bytes out of the vocabulary would be dropped, as the format has no unknown token
+        alphabet = byte_alphabet()
+        self.inner = np.array([self.ids.get(c, -1) for c in alphabet], np.int64)
+        self.final = np.array([self.ids.get(c + WORD_END, -1) for c in alphabet], np.int64)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.names = {i: t for t, i in self.ids.items()} | {i: t for t, i in self.special.items()}
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
@@ -68,61 +75,70 @@ class Vocabulary:
                 out += self.words.findall(part.lower())
         return out
 
-    def symbols(self, form: str) -> list[int]:
-        """The first symbols of a word form: one for each byte, the last with the word end. Bytes out of the vocabulary are dropped, as the format has no unknown token."""
-        chars = [self.alphabet[b] for b in form.encode()]
-        chars[-1] += WORD_END
-        return [self.ids[c] for c in chars if c in self.ids]
-
 
 def encode_forms(vocab: Vocabulary, forms: list[str]) -> list[list[int]]:
     """Ids of each word form, by merging all forms together."""
-    sym, left, right, bounds = [], [], [], []
-    for form in forms:
-        start = len(sym)
-        if form in vocab.special:
-            sym.append(vocab.special[form])
-        else:
-            sym += vocab.symbols(form)
-        end = len(sym)
-        bounds.append((start, end))
-        left += range(start - 1, end - 1)
-        right += range(start + 1, end + 1)
-        if end > start:
-            left[start] = right[end - 1] = -1
-    ranks, index, heap = vocab.ranks, {}, []
-
-    def note(i: int, pair: tuple[int, int]) -> None:
-        at = index.get(pair)
-        if at is None:
-            if pair not in ranks:
-                return
-            index[pair] = [i]
-            heapq.heappush(heap, (ranks[pair][0], pair))
-        else:
-            at.append(i)
-
-    for i, j in enumerate(right):
-        if j >= 0:
-            note(i, (sym[i], sym[j]))
+    data = [b"" if f in vocab.special else f.encode() for f in forms]
+    lengths = np.array([len(x) for x in data], np.int64)
+    raw = np.frombuffer(b"".join(data), np.uint8)
+    ends = np.cumsum(lengths)
+    sym = vocab.inner[raw]
+    last = ends[lengths > 0] - 1
+    sym[last] = vocab.final[raw[last]]
+    form_of = np.repeat(np.arange(len(forms)), lengths)
+    sym, form_of = sym[sym >= 0], form_of[sym >= 0]
+    n = len(sym)
+    joined = form_of[:-1] == form_of[1:]
+    right, left = np.full(n, -1), np.full(n, -1)
+    right[:-1][joined] = np.flatnonzero(joined) + 1
+    left[1:][joined] = np.flatnonzero(joined)
+    # the index: for each rank, all positions of its pair, in order
+    at = np.flatnonzero(joined)
+    pair = sym[at] << SYMBOL_BITS | sym[at + 1]
+    found = np.minimum(np.searchsorted(vocab.pairs, pair), len(vocab.pairs) - 1)
+    known = vocab.pairs[found] == pair
+    at, rank = at[known], vocab.pair_ranks[found[known]]
+    order = np.argsort(rank, kind="stable")
+    active, first = np.unique(rank[order], return_index=True)
+    index = dict(zip(active.tolist(), (p.tolist() for p in np.split(at[order], first[1:]))))
+    heap = active.tolist()  # sorted, so a heap
+    sym, left, right = sym.tolist(), left.tolist(), right.tolist()
+    rank_of, merges = vocab.rank_of.get, vocab.merges
     while heap:
-        _, pair = heapq.heappop(heap)
-        a, b = pair
-        new = ranks[pair][1]
-        for i in sorted(index.pop(pair)):
+        rank = heapq.heappop(heap)
+        a, b, new = merges[rank]
+        places = index.pop(rank)
+        if a == b:
+            places.sort()
+        for i in places:
             j = right[i]
-            if sym[i] != a or j < 0 or sym[j] != b:
+            if j < 0 or sym[i] != a or sym[j] != b:
                 continue  # an earlier merge took one of the two
-            k = right[j]
+            k = right[i] = right[j]
             sym[i], sym[j] = new, -1
-            right[i], right[j] = k, -1
             if k >= 0:
                 left[k] = i
-                note(i, (new, sym[k]))
+                r = rank_of(new << SYMBOL_BITS | sym[k])
+                if r is not None:
+                    if r in index:
+                        index[r].append(i)
+                    else:
+                        index[r] = [i]
+                        heapq.heappush(heap, r)
             h = left[i]
             if h >= 0:
-                note(h, (sym[h], new))
-    return [[s for s in sym[start:end] if s >= 0] for start, end in bounds]
+                r = rank_of(sym[h] << SYMBOL_BITS | new)
+                if r is not None:
+                    if r in index:
+                        index[r].append(h)
+                    else:
+                        index[r] = [h]
+                        heapq.heappush(heap, r)
+    out = np.array(sym, np.int64)
+    alive = out >= 0
+    bounds = np.searchsorted(form_of[alive], np.arange(len(forms) + 1)).tolist()
+    out = out[alive].tolist()
+    return [[vocab.special[f]] if f in vocab.special else out[x:y] for f, x, y in zip(forms, bounds, bounds[1:])]
 
 
 def decode_ids(vocab: Vocabulary, ids: list[int]) -> str:
@@ -143,27 +159,28 @@ def encode_documents(docs: DataFrame, vocabulary: str, key: str = "doc_id", text
     schema = f"doc_id {docs.schema[key].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
 
     def run(batches):
-        vocab, memo = Vocabulary(source.value), {}
+        vocab, ids_of, text_of = Vocabulary(source.value), {}, {}
         names = pa.schema([("doc_id", docs_type), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), *[("ids", pa.list_(pa.int32()))] * with_ids])
+        digest = lambda text: hashlib.sha256(text.encode()).hexdigest()
         for batch in batches:
-            for at in range(0, max(1, batch.num_rows), 500):
-                part = batch.slice(at, 500)
+            for at in range(0, max(1, batch.num_rows), 2000):
+                part = batch.slice(at, 2000)
                 texts = [vocab.forms(t or "") for t in part.column("text").to_pylist()]
-                new = list({w for t in texts for w in t if w not in memo})
+                new = [*set().union(*texts).difference(ids_of)]
                 for form, ids in zip(new, encode_forms(vocab, new)):
-                    memo[form] = (len(ids), " ".join(map(str, ids)), decode_ids(vocab, ids), ids if with_ids else None)
+                    ids_of[form], text_of[form] = " ".join(map(str, ids)), decode_ids(vocab, ids)
                 rows = [[], [], [], []]
-                for t in texts:
-                    found = [memo[w] for w in t]
-                    found = [x for x in found if x[0]]
-                    rows[0].append(sum([x[0] for x in found]))
-                    rows[1].append(hashlib.sha256(" ".join([x[1] for x in found]).encode()).hexdigest())
-                    rows[2].append(hashlib.sha256(" ".join([x[2] for x in found]).encode()).hexdigest())
+                for forms in texts:
+                    ids = " ".join(filter(None, map(ids_of.__getitem__, forms)))
+                    rows[0].append(ids.count(" ") + 1 if ids else 0)
+                    rows[1].append(digest(ids))
+                    rows[2].append(digest(" ".join(filter(None, map(text_of.__getitem__, forms)))))
                     if with_ids:
-                        rows[3].append([i for x in found for i in x[3]])
+                        rows[3].append([int(i) for i in ids.split()])
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(docs_type), *(pa.array(r, s.type) for r, s in zip(rows, list(names)[1:]))], schema=names)
-                if len(memo) > MEMO_FORMS:
-                    memo.clear()
+                if len(ids_of) > MEMO_FORMS:
+                    ids_of.clear()
+                    text_of.clear()
 
     from pyspark.sql.pandas.types import to_arrow_type
 
