@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, lm_scoring, near_dedup, sharding, substring_dedup, toxicity
+from . import bpe, decontamination, lm_scoring, near_dedup, sharding, substring_dedup, toxicity
 
 
 def queries():
     return {
         "op1_sharding": sharding.op1_sharding,
         "op7_substring": substring_dedup.op7_substring,
+        "op2_decontamination": decontamination.op2_decontamination,
         "op4_lm_scoring": lm_scoring.op4_lm_scoring,
         "op8_toxicity": toxicity.op8_toxicity,
         "op9_bpe": bpe.op9_bpe,
