@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, decontamination, lm_scoring, near_dedup, sharding, substring_dedup, toxicity
+from . import bpe, decontamination, lm_scoring, near_dedup, sharding, substring_dedup, toxicity, warc
 
 
 def queries():
     return {
         "op1_sharding": sharding.op1_sharding,
+        "op5_warc": warc.op5_warc,
         "op7_substring": substring_dedup.op7_substring,
         "op2_decontamination": decontamination.op2_decontamination,
         "op4_lm_scoring": lm_scoring.op4_lm_scoring,
@@ -18,4 +19,18 @@ def queries():
 
 
 def oracle_sql():
-    return {}
+    return {"op5_warc": OP5_SQL}
+
+
+OP5_SQL = """
+with p as (
+  select page_id, strlen(coalesce(html, '')) as payload_bytes, sha256(coalesce(html, '')) as payload_digest
+  from pages
+), r as (
+  select *, min(page_id) over (partition by payload_digest) as first_id from p
+)
+select page_id, payload_bytes, payload_digest,
+  case when payload_bytes >= 100 and page_id > first_id then 'revisit' else 'response' end as record_type,
+  case when payload_bytes >= 100 and page_id > first_id then first_id end as refers_to
+from r
+"""
