@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontamination, lm_scoring, near_dedup, sharding, substring_dedup, toxicity, warc
+from . import bpe, decontamination, lm_scoring, near_dedup, quality, sharding, substring_dedup, toxicity, warc
 
 
 def queries():
@@ -11,6 +11,7 @@ def queries():
         "op5_warc": warc.op5_warc,
         "op7_substring": substring_dedup.op7_substring,
         "op2_decontamination": decontamination.op2_decontamination,
+        "op3_quality": quality.op3_quality,
         "op4_lm_scoring": lm_scoring.op4_lm_scoring,
         "op8_toxicity": toxicity.op8_toxicity,
         "op9_bpe": bpe.op9_bpe,
