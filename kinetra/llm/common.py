@@ -55,7 +55,7 @@ def crc_mod(key: Column, n: int) -> Column:
 
 def let(value: Column, body) -> Column:
     """Evaluate an expression once and hand it to body as a variable."""
-    return F.get(F.transform(F.array(value), body), 0)
+    return F.get(F.transform(F.array(value), lambda x: body(x)), 0)
 
 
 def pow2_at_least(n: float) -> int:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, decontamination, lm_scoring, near_dedup, quality, sharding, substring_dedup, toxicity, warc
+from . import bpe, decontamination, lm_scoring, near_dedup, pii, quality, sharding, substring_dedup, toxicity, warc
 
 
 def queries():
     return {
         "op1_sharding": sharding.op1_sharding,
         "op5_warc": warc.op5_warc,
+        "op6_pii": pii.op6_pii,
         "op7_substring": substring_dedup.op7_substring,
         "op2_decontamination": decontamination.op2_decontamination,
         "op3_quality": quality.op3_quality,
