@@ -6,13 +6,14 @@ coordinate k as min over shingles of pi(sigma(x) + k). Bands of coordinates
 deal documents into buckets. Documents with equal shingle sets are one class
 and stand in the buckets once.
 
-Within a bucket, candidates are compared with a central member (the one that
+A class of which more than 1 - threshold of the shingles stand in no other
+candidate class can be linked to none, and leaves before any comparison.
+Within a bucket, the remaining candidates are compared with a central member (the one that
 shares most buckets with others), not with each other: what is linked to it
 is settled, and the rest elects a centre of its own, for a few rounds. What
-remains is compared pair by pair, and so is a member that missed the centre
-by less than the spread of the settled ones could explain (Jaccard distance
-is a metric), unless it is already in the same component. All links are
-confirmed on full shingle sets.
+remains is compared pair by pair, and so is what missed the centre with what
+is settled, where counts already known leave a link possible and the two are
+not in the same component yet. All links are confirmed on full shingle sets.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from .words import mix, text_buffer, windows, word_hashes
 
 BANDS, ROWS = 26, 6
 ROUNDS = 2
+#: Bits of the table by which texts outside all buckets are left out before the shuffle.
+MAYBE_BITS = 1 << 23
 #: Shingles hashed at a time, so that a signature is made in cache.
 STRIP = 512
 
@@ -96,12 +99,14 @@ def _signatures(size, bands, rows):
 
 
 def _set_rows(size):
-    names = pa.schema([("rep", pa.int64()), ("shingles", pa.binary())])
+    names = pa.schema([("rep", pa.int64()), ("shingles", pa.list_(pa.int64()))])
 
     def run(batches):
         for batch in batches:
             raw, ends = text_buffer(batch.column("text"))
-            yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array([s.tobytes() for s in _sets(raw, ends, size)], pa.binary())], schema=names)
+            sets = [s.view(np.int64) for s in _sets(raw, ends, size)]
+            places = np.cumsum([0, *map(len, sets)], dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.ListArray.from_arrays(places, np.concatenate(sets) if sets else np.zeros(0, np.int64))], schema=names)
 
     return run
 
@@ -111,7 +116,7 @@ def _compare(batches):
     for batch in batches:
         both, either = [], []
         for x, y in zip(batch.column("left"), batch.column("right")):
-            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+            x, y = x.values.to_numpy().view(np.uint64), y.values.to_numpy().view(np.uint64)
             if len(x) > len(y):
                 x, y = y, x
             at = np.searchsorted(y, x)
@@ -129,6 +134,39 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return materialize(both.select("a", "b", "left", "right").mapInArrow(_compare, "a long, b long, both long, either long"), "near-pairs")
 
 
+def _maybe(ids: DataFrame) -> DataFrame:
+    """A table of at most MAYBE_BITS bits that holds a bit for each id: (part, bits)."""
+    at = F.pmod(F.xxhash64("rep"), F.lit(MAYBE_BITS))
+    return ids.groupBy(F.bitmap_bucket_number(at).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
+
+
+def _possibly(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose doc_id may be among the ids: all that are, and few others while the ids are fewer than the bits."""
+    at = F.pmod(F.xxhash64("doc_id"), F.lit(MAYBE_BITS))
+    bit = F.bitmap_bit_position(at)
+    byte = F.conv(F.hex(F.substring("bits", (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    # the table of bits is broadcast: 2 ** 20 bytes at most
+    near = docs.withColumn("part", F.bitmap_bucket_number(at)).join(F.broadcast(_maybe(ids)), "part")
+    return near.where(F.getbit(byte, (bit % 8).cast("int")) == 1).drop("part", "bits")
+
+
+def _linkable(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Members of classes whose shingles are shared widely enough for a link to be possible, in buckets that still hold two."""
+    seen = sets.join(members.select("rep").distinct(), "rep", "left_semi").select("rep", F.size("shingles").alias("size"), "shingles")
+    alone = seen.select("rep", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n"), F.min("rep").alias("rep")).where("n = 1").groupBy("rep").agg(F.count("*").alias("own"))
+    able = seen.select("rep", "size").join(alone, "rep", "left").select("rep", "size", F.coalesce("own", F.lit(0)).alias("own")).where(f"100 * (size - own) >= {percent} * size")
+    left = members.select("bucket", "rep").join(able, "rep")
+    crowd = left.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    return materialize(left.join(crowd, "bucket").select("bucket", "rep", "n", "size", "own"), "near-members")
+
+
+def _possible(x: str, y: str, percent: int):
+    """Whether two classes that were compared with one centre can be linked. They share at most the smaller part in common with the centre and, outside it, the smaller part that is not their own."""
+    inside = F.least(F.col(f"{x}.both"), F.col(f"{y}.both"))
+    outside = F.least(*(F.col(f"{n}.size") - F.col(f"{n}.both") - F.col(f"{n}.own") for n in (x, y)))
+    return (100 + percent) * (inside + outside) >= percent * (F.col(f"{x}.size") + F.col(f"{y}.size"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) with the smallest node each one reaches; edges (a, b) over long ids. Nodes without an edge are absent."""
     links = edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct()
@@ -170,31 +208,28 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5, bands: in
     members = materialize(dealt.join(crowded, "bucket").select("bucket", "rep", "n").distinct(), "near-members")
     involved = members.select("rep").distinct()
     # a class is compared by one of its texts: that of its smallest document
-    texts = docs.join(involved, docs["doc_id"] == involved["rep"]).select("rep", "text")
-    sets = materialize(texts.mapInArrow(_set_rows(size), "rep long, shingles binary"), "near-sets")
-    open_, known, late = members, None, None
+    texts = _possibly(docs, involved).join(involved.hint("merge"), F.col("doc_id") == F.col("rep")).select("rep", "text")
+    sets = materialize(texts.mapInArrow(_set_rows(size), "rep long, shingles array<long>"), "near-sets")
+    open_, known, late = _linkable(members, sets, percent), None, None
     for _ in range(ROUNDS):
         central = open_.groupBy("rep").agg(F.sum("n").alias("weight"))
         elected = open_.join(central, "rep").groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("rep")).alias("centre"))).alias("top")).select("bucket", (-F.col("top.centre")).alias("centre"))
-        stars = materialize(open_.join(elected, "bucket").where("rep <> centre").select("bucket", "rep", "centre"), "near-stars")
+        stars = materialize(open_.join(elected, "bucket").where("rep <> centre").select("bucket", "rep", "centre", "size", "own"), "near-stars")
         pairs = stars.select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct()
         pairs = pairs if known is None else pairs.join(known, ["a", "b"], "left_anti")
         found = _verified(pairs, sets)
         known = found if known is None else known.unionByName(found)
-        pair_of = known.withColumn("linked", F.expr(f"100 * both >= {percent} * either")).withColumn("gap", 1 - F.col("both") / F.col("either"))
-        judged = stars.withColumns({"a": F.least("rep", "centre"), "b": F.greatest("rep", "centre")}).join(pair_of, ["a", "b"])
-        judged = materialize(judged.select("bucket", "rep", "centre", "linked", "gap"), "near-judged")
-        spread = 1 - percent / 100
-        settled = judged.where("linked").select("bucket", F.col("rep").alias("inner"), F.col("gap").alias("inner_gap"))
-        missed = judged.where(~F.col("linked") & (F.col("gap") <= 2 * spread))
-        grey = missed.join(settled, "bucket").where(F.col("inner_gap") >= F.col("gap") - spread - 1e-9).select("rep", "centre", F.col("inner").alias("other"))
+        judged = stars.withColumns({"a": F.least("rep", "centre"), "b": F.greatest("rep", "centre")}).join(known, ["a", "b"])
+        judged = materialize(judged.select("bucket", "rep", "size", "own", "both", F.expr(f"100 * both >= {percent} * either").alias("linked")), "near-judged")
+        missed, settled = judged.where("not linked").alias("x"), judged.where("linked").alias("y")
+        grey = missed.join(settled, (F.col("x.bucket") == F.col("y.bucket")) & _possible("x", "y", percent)).select(F.col("x.rep").alias("rep"), F.col("y.rep").alias("other"))
         late = grey if late is None else late.unionByName(grey)
-        rest = judged.where("not linked").select("bucket", "rep")
+        rest = judged.where("not linked").drop("linked")
         sizes = rest.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-        open_ = materialize(rest.join(sizes, "bucket").select("bucket", "rep", "n"), "near-open")
+        open_ = materialize(rest.join(sizes, "bucket"), "near-open")
     links = known.where(f"100 * both >= {percent} * either")
     label = components(links)
-    rest = open_.alias("x").join(open_.alias("y"), "bucket").where("x.rep < y.rep").select(F.col("x.rep").alias("rep"), F.col("y.rep").alias("other"))
+    rest = open_.alias("x").join(open_.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.rep") < F.col("y.rep")) & _possible("x", "y", percent)).select(F.col("x.rep").alias("rep"), F.col("y.rep").alias("other"))
     more = late.select("rep", "other").unionByName(rest).select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
     of = lambda name: label.select(F.col("node").alias(name), F.col("label").alias(f"label_{name}"))
     more = more.join(of("a"), "a", "left").join(of("b"), "b", "left").where("coalesce(label_a, a) <> coalesce(label_b, b)").select("a", "b").join(known, ["a", "b"], "left_anti")
