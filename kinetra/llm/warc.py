@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import io
 import json
 import uuid
 
@@ -193,7 +194,8 @@ def _read(with_payload):
         for batch in batches:
             for content, name in zip(batch.column("content"), batch.column("path").to_pylist()):
                 rows = []
-                for headers, block in parse(gzip.decompress(content.as_buffer())):
+                # a stream, as gzip.decompress() copies the rest of the file for each member
+                for headers, block in parse(gzip.GzipFile(fileobj=io.BytesIO(content.as_buffer())).read()):
                     if hashlib.sha256(block).hexdigest() != headers["WARC-Block-Digest"].removeprefix("sha256:"):
                         raise ValueError(f"{name}: a block differs from its digest")
                     end = block.index(b"\r\n\r\n") + 4
