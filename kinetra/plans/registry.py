@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from kinetra.plans import detection
+from kinetra.plans import detection, grid, state
 
-FAMILIES = (detection,)
+FAMILIES = (detection, grid, state)
 
 
 def queries():
