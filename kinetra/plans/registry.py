@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from kinetra.plans import detection, grid, state
+from kinetra.plans import detection, grid, operations, state, streams
 
-FAMILIES = (detection, grid, state)
+FAMILIES = (detection, grid, state, operations, streams)
 
 
 def queries():
