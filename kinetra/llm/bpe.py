@@ -23,8 +23,10 @@ from pyspark.sql import functions as F
 #: Word pattern and special texts of the vocabulary file: fixed values.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+"
 WORD_END = "</w>"
-#: Word forms kept from one batch to the next.
-MEMO_FORMS = 400_000
+#: Word forms kept from one batch to the next, in each of two generations.
+MEMO_FORMS = 150_000
+#: Texts whose forms are merged together.
+TEXTS = 700
 SYMBOL_BITS = 20
 
 
@@ -159,14 +161,21 @@ def encode_documents(docs: DataFrame, vocabulary: str, key: str = "doc_id", text
     schema = f"doc_id {docs.schema[key].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
 
     def run(batches):
-        vocab, ids_of, text_of = Vocabulary(source.value), {}, {}
+        vocab, ids_of, text_of, older = Vocabulary(source.value), {}, {}, ({}, {})
         names = pa.schema([("doc_id", docs_type), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), *[("ids", pa.list_(pa.int32()))] * with_ids])
         digest = lambda text: hashlib.sha256(text.encode()).hexdigest()
         for batch in batches:
-            for at in range(0, max(1, batch.num_rows), 2000):
-                part = batch.slice(at, 2000)
+            for at in range(0, max(1, batch.num_rows), TEXTS):
+                part = batch.slice(at, TEXTS)
                 texts = [vocab.forms(t or "") for t in part.column("text").to_pylist()]
-                new = [*set().union(*texts).difference(ids_of)]
+                if len(ids_of) > MEMO_FORMS:
+                    older, ids_of, text_of = (ids_of, text_of), {}, {}
+                new = []
+                for form in set().union(*texts).difference(ids_of):
+                    if form in older[0]:
+                        ids_of[form], text_of[form] = older[0][form], older[1][form]
+                    else:
+                        new.append(form)
                 for form, ids in zip(new, encode_forms(vocab, new)):
                     ids_of[form], text_of[form] = " ".join(map(str, ids)), decode_ids(vocab, ids)
                 rows = [[], [], [], []]
@@ -176,11 +185,8 @@ def encode_documents(docs: DataFrame, vocabulary: str, key: str = "doc_id", text
                     rows[1].append(digest(ids))
                     rows[2].append(digest(" ".join(filter(None, map(text_of.__getitem__, forms)))))
                     if with_ids:
-                        rows[3].append([int(i) for i in ids.split()])
+                        rows[3].append(np.array(ids.split(), np.int32))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(docs_type), *(pa.array(r, s.type) for r, s in zip(rows, list(names)[1:]))], schema=names)
-                if len(ids_of) > MEMO_FORMS:
-                    ids_of.clear()
-                    text_of.clear()
 
     from pyspark.sql.pandas.types import to_arrow_type
 

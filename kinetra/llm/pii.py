@@ -198,14 +198,18 @@ def fit(found: DataFrame) -> Model:
 
 
 def spans(found: Column, model: Model) -> Column:
-    """Base spans and accepted looser ones, by kind and start. A looser span that touches a base span of its kind adds nothing."""
-    base = F.filter(found, lambda c: c["base"])
+    """Base spans and accepted looser ones, by kind and start. A looser span adds nothing where it touches a base span of its kind, or is itself a strict candidate, which its test has judged."""
 
-    def joined(b: Column) -> Column:
-        more = F.filter(found, lambda c: ~c["strict"] & model.accepts(c) & ~F.exists(b, lambda y: (y["kind"] == c["kind"]) & (y["s"] < c["e"]) & (c["s"] < y["e"])))
-        return F.array_sort(F.transform(F.concat(b, more), lambda c: F.struct(c["kind"].alias("kind"), c["s"].alias("s"), c["e"].alias("e"))))
+    def joined(strict: Column) -> Column:
+        def taken(c: Column) -> Column:
+            same = lambda y: (y["s"] == c["s"]) & (y["e"] == c["e"])
+            return F.exists(strict, lambda y: (y["kind"] == c["kind"]) & ((y["base"] & (y["s"] < c["e"]) & (c["s"] < y["e"])) | same(y)))
 
-    return let(base, joined)
+        base = F.filter(strict, lambda c: c["base"])
+        more = F.filter(found, lambda c: ~c["strict"] & model.accepts(c) & ~taken(c))
+        return F.array_sort(F.transform(F.concat(base, more), lambda c: F.struct(c["kind"].alias("kind"), c["s"].alias("s"), c["e"].alias("e"))))
+
+    return let(F.filter(found, lambda c: c["strict"]), joined)
 
 
 def listed(found: Column) -> Column:

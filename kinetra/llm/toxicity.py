@@ -33,7 +33,9 @@ CALIBRATE = 4
 THRESHOLD = 0.3
 HEAD, TAIL = "\x02", "\x03"
 #: Distinct words whose evidence a worker keeps.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 200_000
+#: Texts looked at together.
+TEXTS = 500
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, per_class: int) -> DataFrame:
@@ -173,8 +175,8 @@ def _run_evidence(shared):
     def run(batches):
         memo = {}
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
+            for at in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(at, TEXTS)
                 strongest, mean = _evidence(shared.value, *text_buffer(part.column("text")), memo)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(strongest), pa.array(mean)], schema=names)
 
