@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from kinetra.plans import detection, grid, operations, state, streams
+from kinetra.plans import detection, grid, operations, routes, state, streams
 
-FAMILIES = (detection, grid, state, operations, streams)
+FAMILIES = (detection, grid, state, operations, routes, streams)
 
 
 def queries():
