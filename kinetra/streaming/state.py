@@ -29,7 +29,7 @@ class Latest(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.report = handle.getValueState("report", "ts double, seq long, x double, y double")
 
-    def handleInputRows(self, key, rows, timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         best = self.report.get()
         for batch in rows:
             for row in batch.sort_values("seq").itertuples(index=False):
@@ -56,7 +56,7 @@ class Trajectory(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.points = handle.getListState("points", "seq long, x double, y double")
 
-    def handleInputRows(self, key, rows, timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         held = [*self.points.get()] if self.points.exists() else []
         for batch in rows:
             held += [(int(r.seq), float(r.x), float(r.y)) for r in batch.sort_values("seq").itertuples(index=False)]
@@ -79,7 +79,7 @@ class Alerts(StatefulProcessor):
         self.handle = handle
         self.alert = handle.getValueState("alert", "priority int, ts double, acknowledged boolean")
 
-    def handleInputRows(self, key, rows, timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         held, out = self.alert.get(), []
         for batch in rows:
             for row in batch.sort_values(["ts", "kind"]).itertuples(index=False):
@@ -118,7 +118,7 @@ class Heartbeats(StatefulProcessor):
         self.handle = handle
         self.node = handle.getValueState("node", "last long, failed boolean")
 
-    def handleInputRows(self, key, rows, timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         times = sorted(int(t.timestamp() * 1000) for batch in rows for t in batch["time"])
         held, out = self.node.get(), []
         last, failed = (held[0], held[1]) if held is not None else (times[0], False)
@@ -134,7 +134,7 @@ class Heartbeats(StatefulProcessor):
         self.handle.registerTimer(last + self.limit)
         yield pd.DataFrame(out, columns=["node_id", "event", "ms"])
 
-    def handleExpiredTimer(self, key, timer_values, expired) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         held = self.node.get()
         if held is None or held[1]:
             yield pd.DataFrame([], columns=["node_id", "event", "ms"])
@@ -160,7 +160,7 @@ class Bucket(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.bucket = handle.getValueState("bucket", "tokens double, at double")
 
-    def handleInputRows(self, key, rows, timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         held, out = self.bucket.get(), []
         tokens, at = (held[0], held[1]) if held is not None else (self.capacity, None)
         for row in pd.concat(rows).sort_values(["ts", "seq"]).itertuples(index=False):
