@@ -119,7 +119,7 @@ class Heartbeats(StatefulProcessor):
         self.node = handle.getValueState("node", "last long, failed boolean")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        times = sorted(int(t.timestamp() * 1000) for batch in rows for t in batch["time"])
+        times = sorted(t.value // 1_000_000 for batch in rows for t in batch["time"])
         held, out = self.node.get(), []
         last, failed = (held[0], held[1]) if held is not None else (times[0], False)
         for t in times:

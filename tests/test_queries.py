@@ -64,6 +64,6 @@ def test_stream_of_alerts_equals_batch(spark):
 
 
 def test_stream_of_heartbeats_equals_batch(spark):
-    gaps = {(r["node_id"], round(r["recovered_at"] * 1000)) for r in QUERIES["heartbeat_failures"](spark, SF).collect()}
-    events = QUERIES["streaming_heartbeats"](spark, SF).collect()
-    assert {(r["node_id"], r["ms"]) for r in events if r["event"] == "recovered"} == {g for g in gaps if g[1]}
+    gaps = sorted((r["node_id"], r["recovered_at"] * 1000) for r in QUERIES["heartbeat_failures"](spark, SF).collect())
+    back = sorted((r["node_id"], r["ms"]) for r in QUERIES["streaming_heartbeats"](spark, SF).collect() if r["event"] == "recovered")
+    assert [n for n, _ in gaps] == [n for n, _ in back] and all(abs(a - b) <= 1 for (_, a), (_, b) in zip(gaps, back))
