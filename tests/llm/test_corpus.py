@@ -11,7 +11,7 @@ from helpers import CLASHES, ROWS, multiset, table, words
 from pyspark.sql import functions as F
 
 from kinetra.llm import bpe, lm_scoring, near_dedup, pii, quality, sharding, substring_dedup, toxicity
-from kinetra.llm.common import crc_mod
+from kinetra.llm.common import crc_mod, let
 
 sha = lambda b: hashlib.sha256(b).hexdigest()
 
@@ -74,7 +74,7 @@ def test_quality(docs, empty, labels):
 def test_quality_weights_agree_with_brute_force(spark, labels):
     rows = [(i, t) for i, t in ROWS if i in (1, 2, 4, 10, 16, 12)]
     docs = table(spark, rows, clashes=False)
-    grams = docs.select("doc_id", F.posexplode(quality.n_gram_buckets(quality.words_of(F.col("text"))))).collect()
+    grams = docs.select("doc_id", F.posexplode(let(quality.words_of(F.col("text")), quality.n_gram_buckets))).collect()
     raw, target = collections.Counter(), collections.Counter()
     for r in grams:
         raw[r["col"]] += 1
