@@ -21,7 +21,16 @@ def queries():
 
 
 def oracle_sql():
-    return {"op5_warc": OP5_SQL}
+    return {"op5_warc": OP5_SQL, "op7_substring": OP7_SQL, "op10_near_dedup": OP10_SQL}
+
+
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+WORDS = "regexp_extract_all({}, '[^\\x20\\x09-\\x0D]+')"
+
+
+def _run(words: int) -> str:
+    """A word and those after it, joined by one space."""
+    return f"concat_ws(' ', word, {', '.join(f'lead(word, {k}) over w' for k in range(1, words))})"
 
 
 OP5_SQL = """
@@ -36,3 +45,50 @@ select page_id, payload_bytes, payload_digest,
   case when payload_bytes >= 100 and page_id > first_id then first_id end as refers_to
 from r
 """
+
+OP7_SQL = f"""
+with d as (
+  select doc_id, {WORDS.format("coalesce(text, '')")} as ws from documents
+), t as (
+  select doc_id, len(ws) as n, unnest(ws) as word, generate_subscripts(ws, 1) as i from d
+), k as (
+  select doc_id, n, i, word, case when i <= n - 12 then md5({_run(13)}) end as k from t window w as (partition by doc_id order by i)
+), m as (
+  select k, min(doc_id) as low from k where k is not null group by k
+), g as (
+  select doc_id, i, word, max(case when doc_id > low then 1 else 0 end) over (partition by doc_id order by i rows between 12 preceding and current row) = 1 as gone
+  from k left join m using (k)
+), o as (
+  select doc_id, count(*) as n_words, count(*) filter (gone) as n_removed, string_agg(word, ' ' order by i) filter (not gone) as kept from g group by doc_id
+)
+select doc_id, coalesce(n_words, 0) as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256
+from documents left join o using (doc_id)
+"""
+
+OP10_SQL = f"""
+with recursive d as (
+  select doc_id, {WORDS.format(f"translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}')")} as ws from documents
+), t as (
+  select doc_id, len(ws) as n, unnest(ws) as word, generate_subscripts(ws, 1) as i from d
+), s as (
+  select doc_id, n, i, md5({_run(5)}) as sh from t window w as (partition by doc_id order by i)
+), u as (
+  select distinct doc_id, sh from s where i <= greatest(n - 4, 1)
+), c as (
+  select doc_id, count(*) as n from u group by doc_id
+), b as (
+  select x.doc_id as a, y.doc_id as b, count(*) as shared from u x join u y on x.sh = y.sh and x.doc_id < y.doc_id group by all
+), e as (
+  select a, b from b join c p on a = p.doc_id join c q on b = q.doc_id where 100 * shared >= 85 * (p.n + q.n - shared)
+), g as (
+  select a, b from e union select b, a from e
+), r as (
+  select a as node, a as low from g
+  union
+  select g.b, r.low from r join g on g.a = r.node where r.low < g.b
+), l as (
+  select node, min(low) as low from r group by node
+)
+select documents.doc_id, coalesce(n, 0) as n_shingles, coalesce(low, documents.doc_id) as component_id, coalesce(low, documents.doc_id) = documents.doc_id as kept
+from documents left join c using (doc_id) left join l on node = documents.doc_id
+"""
