@@ -134,19 +134,75 @@ def _candidates(index, q, window, errors, codes, starts):
     return out
 
 
-def _verify(index, text, region, rate, window):
-    """The region widened by equal characters, with its edits; None beyond the budget or below the least length."""
+def _runs(a, b, q, slack):
+    """Runs of q or more equal characters on a best alignment of two character arrays, as rows of (start in a, start in b, edits before, end in a, end in b). Only diagonals within `slack` of the ends are filled."""
+    low = min(0, len(b) - len(a)) - slack
+    shift = np.arange(abs(len(b) - len(a)) + 2 * slack + 1)
+    far = len(a) + len(b) + 1
+    cost = np.full((len(a) + 1, len(shift)), far, np.int32)
+    cost[0] = np.where((shift + low >= 0) & (shift + low <= len(b)), shift + low, far)
+    for i in range(1, len(a) + 1):
+        j = i + shift + low
+        inner = (j >= 1) & (j <= len(b))
+        new = np.where(inner, cost[i - 1] + (b[np.clip(j - 1, 0, len(b) - 1)] != a[i - 1]), far)
+        new[:-1] = np.minimum(new[:-1], cost[i - 1][1:] + 1)
+        new = np.where((j >= 0) & (j <= len(b)), new, far)
+        cost[i] = np.minimum(np.minimum.accumulate(new - shift) + shift, far)
+    i, j, runs = len(a), len(b), []
+    while i > 0 and j > 0:
+        end = i, j
+        while i > 0 and j > 0 and a[i - 1] == b[j - 1]:
+            i, j = i - 1, j - 1
+        if end[0] - i >= q:
+            runs.append((i, j, int(cost[i, j - i - low]), *end))
+        k = j - i - low
+        if i > 0 and j > 0 and cost[i, k] == cost[i - 1, k] + 1:
+            i, j = i - 1, j - 1
+        elif i > 0 and k + 1 < len(shift) and cost[i, k] == cost[i - 1, k + 1] + 1:
+            i -= 1
+        else:
+            j -= 1
+    return np.array(runs[::-1], np.int64).reshape(-1, 5)
+
+
+def _parts(runs, least, errors, window):
+    """The longest stretch from one run to another within errors / window edits a character and of the least length, then those beside it."""
+    begin, end = errors * runs[:, 0] - window * runs[:, 2], errors * runs[:, 3] - window * runs[:, 2]
+    todo = [(0, len(runs))]
+    while todo:
+        i, j = todo.pop()
+        if i == j or runs[j - 1, 3] - runs[i, 0] < least:
+            continue
+        # the last end that leaves each begin within the budget
+        best = np.maximum.accumulate(end[i:j][::-1])[::-1]
+        last = i + np.searchsorted(-best, -begin[i:j], side="right") - 1
+        first = i + int(np.argmax(runs[last, 3] - runs[i:j, 0]))
+        last = int(last[first - i])
+        if runs[last, 3] - runs[first, 0] >= least:
+            yield runs[first, 0], runs[last, 3], runs[first, 1], runs[last, 4]
+            todo += [(i, first), (last + 1, j)]
+
+
+def _verify(index, text, region, q, window, errors):
+    """The region widened by equal characters, with its edits, or the parts of it that are within the budget if it is not; none below the least length."""
     _, item, i0, i1, d0, d1 = region
     passage = index.codes[item]
     while i0 > 0 and d0 > 0 and passage[i0 - 1] == text[d0 - 1]:
         i0, d0 = i0 - 1, d0 - 1
     while i1 < len(passage) and d1 < len(text) and passage[i1] == text[d1]:
         i1, d1 = i1 + 1, d1 + 1
-    most = int(rate * (i1 - i0))
-    if i1 - i0 < min(max(window, SHARE * len(passage)), max(window, ENOUGH), len(passage)):
-        return None
+    least = min(max(window, SHARE * len(passage)), max(window, ENOUGH), len(passage))
+    if i1 - i0 < least:
+        return []
+    most = errors * (i1 - i0) // window
     edits = banded_edits(passage[i0:i1], text[d0:d1], most)
-    return (index.ids[item], d0, d1, i0, i1, edits) if edits <= most else None
+    if edits <= most:
+        return [(index.ids[item], d0, d1, i0, i1, edits)]
+    found = []
+    for a0, a1, b0, b1 in _parts(_runs(passage[i0:i1], text[d0:d1], q, 2 * (errors + 1)), least, errors, window):
+        a0, a1, b0, b1 = int(i0 + a0), int(i0 + a1), int(d0 + b0), int(d0 + b1)
+        found.append((index.ids[item], b0, b1, a0, a1, banded_edits(passage[a0:a1], text[b0:b1], errors * (a1 - a0) // window)))
+    return found
 
 
 def _search(shared, q, window, errors):
@@ -166,15 +222,12 @@ def _search(shared, q, window, errors):
                 best = {}
                 for region in _candidates(index, q, window, errors, codes, starts):
                     owner = region[0]
-                    got = _verify(index, codes[starts[owner] : starts[owner + 1]], region, errors / window, window)
-                    if got:
+                    for got in _verify(index, codes[starts[owner] : starts[owner + 1]], region, q, window, errors):
                         # bands overlap: of the regions that share a place, the longest with fewest edits stays
                         kept = best.setdefault((owner, got[0]), [])
-                        rival = next((k for k, x in enumerate(kept) if x[1] < got[2] and got[1] < x[2]), None)
-                        if rival is None:
-                            kept.append(got)
-                        else:
-                            kept[rival] = min(kept[rival], got, key=lambda x: (x[1] - x[2], x[5], x))
+                        rivals = [x for x in kept if x[1] < got[2] and got[1] < x[2]]
+                        if got == min([got, *rivals], key=lambda x: (x[1] - x[2], x[5], x)):
+                            best[owner, got[0]] = [x for x in kept if x not in rivals] + [got]
                 rows += [(ids[i + owner], *x) for (owner, _), kept in sorted(best.items()) for x in sorted(set(kept))]
                 i = j
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [[]] * 7)], schema=FOUND_ARROW)

@@ -136,6 +136,30 @@ def test_leaks_with_edits(spark):
     assert decontamination.find_leaks(table(spark, rows), empty).count() == 0 and decontamination.find_leaks(table(spark, []), bench).count() == 0
 
 
+def test_leaks_beside_a_replaced_stretch(spark):
+    """Exact quotes count although the stretch between them, or at one side, breaks the budget of the whole."""
+    rng = random.Random(11)
+    letters = lambda n, of: "".join(rng.choice(of) for _ in range(n))
+    item = letters(400, "abcdefghijklmnop")
+    quote = lambda *parts: "".join(item[p[0] : p[1]] if isinstance(p, tuple) else letters(p, "qrstuvwxyz") for p in parts)
+    cases = {
+        **{(1, n): (quote(30, (0, 100), n, (100 + n, 200 + n), 30), [(0, 100), (100 + n, 200 + n)]) for n in (20, 30, 40)},
+        # the longest gap between hits lies within the passage that counts
+        (2, 0): (quote((0, 70), 4, (74, 140), *(x for k in range(140, 344, 17) for x in (2, (k + 2, k + 17))), 30), [(0, 140)]),
+        (3, 0): (quote((0, 90), 30, (120, 210), 30, (240, 330)), []),
+        (4, 0): (quote((0, 100), 30, (130, 180), 30, (210, 310)), [(0, 100), (210, 310)]),
+    }
+    rows = [(100 * k + n, text) for (k, n), (text, _) in cases.items()]
+    found = decontamination.find_leaks(table(spark, rows), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    for (k, n), (text, expected) in cases.items():
+        got = sorted((r["item_start"], r["item_end"]) for r in found if r["doc_id"] == 100 * k + n)
+        assert len(got) == len(expected) and all(a <= c and d <= b for (a, b), (c, d) in zip(got, expected)), (k, n, got)
+    texts = dict(rows)
+    for r in found:
+        edits = full_edits(texts[r["doc_id"]][r["doc_start"] : r["doc_end"]], item[r["item_start"] : r["item_end"]])
+        assert edits == r["edits"] <= 0.06 * (r["item_end"] - r["item_start"])
+
+
 def test_pipeline(spark):
     """Every stage against a plain counterpart on what the stage before kept."""
     import corpus_pipeline
