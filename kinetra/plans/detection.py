@@ -108,7 +108,7 @@ select vehicle_id, other_vehicle_id, round(max(risk_level), 6) + 0e0 as risk_lev
 
 
 def future_trajectory(spark, sf):
-    points = T.future_points(patterned_fleet(spark, sf).where("id <= 200"))
+    points = T.future_points(patterned_fleet(spark, sf))
     return rounded(points.select("id", "step", "offset", "pattern", "x", "y"), "x", "y")
 
 
