@@ -13,3 +13,18 @@ def test_future_trajectory_of_every_vehicle(spark):
     got = QUERIES["future_trajectory"](spark, SF).groupBy("id").agg(F.count("*").alias("n")).collect()
     ids = {r["id"] for r in X.fleet(spark, SF).select("id").collect()}
     assert max(ids) > 200 and {r["id"] for r in got} == ids and {r["n"] for r in got} == {20}
+
+
+def test_order_of_every_pending_task(spark):
+    got = QUERIES["pending_task_order"](spark, SF).collect()
+    pending = X.tasks(spark, SF).where("status = 'O'").collect()
+    expected = [r["task_id"] for r in sorted(pending, key=lambda r: (-r["priority"], r["created_at"], r["task_id"]))]
+    assert len(expected) > 100 and [r["task_id"] for r in sorted(got, key=lambda r: r["place"])] == expected
+    assert [r["place"] for r in got] == [*range(1, len(got) + 1)]
+
+
+def test_order_of_every_alert(spark):
+    got = QUERIES["alert_order"](spark, SF).collect()
+    raised = QUERIES["alerts"](spark, SF).select("vehicle_id", "other_vehicle_id", "priority", "ts").collect()
+    assert len(raised) > 50 and [tuple(r)[:4] for r in got] == sorted(map(tuple, raised), key=lambda r: (-r[2], r[3], r[0], r[1]))
+    assert [r["place"] for r in got] == [*range(1, len(got) + 1)]
