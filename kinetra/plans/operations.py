@@ -108,9 +108,16 @@ def region_plan(spark, sf):
     return P.split_largest(_cells(spark, sf).withColumnRenamed("load", "vehicle_count"), 4)
 
 
+def _resources(spark, sf):
+    """A resource of each task, spread over all nodes."""
+    nodes = X.nodes(spark, sf)
+    ranked = nodes.select("node_id", (F.row_number().over(W.orderBy("node_id")) - 1).cast("long").alias("turn"))
+    held = X.tasks(spark, sf).join(F.broadcast(nodes.agg(F.count("*").alias("n")))).withColumn("turn", F.col("task_id") % F.col("n"))
+    return held.join(F.broadcast(ranked), "turn").select(F.concat_ws("-", "task_type", F.col("task_id").cast("string")).alias("resource_id"), "node_id")
+
+
 def resource_failover(spark, sf):
-    resources = X.tasks(spark, sf).select(F.concat_ws("-", "task_type", F.col("task_id").cast("string")).alias("resource_id"), (1 + F.col("task_id") % 20).alias("node_id"))
-    return P.failover(resources, X.nodes(spark, sf).where("node_id <= 20"), F.col("node_id") % 4 == 1)
+    return P.failover(_resources(spark, sf), X.nodes(spark, sf), F.col("node_id") % 4 == 1)
 
 
 def _requests(spark, sf):

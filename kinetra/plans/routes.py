@@ -45,6 +45,12 @@ def transfers(spark, sf):
     return Q.transfers(e.where("seq % 3 = 0").select(F.col("seq").alias("request_id"), "user_id"), e.where("seq % 6 = 0").select(F.col("seq").alias("request_id"), F.col("props").alias("state")))
 
 
+def all_transfers(spark, sf):
+    """A request of every event, answered unless it is an error; transfers has every third event."""
+    e = X.events(spark, sf).withColumn("request_id", F.col("seq"))
+    return Q.transfers(e.select("request_id", "user_id"), e.where("event_type <> 'error'").select("request_id", F.col("props").alias("state")))
+
+
 def recoveries(spark, sf):
     return Q.recoveries(X.events(spark, sf).select((F.col("user_id") % 30).alias("recovery_id"), F.col("event_type").alias("status"), "ts", "seq"))
 
@@ -76,6 +82,7 @@ QUERIES = {
     "process_shard": (process_shard, None),
     "detection_task": (detection_task, P.LOOKAHEAD.replace("0.1e0)\n", "0.05e0)\n").rsplit("\nselect", 1)[0] + "\nselect vehicle_id2, round(risk_level, 6) + 0e0 as risk_level from h where vehicle_id1 = 7"),
     "transfers": (transfers, f"{EVENTS} select a.seq as request_id, a.user_id, b.props as state from ev a left join (select * from ev where seq % 6 = 0) b on a.seq = b.seq where a.seq % 3 = 0"),
+    "all_transfers": (all_transfers, f"{EVENTS} select seq as request_id, user_id, case when event_type <> 'error' then props end as state from ev"),
     "recoveries": (recoveries, f"{EVENTS} select user_id % 30 as recovery_id, event_type as status, ts, seq from ev qualify row_number() over (partition by user_id % 30 order by ts desc, seq desc) = 1"),
     "road_hops": (road_hops, "select c_custkey as id, 'h' || (c_custkey % 5) as road, 'v' || k as next from customer, range(0, 7) as g(k)"),
     "fleet_stats": (fleet_stats, f"with {B.fleet_sql()} select type, count(*) as vehicles, count(*) filter (x < 1000 and y < 1000) as in_city from fleet group by type"),

@@ -28,3 +28,23 @@ def test_order_of_every_alert(spark):
     raised = QUERIES["alerts"](spark, SF).select("vehicle_id", "other_vehicle_id", "priority", "ts").collect()
     assert len(raised) > 50 and [tuple(r)[:4] for r in got] == sorted(map(tuple, raised), key=lambda r: (-r[2], r[3], r[0], r[1]))
     assert [r["place"] for r in got] == [*range(1, len(got) + 1)]
+
+
+def test_failover_over_every_node(spark):
+    got = QUERIES["resource_failover"](spark, SF).collect()
+    nodes = {r["node_id"]: r["status"] for r in X.nodes(spark, SF).collect()}
+    ranked, tasks = sorted(nodes), [r["task_id"] for r in X.tasks(spark, SF).select("task_id").collect()]
+    held = {t: ranked[t % len(ranked)] for t in tasks}
+    failed = {n for n in nodes if n % 4 == 1}
+    up = {n for n in nodes if nodes[n] == "active"} - failed
+    assert max(failed) > 20 and max(up) > 20
+    assert {int(r["resource_id"].split("-")[1]): r["was"] for r in got} == {t: n for t, n in held.items() if n in failed}
+    assert {r["node_id"] for r in got} == up and len(got) == sum(n in failed for n in held.values())
+
+
+def test_transfers_of_every_event(spark):
+    got = {r["request_id"]: r for r in QUERIES["all_transfers"](spark, SF).collect()}
+    events = X.events(spark, SF).collect()
+    assert len(got) == len(events) and any(r["event_type"] == "error" for r in events)
+    for r in events:
+        assert got[r["seq"]]["user_id"] == r["user_id"] and got[r["seq"]]["state"] == (None if r["event_type"] == "error" else r["props"])
