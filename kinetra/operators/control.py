@@ -1,59 +1,82 @@
 """Ordered folds per key: rate limits, circuit breakers, admission, adaptive rates, failure detection.
 
-A fold is an aggregate over the key's requests in order, in expressions. A key
-whose log does not fit one task belongs to the streaming versions, which keep
-the state alone.
+A fold reads a key's requests in order and keeps the state alone. The requests of
+one key are one sequence, so they pass through one task, which holds a batch of
+them at a time; the sort before it spills.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from kinetra import constants as K
 
 
-def fold(log: DataFrame, key: list[str], row: list[str], start: Column, step, finish=None) -> DataFrame:
-    """Fold each key's rows, in order of (ts, seq), into an array of results. step(state, row) returns the next state, a struct with the array `out`."""
-    ordered = F.array_sort(F.collect_list(F.struct("ts", "seq", *row)))
-    return log.groupBy(*key).agg(ordered.alias("log")).select(*key, F.explode(F.aggregate("log", start, step, lambda s: s["out"])).alias("r")).select(*key, "r.*")
+def fold(log: DataFrame, key: list[str], row: list[str], start, step, out: str) -> DataFrame:
+    """Fold each key's rows, in order of (ts, seq). step(state, ts, seq, *row) returns the next state and the tuple of the row's results, of the columns `out`."""
+    schema = StructType([log.schema[k] for k in key] + StructType.fromDDL(out).fields)
+    arrow = to_arrow_schema(schema)
 
+    def run(batches):
+        last, state = None, start
+        for batch in batches:
+            rows = []
+            for values in zip(*(c.to_pylist() for c in batch.columns)):
+                if values[: len(key)] != last:
+                    last, state = values[: len(key)], start
+                state, result = step(state, *values[len(key) :])
+                rows.append(last + result)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * len(arrow), arrow)], schema=arrow)
 
-def _append(state: Column, *fields: Column) -> Column:
-    return F.concat(state["out"], F.array(F.struct(*fields)))
+    names = [*key, "ts", "seq", *row]
+    return log.select(*names).repartition(*key).sortWithinPartitions(*names).mapInArrow(run, schema)
+
+
+def _since(now, then):
+    return 0 if now is None or then is None else now - then
 
 
 def token_bucket(requests: DataFrame, rate: float, capacity: float, key: str = "client", cost: float = 1.0) -> DataFrame:
     """Whether each request (ts, seq) finds cost tokens; the bucket begins full."""
-    start = F.struct(F.lit(float(capacity)).alias("tokens"), F.lit(None).cast("double").alias("at"), F.array().cast("array<struct<seq:bigint,allowed:boolean>>").alias("out"))
 
-    def step(s: Column, x: Column) -> Column:
-        refilled = F.least(F.lit(float(capacity)), s["tokens"] + F.coalesce(x["ts"] - s["at"], F.lit(0.0)) * rate)
+    def step(s, ts, seq):
+        tokens, at = s
+        refilled = min(float(capacity), tokens + _since(ts, at) * rate)
         ok = refilled >= cost
-        return F.struct((refilled - F.when(ok, cost).otherwise(0.0)).alias("tokens"), x["ts"].alias("at"), _append(s, x["seq"].alias("seq"), ok.alias("allowed")).alias("out"))
+        return (refilled - (cost if ok else 0.0), ts), (seq, ok)
 
-    return fold(requests, [key], [], start, step)
+    return fold(requests, [key], [], (float(capacity), None), step, "seq long, allowed boolean")
 
 
 def circuit_breaker(calls: DataFrame, failures: int = K.BREAKER["failures"], recovery: float = K.BREAKER["recovery"], trial_calls: int = K.BREAKER["trial_calls"], key: str = "endpoint") -> DataFrame:
     """Whether each call (ts, seq, success) is let through, and the state after it. Rejected calls have no outcome."""
-    start = F.struct(F.lit("closed").alias("state"), F.lit(0).alias("failed"), F.lit(0.0).alias("since"), F.lit(0).alias("trials"), F.array().cast("array<struct<seq:bigint,allowed:boolean,state:string>>").alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        wakes = (s["state"] == "open") & (x["ts"] - s["since"] > recovery)
-        probing = (s["state"] == "half-open") & (s["trials"] < trial_calls)
-        ok = (s["state"] == "closed") | wakes | probing
-        state = F.when(wakes, "half-open").otherwise(s["state"])
-        trials = F.when(wakes, 0).when(probing, s["trials"] + 1).otherwise(s["trials"])
-        won, lost = ok & x["success"], ok & ~x["success"]
-        count = F.when(won, 0).when(lost & (state == "closed"), s["failed"] + 1).otherwise(s["failed"])
-        opens = lost & ((state == "half-open") | ((state == "closed") & (count >= failures)))
-        after = F.when(won & (state == "half-open"), "closed").when(opens, "open").otherwise(state)
-        trials = F.when(won & (state == "half-open"), 0).otherwise(trials)
-        return F.struct(after.alias("state"), count.alias("failed"), F.when(lost, x["ts"]).otherwise(s["since"]).alias("since"), trials.alias("trials"), _append(s, x["seq"].alias("seq"), ok.alias("allowed"), after.alias("state")).alias("out"))
 
-    return fold(calls, [key], ["success"], start, step)
+    def step(s, ts, seq, success):
+        state, failed, since, trials = s
+        wakes = state == "open" and None not in (ts, since) and ts - since > recovery
+        probing = state == "half-open" and trials < trial_calls
+        ok = state == "closed" or wakes or probing
+        if wakes:
+            state, trials = "half-open", 0
+        elif probing:
+            trials += 1
+        if ok and success:
+            failed = 0
+            if state == "half-open":
+                state, trials = "closed", 0
+        elif ok and success is False:
+            failed += state == "closed"
+            if state == "half-open" or failed >= failures:
+                state = "open"
+            since = ts
+        return (state, failed, since, trials), (seq, ok, state)
+
+    return fold(calls, [key], ["success"], ("closed", 0, 0.0, 0), step, "seq long, allowed boolean, state string")
 
 
 def _bucket(requests: DataFrame, rate: float, capacity: float, key: str, into: str) -> DataFrame:
@@ -97,13 +120,15 @@ def policy(requests: DataFrame, rules: list[dict]) -> DataFrame:
 
 def adaptive_rate(samples: DataFrame, start_rate: float, key: str = "endpoint") -> DataFrame:
     """Rate after each sample (ts, seq, cpu): times 0.8 above 0.8 (10 at least), times 1.1 below 0.5 (10000 at most)."""
-    start = F.struct(F.lit(float(start_rate)).alias("rate"), F.array().cast("array<struct<seq:bigint,rate:double>>").alias("out"))
 
-    def step(s: Column, x: Column) -> Column:
-        rate = F.when(x["cpu"] > 0.8, F.greatest(F.lit(10.0), s["rate"] * 0.8)).when(x["cpu"] < 0.5, F.least(F.lit(10000.0), s["rate"] * 1.1)).otherwise(s["rate"])
-        return F.struct(rate.alias("rate"), _append(s, x["seq"].alias("seq"), rate.alias("rate")).alias("out"))
+    def step(rate, ts, seq, cpu):
+        if cpu is not None and cpu > 0.8:
+            rate = max(10.0, rate * 0.8)
+        elif cpu is not None and cpu < 0.5:
+            rate = min(10000.0, rate * 1.1)
+        return rate, (seq, rate)
 
-    return fold(samples, [key], ["cpu"], start, step)
+    return fold(samples, [key], ["cpu"], float(start_rate), step, "seq long, rate double")
 
 
 def heartbeat_failures(beats: DataFrame, interval: float = K.HEARTBEAT_INTERVAL, misses: int = K.HEARTBEAT_MISSES) -> DataFrame:
@@ -115,11 +140,11 @@ def heartbeat_failures(beats: DataFrame, interval: float = K.HEARTBEAT_INTERVAL,
 
 def queue_verdicts(messages: DataFrame, capacity: int, drained: int) -> DataFrame:
     """Whether each message (topic, ts, seq, tick) finds room in its topic's bounded queue, of which `drained` messages leave at each tick."""
-    start = F.struct(F.lit(0).cast("long").alias("held"), F.lit(None).cast("long").alias("tick"), F.array().cast("array<struct<seq:bigint,accepted:boolean>>").alias("out"))
 
-    def step(s: Column, x: Column) -> Column:
-        left = F.greatest(F.lit(0).cast("long"), s["held"] - drained * F.coalesce(x["tick"] - s["tick"], F.lit(0)))
+    def step(s, ts, seq, tick):
+        held, before = s
+        left = max(0, held - drained * _since(tick, before))
         ok = left < capacity
-        return F.struct((left + F.when(ok, 1).otherwise(0)).alias("held"), x["tick"].alias("tick"), _append(s, x["seq"].alias("seq"), ok.alias("accepted")).alias("out"))
+        return (left + ok, tick), (seq, ok)
 
-    return fold(messages, ["topic"], ["tick"], start, step)
+    return fold(messages, ["topic"], ["tick"], (0, None), step, "seq long, accepted boolean")

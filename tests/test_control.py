@@ -99,3 +99,24 @@ def test_backups_and_metrics_files(spark, tmp_path):
     (tmp_path / "x_metrics.csv").write_text("timestamp,throughput,avg_latency,p95_latency,p99_latency,max_latency,error_rate,cpu_usage,memory_usage\n1,2,3,4,5,6,0,8,9\n")
     r = files.read_metrics(spark, str(tmp_path)).first()
     assert (r["run"], r["throughput"]) == ("x", 2.0)
+
+
+def test_folds_keep_no_array_of_a_key(spark, capsys):
+    """One hot key in many batches, against a plain loop."""
+    n, rate, capacity = 30000, 0.4, 7.0
+    df = spark.range(n).select(F.col("id").alias("seq"), F.floor(F.col("id") * 1.3).cast("double").alias("ts"), F.lit(1).alias("client"), F.lit("e").alias("endpoint"), (F.col("id") % 3 > 0).alias("success"), (F.col("id") % 10 / 10).alias("cpu"), (F.col("id") % 10).alias("current_priority"))
+    policy, chain = C.policy(df, [{"rate": rate, "capacity": capacity}]), C.admission(df, (rate, capacity), (9.0, 9.0), (9.0, 9.0), {"failures": n, "recovery": 1.0})
+    for out in (policy, chain, C.token_bucket(df, rate, capacity), C.circuit_breaker(df), C.adaptive_rate(df, 100.0), C.queue_verdicts(df.select(F.lit("t").alias("topic"), "ts", "seq", F.floor("ts").alias("tick")), 5, 2)):
+        out.explain()
+        assert "collect_list" not in capsys.readouterr().out
+    tokens, at, refused = capacity, None, set()
+    for i in range(n):
+        ts = float(i * 13 // 10)
+        tokens, at = min(capacity, tokens + (ts - (ts if at is None else at)) * rate), ts
+        if tokens >= 1:
+            tokens -= 1
+        else:
+            refused.add(i)
+    assert 0 < len(refused) < n
+    assert {r["seq"] for r in policy.where("refused = 0").collect()} == refused
+    assert {r["seq"] for r in chain.where("refused = 'global'").collect()} == refused and chain.count() == n
