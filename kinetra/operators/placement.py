@@ -160,15 +160,50 @@ def rebalance_nodes(shards: DataFrame, over: float = K.OVER_FACTOR, under: float
     return _fold(shards, fold, "shard_id long, was long, node_id long")
 
 
-def split_largest(regions: DataFrame, n_shards: int, high: float = 0.7, low: float = 0.3) -> DataFrame:
-    """Plan of a rebalance by load: split the largest region of each overloaded shard, merge the two smallest of each underloaded one. Load is a shard's vehicles against those of the fullest."""
-    shard = regions.groupBy("shard_id").agg(F.sum("vehicle_count").alias("vehicles"))
-    most = shard.agg(F.max("vehicles").alias("most"))
-    judged = shard.join(F.broadcast(most)).withColumn("load", F.try_divide(F.col("vehicles"), F.col("most")))
-    w = W.partitionBy("shard_id")
-    rows = regions.join(judged.select("shard_id", "load"), "shard_id").withColumns({"big": F.row_number().over(w.orderBy(F.desc("vehicle_count"), "cell")), "small": F.row_number().over(w.orderBy("vehicle_count", "cell"))})
-    action = F.when((F.col("load") > high) & (F.col("big") == 1), "split").when((F.col("load") < low) & (F.col("small") <= 2), "merge")
-    return rows.select("cell", "shard_id", action.alias("action")).where("action is not null")
+def region_plan(regions: DataFrame, n_shards: int, high: float = 0.7, low: float = 0.3, max_level: int = K.GRID_MAX_LEVEL) -> DataFrame:
+    """Plan of a rebalance of regions of one cell each (cell, level, cx, cy, cz, vehicle_count, shard_id) by load, a shard's vehicles against those of the fullest.
+
+    The largest region of each shard above `high` is split into eight: the
+    first part stays, the others go to shards below `low`, one each, then to
+    new shards, numbered from n_shards. Then the shards below `low` that are
+    left are paired: the first two regions of a pair that touch are merged and
+    go to the first of the two; pairing ends with a pair without such regions.
+    A row for each part and each merged cell, with its place, the region that
+    it is in then, and its shard before and after. Shards without regions have
+    no load.
+    """
+
+    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+        rows, held = rows.sort_values(["vehicle_count", "cell"], ascending=[False, True]), {k: [] for k in range(n_shards)}
+        for r in rows.itertuples(index=False):
+            held.setdefault(int(r.shard_id), []).append(r)
+        load = {k: sum(int(r.vehicle_count) for r in rs) for k, rs in sorted(held.items())}
+        most, new, out = max(load.values()), max(load) + 1, []
+        idle = [k for k in load if most and load[k] < low * most]
+        for shard in [k for k in load if load[k] > high * most]:
+            r = held[shard][0]
+            if r.level >= max_level:
+                continue
+            for i in range(8):
+                if i == 0:
+                    target = shard
+                elif idle:
+                    target = idle.pop(0)
+                else:
+                    target, new = new, new + 1
+                out.append(("split", r.cell, f"{r.cell}/{i}", r.level + 1, 2 * r.cx + i // 4, 2 * r.cy + i // 2 % 2, 2 * r.cz + i % 2, shard, target))
+        while len(idle) >= 2:
+            first, second = idle.pop(0), idle.pop(0)
+            beside = {(r.level, r.cx, r.cy, r.cz): r for r in held[second]}
+            steps = [tuple(s * (k == d) for k in range(3)) for d in range(3) for s in (-1, 1)]
+            pairs = ((r.cell, o.cell, r, o) for r in held[first] for x, y, z in steps if (o := beside.get((r.level, r.cx + x, r.cy + y, r.cz + z))))
+            pair = min(pairs, key=lambda p: p[:2], default=None)
+            if pair is None:
+                break
+            out += [("merge", r.cell, f"{pair[0]}+{pair[1]}", r.level, r.cx, r.cy, r.cz, was, first) for r, was in zip(pair[2:], (first, second))]
+        return pd.DataFrame(out, columns=["action", "cell", "region", "level", "cx", "cy", "cz", "was", "shard_id"])
+
+    return _fold(regions, fold, "action string, cell long, region string, level int, cx long, cy long, cz long, was int, shard_id int")
 
 
 def failover(resources: DataFrame, nodes: DataFrame, failed: Column) -> DataFrame:

@@ -105,7 +105,9 @@ def node_rebalance(spark, sf):
 
 
 def region_plan(spark, sf):
-    return P.split_largest(_cells(spark, sf).withColumnRenamed("load", "vehicle_count"), 4)
+    """The cells lie in rows of five."""
+    placed = {"level": F.lit(2), "cx": F.col("cell") % 5, "cy": F.floor(F.col("cell") / 5), "cz": F.lit(0).cast("long")}
+    return P.region_plan(_cells(spark, sf).withColumnRenamed("load", "vehicle_count").withColumns(placed), 4)
 
 
 def _resources(spark, sf):

@@ -120,3 +120,20 @@ def test_folds_keep_no_array_of_a_key(spark, capsys):
     assert 0 < len(refused) < n
     assert {r["seq"] for r in policy.where("refused = 0").collect()} == refused
     assert {r["seq"] for r in chain.where("refused = 'global'").collect()} == refused and chain.count() == n
+
+
+def test_region_plan(spark):
+    """Parts of a split go to idle shards, then to new ones; only cells of two idle shards that touch are merged."""
+    names = "cell long, level int, cx long, cy long, cz long, vehicle_count long, shard_id int"
+    plan = lambda rows, n: P.region_plan(spark.createDataFrame(rows, names), n).collect()
+    full = [(1, 2, 3, 1, 0, 90, 0), (2, 2, 3, 2, 0, 10, 0)]
+    idle = [(k, 2, 9, k, 0, 1, k) for k in range(1, 8)]
+    got = plan(full + [(10 + c, *r) for c, *r in idle], 8)
+    assert {(r["action"], r["cell"], r["level"]) for r in got} == {("split", 1, 3)} and [r["shard_id"] for r in got] == [*range(8)]
+    assert {(r["cx"], r["cy"], r["cz"]) for r in got} == {(6 + x, 2 + y, z) for x in (0, 1) for y in (0, 1) for z in (0, 1)}
+    # two idle shards without regions, then new ones
+    assert [r["shard_id"] for r in plan(full, 3)] == [0, 1, 2, 3, 4, 5, 6, 7]
+    # a full shard that is at the last level is not split, and the idle ones are paired
+    full = [(1, 3, 3, 1, 0, 90, 0)]
+    cells = [(20, 2, 0, 0, 0, 2, 1), (21, 2, 5, 5, 0, 3, 1), (22, 2, 5, 6, 0, 2, 2), (23, 2, 8, 8, 0, 1, 2), (24, 2, 1, 1, 0, 1, 3), (25, 2, 2, 2, 0, 1, 4)]
+    assert [(r["action"], r["cell"], r["region"], r["was"], r["shard_id"]) for r in plan(full + cells, 5)] == [("merge", 21, "21+22", 1, 1), ("merge", 22, "21+22", 2, 1)]
