@@ -18,6 +18,11 @@ def cell(value: Column, size: Column | float) -> Column:
     return (value / size).cast("int")
 
 
+def cell_sql(value: str, size: float) -> str:
+    """cell() as a SQL term."""
+    return f"cast(({value}) / {float(size)!r}D as int)"
+
+
 def cells(level: Column | int = 0) -> list[Column]:
     return [cell(F.col(c), cell_size(level, i)).alias(f"c{c}") for i, c in enumerate("xyz")]
 

@@ -8,17 +8,17 @@ from pyspark.sql import functions as F
 
 from kinetra import constants as K
 from kinetra.functions import kinematics as KN
-from kinetra.operators.spatial import mirrored, radius_pairs
+from kinetra.operators.spatial import both_ways, radius_pairs
 
 
 def nearby(fleet: DataFrame, radius: float = K.SEARCH_RADIUS, cell_size: float | None = None, symmetric: bool = False) -> DataFrame:
     """Pairs within a radius, boundary included."""
-    return radius_pairs(fleet, fleet, F.lit(float(radius)), cell_size or radius, symmetric=symmetric)
+    return radius_pairs(fleet, fleet, f"{float(radius)!r}D", cell_size or radius, symmetric=symmetric)
 
 
-def nearby_sized(fleet: DataFrame, radius: float, largest: float = 5.0, cell_size: float = 100.0) -> DataFrame:
-    """Others whose distance is at most radius plus their own size; largest bounds sizes."""
-    return radius_pairs(fleet, fleet, F.lit(float(radius + largest)), cell_size, F.col("dist") <= radius + F.col("o_size"))
+def nearby_sized(fleet: DataFrame, radius: float, cell_size: float = 100.0) -> DataFrame:
+    """Others whose distance is at most radius plus their own size."""
+    return radius_pairs(fleet, fleet, f"{float(radius)!r}D", cell_size, other_reach="o_size")
 
 
 def closing(pairs: DataFrame) -> DataFrame:
@@ -27,6 +27,15 @@ def closing(pairs: DataFrame) -> DataFrame:
     return pairs.withColumns({"speed": KN.norm(*w), "approach": KN.dot(r, w)})
 
 
+def staged(pairs: DataFrame, name: str, value: Column, keep: Column) -> DataFrame:
+    """Column `name` for the pairs that meet `keep`; the others go.
+
+    As the output of a generator it is evaluated once: later filters are not
+    pushed below it, and its expression is not copied into them.
+    """
+    return pairs.withColumn(name, F.explode(F.when(keep, F.array(value))))
+
+
 def temporal_filter(pairs: DataFrame, window: float = K.TIME_WINDOW, approach: str = "corrected") -> DataFrame:
     """Pairs that come within their safe distance at their closest approach in the window.
 
@@ -40,16 +49,37 @@ def temporal_filter(pairs: DataFrame, window: float = K.TIME_WINDOW, approach: s
     keep = F.col("speed") >= K.MIN_RELATIVE_SPEED
     if approach == "literal":
         keep &= ~((F.col("approach") > 0) & (F.col("dist") > 5))
-    pairs = pairs.withColumn("t_closest", t).where(keep & (F.col("t_closest") >= 0) & (F.col("t_closest") <= window))
+    pairs = staged(pairs, "t_closest", t, keep).where((F.col("t_closest") >= 0) & (F.col("t_closest") <= window))
     return pairs.withColumn("d_closest", KN.distance_at(F.col("t_closest"))).where(F.col("d_closest") <= KN.safe_distance())
 
 
+#: Steps of the probe whose distances are bounded together before each is tried.
+STRIDE = 10
+
+
+def hits(step: float, n: int) -> Column:
+    """The steps 0 to n - 1 of a pair at which it is within its safe distance, as {k, d}.
+
+    The distance of a pair cannot change faster than its speed at the start
+    plus its change over the whole window, so that a stride of steps whose
+    middle is further off than that allows has no hit and is not tried.
+    """
+    safe = KN.safe_distance()
+    change = KN.norm(*(F.col(f"s_a{c}") - F.col(f"o_a{c}") for c in KN.AXES))
+    half = (STRIDE - 1) / 2 * step
+    slack = (F.col("speed") + change * (n * step)) * half + 1e-6
+
+    def tried(first: Column) -> Column:
+        return F.transform(F.sequence(first, F.least(first + (STRIDE - 1), F.lit(n - 1))), lambda k: F.struct(k.alias("k"), KN.distance_at(k * F.lit(step)).alias("d")))
+
+    strides = F.filter(F.sequence(F.lit(0), F.lit(n - 1), F.lit(STRIDE)), lambda i: KN.distance_at((i + (STRIDE - 1) / 2) * F.lit(step)) <= safe + slack)
+    return F.filter(F.flatten(F.transform(strides, tried)), lambda x: x["d"] <= safe)
+
+
 def probe(pairs: DataFrame, window: float = K.TIME_WINDOW, step: float = K.PROBE_STEP) -> DataFrame:
-    """First time on the grid 0, step, … at which a pair is within its safe distance; pairs without one are dropped."""
-    n = int(window / step)
-    hits = F.filter(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.struct(i.alias("k"), KN.distance_at(i * F.lit(step)).alias("d"))), lambda x: x["d"] <= KN.safe_distance())
-    first = F.get(hits, 0)
-    pairs = pairs.withColumn("hit", first).where("hit is not null")
+    """First time on the grid 0, step, … at which a pair (with its speed) is within its safe distance; pairs without one are dropped."""
+    # a generator's rows: later filters stay above it, and the probe is run once
+    pairs = pairs.withColumn("hit", F.explode(F.slice(hits(step, int(window / step)), 1, 1)))
     return pairs.withColumns({"ttc": F.col("hit.k") * F.lit(step), "hit_distance": F.col("hit.d"), "hit_k": F.col("hit.k")}).drop("hit")
 
 
@@ -57,22 +87,26 @@ def midpoint(t: Column) -> list[Column]:
     return [(p + q) / 2 for p, q in zip(KN.position_at(t, "s_"), KN.position_at(t, "o_"))]
 
 
-def score(pairs: DataFrame, offset: Column | None = None) -> DataFrame:
-    """Risk rows of probed pairs; offset shifts the time of predicted ones."""
+def score(pairs: DataFrame, offset: Column | None = None, both: bool = False) -> DataFrame:
+    """Risk rows of probed pairs; offset shifts the time of predicted ones; both reports a pair from either side."""
     ttc = F.col("ttc")
     x, y, z = midpoint(ttc)
     total = ttc if offset is None else ttc + offset
-    return pairs.select(
+    level = KN.risk_level(F.col("hit_distance"), ttc, F.col("speed"))
+    out = pairs.select("s_id", "o_id", "s_ts", "o_ts", total.alias("time_to_collision"), F.col("hit_distance").alias("distance"), F.col("speed").alias("relative_speed"), level.alias("risk_level"), x.alias("cx"), y.alias("cy"), z.alias("cz"))
+    if both:
+        out = both_ways(out, id="id", ts="ts")
+    return out.select(
         F.sha2(F.concat_ws("|", F.col("s_id").cast("string"), F.col("o_id").cast("string"), F.col("s_ts").cast("string")), 256).alias("risk_id"),
-        F.col("s_id").alias("vehicle_id"), F.col("o_id").alias("other_vehicle_id"), total.alias("time_to_collision"), F.col("hit_distance").alias("distance"),
-        F.col("speed").alias("relative_speed"), KN.risk_level(F.col("hit_distance"), ttc, F.col("speed")).alias("risk_level"),
-        x.alias("cx"), y.alias("cy"), z.alias("cz"), F.col("s_ts").alias("ts"), F.lit(offset is not None).alias("is_predicted"),
+        F.col("s_id").alias("vehicle_id"), F.col("o_id").alias("other_vehicle_id"), "time_to_collision", "distance", "relative_speed", "risk_level",
+        "cx", "cy", "cz", F.col("s_ts").alias("ts"), F.lit(offset is not None).alias("is_predicted"),
     )
 
 
 def detect(fleet: DataFrame, radius: float = K.SEARCH_RADIUS, window: float = K.TIME_WINDOW, approach: str = "corrected") -> DataFrame:
-    """Risks of every ordered pair of the fleet: near, approaching, probed, scored."""
-    return score(probe(temporal_filter(nearby(fleet, radius), window, approach), window))
+    """Risks of every ordered pair of the fleet: near, approaching, probed, scored. All terms are symmetric: each pair is evaluated once and reported from both sides."""
+    found = probe(temporal_filter(nearby(fleet, radius, symmetric=True), window, approach), window)
+    return score(found, both=True)
 
 
 def lookahead(fleet: DataFrame, seconds: float = K.LOOKAHEAD, threshold: float = K.LOOKAHEAD_RISK) -> DataFrame:
@@ -90,20 +124,25 @@ def lookahead(fleet: DataFrame, seconds: float = K.LOOKAHEAD, threshold: float =
     )
 
 
-def contacts(fleet: DataFrame, largest: float = 5.0) -> DataFrame:
-    """Ordered pairs closer than the sum of their sizes, strictly. Evaluated once a pair, then mirrored."""
-    # the sum of two sizes is at most twice the larger: cells of that width keep the replicas few
-    pairs = radius_pairs(fleet, fleet, F.lit(2.0 * largest), 4.0 * largest, F.col("dist") < F.col("s_size") + F.col("o_size"), symmetric=True)
-    return mirrored(pairs.select("s_id", "o_id", "dist")).select(F.col("s_id").alias("vehicle_id"), F.col("o_id").alias("other_vehicle_id"), F.col("dist").alias("distance"))
+def contacts(fleet: DataFrame, cell_size: float = 20.0) -> DataFrame:
+    """Ordered pairs closer than the sum of their sizes, strictly. Evaluated once a pair, then reported from both sides."""
+    pairs = radius_pairs(fleet, fleet, "s_size", cell_size, "dist < s_size + o_size", symmetric=True, other_reach="o_size")
+    return both_ways(pairs.select("s_id", "o_id", "dist"), id="id").select(F.col("s_id").alias("vehicle_id"), F.col("o_id").alias("other_vehicle_id"), F.col("dist").alias("distance"))
+
+
+def encounters(fleet: DataFrame, closing_speed: float = K.CLOSING_SPEED, horizon: float = K.CONTACT_HORIZON, cell_size: float = 50.0) -> DataFrame:
+    """Contacts and times to contact of the whole fleet in one search: time_to_contact is null for pairs in contact."""
+    gap, touching = "(dist - s_size - o_size)", "dist < s_size + o_size"
+    near = f"{touching} or (dist <= 10 * s_size + o_size and {gap} >= 0 and {gap} / {closing_speed!r}D <= {horizon!r}D)"
+    slim = fleet.select("id", *"xyz", "size")
+    pairs = radius_pairs(slim, slim, "10 * s_size", cell_size, near, other_reach="o_size")
+    return pairs.selectExpr("s_id as vehicle_id", "o_id as other_vehicle_id", "dist as distance", f"case when not ({touching}) then {gap} / {closing_speed!r}D end as time_to_contact")
 
 
-def time_to_contact(fleet: DataFrame, closing_speed: float = K.CLOSING_SPEED, horizon: float = K.CONTACT_HORIZON, largest: float = 5.0) -> DataFrame:
+def time_to_contact(fleet: DataFrame, closing_speed: float = K.CLOSING_SPEED, horizon: float = K.CONTACT_HORIZON, cell_size: float = 50.0) -> DataFrame:
     """Pairs not in contact whose gap closes at a given speed within the horizon."""
-    reach = 10 * F.col("s_size") + largest
-    gap = F.col("dist") - F.col("s_size") - F.col("o_size")
-    near = (F.col("dist") <= 10 * F.col("s_size") + F.col("o_size")) & (gap >= 0) & (gap / closing_speed <= horizon)
-    pairs = radius_pairs(fleet, fleet, reach, 10.0 * largest, near)
-    return pairs.select(F.col("s_id").alias("vehicle_id"), F.col("o_id").alias("other_vehicle_id"), (gap / closing_speed).alias("time_to_contact"))
+    found = encounters(fleet, closing_speed, horizon, cell_size).where("time_to_contact is not null")
+    return found.select("vehicle_id", "other_vehicle_id", "time_to_contact")
 
 
 def merge(risks: DataFrame, scope: str = "subject") -> DataFrame:

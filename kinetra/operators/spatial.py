@@ -1,52 +1,58 @@
 """Radius joins: an equi-join on grid cells with the exact distance as a residual.
 
-The grid only accelerates; results don't depend on the cell size. One side is
-replicated into the cells that its reach touches, so every pair meets in one
-cell once and needs no removal of duplicates. Dense cells are left to AQE's
-skew join, which both sides' plain shuffle allows.
+The grid only accelerates; results don't depend on the cell size. Both sides
+are replicated into the cells that their own reach touches, and a pair counts
+only in the lowest cell that both touch, so that it meets once and needs no
+removal of duplicates. No bound on a reach has to be known in advance. The
+exchanges are planned by Spark alone: AQE broadcasts a side below its checked
+threshold, merges small partitions and splits those of dense cells.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinetra.functions import kinematics as KN
-from kinetra.functions.grid import cell
+from kinetra.functions.grid import cell_sql
 
 
 def prefixed(df: DataFrame, prefix: str) -> DataFrame:
-    return df.select(*(F.col(c).alias(f"{prefix}{c}") for c in df.columns))
+    return df.toDF(*(f"{prefix}{c}" for c in df.columns))
 
 
-def _spread(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def cells_touched(df: DataFrame, box: dict[str, tuple[str, str]], cell_size: float, side: str) -> DataFrame:
+    """One row for each grid cell that a box {axis: (low, high)} of SQL terms touches, as _cx, _cy, with the box's lowest cell as _{side}lx, _{side}ly."""
+    for axis, (low, high) in box.items():
+        # a little wider than asked, so that rounding loses no pair on the boundary
+        first, last = cell_sql(f"({low}) - abs({low}) * 1e-12 - 1e-9", cell_size), cell_sql(f"({high}) + abs({high}) * 1e-12 + 1e-9", cell_size)
+        df = df.selectExpr("*", f"{first} as _{side}l{axis}").selectExpr("*", f"explode(sequence(_{side}l{axis}, {last})) as _c{axis}")
+    return df
 
 
-def radius_pairs(subjects: DataFrame, others: DataFrame, reach: Column, cell_size: float, within: Column | None = None, symmetric: bool = False) -> DataFrame:
-    """All (s_*, o_*) pairs of different ids with `dist` at most `reach`, a column over s_* (and, through `within`, o_*).
+def box_pairs(s: DataFrame, o: DataFrame, s_box: dict, o_box: dict, cell_size: float, keep: str) -> DataFrame:
+    """Pairs of rows whose boxes share a cell and for which keep holds, each once."""
+    columns = s.columns + o.columns
+    s, o = cells_touched(s, s_box, cell_size, "s"), cells_touched(o, o_box, cell_size, "o")
+    return s.join(o, ["_cx", "_cy"]).where(f"_cx = greatest(_slx, _olx) and _cy = greatest(_sly, _oly) and {keep}").select(*columns)
 
-    reach bounds the search; within, if given, replaces the predicate dist <=
-    reach. symmetric keeps s_id < o_id only.
+
+def radius_pairs(subjects: DataFrame, others: DataFrame, reach: str, cell_size: float, within: str | None = None, symmetric: bool = False, other_reach: str = "0D") -> DataFrame:
+    """All (s_*, o_*) pairs of different ids with `dist` at most reach + other_reach, SQL terms over s_* and over o_*.
+
+    The reaches bound the search; within, if given, is the predicate in place
+    of that distance. symmetric keeps s_id < o_id only.
     """
-    s, o = prefixed(subjects, "s_"), prefixed(others, "o_")
-    n = _spread(subjects)
-    for axis in "xy":
-        low, high = cell(F.col(f"s_{axis}") - reach, cell_size), cell(F.col(f"s_{axis}") + reach, cell_size)
-        s = s.withColumn(f"_c{axis}", F.explode(F.sequence(low, high)))
-        o = o.withColumn(f"_c{axis}", cell(F.col(f"o_{axis}"), cell_size))
-    # an input of one split would leave the join to one task
-    s, o = s.repartition(n, "_cx", "_cy"), o.repartition(n, "_cx", "_cy")
-    keep = (F.col("s_id") < F.col("o_id")) if symmetric else (F.col("s_id") != F.col("o_id"))
-    near = F.col("dist") <= reach if within is None else within
-    dx, dy, dz = (F.col(f"o_{c}") - F.col(f"s_{c}") for c in "xyz")
+    around = lambda side, r: {c: (f"{side}{c} - ({r})", f"{side}{c} + ({r})") for c in "xy"}
+    far, different = f"({reach} + {other_reach})", "s_id < o_id" if symmetric else "s_id <> o_id"
+    square = " + ".join(f"(s_{c} - o_{c}) * (s_{c} - o_{c})" for c in "xyz")
     # squares first: the root is taken for pairs that are close enough already
-    close = dx * dx + dy * dy + dz * dz <= reach * reach * (1 + 1e-12) + 1e-9
-    on = (s["_cx"] == o["_cx"]) & (s["_cy"] == o["_cy"]) & keep & close
-    return s.join(o, on).drop("_cx", "_cy").withColumn("dist", KN.distance("s_", "o_")).where(near)
+    close = f"{square} <= {far} * {far} * (1 + 1e-12D) + 1e-9D"
+    pairs = box_pairs(prefixed(subjects, "s_"), prefixed(others, "o_"), around("s_", reach), around("o_", other_reach), cell_size, f"{different} and {close}")
+    return pairs.selectExpr("*", f"sqrt({square}) as dist").where(within or f"dist <= {far}")
 
 
-def mirrored(pairs: DataFrame) -> DataFrame:
-    """Symmetric pairs in both directions."""
-    swap = lambda c: ("o_" if c.startswith("s_") else "s_") + c[2:] if c[:2] in ("s_", "o_") else c
-    return pairs.unionByName(pairs.select(*(F.col(c).alias(swap(c)) for c in pairs.columns)))
+def both_ways(pairs: DataFrame, **columns: str) -> DataFrame:
+    """Symmetric pairs in both directions: name="id" gives columns s_name and o_name from s_id and o_id, swapped in the second row. The pairs are evaluated once."""
+    side = lambda a, b: F.struct(*(F.col(f"{x}{c}").alias(f"{y}{n}") for n, c in columns.items() for x, y in ((a, "s_"), (b, "o_"))))
+    rest = [c for c in pairs.columns if c not in {f"{x}{c}" for c in columns.values() for x in ("s_", "o_")}]
+    return pairs.withColumn("_way", F.explode(F.array(side("s_", "o_"), side("o_", "s_")))).select("_way.*", *rest)

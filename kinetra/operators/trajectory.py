@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from kinetra import constants as K
 from kinetra.functions import kinematics as KN
 from kinetra.operators import detect as D
-from kinetra.operators.spatial import radius_pairs
+from kinetra.operators.spatial import box_pairs, prefixed
 
 
 def last_n(history: DataFrame, n: int, key: str = "id", order: str = "seq") -> DataFrame:
@@ -43,31 +43,46 @@ def patterns(history: DataFrame) -> DataFrame:
     return out.select("id", "points", speed.alias("avg_speed"), change.alias("avg_acceleration"), F.when(F.col("points") >= 2, kind).otherwise("unknown").alias("pattern"))
 
 
+def _moved(c: str, t: Column, prefix: str = "") -> Column:
+    """A coordinate at a time by the vehicle's pattern; velocity is not advanced."""
+    i, kind = "xyz".index(c), F.col(f"{prefix}pattern")
+    linear, full = KN.position_at(t, prefix, accelerate=False)[i], KN.position_at(t, prefix)[i]
+    return F.when(kind == "stationary", F.col(f"{prefix}{c}")).when(kind == "constant_velocity", linear).otherwise(full)
+
+
 def future_points(fleet: DataFrame, horizon: float = K.PREDICTION_HORIZON, step: float = K.PREDICTION_STEP) -> DataFrame:
     """Positions at 0, step, … below the horizon, by the vehicle's pattern; velocity is not advanced."""
     rows = fleet.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(int(horizon / step) - 1)))).withColumn("offset", F.col("step") * F.lit(step))
-    linear, full = KN.position_at(F.col("offset"), accelerate=False), KN.position_at(F.col("offset"))
-
-    def at(i: int, c: str) -> Column:
-        return F.when(F.col("pattern") == "stationary", F.col(c)).when(F.col("pattern") == "constant_velocity", linear[i]).otherwise(full[i])
-
-    return rows.withColumns({f"n{c}": at(i, c) for i, c in enumerate("xyz")}).drop(*"xyz").withColumnsRenamed({f"n{c}": c for c in "xyz"}).withColumn("ts", F.col("ts") + F.col("offset"))
+    return rows.withColumns({f"n{c}": _moved(c, F.col("offset")) for c in "xyz"}).drop(*"xyz").withColumnsRenamed({f"n{c}": c for c in "xyz"}).withColumn("ts", F.col("ts") + F.col("offset"))
 
 
-def predict(fleet: DataFrame, radius: float = K.SEARCH_RADIUS, window: float = K.PREDICTION_WINDOW, scope: str = "subject") -> DataFrame:
+def predict(fleet: DataFrame, radius: float = K.SEARCH_RADIUS, window: float = K.PREDICTION_WINDOW, scope: str = "subject", subjects: DataFrame | None = None, horizon: float = K.PREDICTION_HORIZON, step: float = K.PREDICTION_STEP) -> DataFrame:
     """Risks along predicted trajectories, the highest of each pair.
 
     Others are sought around each predicted point by their current position
-    and moved to the point's time before the probe. A pair whose distance
-    cannot shrink to the safe one within the window is dropped before the
-    probe.
+    and moved to the point's time before the probe. The join meets a pair
+    once, on the box that a vehicle's points can cover; the steps of a pair
+    are unfolded after it. subjects: the part of the fleet to predict.
     """
-    points = future_points(fleet.where("pattern <> 'unknown'"))
-    now = fleet.withColumns({"step": F.lit(0), "offset": F.lit(0.0)})
-    pairs = radius_pairs(points, now, F.lit(float(radius)), radius)
+    subjects = (fleet if subjects is None else subjects).where("pattern <> 'unknown'")
+    motion = ["id", *"xyz", *(f"{k}{c}" for k in "va" for c in "xyz"), "heading", "size", "type", "ts"]
+    # the motion that a pattern takes part in: none, by velocity, or by velocity and acceleration
+    part = {f"mv{c}": F.when(F.col("pattern") == "stationary", 0.0).otherwise(F.col(f"v{c}")) for c in "xyz"} | {f"ma{c}": F.when(F.col("pattern") == "accelerating", F.col(f"a{c}")).otherwise(0.0) for c in "xyz"}
+    s, o = prefixed(subjects.select(*motion, *(v.alias(k) for k, v in part.items())), "s_"), prefixed(fleet.select(*motion), "o_")
+    last, box = horizon - step, {}
+    for c in "xy":
+        low, high = (f"s_{c} + {f}(s_mv{c} * {last!r}D, 0D) + {f}(s_ma{c} * {0.5 * last * last!r}D, 0D)" for f in ("least", "greatest"))
+        box[c] = f"{low} - {float(radius)!r}D", f"{high} + {float(radius)!r}D"
+    keep = "s_id <> o_id and " + " and ".join(f"o_{c} between {low} and {high}" for c, (low, high) in box.items())
+    pairs = box_pairs(s, o, box, {c: (f"o_{c}", f"o_{c}") for c in "xy"}, radius, keep)
+    # what all steps of a pair share is computed before they are unfolded
+    pairs = pairs.withColumns({"speed": KN.norm(*KN.relative_velocity()), "change": KN.norm(*(F.col(f"s_a{c}") - F.col(f"o_a{c}") for c in "xyz"))})
+    pairs = pairs.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(int(horizon / step) - 1)))).withColumn("s_offset", F.col("step") * F.lit(step))
     t = F.col("s_offset")
-    pairs = pairs.withColumns({f"o_n{c}": p for c, p in zip("xyz", KN.position_at(t, "o_"))}).drop(*(f"o_{c}" for c in "xyz")).withColumnsRenamed({f"o_n{c}": f"o_{c}" for c in "xyz"})
-    pairs = pairs.withColumns({"dist": KN.distance("s_", "o_"), "speed": KN.norm(*KN.relative_velocity())})
-    change = KN.norm(*(F.col(f"s_a{c}") - F.col(f"o_a{c}") for c in "xyz"))
-    reachable = F.col("dist") - (F.col("speed") + change * window) * window <= KN.safe_distance() + 1e-6
-    return D.merge(D.score(D.probe(pairs.where(reachable), window), F.col("s_offset")), scope)
+    there = [F.col(f"s_{c}") + F.col(f"s_mv{c}") * t + F.lit(0.5) * F.col(f"s_ma{c}") * t * t for c in "xyz"]
+    near = KN.norm(*(F.col(f"o_{c}") - p for c, p in zip("xyz", there))) <= radius
+    pairs = D.staged(pairs, "moved", F.struct(*(p.alias(f"s_{c}") for c, p in zip("xyz", there)), *(p.alias(f"o_{c}") for c, p in zip("xyz", KN.position_at(t, "o_")))), near)
+    pairs = pairs.drop(*(f"{p}_{c}" for p in "so" for c in "xyz"), *(f"s_{k}" for k in part)).select("*", "moved.*").drop("moved").withColumn("s_ts", F.col("s_ts") + t)
+    # the cheap bound of a whole window comes before the probe of its steps
+    reachable = KN.distance("s_", "o_") - (F.col("speed") + F.col("change") * window) * window <= KN.safe_distance() + 1e-6
+    return D.merge(D.score(D.probe(pairs.where(reachable), window), t), scope)

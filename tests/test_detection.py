@@ -68,6 +68,57 @@ def test_radius_join_is_an_equi_join(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_vehicles_of_any_size(spark):
+    """No bound on sizes is assumed: giants are found from afar, by brute force over all pairs."""
+    rows = [dict(id=i, x=float(i * 37 % 400), y=float(i * 91 % 300), size=[0.5, 2.0, 12.0, 90.0][i % 4]) for i in range(80)] + [dict(id=900, x=5000.0, size=12.0), dict(id=901, x=5020.0, size=12.0)]
+    fleet = vehicles(spark, *rows)
+    size, at = {r["id"]: r["size"] for r in rows}, {r["id"]: (r["x"], r.get("y", 0.0)) for r in rows}
+    apart = {(a, b): math.dist(at[a], at[b]) for a, b in itertools.permutations(size, 2)}
+    touching = {p for p, d in apart.items() if d < size[p[0]] + size[p[1]]}
+    assert (900, 901) in touching
+    assert sorted((r[0], r[1]) for r in D.contacts(fleet).collect()) == sorted(touching)
+    soon = {p for p, d in apart.items() if d <= 10 * size[p[0]] + size[p[1]] and 0 <= d - size[p[0]] - size[p[1]] <= 62.5}
+    assert sorted((r[0], r[1]) for r in D.time_to_contact(fleet).collect()) == sorted(soon)
+    both = D.encounters(fleet).collect()
+    assert sorted((r[0], r[1]) for r in both if r["time_to_contact"] is None) == sorted(touching) and len(both) == len(touching | soon)
+    assert sorted((r["s_id"], r["o_id"]) for r in D.nearby_sized(fleet, 20.0).collect()) == sorted(p for p, d in apart.items() if d <= 20 + size[p[1]])
+
+
+def optimized(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_dear_stages_stand_above_cheap_ones_once(spark):
+    """A filter on a result of the probe doesn't repeat it, and distances are tested below it."""
+    fleet = generators.uniform_fleet(spark, 50)
+    plan = optimized(D.detect(fleet).where("risk_level >= 0.3 and time_to_collision < 5"))
+    assert plan.count("flatten(") == 1
+    assert plan.index("flatten(") < plan.index("<= 100.0")
+
+
+def test_dense_cells_are_split(spark):
+    """90 % of the vehicles in one cell: AQE splits that cell's partition, as it planned the exchange itself."""
+    low = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20kb", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20kb"}
+    before = {k: spark.conf.get(k, None) for k in low}
+    for k, v in low.items():
+        spark.conf.set(k, v)
+    try:
+        fleet = generators.uniform_fleet(spark, 3000, width=4000.0).repartition(8).withColumns({c: F.when(F.col("x") > 400, F.lit(50.0) + F.col(c) / 100).otherwise(F.col(c)) for c in "yx"})
+        pairs = D.nearby(fleet, 1.0, 100.0)
+        assert pairs.count() > 0
+        pairs.collect()
+        assert "skew=true" in pairs._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_prediction_of_some_is_that_of_all(spark):
+    fleet = generators.city_fleet(spark, 200, 600.0, seed=4, partitions=2).withColumn("pattern", F.lit("constant_velocity"))
+    some = T.predict(fleet, subjects=fleet.where("id < '5'")).collect()
+    assert sorted(map(tuple, some)) == sorted(map(tuple, T.predict(fleet).where("vehicle_id < '5'").collect())) and some
+
+
 def test_empty_fleet(spark):
     none = vehicles(spark)
     for df in (D.detect(none), D.contacts(none), D.time_to_contact(none), D.lookahead(none.withColumn("history", F.lit(2))), T.predict(none.withColumn("pattern", F.lit("accelerating")))):
