@@ -1,19 +1,27 @@
 """Language-model scoring with a weighted backoff automaton.
 
-Training n-grams, smoothed by a Dirichlet prior on the next shorter order,
-are the automaton's states and arcs. From the state of a history h, the arc
-of a seen word w weighs
+Training n-grams up to the order below the last are the automaton's states,
+smoothed by a Dirichlet prior on the next shorter order. From the state of a
+history h, the arc of a word w that was seen after it weighs
 
     (c(hw) + mu * P(w | h')) / (c(h) + mu)
 
-and the failure arc to the shorter history h' weighs mu / (c(h) + mu). At the
-root a word seen in training weighs c(w) / (N + theta), any other
-theta / (N + theta). Counts cover every training text. Scoring is distributed:
-a block of texts fetches the part of the automaton that its own n-grams can
-reach and traverses it from left to right. In a position's step the state is
-the longest history that the automaton holds; steps of a text depend on one
-another only through that state, so all positions of a block advance together,
-order by order along the failure arcs.
+and leads to the longest suffix of hw that is a state; the failure arc leads to
+the shorter history h' and weighs mu / (c(h) + mu). At the root a word seen in
+training weighs c(w) / (N + theta), any other theta / (N + theta), and leads
+back to the root.
+
+Counts cover every training text. A block of texts fetches the counts of its
+own n-grams, which are all that its texts can reach, builds the states, arcs
+and failure arcs of that part of the automaton as tables, and traverses its
+texts from left to right: every step reads one token of each text, follows
+failure arcs until the state has an arc for it, and carries the state and the
+sum of log weights on. Long texts are walked in stretches: order - 1 tokens
+from the root lead to the state in which a stretch begins.
+
+N-grams of three words and more are asked for order by order, and only where
+both shorter n-grams in them occur in another block too: any other n-gram
+occurs in this block alone, whose own count of it is whole.
 """
 
 from __future__ import annotations
@@ -31,14 +39,12 @@ from .words import mix, text_buffer, word_hashes
 
 #: Hash that stands for the end of a text.
 END = 0x5A17E0FDEADBEE15
+ORDER = 3
 NEW_WORDS = 6.0
-#: Bytes of the hash of an n-gram beyond its bucket bits: whole for words, short for longer n-grams.
-WORD_BYTES, NGRAM_BYTES = 8, 6
-
-ASK = "bucket int, block long, n_gram int, keys binary, counts binary"
-ASK_ARROW = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("n_gram", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
-TELL = "block long, bucket int, n_gram int, counts binary, types long"
-TELL_ARROW = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("n_gram", pa.int32()), ("counts", pa.binary()), ("types", pa.int64())])
+#: Bytes of the hash of an n-gram beyond its bucket bits: whole for words, short for longer n-grams (one more for each level of the exchange).
+WORD_BYTES, NGRAM_BYTES = 8, 5
+#: Tokens of a stretch of a text that is walked by itself.
+STRETCH = 512
 
 
 def _tokens(table):
@@ -55,90 +61,151 @@ def _tokens(table):
     return out, starts
 
 
-def _n_grams(tokens, starts, order, buckets):
-    """For each order, the hash of the n-gram that ends at each token (0 where the text has none yet)."""
-    out, place = [tokens], np.arange(len(tokens)) - np.repeat(starts[:-1], np.diff(starts))
-    for n in range(2, order + 1):
-        longer = np.zeros(len(tokens), np.uint64)
-        longer[1:] = mix(out[-1][:-1] * np.uint64(0x9FB21C651E98DF25) + tokens[1:] * np.uint64(0xD6E8FEB86659FD93) + np.uint64(n))
-        longer[place < n - 1] = 0
-        out.append(longer)
-    return [B.kept_bits(k, buckets, WORD_BYTES if n == 0 else NGRAM_BYTES) for n, k in enumerate(out)], place
-
-
-def _ask(order, buckets):
-    def run(table):
-        tokens, starts = _tokens(table)
-        train = np.repeat(table.column("train").to_numpy(zero_copy_only=False), np.diff(starts))
-        grams, place = _n_grams(tokens, starts, order, buckets)
-        block, rows = table.column("block")[0].as_py(), []
-        for n, keys in enumerate(grams):
-            whole = place >= n
-            asked = np.unique(keys[whole])
-            counts = np.zeros(len(asked), np.uint32)
-            seen, times = np.unique(keys[whole & train], return_counts=True)
-            counts[np.searchsorted(asked, seen)] = times
-            at = B.cut(asked, buckets)
-            for k in np.flatnonzero(np.diff(at)).tolist():
-                part = slice(at[k], at[k + 1])
-                packed = asked[part].tobytes() if n == 0 else B.pack(asked[part], buckets, NGRAM_BYTES)
-                rows.append((k, block, n + 1, packed, counts[part].tobytes()))
-        return B.table(ASK_ARROW, list(zip(*rows)) if rows else [[]] * 5)
+class Grams:
+    """The n-grams of a block's texts: for each order the sorted distinct hashes, the training count of each in the block, and the id of the n-gram that ends at each token (-1 where its text has none yet)."""
+
+    def __init__(self, table, order, widths):
+        self.tokens, self.starts = _tokens(table)
+        self.place = np.arange(len(self.tokens)) - np.repeat(self.starts[:-1], np.diff(self.starts))
+        train = np.repeat(table.column("train").to_numpy(zero_copy_only=False), np.diff(self.starts))
+        self.keys, self.counts, self.at, self.shared = [], [], [], []
+        longer = self.tokens
+        for n in range(1, order + 1):
+            if n > 1:
+                longer = np.concatenate([longer[:1], mix(longer[:-1] * np.uint64(0x9FB21C651E98DF25) + self.tokens[1:] * np.uint64(0xD6E8FEB86659FD93) + np.uint64(n))])
+            whole = self.place >= n - 1
+            keys, where = np.unique(B.kept_bits(longer[whole], widths[n]), return_inverse=True)
+            at = np.full(len(self.tokens), -1, np.int32)
+            at[whole] = where
+            self.keys.append(keys)
+            self.counts.append(np.bincount(where, train[whole], len(keys)).astype(np.uint64))
+            self.at.append(at)
+
+    def asked(self, n):
+        """Which n-grams of order n other blocks have to be asked about; the orders below have been told."""
+        if n < 3:
+            return np.ones(len(self.keys[n - 1]), bool)
+        both = np.zeros(len(self.tokens), bool)
+        below, at = self.shared[n - 2], self.at[n - 2]
+        both[1:] = (at[1:] >= 0) & (at[:-1] >= 0) & below[at[1:]] & below[at[:-1]]
+        out = np.zeros(len(self.keys[n - 1]), bool)
+        out[self.at[n - 1][both & (self.at[n - 1] >= 0)]] = True
+        return out
+
+    def hear(self, n, told):
+        """Take over the totals of order n."""
+        asked = self.asked(n)
+        values = B.told_to(told, n, self.keys[n - 1][asked])
+        self.counts[n - 1][asked] = values >> np.uint64(1)
+        shared = np.zeros(len(asked), bool)
+        shared[asked] = (values & np.uint64(1)) > 0
+        self.shared.append(shared)
+
+
+def _ask(orders, widths):
+    """Ask about n-grams of the given orders, when those below have been told."""
+
+    def run(docs, told):
+        if docs.num_rows == 0:
+            return B.ASK_ARROW.empty_table()
+        grams = Grams(docs, orders[-1], widths)
+        for n in range(1, orders[0]):
+            grams.hear(n, told)
+        asked = [(n, grams.asked(n)) for n in orders]
+        return B.ask_rows(docs.column("block")[0].as_py(), [(n, widths[n], grams.keys[n - 1][a], grams.counts[n - 1][a] << np.uint64(1)) for n, a in asked])
 
     return run
 
 
-def _tell(table):
-    """Totals over all blocks, for each block in the order of its keys; and the number of training types, told to block -1."""
-    out, bucket = [], table.column("bucket")[0].as_py()
-    order = table.column("n_gram").to_numpy()
-    for n in np.unique(order).tolist():
-        part = table.filter(pa.array(order == n))
-        blocks = part.column("block").to_pylist()
-        width = WORD_BYTES if n == 1 else NGRAM_BYTES
-        raw = part.column("keys").to_pylist()
-        keys, where = np.unique(B.unpack(B.joined(raw), width), return_inverse=True)
-        counts = np.frombuffer(B.joined(part.column("counts").to_pylist()), np.uint32)
-        totals = np.bincount(where, counts, len(keys)).astype(np.int64)
-        told = totals[where].astype(np.uint32 if len(totals) == 0 or totals.max() < 2**32 else np.uint64)
-        wide = told.dtype.itemsize
-        at = np.cumsum([0, *(len(r) // width for r in raw)])
-        out += [(b, bucket, n, bytes([wide]) + told[at[i] : at[i + 1]].tobytes(), 0) for i, b in enumerate(blocks)]
-        out.append((-1, bucket, n, b"", int((totals > 0).sum())))
-    return B.table(TELL_ARROW, list(zip(*out)) if out else [[]] * 5)
-
-
-def _score(order, buckets, n_tokens, mu, theta, names):
-    def run(docs, answers):
-        types = sum(t for t, n in zip(answers.column("types").to_pylist(), answers.column("n_gram").to_pylist()) if n == 1)
+class Automaton:
+    """States, arcs and failure arcs over the n-grams of a block, as tables. State 0 is the root; the states of order n follow those of order n - 1."""
+
+    def __init__(self, grams, n_tokens, mu, theta):
+        order = len(grams.keys)
+        first = np.cumsum([1, *map(len, grams.keys[: order - 1])])
+        self.level, self.fail = np.zeros(first[-1], np.int64), np.zeros(first[-1], np.int64)
+        self.log_back = np.zeros(first[-1])
+        self.log_unknown = math.log10(theta / (n_tokens + theta))
+        #: by order, for each n-gram: log weight of its arc (NaN if there is none), and the state it leads to
+        self.log_arc, self.to = [], []
+        weight = counts = suffix_state = None
+        for n in range(1, order + 1):
+            below, counts = counts, grams.counts[n - 1].astype(float)
+            at = grams.at[n - 1]
+            some = np.zeros(len(counts), np.int64)  # a place of each n-gram
+            here = np.flatnonzero(at >= 0)
+            some[at[here]] = here
+            if n == 1:
+                new = counts / (n_tokens + theta)
+                suffix_state = np.zeros(len(counts), np.int64)
+            else:
+                history, suffix = grams.at[n - 2][some - 1], grams.at[n - 2][some]
+                new = (counts + mu * weight[suffix]) / (below[history] + mu)
+                suffix_state = first[n - 2] + suffix
+            seen, weight = counts > 0, new
+            self.log_arc.append(np.log10(weight, out=np.full(len(weight), np.nan), where=seen))
+            if n < order:
+                states = first[n - 1] + np.arange(len(counts))
+                self.level[states], self.fail[states] = n, suffix_state
+                self.log_back[states] = np.log10(mu / (counts + mu))
+                self.to.append(states)
+            else:
+                self.to.append(suffix_state)
+        if order == 1:
+            self.to = [np.zeros(len(self.log_arc[0]), np.int64)]
+
+    def walk(self, grams):
+        """Sum of log weights over each text, in one pass from left to right with the state carried along."""
+        order, sizes = len(self.to), np.diff(grams.starts)
+        pieces = -(-sizes // STRETCH)
+        text = np.repeat(np.arange(len(sizes)), pieces)
+        begin = grams.starts[:-1][text] + STRETCH * (np.arange(len(text)) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+        end = np.minimum(begin + STRETCH, grams.starts[1:][text])
+        at = np.maximum(begin - (order - 1), grams.starts[:-1][text])
+        state, total = np.zeros(len(text), np.int64), np.zeros(len(text))
+        live = np.arange(len(text))
+        while len(live):
+            here, s = at[live], state[live]
+            gained, todo = np.zeros(len(live)), np.arange(len(live))
+            while len(todo):
+                level, left = self.level[s[todo]], []
+                for n in range(order):
+                    mine = todo[level == n]
+                    if not len(mine):
+                        continue
+                    arc = grams.at[n][here[mine]]
+                    weight = self.log_arc[n][arc]
+                    found = ~np.isnan(weight)
+                    taken, lost = mine[found], mine[~found]
+                    gained[taken] += weight[found]
+                    s[taken] = self.to[n][arc[found]]
+                    if n == 0:
+                        gained[lost] += self.log_unknown
+                        s[lost] = 0
+                    else:
+                        gained[lost] += self.log_back[s[lost]]
+                        s[lost] = self.fail[s[lost]]
+                        left.append(lost)
+                todo = np.concatenate(left) if left else todo[:0]
+            state[live] = s
+            total[live] += np.where(here >= begin[live], gained, 0.0)
+            at[live] += 1
+            live = live[at[live] < end[live]]
+        return np.bincount(text, total, len(sizes))
+
+
+def _score(order, widths, n_tokens, mu, theta, names):
+    def run(docs, told):
         if docs.num_rows == 0:
+            types = sum(int.from_bytes(v, "little") for v in told.column("vals").to_pylist())
             return pa.Table.from_arrays([pa.nulls(1, names[0].type), *(pa.array([v], f.type) for v, f in zip([False, types, 0, 0.0, 0.0, True], list(names)[1:]))], schema=names)
-        told = {}
-        for bucket, n, counts in sorted(zip(answers.column("bucket").to_pylist(), answers.column("n_gram").to_pylist(), answers.column("counts").to_pylist())):
-            told.setdefault(n, []).append(np.frombuffer(counts[1:], np.uint32 if counts[0] == 4 else np.uint64).astype(np.int64))
-        tokens, starts = _tokens(docs)
-        grams, place = _n_grams(tokens, starts, order, buckets)
-        below = None
-        for n, keys in enumerate(grams):
-            whole = place >= n
-            arcs, where = np.unique(keys[whole], return_inverse=True)
-            count = np.zeros(len(tokens), np.int64)
-            if len(arcs):
-                count[whole] = np.concatenate(told[n + 1])[where]
-            if n == 0:
-                known = count > 0
-                weight = np.where(known, count, theta) / (n_tokens + theta)
-                base = np.log10(count + 1.0)
-            else:
-                # the history of a token is the shorter n-gram that ends before it
-                history = np.zeros(len(tokens), np.int64)
-                history[1:] = below[:-1]
-                fail = mu / (history + mu)
-                step = whole & (history > 0)
-                weight = np.where(step, np.where(count > 0, (count + mu * weight) / (history + mu), fail * weight), weight)
-            below = count
-        per_text = lambda x: np.add.reduceat(x, starts[:-1])  # noqa: E731  every text has its end
-        columns = [docs.column("doc_id"), pa.array(~docs.column("train").to_numpy(zero_copy_only=False)), pa.array(np.diff(starts)), pa.array(per_text(known.astype(np.int64))), pa.array(per_text(base)), pa.array(per_text(np.log10(weight))), pa.array(np.zeros(docs.num_rows, bool))]
+        grams = Grams(docs, order, widths)
+        for n in range(1, order + 1):
+            grams.hear(n, told)
+        score = Automaton(grams, n_tokens, mu, theta).walk(grams)
+        count = grams.counts[0][grams.at[0]]
+        per_text = lambda x: np.add.reduceat(x, grams.starts[:-1])  # noqa: E731  every text has its end
+        columns = [docs.column("doc_id"), pa.array(~docs.column("train").to_numpy(zero_copy_only=False)), pa.array(np.diff(grams.starts)), pa.array(per_text((count > 0).astype(np.int64))), pa.array(per_text(np.log10(count + 1.0))), pa.array(score), pa.array(np.zeros(docs.num_rows, bool))]
         return pa.Table.from_arrays(columns, schema=names)
 
     return run
@@ -152,7 +219,7 @@ def _token_counts(batches):
         yield pa.RecordBatch.from_arrays([pa.array([int(ends[-1])]), pa.array([int(np.diff(starts)[train].sum())])], ["bytes", "tokens"])
 
 
-def score_texts(docs: DataFrame, train: Column, order: int = 2, mu: float = 100.0, theta: float | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
+def score_texts(docs: DataFrame, train: Column, order: int = ORDER, mu: float = 100.0, theta: float | None = None, key: str = "doc_id", text: str = "text", depth: int | None = None) -> DataFrame:
     """Score every text with a model of the texts for which `train` is true.
 
     One row per input row: doc_id, held_out, n_tokens, n_known, train_tokens,
@@ -161,19 +228,25 @@ def score_texts(docs: DataFrame, train: Column, order: int = 2, mu: float = 100.
     Null and repeated keys are scored like any other. With no training text
     every token is unknown. An empty table gives an empty table. Other columns
     are not read. Where theta is not given it follows Heaps' law for new words,
-    NEW_WORDS * N ** 0.75.
+    NEW_WORDS * N ** 0.75. depth: levels of the exchange, if not as few as the
+    texts need.
     """
     from pyspark.sql.pandas.types import to_arrow_type
 
     docs = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
     seen = docs.mapInArrow(_token_counts, "bytes long, tokens long").agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens")).first()
-    blocks, buckets, n_tokens = B.n_blocks(seen["bytes"]), B.n_buckets(seen["bytes"]), seen["tokens"]
+    blocks, n_tokens = B.n_blocks(seen["bytes"]), seen["tokens"]
     theta = theta or NEW_WORDS * max(1, n_tokens) ** 0.75
     names = pa.schema([("doc_id", to_arrow_type(docs.schema["doc_id"].dataType)), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("is_total", pa.bool_())])
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, base double, score double, is_total boolean"
-    dealt = B.with_block(docs, blocks)
-    told = dealt.groupBy("block").applyInArrow(_ask(order, buckets), ASK).groupBy("bucket").applyInArrow(_tell, TELL)
-    scored = materialize(dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_score(order, buckets, n_tokens, mu, theta, names), schema), "lm-scores")
+    widths = {n: WORD_BYTES if n == 1 else min(8, NGRAM_BYTES + (depth or B.levels_of(blocks)) - 1) for n in range(1, order + 1)}
+    dealt, told = B.with_block(docs, blocks), docs.sparkSession.createDataFrame([], B.TELL)
+    # words and pairs first, then order by order
+    for orders in [[*range(1, min(order, 2) + 1)], *([n] for n in range(3, order + 1))]:
+        asks = dealt.groupBy("block").cogroup(told.groupBy("child")).applyInArrow(_ask(orders, widths), B.ASK)
+        more = B.exchange(asks, blocks, widths, B.sums, totals=1, depth=depth)
+        told = more if orders[0] == 1 else told.unionByName(more)
+    scored = materialize(dealt.groupBy("block").cogroup(told.groupBy("child")).applyInArrow(_score(order, widths, n_tokens, mu, theta, names), schema), "lm-scores")
     n_types = scored.where("is_total").agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n")).first()["n"]
     return scored.where("not is_total").select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(n_tokens).cast("long").alias("train_tokens"),

@@ -1,12 +1,13 @@
 """Substring deduplication by level-wise doubling.
 
 A window of 2L words can repeat across documents only where the windows of L
-words at both of its halves repeat. The first level looks at short windows of
-all texts; only positions whose windows repeat go on to windows of about twice
-the length, until the target length is reached or no candidate survives. Up
-to the last level "repeats" is tested on shortened hashes, which can only let
-too much through; the last level compares 64-bit hashes and keeps the smallest
-document that holds each window.
+words at both of its halves repeat. The first level asks about the windows of
+FIRST words of all texts; only positions whose windows repeat go on to windows
+of twice the length, level by level, until the target length is reached; where
+no candidate survives, a level has nothing to ask. Up to the last level
+"repeats" is tested on shortened hashes, which can only let too much through;
+the last level compares 64-bit hashes and finds the smallest document that
+holds each window.
 """
 
 from __future__ import annotations
@@ -21,23 +22,18 @@ from pyspark.sql import functions as F
 from . import blocks as B
 from .words import inside, mix, text_buffer, windows, word_hashes
 
-#: The shortest windows that the first level looks at have more words than this.
-FIRST_LEVEL_ABOVE = 4
-#: Bytes of a first-level hash beyond its bucket bits.
-SHORT = 4
-NO_ID = np.int64(2**63 - 1)
-
-ASK = "bucket int, block long, keys binary, low binary, many binary"
-ASK_ARROW = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("low", pa.binary()), ("many", pa.binary())])
-TELL = "block long, level int, bucket int, keys binary, low binary"
-TELL_ARROW = pa.schema([("block", pa.int64()), ("level", pa.int32()), ("bucket", pa.int32()), ("keys", pa.binary()), ("low", pa.binary())])
+#: Words of the windows of the first level.
+FIRST = 4
+#: Bytes of a hash beyond its bucket bits: in the levels that filter, and in the last one.
+SHORT, WHOLE = 4, 8
+NO_ID = B.NO_ID
 
 
 def levels(window: int) -> list[int]:
-    """Window lengths, each at most twice the one before, the last being the target."""
-    out = [window]
-    while out[0] > 2 * FIRST_LEVEL_ABOVE:
-        out.insert(0, -(-out[0] // 2))
+    """Window lengths: doubled from FIRST on, the last being the target."""
+    out = [min(FIRST, window)]
+    while out[-1] < window:
+        out.append(min(2 * out[-1], window))
     return out
 
 
@@ -62,161 +58,77 @@ def _chain(h, lengths):
     return out
 
 
-def _first_ask(lengths, buckets):
-    def run(table):
-        h, places, _ = _hashed(table)
-        w = windows(h, lengths[0])
-        keys = np.unique(B.kept_bits(w[inside(places, lengths[0], len(w))], buckets, SHORT))
-        at = B.cut(keys, buckets)
-        rows = [(k, keys[at[k] : at[k + 1]]) for k in range(buckets) if at[k] < at[k + 1]]
-        block = table.column("block")[0].as_py()
-        return B.table(ASK_ARROW, [[k for k, _ in rows], [block] * len(rows), [B.pack(x, buckets, SHORT) for _, x in rows], [None] * len(rows), [None] * len(rows)])
-
-    return run
-
-
-def _filter_tell(level):
-    """Which of a block's keys another block holds too: one bit each."""
-
-    def run(table):
-        blocks, packed = table.column("block").to_pylist(), table.column("keys").to_pylist()
-        parts = [B.unpack(p, SHORT) for p in packed]
-        keys, where, counts = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
-        shared = (counts > 1)[where]
-        at = np.cumsum([0, *map(len, parts)])
-        bucket = table.column("bucket")[0].as_py()
-        return B.table(TELL_ARROW, [blocks, [level] * len(blocks), [bucket] * len(blocks), [np.packbits(shared[at[i] : at[i + 1]]).tobytes() for i in range(len(blocks))], [None] * len(blocks)])
-
-    return run
-
-
-def _survivors(chain, places, lengths, buckets, told):
-    """Candidate positions of the last level, from what the buckets told of the levels before."""
+def _survivors(chain, places, lengths, told):
+    """Positions at which a window of the last of these lengths fits, and of which both halves repeat at every level before."""
     alive = None
-    for k, length in enumerate(lengths[:-1]):
+    for k, length in enumerate(lengths):
         w = chain[k]
         ok = inside(places, length, len(w))
         if alive is not None:
             gap = length - lengths[k - 1]
             ok &= alive[: len(w)] & alive[gap : gap + len(w)]
+        if k == len(lengths) - 1:
+            return ok
         at = np.flatnonzero(ok)
-        short = B.kept_bits(w[at], buckets, SHORT)
-        keys, where, counts = np.unique(short, return_inverse=True, return_counts=True)
-        cuts = B.cut(keys, buckets)
-        answer = np.zeros(len(keys), bool)
-        for bucket, bits in told.get(k, []):
-            a, b = cuts[bucket], cuts[bucket + 1]
-            answer[a:b] = np.unpackbits(np.frombuffer(bits, np.uint8), count=b - a).astype(bool)
-        good = (answer | (counts > 1))[where]
+        keys, where, counts = np.unique(B.kept_bits(w[at], SHORT), return_inverse=True, return_counts=True)
+        good = ((B.told_to(told, k, keys) & np.uint64(1)) > 0) | (counts > 1)
         alive = np.zeros(len(w), bool)
-        alive[at[good]] = True
-        if not good.any():
-            break
-    last, gap = chain[-1], lengths[-1] - lengths[-2] if len(lengths) > 1 else 0
-    ok = inside(places, lengths[-1], len(last))
-    if alive is not None:
-        ok &= alive[: len(last)] & alive[gap : gap + len(last)]
-    return ok
-
-
-def _told(table):
-    out = {}
-    for level, bucket, keys in zip(table.column("level").to_pylist(), table.column("bucket").to_pylist(), table.column("keys").to_pylist()):
-        out.setdefault(level, []).append((bucket, keys))
-    return out
+        alive[at[good[where]]] = True
 
 
-def _next_ask(lengths, buckets):
-    """Keys of the candidates of a middle level."""
+def _ask(lengths):
+    """Windows of a level that filters."""
 
-    def run(docs, answers):
+    def run(docs, told):
         if docs.num_rows == 0:
-            return ASK_ARROW.empty_table()
+            return B.ASK_ARROW.empty_table()
         h, places, _ = _hashed(docs)
         chain = _chain(h, lengths)
-        ok = _survivors(chain, places, lengths, buckets, _told(answers))
-        keys = np.unique(B.kept_bits(chain[-1][ok], buckets, SHORT))
-        at = B.cut(keys, buckets)
-        rows = [(k, keys[at[k] : at[k + 1]]) for k in range(buckets) if at[k] < at[k + 1]]
-        block = docs.column("block")[0].as_py()
-        return B.table(ASK_ARROW, [[k for k, _ in rows], [block] * len(rows), [B.pack(x, buckets, SHORT) for _, x in rows], [None] * len(rows), [None] * len(rows)])
+        keys = np.unique(B.kept_bits(chain[-1][_survivors(chain, places, lengths, told)], SHORT))
+        return B.ask_rows(docs.column("block")[0].as_py(), [(len(lengths) - 1, SHORT, keys, np.zeros(len(keys), np.uint64))])
 
     return run
 
 
-def _last_ask(lengths, buckets):
-    """Candidates of the last level with the smallest document and whether the block has more than one."""
+def _last_ask(lengths):
+    """Candidates of the last level with the smallest document of the block that holds them."""
 
-    def run(docs, answers):
+    def run(docs, told):
         if docs.num_rows == 0:
-            return ASK_ARROW.empty_table()
+            return B.ASK_ARROW.empty_table()
         h, places, ids = _hashed(docs)
         chain = _chain(h, lengths)
-        ok = _survivors(chain, places, lengths, buckets, _told(answers))
-        at = np.flatnonzero(ok)
-        owner = np.repeat(ids, np.diff(places))[at]
-        order = np.lexsort((owner, chain[-1][at]))
-        key, owner = chain[-1][at][order], owner[order]
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-        last = np.concatenate([first[1:], [len(key)]])[: len(first)] - 1
-        keys, low, many = key[first], owner[first], owner[last] > owner[first]
-        cuts = B.cut(keys, buckets)
-        rows = [(k, slice(cuts[k], cuts[k + 1])) for k in range(buckets) if cuts[k] < cuts[k + 1]]
-        block = docs.column("block")[0].as_py()
-        return B.table(ASK_ARROW, [[k for k, _ in rows], [block] * len(rows), [keys[s].tobytes() for _, s in rows], [low[s].tobytes() for _, s in rows], [many[s].tobytes() for _, s in rows]])
-
-    return run
-
-
-def _last_tell(level):
-    """To each block, its keys that some document must give up, and the smallest document that keeps them."""
-
-    def run(table):
-        blocks, low, many = table.column("block").to_pylist(), table.column("low").to_pylist(), table.column("many").to_pylist()
-        parts = [np.frombuffer(p, np.uint64) for p in table.column("keys").to_pylist()]
-        keys, where = np.unique(np.concatenate(parts), return_inverse=True)
-        own = np.frombuffer(B.joined(low), np.int64)
-        least = np.full(len(keys), NO_ID)
-        np.minimum.at(least, where, own)
-        least = least[where]
-        hit = (own > least) | np.frombuffer(B.joined(many), bool)
-        at = np.cumsum([0, *map(len, parts)])
-        out = []
-        for i, block in enumerate(blocks):
-            s = slice(at[i], at[i + 1])
-            if hit[s].any():
-                out.append((block, parts[i][hit[s]].tobytes(), least[s][hit[s]].tobytes()))
-        bucket = table.column("bucket")[0].as_py()
-        return B.table(TELL_ARROW, [[x[0] for x in out], [level] * len(out), [bucket] * len(out), [x[1] for x in out], [x[2] for x in out]])
+        at = np.flatnonzero(_survivors(chain, places, lengths, told))
+        keys, where = np.unique(chain[-1][at], return_inverse=True)
+        low = B.smallest(np.repeat(ids, np.diff(places))[at].view(np.uint64), where, len(keys))
+        return B.ask_rows(docs.column("block")[0].as_py(), [(len(lengths) - 1, WHOLE, keys, low)])
 
     return run
 
 
-def _covered(h, places, ids, lengths, answers):
+def _covered(h, places, ids, lengths, told, least):
     """The words that a window covers which a smaller document also holds."""
-    w = _chain(h, lengths)[-1]
-    keys = np.frombuffer(B.joined(answers.column("keys").to_pylist()), np.uint64)
-    low = np.frombuffer(B.joined(answers.column("low").to_pylist()), np.int64)
+    chain = _chain(h, lengths)
+    at = np.flatnonzero(_survivors(chain, places, lengths, told))
+    keys, where = np.unique(chain[-1][at], return_inverse=True)
+    low = B.told_to(least, len(lengths) - 1, keys).view(np.int64)
+    hit = at[np.repeat(ids, np.diff(places))[at] > low[where]]
     gone = np.zeros(len(h) + 1, np.int64)
-    if len(keys) and len(w):
-        order = np.argsort(keys)
-        keys, low = keys[order], low[order]
-        at = np.minimum(np.searchsorted(keys, w), len(keys) - 1)
-        owner = np.repeat(ids, np.diff(places))[: len(w)]
-        hit = np.flatnonzero((keys[at] == w) & inside(places, lengths[-1], len(w)) & (owner > low[at]))
-        np.add.at(gone, hit, 1)
-        np.add.at(gone, hit + lengths[-1], -1)
+    np.add.at(gone, hit, 1)
+    np.add.at(gone, hit + lengths[-1], -1)
     return np.cumsum(gone[:-1]) > 0
 
 
 def _remove(lengths, with_text):
     names = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), *[("kept_text", pa.string())] * with_text])
 
-    def run(docs, answers):
+    def run(docs, told):
         if docs.num_rows == 0:
             return names.empty_table()
         h, places, ids = _hashed(docs)
-        gone = _covered(h, places, ids, lengths, answers)
+        last = len(lengths) - 1
+        final = told.column("kind").to_numpy() == last
+        gone = _covered(h, places, ids, lengths, told.filter(pa.array(~final)), told.filter(pa.array(final)))
         rows = [[], [], [], []]
         for i, text in enumerate(docs.column("text")):
             words = (text.as_py() or "").encode().split()
@@ -235,7 +147,7 @@ def _remove(lengths, with_text):
     return run
 
 
-def remove_repeats(docs: DataFrame, window: int = 13, key: str = "doc_id", text: str = "text", with_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 13, key: str = "doc_id", text: str = "text", with_text: bool = False, depth: int | None = None) -> DataFrame:
     """Remove each word covered by a window of `window` words that also starts in a document with a smaller key.
 
     One row per input row: doc_id, n_words, n_removed, kept_sha256 and, on
@@ -243,27 +155,19 @@ def remove_repeats(docs: DataFrame, window: int = 13, key: str = "doc_id", text:
     input. A null text has no words; a null key is larger than any other, and
     rows with equal keys never take words from each other. Repeats within one
     document stay. Other columns are not read. An empty table gives an empty
-    table.
+    table. depth: levels of the exchange, if not as few as the texts need.
     """
     lengths = levels(window)
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    size = B.total_bytes(docs, "text")
-    blocks, buckets = B.n_blocks(size), B.n_buckets(size)
-    dealt = B.with_block(docs, blocks)
-    answers = None
-    for k in range(len(lengths) - 1):
-        if answers is None:
-            asks = dealt.groupBy("block").applyInArrow(_first_ask(lengths, buckets), ASK)
-        else:
-            asks = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_next_ask(lengths[: k + 1], buckets), ASK)
-        told = asks.groupBy("bucket").applyInArrow(_filter_tell(k), TELL)
-        answers = told if answers is None else answers.unionByName(told)
-    if answers is None:
-        answers = docs.sparkSession.createDataFrame([], TELL)
-    asks = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_last_ask(lengths, buckets), ASK)
-    told = asks.groupBy("bucket").applyInArrow(_last_tell(len(lengths) - 1), TELL)
+    blocks = B.n_blocks(B.total_bytes(docs, "text"))
+    dealt, told = B.with_block(docs, blocks), docs.sparkSession.createDataFrame([], B.TELL)
+    for k in range(len(lengths)):
+        last = k == len(lengths) - 1
+        asks = dealt.groupBy("block").cogroup(told.groupBy("child")).applyInArrow((_last_ask if last else _ask)(lengths[: k + 1]), B.ASK)
+        more = B.exchange(asks, blocks, {k: WHOLE if last else SHORT}, B.smallest if last else B.sums, depth=depth)
+        told = more if k == 0 else told.unionByName(more)
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
-    return dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_remove(lengths, with_text), schema)
+    return dealt.groupBy("block").cogroup(told.groupBy("child")).applyInArrow(_remove(lengths, with_text), schema)
 
 
 def op7_substring(spark, sf_dir):

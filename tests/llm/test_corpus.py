@@ -107,6 +107,42 @@ def test_lm_scoring(docs, empty, order):
     assert lm_scoring.score_texts(empty, F.lit(True), order=order).count() == 0
 
 
+@pytest.mark.parametrize("depth", [2, 3])
+def test_deep_exchanges_give_the_same(spark, depth):
+    """Counts and repeats don't depend on the levels of the exchange."""
+    docs = table(spark, [(i, t) for i, t in ROWS if len(t or "") < 300])
+    lm = lambda d: multiset((*r[:5], round(r[5], 6), round(r[6], 6)) for r in lm_scoring.score_texts(docs, crc_mod(F.col("doc_id"), 7) != 2, depth=d).collect())
+    assert lm(depth) == lm(None)
+    repeats = lambda d: multiset(substring_dedup.remove_repeats(docs, 13, depth=d).collect())
+    assert repeats(depth) == repeats(None)
+
+
+def test_automaton_walks_long_texts_in_stretches(spark):
+    """Stretches begin in the state that the whole walk has there, and failure arcs are followed as in the recursive definition."""
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice("abcde") for _ in range(n)) for n in (1, 700, 1024, 3000, 511, 0)]
+    table_ = pa.table({"text": pa.array(texts), "train": pa.array([True, True, False, True, False, True])})
+    widths = {1: 8, 2: 5, 3: 5}
+    grams = lm_scoring.Grams(table_, 3, widths)
+    n = int(sum(len(words(t)) + 1 for t, x in zip(texts, (1, 1, 0, 1, 0, 1)) if x))
+    automaton = lm_scoring.Automaton(grams, n, 2.0, 5.0)
+    got = automaton.walk(grams)
+    rows = [[*words(t), None] for t in texts]
+    counts = collections.Counter(tuple(w[k : k + m]) for w, x in zip(rows, (1, 1, 0, 1, 0, 1)) if x for m in (1, 2, 3) for k in range(len(w) - m + 1))
+
+    def p(h, w):
+        if not h:
+            return (counts[(w,)] or 5.0) / (n + 5.0)
+        return (counts[(*h, w)] + 2 * p(h[1:], w)) / (counts[h] + 2) if counts[h] else p(h[1:], w)
+
+    assert np.allclose(got, [sum(math.log10(p(tuple(w[max(0, k - 2) : k]), w[k])) for k in range(len(w))) for w in rows])
+
+
 def test_lm_scoring_without_training_texts(docs):
     got = lm_scoring.score_texts(docs, F.lit(False)).collect()
     assert len(got) == len(ROWS) and all(r["held_out"] and r["n_known"] == 0 and math.isfinite(r["score"]) for r in got)
@@ -131,7 +167,7 @@ def test_substring_dedup(docs, empty, window):
 
 
 def test_substring_dedup_levels():
-    assert substring_dedup.levels(13) == [7, 13] and substring_dedup.levels(5) == [5]
+    assert substring_dedup.levels(13) == [4, 8, 13] and substring_dedup.levels(40) == [4, 8, 16, 32, 40] and substring_dedup.levels(3) == [3]
     for w in range(1, 200):
         out = substring_dedup.levels(w)
         assert out[-1] == w and all(a < b <= 2 * a for a, b in zip(out, out[1:]))
