@@ -66,14 +66,16 @@ def local(keys, width):
 
 
 def pack(keys, width):
-    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+    """Sorted integers as the differences of neighbours, byte by byte: first the lowest byte of all, the highest last, which is mostly zero and compresses."""
+    gaps = np.diff(keys, prepend=np.uint64(0)).astype("<u8")
+    return np.ascontiguousarray(gaps.view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
 
 
 def unpack(data, width):
-    raw = np.frombuffer(data, np.uint8).reshape(-1, width)
-    out = np.zeros((len(raw), 8), np.uint8)
-    out[:, :width] = raw
-    return out.view("<u8").ravel()
+    raw = np.frombuffer(data, np.uint8).reshape(width, -1)
+    out = np.zeros((raw.shape[1], 8), np.uint8)
+    out[:, :width] = raw.T
+    return np.cumsum(out.view("<u8").ravel(), dtype=np.uint64)
 
 
 def kept_bits(keys, width):
@@ -139,7 +141,7 @@ def _merged(part, width, reduce):
     """(children, distinct keys, reduced values, places of each child's keys among them, borders between children) of rows of one kind."""
     raw = part.column("keys").to_pylist()
     at = np.cumsum([0, *(len(r) // width for r in raw)])
-    keys, where = np.unique(unpack(b"".join(raw), width), return_inverse=True)
+    keys, where = np.unique(np.concatenate([unpack(r, width) for r in raw]), return_inverse=True)
     values = np.concatenate([decode(v, n) for v, n in zip(part.column("vals").to_pylist(), np.diff(at).tolist())])
     return part.column("child").to_pylist(), keys, reduce(values, where, len(keys)), where, at
 
@@ -154,13 +156,13 @@ def _answers(bucket, kind, children, values, where, at):
     return [(bucket, c, kind, encode(values[where[i:j]])) for c, i, j in zip(children, at[:-1].tolist(), at[1:].tolist())]
 
 
-def _top(widths, reduce, totals):
+def _top(widths, reduce, totals, mask=None):
     def run(rows):
         bucket, out = rows.column("bucket")[0].as_py(), []
         for kind, width, part in _kinds(rows, widths):
             children, keys, values, where, at = _merged(part, width, reduce)
-            out += _answers(bucket, kind, children, values, where, at)
-            if kind == totals:
+            out += _answers(bucket, kind, children, values if mask is None else values & np.uint64(mask), where, at)
+            if kind == totals and mask is None:
                 out.append((bucket, -1, kind, int((values > 1).sum()).to_bytes(8, "little")))
         return table(TELL_ARROW, list(zip(*out)) if out else [[]] * 4)
 
@@ -200,22 +202,26 @@ def _down(level, widths, reduce):
     return run
 
 
-def exchange(asks: DataFrame, blocks: int, widths: dict[int, int], reduce=sums, totals: int | None = None, depth: int | None = None) -> DataFrame:
+def exchange(asks: DataFrame, blocks: int, widths: dict[int, int], reduce=sums, totals: int | None = None, depth: int | None = None, masks=(None,)) -> list[DataFrame]:
     """Answer rows of ASK with rows of TELL (child: the block): for each block and bucket the reduced values of its keys, in their order.
 
     widths: bytes of a key by kind. totals: a kind of which the number of
     entries with a count is told to child -1, by bucket. depth: levels of the
-    tree, where it shall have more than the blocks need.
+    tree, where it shall have more than the blocks need. masks: one answer for
+    each, of the bits of the values that the mask has (None: all).
     """
     levels = [asks]
     for level in range(1, depth or levels_of(blocks)):
         levels.append(levels[-1].groupBy("bucket", "grp").applyInArrow(_up(level, widths, reduce), ASK))
-    told = levels[-1].groupBy("bucket", "grp").applyInArrow(_top(widths, reduce, totals), TELL)
-    for level in range(len(levels) - 1, 0, -1):
-        # a finer bucket answers to the node that cut it
-        home = told.withColumn("home", F.when(F.col("child") < 0, F.col("bucket")).otherwise(F.shiftright("bucket", FAN_BITS)))
-        told = levels[level - 1].groupBy("bucket", "grp").cogroup(home.groupBy("home", "child")).applyInArrow(_down(level, widths, reduce), TELL)
-    return told
+    out = []
+    for mask in masks:
+        told = levels[-1].groupBy("bucket", "grp").applyInArrow(_top(widths, reduce, totals, mask), TELL)
+        for level in range(len(levels) - 1, 0, -1):
+            # a finer bucket answers to the node that cut it
+            home = told.withColumn("home", F.when(F.col("child") < 0, F.col("bucket")).otherwise(F.shiftright("bucket", FAN_BITS)))
+            told = levels[level - 1].groupBy("bucket", "grp").cogroup(home.groupBy("home", "child")).applyInArrow(_down(level, widths, reduce), TELL)
+        out.append(told)
+    return out
 
 
 def table(schema, columns):

@@ -42,7 +42,7 @@ END = 0x5A17E0FDEADBEE15
 ORDER = 3
 NEW_WORDS = 6.0
 #: Bytes of the hash of an n-gram beyond its bucket bits: whole for words, short for longer n-grams (one more for each level of the exchange).
-WORD_BYTES, NGRAM_BYTES = 8, 5
+WORD_BYTES, NGRAM_BYTES = 7, 5
 #: Tokens of a stretch of a text that is walked by itself.
 STRETCH = 512
 
@@ -239,13 +239,14 @@ def score_texts(docs: DataFrame, train: Column, order: int = ORDER, mu: float =
     theta = theta or NEW_WORDS * max(1, n_tokens) ** 0.75
     names = pa.schema([("doc_id", to_arrow_type(docs.schema["doc_id"].dataType)), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("is_total", pa.bool_())])
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, base double, score double, is_total boolean"
-    widths = {n: WORD_BYTES if n == 1 else min(8, NGRAM_BYTES + (depth or B.levels_of(blocks)) - 1) for n in range(1, order + 1)}
-    dealt, told = B.with_block(docs, blocks), docs.sparkSession.createDataFrame([], B.TELL)
-    # words and pairs first, then order by order
+    widths = {n: WORD_BYTES if n == 1 else min(7, NGRAM_BYTES + (depth or B.levels_of(blocks)) - 1) for n in range(1, order + 1)}
+    dealt = B.with_block(docs, blocks)
+    told = flags = docs.sparkSession.createDataFrame([], B.TELL)
+    # words and pairs first, then order by order; what later orders need of earlier ones is one bit an n-gram
     for orders in [[*range(1, min(order, 2) + 1)], *([n] for n in range(3, order + 1))]:
-        asks = dealt.groupBy("block").cogroup(told.groupBy("child")).applyInArrow(_ask(orders, widths), B.ASK)
-        more = B.exchange(asks, blocks, widths, B.sums, totals=1, depth=depth)
-        told = more if orders[0] == 1 else told.unionByName(more)
+        asks = dealt.groupBy("block").cogroup(flags.groupBy("child")).applyInArrow(_ask(orders, widths), B.ASK)
+        more, bits = B.exchange(asks, blocks, widths, B.sums, totals=1, depth=depth, masks=(None, 1))
+        told, flags = (more, bits) if orders[0] == 1 else (told.unionByName(more), flags.unionByName(bits))
     scored = materialize(dealt.groupBy("block").cogroup(told.groupBy("child")).applyInArrow(_score(order, widths, n_tokens, mu, theta, names), schema), "lm-scores")
     n_types = scored.where("is_total").agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n")).first()["n"]
     return scored.where("not is_total").select(

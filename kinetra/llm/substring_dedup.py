@@ -164,7 +164,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, key: str = "doc_id", text:
     for k in range(len(lengths)):
         last = k == len(lengths) - 1
         asks = dealt.groupBy("block").cogroup(told.groupBy("child")).applyInArrow((_last_ask if last else _ask)(lengths[: k + 1]), B.ASK)
-        more = B.exchange(asks, blocks, {k: WHOLE if last else SHORT}, B.smallest if last else B.sums, depth=depth)
+        (more,) = B.exchange(asks, blocks, {k: WHOLE if last else SHORT}, B.smallest if last else B.sums, depth=depth)
         told = more if k == 0 else told.unionByName(more)
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
     return dealt.groupBy("block").cogroup(told.groupBy("child")).applyInArrow(_remove(lengths, with_text), schema)

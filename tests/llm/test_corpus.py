@@ -127,7 +127,7 @@ def test_automaton_walks_long_texts_in_stretches(spark):
     rng = random.Random(3)
     texts = [" ".join(rng.choice("abcde") for _ in range(n)) for n in (1, 700, 1024, 3000, 511, 0)]
     table_ = pa.table({"text": pa.array(texts), "train": pa.array([True, True, False, True, False, True])})
-    widths = {1: 8, 2: 5, 3: 5}
+    widths = {1: 7, 2: 5, 3: 5}
     grams = lm_scoring.Grams(table_, 3, widths)
     n = int(sum(len(words(t)) + 1 for t, x in zip(texts, (1, 1, 0, 1, 0, 1)) if x))
     automaton = lm_scoring.Automaton(grams, n, 2.0, 5.0)
