@@ -186,7 +186,7 @@ QUERIES = {
     "lookahead_risks": (lookahead_risks, LOOKAHEAD),
     "merge_risks": (merge_risks, MERGE),
     "predicted_collisions": (predicted_collisions, PREDICTED),
-    "future_trajectory": (future_trajectory, f"with {B.fleet_sql()}, {POINTS} select id, cast(step as int) as step, off as offset, pattern, {r6('x', 'y')} from points where id <= 200"),
+    "future_trajectory": (future_trajectory, f"with {B.fleet_sql()}, {POINTS} select id, cast(step as int) as step, off as offset, pattern, {r6('x', 'y')} from points"),
     "trajectory_velocity": (trajectory_velocity, f"{PACED} select id, seq, {r6('vx', 'vy', 'ax', 'ay')} from acc"),
     "trajectory_pattern": (trajectory_pattern, PATTERN),
     "kinematics": (kinematics, KINEMATICS),

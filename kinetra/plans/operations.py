@@ -19,11 +19,11 @@ EVENTS = f"with {B.EVENTS_SQL}"
 
 
 def task_order(spark, sf):
-    return P.task_order(X.tasks(spark, sf)).limit(100).select("task_id", "priority", "created_at")
+    return P.task_order(X.tasks(spark, sf)).select("task_id", "priority", "created_at")
 
 
 def pending_task_order(spark, sf):
-    """All tasks without a result, in the order in which they are to be assigned; task_order has the first 100 of all tasks."""
+    """All tasks without a result, in the order in which they are to be assigned."""
     return B.placed(P.task_order(X.tasks(spark, sf).where("status = 'O'")).select("task_id", "priority", "created_at"))
 
 
@@ -233,7 +233,7 @@ def message_json(spark, sf):
 
 _sum = "sum(value) over (partition by user_id order by ts, seq)"
 QUERIES = {
-    "task_order": (task_order, f"{TASKS} select task_id, priority, created_at from tasks order by priority desc, created_at, task_id limit 100"),
+    "task_order": (task_order, f"{TASKS} select task_id, priority, created_at from tasks order by priority desc, created_at, task_id"),
     "pending_task_order": (pending_task_order, f"{TASKS} select task_id, priority, created_at, row_number() over (order by priority desc, created_at, task_id) as place from tasks where status = 'O'"),
     "task_timeouts": (task_timeouts, f"{TASKS} select task_id, created_at, timeout from tasks where {TASK_TIME} - created_at > timeout"),
     "task_assignment": (task_assignment, f"{TASKS}, {ASSIGN} select * from assigned"),

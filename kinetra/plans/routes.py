@@ -42,11 +42,11 @@ def detection_task(spark, sf):
 
 def transfers(spark, sf):
     e = X.events(spark, sf)
-    return Q.transfers(e.where("seq % 3 = 0").select(F.col("seq").alias("request_id"), "user_id"), e.where("seq % 6 = 0").select(F.col("seq").alias("request_id"), F.col("props").alias("state")))
+    return Q.transfers(e.select(F.col("seq").alias("request_id"), "user_id"), e.where("value >= 50").select(F.col("seq").alias("request_id"), F.col("props").alias("state")))
 
 
 def all_transfers(spark, sf):
-    """A request of every event, answered unless it is an error; transfers has every third event."""
+    """A request of every event, answered unless it is an error."""
     e = X.events(spark, sf).withColumn("request_id", F.col("seq"))
     return Q.transfers(e.select("request_id", "user_id"), e.where("event_type <> 'error'").select("request_id", F.col("props").alias("state")))
 
@@ -74,18 +74,24 @@ def tumbling_counters(spark, sf):
     return M.throughput(X.events(spark, sf), "time", 86400).select("start", "events")
 
 
+PROCESS_SHARD = f"""{P.PREDICTED.rsplit(chr(10) + "select", 1)[0]}, own as (select id from (select id, {cell_sql("2")} from fleet) where {SHARD} = 3
+), best as (select * from risks semi join own on id = vehicle_id qualify row_number() over (partition by vehicle_id, other_vehicle_id order by risk_level desc, time_to_collision) = 1
+), p as (select case when risk_level >= 0.8e0 and time_to_collision < 3 then 3 when risk_level >= 0.8e0 or time_to_collision < 5 then 2 when risk_level >= 0.6e0 then 1 else 0 end as priority from best where risk_level >= 0.3e0)
+select priority, count(*) as alerts from p group by priority"""
+
 QUERIES = {
     "api_location": (api_location, f"{TRACKS}, t as (select * from tracks where id = 42 qualify row_number() over (order by ts desc, seq desc) = 1) select id, ts, x, y from t where 1706572800 <= ts + 86400"),
     "api_history": (api_history, f"{TRACKS}, t as (select *, row_number() over (order by seq desc) as back from tracks where id = 42) select id as vehicle_id, ts, x, vx, heading from t where back <= 10"),
     "api_cell_vehicles": (api_cell_vehicles, f"with {B.fleet_sql()}, c as (select id, {cell_sql('1')} from fleet) select id from c where cx = 1 and cy = 2 and cz = 0"),
     "shard_vehicles": (shard_vehicles, f"with {B.fleet_sql()}, {B.SHARDS_SQL}, c as (select id, {cell_sql('2')} from fleet), h as (select id, {SHARD} as shard_id from c) select id, shard_id, node_id from h join shards using (shard_id)"),
-    "process_shard": (process_shard, None),
+    "process_shard": (process_shard, PROCESS_SHARD),
     "detection_task": (detection_task, P.LOOKAHEAD.replace("0.1e0)\n", "0.05e0)\n").rsplit("\nselect", 1)[0] + "\nselect vehicle_id2, round(risk_level, 6) + 0e0 as risk_level from h where vehicle_id1 = 7"),
-    "transfers": (transfers, f"{EVENTS} select a.seq as request_id, a.user_id, b.props as state from ev a left join (select * from ev where seq % 6 = 0) b on a.seq = b.seq where a.seq % 3 = 0"),
+    "transfers": (transfers, f"{EVENTS} select a.seq as request_id, a.user_id, b.props as state from ev a left join (select * from ev where value >= 50) b on a.seq = b.seq"),
     "all_transfers": (all_transfers, f"{EVENTS} select seq as request_id, user_id, case when event_type <> 'error' then props end as state from ev"),
     "recoveries": (recoveries, f"{EVENTS} select user_id % 30 as recovery_id, event_type as status, ts, seq from ev qualify row_number() over (partition by user_id % 30 order by ts desc, seq desc) = 1"),
     "road_hops": (road_hops, "select c_custkey as id, 'h' || (c_custkey % 5) as road, 'v' || k as next from customer, range(0, 7) as g(k)"),
     "fleet_stats": (fleet_stats, f"with {B.fleet_sql()} select type, count(*) as vehicles, count(*) filter (x < 1000 and y < 1000) as in_city from fleet group by type"),
-    "system_stats": (system_stats, None),
+    "system_stats": (system_stats, f"""with {B.NODES_SQL}, s as (select to_json({{'n': count(*)}}) as nodes, to_json({{'n': count(*) filter (status = 'active')}}) as active from nodes)
+select cast(to_json({{'nodes': cast(nodes as varchar), 'active': cast(active as varchar)}}) as varchar) as stats from s"""),
     "tumbling_counters": (tumbling_counters, f"{EVENTS} select cast(us // 86400000000 * 86400 as bigint) as start, count(*) as events from ev group by 1"),
 }

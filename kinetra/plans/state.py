@@ -40,11 +40,11 @@ def alert_messages(spark, sf):
 
 
 def alert_queue(spark, sf):
-    return A.queue(_alerts(spark, sf)).limit(50).select(*PAIR, "priority", "ts")
+    return A.queue(_alerts(spark, sf)).select(*PAIR, "priority", "ts")
 
 
 def alert_order(spark, sf):
-    """All alerts in the order of the queue; alert_queue has the first 50."""
+    """All alerts in the order of the queue."""
     return B.placed(A.queue(_alerts(spark, sf)).select(*PAIR, "priority", "ts"))
 
 
@@ -111,7 +111,7 @@ QUERIES = {
   when risk_level >= 0.8e0 then printf('紧急警告：与车辆 %d 可能在 %.1f 秒后发生碰撞，当前距离 %.1f 米，请立即采取避让措施！', other_vehicle_id, time_to_collision, distance)
   when risk_level >= 0.6e0 then printf('警告：与车辆 %d 可能在 %.1f 秒后发生碰撞，当前距离 %.1f 米，请注意避让。', other_vehicle_id, time_to_collision, distance)
   else printf('注意：与车辆 %d 距离较近（%.1f 米），请保持安全距离。', other_vehicle_id, distance) end as message from alerts"""),
-    "alert_queue": (alert_queue, f"{ALERTS} select vehicle_id, other_vehicle_id, priority, ts from alerts order by priority desc, ts, vehicle_id, other_vehicle_id limit 50"),
+    "alert_queue": (alert_queue, f"{ALERTS} select vehicle_id, other_vehicle_id, priority, ts from alerts order by priority desc, ts, vehicle_id, other_vehicle_id"),
     "alert_order": (alert_order, f"{ALERTS} select vehicle_id, other_vehicle_id, priority, ts, row_number() over (order by priority desc, ts, vehicle_id, other_vehicle_id) as place from alerts"),
     "alert_stats": (alert_stats, f"{ALERTS} select priority, count(*) as alerts, count(*) filter (not acknowledged) as active, count(distinct vehicle_id) as vehicles from alerts group by priority"),
     "alert_expiry": (alert_expiry, f"{ALERTS} select vehicle_id, other_vehicle_id, ts from alerts where not (acknowledged or 60 - ts > 30)"),

@@ -20,7 +20,11 @@ EVENTS = f"with {B.EVENTS_SQL}"
 
 def scratch(spark) -> str:
     """A folder that all executors share, where the cluster names one."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = f"file://{tempfile.gettempdir()}"
     return f"{root.rstrip('/')}/kinetra-stream-{uuid.uuid4().hex}"
 
 
@@ -92,6 +96,18 @@ def sim_step(spark, sf):
     return B.rounded(moved, *"x y vx vy heading".split()).select("id", "x", "y", "vx", "vy", "ts", "heading")
 
 
+#: of each row of a pair: the last risk before it, and whether it was acknowledged since
+STREAMED_ALERTS = f"""{EVENTS}, r as (select user_id % 20 as vehicle_id, user_id % 7 + 100 as other_vehicle_id, case when event_type = 'error' then 'ack' else 'risk' end as kind, cast(event_id % 4 as int) as priority, ts from ev),
+n as (select *, row_number() over (partition by vehicle_id, other_vehicle_id order by ts, kind) as n from r),
+p as (select *, max(case when kind = 'risk' then n end) over b as risk_n, max(case when kind = 'ack' then n end) over b as ack_n from n window b as (partition by vehicle_id, other_vehicle_id order by n rows between unbounded preceding and 1 preceding)),
+q as (select p.*, l.ts as risk_ts, l.priority as risk_priority from p left join n l on l.vehicle_id = p.vehicle_id and l.other_vehicle_id = p.other_vehicle_id and l.n = p.risk_n),
+k as (select *, risk_ts is not null and ts - risk_ts <= 30 as held from q),
+x as (select a.vehicle_id, a.other_vehicle_id, a.priority, a.ts from n a where kind = 'risk' and not exists (
+  select 1 from n c where c.vehicle_id = a.vehicle_id and c.other_vehicle_id = a.other_vehicle_id and c.n > a.n and c.ts - a.ts <= 30) and (
+  exists (select 1 from n c where c.vehicle_id = a.vehicle_id and c.other_vehicle_id = a.other_vehicle_id and c.n > a.n) or a.ts + 30 <= (select max(ts) - 30 from n)))
+select vehicle_id, other_vehicle_id, case when kind = 'ack' then 'acknowledged' when not held or ack_n > risk_n then 'raised' else 'updated' end as event, case when kind = 'ack' then risk_priority else priority end as priority, ts
+from k where kind = 'risk' or held union all select vehicle_id, other_vehicle_id, 'expired', priority, ts + 30 from x"""
+
 QUERIES = {
     "streaming_latest": (streaming_latest, f"{EVENTS} select user_id as id, ts, seq, cast(event_id*7919 % 2000 as double) as x, cast(event_id*104729 % 2003 as double) as y from ev qualify row_number() over (partition by user_id order by ts desc, seq desc) = 1"),
     "streaming_trajectories": (streaming_trajectories, f"{EVENTS}, t as (select user_id, seq, row_number() over (partition by user_id order by seq desc) as back from ev) select user_id as id, cast(count(*) as int) as points, min(seq) as oldest from t where back <= 20 group by user_id"),
@@ -101,7 +117,9 @@ select * from w where start + 3600 <= (select max(ts) - 30 from ev)"""),
 n as (select *, sum(fresh) over (partition by user_id order by ts, seq) as session from s), g as (select user_id, session, min(ts) as a, max(ts) as b, count(*) as events from n group by all)
 select user_id, cast(floor(a) as bigint) as start, events from g where b + 36000 <= (select max(ts) - 30 from ev)"""),
     "streaming_token_bucket": (streaming_token_bucket, operations.BUCKET),
-    "streaming_alerts": (streaming_alerts, None),
-    "streaming_heartbeats": (streaming_heartbeats, None),
+    "streaming_alerts": (streaming_alerts, STREAMED_ALERTS),
+    "streaming_heartbeats": (streaming_heartbeats, f"""{EVENTS}, b as (select user_id % 10 as node_id, us // 1000 as ms, lag(us // 1000) over (partition by user_id % 10 order by us) as was from ev),
+late as (select * from b where ms - was >= 10800000), ends as (select node_id, max(ms) as ms from b group by node_id having max(ms) + 10800000 <= (select max(ms) - 30000 from b))
+select node_id, 'failed' as event, was + 10800000 as ms from late union all select node_id, 'recovered', ms from late union all select node_id, 'failed', ms + 10800000 from ends"""),
     "sim_step": (sim_step, None),
 }

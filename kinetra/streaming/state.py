@@ -20,6 +20,12 @@ from kinetra import constants as K
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+def ordered(rows, *order: str) -> Iterator:
+    """The rows of a key in order, whatever Arrow batches they came in; first the columns that order them, then the rest."""
+    batches = [*rows]
+    return pd.concat(batches).sort_values([*order], kind="stable").itertuples(index=False) if batches else iter(())
+
+
 class Latest(StatefulProcessor):
     """The newest report of each vehicle by time, or by arrival."""
 
@@ -48,7 +54,7 @@ def latest(reports: DataFrame, by_arrival: bool = False) -> DataFrame:
 
 
 class Trajectory(StatefulProcessor):
-    """The last cap reports of each vehicle in arrival order; emits how many are held and the oldest of them."""
+    """The last cap reports of each vehicle by their number seq; emits how many are held and the oldest of them."""
 
     def __init__(self, cap: int):
         self.cap = cap
@@ -57,10 +63,11 @@ class Trajectory(StatefulProcessor):
         self.points = handle.getListState("points", "seq long, x double, y double")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        # whatever Arrow batches the rows came in, no more than the last cap reports of each are held
         held = [*self.points.get()] if self.points.exists() else []
         for batch in rows:
-            held += [(int(r.seq), float(r.x), float(r.y)) for r in batch.sort_values("seq").itertuples(index=False)]
-        held = held[-self.cap :]
+            held += [(int(r.seq), float(r.x), float(r.y)) for r in batch.nlargest(self.cap, "seq").itertuples(index=False)]
+            held = sorted(held)[-self.cap :]
         self.points.put(held)
         yield pd.DataFrame([(key[0], len(held), held[0][0])], columns=["id", "points", "oldest"])
 
@@ -73,7 +80,9 @@ def trajectories(reports: DataFrame, cap: int = K.HISTORY_CAP) -> DataFrame:
 
 
 class Alerts(StatefulProcessor):
-    """One alert for each pair: raised by its first risk, updated by later ones, closed by acknowledgement or by the expiry."""
+    """One alert for each pair: raised by its first risk, updated by later ones, closed by acknowledgement or, ALERT_EXPIRY seconds after its last risk, by expiry, which also drops its state."""
+
+    columns = ["vehicle_id", "other_vehicle_id", "event", "priority", "ts"]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -81,31 +90,45 @@ class Alerts(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         held, out = self.alert.get(), []
-        for batch in rows:
-            for row in batch.sort_values(["ts", "kind"]).itertuples(index=False):
-                if row.kind == "ack":
-                    if held is not None:
-                        held = (held[0], held[1], True)
-                        out.append((*key, "acknowledged", held[0], row.ts))
-                    continue
-                fresh = held is None or held[2] or row.ts - held[1] > K.ALERT_EXPIRY
-                held = (int(row.priority), float(row.ts), False)
-                out.append((*key, "raised" if fresh else "updated", held[0], row.ts))
-        if held is not None:
+        for row in ordered(rows, "ts", "kind"):
+            if held is not None and row.ts - held[1] > K.ALERT_EXPIRY:
+                if not held[2]:
+                    out.append((*key, "expired", held[0], held[1] + K.ALERT_EXPIRY))
+                held = None
+            if row.kind == "ack":
+                if held is not None:
+                    held = (held[0], held[1], True)
+                    out.append((*key, "acknowledged", held[0], row.ts))
+                continue
+            out.append((*key, "raised" if held is None or held[2] else "updated", int(row.priority), row.ts))
+            held = (int(row.priority), float(row.ts), False)
+        for timer in [*self.handle.listTimers()]:
+            self.handle.deleteTimer(timer)
+        if held is None:
+            self.alert.clear()
+        else:
             self.alert.update(held)
-        yield pd.DataFrame(out, columns=["vehicle_id", "other_vehicle_id", "event", "priority", "ts"])
+            self.handle.registerTimer(int(1000 * (held[1] + K.ALERT_EXPIRY)) + 1)
+        yield pd.DataFrame(out, columns=self.columns)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        held = self.alert.get()
+        self.alert.clear()
+        gone = [] if held is None or held[2] else [(*key, "expired", held[0], held[1] + K.ALERT_EXPIRY)]
+        yield pd.DataFrame(gone, columns=self.columns)
 
     def close(self) -> None:
         pass
 
 
-def alert_updates(risks: DataFrame, acknowledged: DataFrame | None = None) -> DataFrame:
-    """Alert events from risks (vehicle_id, other_vehicle_id, priority, ts) and, as a second stream, acknowledgements."""
+def alert_updates(risks: DataFrame, acknowledged: DataFrame | None = None, watermark: str = "30 seconds") -> DataFrame:
+    """Alert events from risks (vehicle_id, other_vehicle_id, priority, ts) and, as a second stream, acknowledgements; ts is event time in seconds."""
     rows = risks.select("vehicle_id", "other_vehicle_id", "priority", "ts", F.lit("risk").alias("kind"))
     if acknowledged is not None:
         rows = rows.unionByName(acknowledged.select("vehicle_id", "other_vehicle_id", F.lit(0).alias("priority"), "ts", F.lit("ack").alias("kind")))
     schema = "vehicle_id long, other_vehicle_id long, event string, priority int, ts double"
-    return rows.groupBy("vehicle_id", "other_vehicle_id").transformWithStateInPandas(Alerts(), schema, "append", "none")
+    timed = rows.withColumn("time", F.timestamp_micros((F.col("ts") * 1e6).cast("long"))).withWatermark("time", watermark)
+    return timed.groupBy("vehicle_id", "other_vehicle_id").transformWithStateInPandas(Alerts(), schema, "append", "eventTime")
 
 
 class Heartbeats(StatefulProcessor):
@@ -163,7 +186,7 @@ class Bucket(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         held, out = self.bucket.get(), []
         tokens, at = (held[0], held[1]) if held is not None else (self.capacity, None)
-        for row in pd.concat(rows).sort_values(["ts", "seq"]).itertuples(index=False):
+        for row in ordered(rows, "ts", "seq"):
             tokens = min(self.capacity, tokens + (0.0 if at is None else (row.ts - at) * self.rate))
             ok = tokens >= 1.0
             tokens, at = tokens - ok, float(row.ts)
