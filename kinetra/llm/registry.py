@@ -38,11 +38,11 @@ with p as (
   select page_id, strlen(coalesce(html, '')) as payload_bytes, sha256(coalesce(html, '')) as payload_digest
   from pages
 ), r as (
-  select *, min(page_id) over (partition by payload_digest) as first_id from p
+  select *, min(page_id) over (partition by payload_digest) as first_id, row_number() over (partition by payload_digest order by page_id) as place from p
 )
 select page_id, payload_bytes, payload_digest,
-  case when payload_bytes >= 100 and page_id > first_id then 'revisit' else 'response' end as record_type,
-  case when payload_bytes >= 100 and page_id > first_id then first_id end as refers_to
+  case when payload_bytes >= 100 and page_id is not null and place > 1 then 'revisit' else 'response' end as record_type,
+  case when payload_bytes >= 100 and page_id is not null and place > 1 then first_id end as refers_to
 from r
 """
 

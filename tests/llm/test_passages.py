@@ -1,5 +1,6 @@
 """Archives by round trip, benchmark passages against longest common substrings, and the whole pipeline against its parts."""
 
+import bisect
 import collections
 import gzip
 import hashlib
@@ -9,6 +10,7 @@ import random
 import numpy as np
 import pytest
 from helpers import table
+from pyspark.sql import functions as F
 from test_corpus import brute_components
 
 from kinetra.llm import decontamination, toxicity, warc
@@ -61,6 +63,34 @@ def test_warc_files_depend_on_the_rows_alone(spark, pages, tmp_path):
         assert len([*warc.parse(gzip.decompress(data))]) == x["records"]
 
 
+def test_warc_shards_of_far_and_hot_keys(spark, tmp_path):
+    """One key far from all others, and one with a third of the bytes: shards stay near their size."""
+    rows = [(k, "http://x", f"<p>{k}</p>" * 12) for k in range(300)] + [(2**62, "http://far", "far " * 30), (-(2**62), "http://far", "far off " * 30)] + [(150, f"http://hot/{k}", f"hot {k} " * 40) for k in range(60)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    sized = pages.select("page_id", F.octet_length("html").cast("long").alias("bytes"))
+    size = collections.Counter()
+    for r in rows:
+        size[r[0]] += len(r[2])
+    borders = warc.shard_borders(sized, 3000)
+    at = [b[0] for b in borders]
+    total = collections.Counter()
+    for k, n in size.items():
+        total[bisect.bisect_right(at, k) - 1] += n
+    assert len(borders) > 10 and all(total[i] <= 3000 * many for i, (_, many) in enumerate(borders)) and dict(borders)[150] == -(-size[150] // 3000)
+    folder = f"file://{tmp_path}/far"
+    manifest = warc.write_archives(pages, folder, shard_bytes=3000)
+    assert manifest["records"] == len(rows) and len({x["name"].split("-")[0] for x in manifest["files"]}) > 10
+    got = [(r["page_id"], bytes(r["payload"]).decode()) for r in warc.read_archives(spark, folder, with_payload=True).collect() if r["record_type"] == "response"]
+    assert sorted(got) == sorted({(k, t) for k, _, t in rows})
+
+
+def test_warc_record_ids_are_unique(pages, tmp_path):
+    manifest = warc.write_archives(pages, f"file://{tmp_path}/ids")
+    found = [h for x in manifest["files"] for h, _ in warc.parse(gzip.decompress((tmp_path / "ids" / x["name"]).read_bytes()))]
+    ids = [h["WARC-Record-ID"] for h in found if "WARC-Page-ID" in h]
+    assert len(ids) == len(set(ids)) and {h["WARC-Refers-To"] for h in found if "WARC-Refers-To" in h} <= set(ids)
+
+
 def test_warc_of_no_pages(spark, pages, tmp_path):
     folder = f"file://{tmp_path}/none"
     assert warc.write_archives(pages.where("false"), folder)["files"] == []
