@@ -1,8 +1,9 @@
 """Near-duplicate documents by circulant MinHash.
 
-Two permutations of the 64-bit integers make the whole signature: sigma is
-applied to a document's shingles once, and pi, circularly shifted by k, gives
-coordinate k as min over shingles of pi(sigma(x) + k). Bands of coordinates
+Two permutations make the whole signature: sigma, of the 64-bit integers, is
+applied to a document's shingles once, and its upper 32 bits are kept; pi, of
+the 32-bit integers, circularly shifted by k times an odd constant, gives
+coordinate k as min over shingles of pi(sigma(x) + k * constant). Bands of coordinates
 deal documents into buckets. Documents with equal shingle sets are one class
 and stand in the buckets once.
 
@@ -77,8 +78,8 @@ def band_keys(coordinates, bands=BANDS, rows=ROWS):
     return key.view(np.int64)
 
 
-def _signatures(size, bands, rows):
-    names = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("same", pa.binary()), ("bands", pa.list_(pa.int64()))])
+def _signatures(size, bands, rows, keys):
+    names = pa.schema([*((k, pa.int64()) for k in keys), ("n_shingles", pa.int64()), ("same", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches):
         for batch in batches:
@@ -93,7 +94,7 @@ def _signatures(size, bands, rows):
                 else:
                     same.append(None)
                     bands_of.append(None)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(same, pa.binary()), pa.array(bands_of, pa.list_(pa.int64()))], schema=names)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), pa.array(n, pa.int64()), pa.array(same, pa.binary()), pa.array(bands_of, pa.list_(pa.int64()))], schema=names)
 
     return run
 
@@ -186,7 +187,7 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5, bands: int = BANDS, rows: int = ROWS, key: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5, bands: int = BANDS, rows: int = ROWS, key: str = "doc_id", text: str = "text", carry: str | None = None) -> DataFrame:
     """Link documents whose shingle sets have 100 * intersection >= percent * union, and label what is connected.
 
     One row per input row: doc_id, n_shingles, component_id (the smallest
@@ -195,13 +196,14 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5, bands: in
     or null, has no shingles and links with nothing; a text shorter than a
     shingle is one shingle. A null doc_id links with nothing, has no component
     and is kept. An empty table gives an empty table. Other columns are not
-    read.
+    read, but carry, a long column that is returned with each row.
 
     A pair at the threshold shares a bucket but for a chance of
     (1 - j ** rows) ** bands, 5e-6 by default, which falls fast above it.
     """
-    docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    rows_of = materialize(docs.mapInArrow(_signatures(size, bands, rows), "doc_id long, n_shingles long, same binary, bands array<long>"), "near-signatures")
+    carried = [carry] if carry else []
+    docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), *carried)
+    rows_of = materialize(docs.mapInArrow(_signatures(size, bands, rows, ("doc_id", *carried)), "".join(f"{k} long, " for k in ("doc_id", *carried)) + "n_shingles long, same binary, bands array<long>"), "near-signatures")
     classes = rows_of.where("doc_id is not null and same is not null").groupBy("same").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
     dealt = classes.select("rep", F.explode("bands").alias("bucket"))
     crowded = dealt.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
@@ -237,9 +239,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5, bands: in
     label = components(links.select("a", "b").unionByName(extra.select("a", "b")))
     in_class = classes.select("same", "rep").join(label, classes["rep"] == label["node"], "left").select("same", F.coalesce("label", "rep").alias("component"))
     # rows of one doc_id with several texts meet in the smallest of their components
-    out = rows_of.select("doc_id", "n_shingles", "same").join(in_class, "same", "left")
+    out = rows_of.select("doc_id", *carried, "n_shingles", "same").join(in_class, "same", "left")
     component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return out.select("doc_id", *carried, "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def op10_near_dedup(spark, sf_dir):

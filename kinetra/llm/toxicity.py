@@ -169,8 +169,8 @@ def _logistic(x, y, ridge=1e-3, steps=60):
     return w
 
 
-def _run_evidence(shared):
-    names = pa.schema([("doc_id", pa.int64()), ("strongest", pa.float64()), ("mean", pa.float64())])
+def _run_evidence(shared, keys):
+    names = pa.schema([*((k, pa.int64()) for k in keys), ("strongest", pa.float64()), ("mean", pa.float64())])
 
     def run(batches):
         memo = {}
@@ -178,16 +178,17 @@ def _run_evidence(shared):
             for at in range(0, batch.num_rows, TEXTS):
                 part = batch.slice(at, TEXTS)
                 strongest, mean = _evidence(shared.value, *text_buffer(part.column("text")), memo)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(strongest), pa.array(mean)], schema=names)
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keys), pa.array(strongest), pa.array(mean)], schema=names)
 
     return run
 
 
-def evidence(texts: DataFrame, shared) -> DataFrame:
-    return texts.select("doc_id", "text").mapInArrow(_run_evidence(shared), "doc_id long, strongest double, mean double")
+def evidence(texts: DataFrame, shared, *keys: str) -> DataFrame:
+    keys = ("doc_id", *keys)
+    return texts.select(*keys, "text").mapInArrow(_run_evidence(shared, keys), ", ".join(f"{k} long" for k in keys) + ", strongest double, mean double")
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE, threshold: float = THRESHOLD, carry: str | None = None) -> DataFrame:
     """One row per input row: doc_id, held_out, score (0 to 1) and predicted (score >= threshold).
 
     Learns from at most per_class labelled rows of each class, the bound of the
@@ -195,11 +196,12 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE,
     evidence and gets the score of none. Null and repeated keys are scored like
     any other. With labels of one class only, or none, the score is the share
     of that class. An empty table gives an empty table. Other columns are not
-    read.
+    read, but carry, a long column that is returned with each row.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    more = [carry] if carry else []
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *more)
     spark = docs.sparkSession
-    rows = materialize(training_rows(docs, labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic"), per_class), "toxic-rows")
+    rows = materialize(training_rows(docs.select("doc_id", "text"), labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic"), per_class), "toxic-rows")
     apart = F.pmod(F.xxhash64("doc_id", F.lit("calibrate")), F.lit(CALIBRATE)) == 0
     counts = spelling_counts(rows.where(~apart)).toArrow()
     models = fit_models(counts.column("toxic").to_numpy(), counts.column("gram").to_pylist(), counts.column("n").to_numpy()) if counts.num_rows else []
@@ -214,7 +216,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE,
         a, b, c = 0.0, 0.0, float(np.log((share + 1e-3) / (1 - share + 1e-3)))
     forget(rows)
     score = 1 / (1 + F.exp(-(F.col("strongest") * a + F.col("mean") * b + c)))
-    return evidence(docs, shared).select("doc_id", (crc_mod(F.col("doc_id"), 4) == 2).alias("held_out"), score.alias("score"), (score >= threshold).cast("int").alias("predicted"), "strongest", "mean")
+    return evidence(docs, shared, *more).select("doc_id", *more, (crc_mod(F.col("doc_id"), 4) == 2).alias("held_out"), score.alias("score"), (score >= threshold).cast("int").alias("predicted"), "strongest", "mean")
 
 
 def op8_toxicity(spark, sf_dir):

@@ -208,7 +208,7 @@ def test_pipeline(spark):
     start, calm, single, clean, private = map(rows, kept)
     toxic = {r["doc_id"] for r in toxicity.score_toxicity(docs, labels).where("predicted = 1").collect()}
     assert toxic and set(calm) == set(start) - toxic
-    group = brute_components(calm.items(), 85)
+    group = brute_components(calm.items(), 80)
     assert len(single) < len(calm) and set(single) == {i for i in calm if group.get(i, i) == i}
     leaks = {r["doc_id"] for r in decontamination.find_leaks(kept[2], bench).collect()}
     assert leaks and set(clean) == set(single) - leaks
@@ -216,3 +216,30 @@ def test_pipeline(spark):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     final = corpus_pipeline.run(spark, SF).collect()
     assert collections.Counter((r["doc_id"], tuple(r["ids"])) for r in final) == collections.Counter((i, tuple(tokenizer.encode(t or "", add_special_tokens=False).ids)) for i, t in private.items())
+
+
+def test_pipeline_stages_on_hard_rows(spark):
+    """Nulls, repeated rows and doc_ids, ties, long texts and clashing columns, and an empty table."""
+    import corpus_pipeline
+    from helpers import CLASHES, LONG, PROSE
+
+    leak = spark.read.parquet(f"{SF}/benchmark.parquet").where("length(text) > 150").orderBy("item_id").first()["text"]
+    rows = [(1, PROSE), (1, PROSE), (2, PROSE + " again"), (None, PROSE), (None, "alone " + LONG), (None, "see " + leak), (3, "own text of three"), (3, "x " + leak), (4, None), (4, None), (None, None), (5, ""), (6, "mail a@b.org"), (6, "mail a@b.org"), (7, "other " + LONG)]
+    docs = table(spark, rows).withColumns({"row0": F.lit(1).cast("long"), "lang": F.lit("en"), "n_chars": F.length("text").cast("long")})
+    stages = dict(corpus_pipeline.STAGES)
+    text = lambda df: collections.Counter((r["doc_id"], r["text"]) for r in df.collect())
+    out = corpus_pipeline.materialize(stages["toxicity"](spark, docs, SF), "hard-toxic")
+    toxic = {r["doc_id"] for r in toxicity.score_toxicity(docs, spark.read.parquet(f"{SF}/labels.parquet"), carry="row0").where("predicted = 1").collect()}
+    assert out.columns == docs.columns and text(out) <= text(docs) and {k for k in text(docs) if k[0] not in toxic} <= set(text(out))
+    single = corpus_pipeline.materialize(stages["near_dedup"](spark, docs, SF), "hard-single")
+    assert single.columns == docs.columns
+    got = text(single)
+    assert got[1, PROSE] == 1 and not {(2, PROSE + " again"), (None, PROSE)} & set(got) and got[6, "mail a@b.org"] == 1 and got[4, None] == 2 and got[None, None] == 1
+    assert {(3, "own text of three"), (5, "")} <= set(got) and ((None, "alone " + LONG) in got) != ((7, "other " + LONG) in got) and (7, "other " + LONG) in got
+    clean = stages["decontamination"](spark, single, SF)
+    assert clean.columns == docs.columns and text(clean) == collections.Counter({k: n for k, n in got.items() if leak not in (k[1] or "")})
+    assert text(stages["pii"](spark, clean, SF))[6, "mail [EMAIL]"] == 1
+    assert stages["bpe"](spark, clean, SF).count() == clean.count()
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.where("false"), SF).count() == 0, name
+    assert set(CLASHES) < set(docs.columns)
