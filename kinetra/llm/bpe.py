@@ -23,6 +23,9 @@ from pyspark.sql import functions as F
 #: Word pattern and special texts of the vocabulary file: fixed values.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+"
 WORD_END = "</w>"
+#: Letters and numbers of later Unicode versions than that of the tokenizer (16), which takes them for signs: fixed values, first and last of each run.
+LATER = "558-558 58b-58c 88f-88f c5c-c5c cdc-cdc 208f-208f 209d-209f a7ce-a7cf a7d2-a7d2 a7d4-a7d4 a7dd-a7dd a7e2-a7e2 a7f1-a7f1 ab6c-ab6d 107bb-107bf 10940-10959 10ec5-10ec7 10ed9-10eee 11b0a-11b0a 11db0-11ddb 11de0-11de9 11df1-11df1 1246f-1246f 12475-1247f 12550-12686 16ea0-16eb8 16ebb-16ed3 16ff2-16ff6 187f8-187ff 18cd6-18cda 18d09-18d20 18d80-18df2 18e00-19191 191a0-191d2 1b123-1b128 1b168-1b168 1d6a6-1d6a6 1df1f-1df24 1df2b-1df81 1df90-1df96 1dfcd-1dfff 1e6c0-1e6de 1e6e0-1e6e2 1e6e4-1e6e5 1e6e7-1e6ed 1e6f0-1e6f4 1e6fe-1e6ff 2b73a-2b73f 2b81e-2b81e 2cea2-2cead 323b0-33479 3d000-3fc3f"
+FIRST_LATER = int(LATER.split("-")[0], 16)
 #: Word forms kept from one batch to the next, in each of two generations.
 MEMO_FORMS = 150_000
 #: Texts whose forms are merged together.
@@ -61,12 +64,16 @@ class Vocabulary:
         self.final = np.array([self.ids.get(c + WORD_END, -1) for c in alphabet], np.int64)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.names = {i: t for t, i in self.ids.items()} | {i: t for t, i in self.special.items()}
+        self.numbers = {i: str(i) for i in self.names}
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.words = regex.compile(WORD_PATTERN)
+        later = "".join("-".join(map(regex.escape, (chr(int(x, 16)) for x in run.split("-")))) for run in LATER.split())
+        self.later = regex.compile(f"[{later}]")
+        self.words_with_later = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|(?:(?![{later}])\p{{L}})+|(?![{later}])\p{{N}}|(?:[^\p{{White_Space}}\p{{L}}\p{{N}}]|[{later}])+")
 
     def forms(self, text: str) -> list[str]:
         """The word forms of a text in order; a special token is a form of its own, which no other text gives."""
-        parts = self.split_special.split(text) if self.split_special and "<|" in text else [text]
+        parts = self.split_special.split(text) if any(map(text.__contains__, self.special)) else [text]
         out = []
         for k, part in enumerate(parts):
             if k % 2:
@@ -74,7 +81,9 @@ class Vocabulary:
             elif part:
                 if not part.isascii():
                     part = unicodedata.normalize("NFC", part).replace("Σ", "σ")
-                out += self.words.findall(part.lower())
+                part = part.lower()
+                has_later = not part.isascii() and np.frombuffer(part.encode("utf-32-le", "surrogatepass"), np.uint32).max() >= FIRST_LATER and self.later.search(part)
+                out += (self.words_with_later if has_later else self.words).findall(part)
         return out
 
 
@@ -145,7 +154,7 @@ def encode_forms(vocab: Vocabulary, forms: list[str]) -> list[list[int]]:
 
 def decode_ids(vocab: Vocabulary, ids: list[int]) -> str:
     """The file names no decoder, so tokens are joined by one space as they are written in the vocabulary; ids out of it are skipped."""
-    return " ".join(vocab.names[i] for i in ids if i in vocab.names)
+    return " ".join(filter(None, map(vocab.names.get, ids)))
 
 
 def encode_documents(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
@@ -154,7 +163,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, key: str = "doc_id", text
     vocabulary: path of the file, read on the driver and broadcast (a
     vocabulary has a fixed size). A null text is empty: no tokens and the
     digests of the empty text. Repeated rows and null keys are scored like any
-    other; other columns are not read.
+    other; other columns are not read. An empty table gives an empty table.
     """
     with open(vocabulary, encoding="utf-8") as f:
         source = docs.sparkSession.sparkContext.broadcast(f.read())
@@ -177,7 +186,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, key: str = "doc_id", text
                     else:
                         new.append(form)
                 for form, ids in zip(new, encode_forms(vocab, new)):
-                    ids_of[form], text_of[form] = " ".join(map(str, ids)), decode_ids(vocab, ids)
+                    ids_of[form], text_of[form] = " ".join(map(vocab.numbers.__getitem__, ids)), decode_ids(vocab, ids)
                 rows = [[], [], [], []]
                 for forms in texts:
                     ids = " ".join(filter(None, map(ids_of.__getitem__, forms)))
