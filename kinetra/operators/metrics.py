@@ -58,3 +58,18 @@ def sessions(events: DataFrame, key: str, gap: float) -> DataFrame:
     fresh = F.coalesce(F.col("ts") - F.lag("ts").over(w) > gap, F.lit(True)).cast("int")
     numbered = events.withColumn("fresh", fresh).withColumn("session", F.sum("fresh").over(w))
     return numbered.groupBy(key, "session").agg(F.min("ts").alias("first"), F.max("ts").alias("last"), F.count("*").alias("events"))
+
+
+def series_stats(series: DataFrame) -> DataFrame:
+    """Summary of each run's samples (as read by sources.files.read_metrics): how many, mean and highest throughput, mean and highest latencies, mean error rate and use of the host."""
+    return series.groupBy("run").agg(
+        F.count("*").alias("samples"), F.avg("throughput").alias("throughput"), F.max("throughput").alias("best_throughput"), F.avg("avg_latency").alias("avg_latency"),
+        F.max("p99_latency").alias("p99_latency"), F.max("max_latency").alias("max_latency"), F.avg("error_rate").alias("error_rate"), F.avg("cpu_usage").alias("cpu_usage"), F.max("memory_usage").alias("memory_usage"),
+    )
+
+
+def node_counters(reports: DataFrame, seconds: int) -> DataFrame:
+    """Of each node (node_id, id, time, collided) and tumbling window: reports, distinct vehicles, collisions, and reports a second."""
+    w = F.window("time", f"{seconds} seconds").alias("w")
+    counts = reports.groupBy("node_id", w).agg(F.count("*").alias("reports"), F.countDistinct("id").alias("vehicles"), F.count_if("collided").alias("collisions"))
+    return counts.select("node_id", F.unix_seconds("w.start").alias("start"), "reports", "vehicles", "collisions", (F.col("reports") / seconds).alias("per_second"))

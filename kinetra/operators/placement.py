@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import heapq
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kinetra import constants as K
+from kinetra.functions import grid as G
 
 #: Control tables that one greedy fold may read: nodes, shards and cells of one system.
 FOLD_ROWS = 1_000_000
@@ -116,48 +120,72 @@ def greedy_shards(cells: DataFrame, n_shards: int) -> DataFrame:
     return _fold(cells, fold, "cell long, load long, shard_id int")
 
 
+def _deal(leaving: DataFrame, takers: DataFrame, deal, item: str, target: str) -> DataFrame:
+    """What leaves meets the takers' rows in one place, ordered by `deal`; all other rows stay where they are."""
+    one = F.lit(1).alias("one")
+    return leaving.groupBy(one).cogroup(takers.groupBy(one)).applyInPandas(deal, f"{item} long, target {target}")
+
+
 def rebalance_cells(cells: DataFrame, n_shards: int, over: float = K.OVER_FACTOR, under: float = K.UNDER_FACTOR, enough: float = K.TARGET_FACTOR) -> DataFrame:
-    """Move cells (cell, load, shard_id), heaviest first, from shards above over * mean to the lightest below under * mean, while the giver stays above the mean; a receiver leaves at enough * mean."""
+    """Cells (cell, load, shard_id) that leave shards above over * mean for shards below under * mean.
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["load", "cell"], ascending=[False, True])
-        load = {k: 0 for k in range(n_shards)} | rows.groupby("shard_id")["load"].sum().to_dict()
-        mean, place = sum(load.values()) / n_shards, dict(zip(rows["cell"], rows["shard_id"]))
-        takers = sorted((k for k in load if load[k] < mean * under), key=lambda k: (load[k], k))
-        for giver in sorted((k for k in load if load[k] > mean * over), key=lambda k: (-load[k], k)):
-            for cell, weight in rows.loc[rows["shard_id"] == giver, ["cell", "load"]].itertuples(index=False):
-                if not takers or load[giver] - weight <= mean:
-                    break
-                taker = takers[0]
-                place[cell] = taker
-                load[giver] -= weight
-                load[taker] += weight
-                takers = sorted((k for k in takers if k != taker or load[k] <= mean * enough), key=lambda k: (load[k], k))
-        return rows.assign(was=rows["shard_id"], shard_id=rows["cell"].map(place))[["cell", "load", "was", "shard_id"]]
-
-    return _fold(cells, fold, "cell long, load long, was int, shard_id int")
+    A shard's heaviest cells leave as long as what is left of its load exceeds
+    the mean, which is a running sum within the shard. They go, the fullest
+    shard's first, each to the taker of least load (smallest id among equals);
+    if after that the least load of all takers exceeds enough * mean, that
+    taker drops out. Cells stay when no taker is left.
+    """
+    held = cells.groupBy("shard_id").agg(F.sum("load").alias("held"))
+    shards = cells.sparkSession.range(n_shards).select(F.col("id").cast("int").alias("shard_id")).join(held, "shard_id", "left").fillna(0, ["held"])
+    loads = shards.join(F.broadcast(shards.agg(F.avg("held").alias("mean"))))
+    running = W.partitionBy("shard_id").orderBy(F.desc("load"), "cell").rowsBetween(W.unboundedPreceding, W.currentRow)
+    givers = F.broadcast(loads.where(F.col("held") > over * F.col("mean")))
+    leaving = cells.join(givers, "shard_id").withColumn("rest", F.col("held") - F.sum("load").over(running)).where("rest > mean")
+
+    def deal(moves: pd.DataFrame, takers: pd.DataFrame) -> pd.DataFrame:
+        moves = moves.sort_values(["held", "shard_id", "rest", "cell"], ascending=[False, True, False, True])
+        heap, targets = list(zip(takers["has"], takers["taker"])), []
+        heapq.heapify(heap)
+        for weight in moves["load"][: len(moves) if heap else 0]:
+            lightest = heap[0]
+            targets.append(lightest[1])
+            heapq.heapreplace(heap, (lightest[0] + weight, lightest[1]))
+            if heap[0][0] > enough * takers["of_all"].iat[0]:
+                heapq.heappop(heap)
+            if not heap:
+                break
+        return pd.DataFrame({"cell": moves["cell"][: len(targets)], "target": targets})
+
+    takers = loads.where(F.col("held") < under * F.col("mean")).select(F.col("shard_id").alias("taker"), F.col("held").alias("has"), F.col("mean").alias("of_all"))
+    dealt = _deal(leaving, takers, deal, "cell", "int")
+    return cells.join(dealt, "cell", "left").select("cell", "load", F.col("shard_id").alias("was"), F.coalesce("target", "shard_id").alias("shard_id"))
 
 
 def rebalance_nodes(shards: DataFrame, over: float = K.OVER_FACTOR, under: float = K.UNDER_FACTOR) -> DataFrame:
-    """Move shards (shard_id, node_id, vehicle_count, load, node_load), fullest first, from nodes above over * mean load to nodes below under * mean, until these reach that."""
+    """Shards (shard_id, node_id, vehicle_count, load, node_load) of nodes above over * mean load, dealt to the nodes below under * mean.
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["vehicle_count", "shard_id"], ascending=[False, True])
-        load = rows.groupby("node_id")["node_load"].first().to_dict()
-        mean, place = sum(load.values()) / max(1, len(load)), dict(zip(rows["shard_id"], rows["node_id"]))
-        takers = sorted(n for n in load if load[n] < mean * under)
-        for giver in sorted(n for n in load if load[n] > mean * over):
-            for shard, weight in rows.loc[rows["node_id"] == giver, ["shard_id", "load"]].itertuples(index=False):
-                if not takers:
-                    break
-                place[shard] = takers[0]
-                load[giver] -= weight
-                load[takers[0]] += weight
-                if load[takers[0]] >= mean * under:
-                    takers.pop(0)
-        return rows.assign(was=rows["node_id"], node_id=rows["shard_id"].map(place))[["shard_id", "was", "node_id"]]
-
-    return _fold(shards, fold, "shard_id long, was long, node_id long")
+    All shards of such nodes, node by node and those of most vehicles first,
+    form one line of loads. Each taker, by id, takes the stretch of the line
+    that brings it to under * mean; behind the last taker's, shards stay. The
+    end of a stretch is a search in the line's running sums.
+    """
+    nodes = shards.groupBy("node_id").agg(F.max("node_load").alias("node_load"))
+    loads = nodes.join(F.broadcast(nodes.agg(F.avg("node_load").alias("mean")))).withColumn("room", under * F.col("mean") - F.col("node_load"))
+    leaving = shards.join(F.broadcast(loads.where(F.col("node_load") > over * F.col("mean")).select("node_id")), "node_id", "left_semi")
+
+    def deal(moves: pd.DataFrame, takers: pd.DataFrame) -> pd.DataFrame:
+        moves = moves.sort_values(["node_id", "vehicle_count", "shard_id"], ascending=[True, False, True])
+        line, ends = moves["load"].cumsum().to_numpy(), [0]
+        takers = takers.sort_values("taker")
+        for room in takers["free"]:
+            before = line[ends[-1] - 1] if ends[-1] else 0.0
+            ends.append(min(len(line), int(np.searchsorted(line, before + room)) + 1))
+        target = np.repeat(takers["taker"].to_numpy(), np.diff(ends))
+        return pd.DataFrame({"shard_id": moves["shard_id"][: len(target)], "target": target})
+
+    takers = loads.where("room > 0").select(F.col("node_id").alias("taker"), F.col("room").alias("free"))
+    dealt = _deal(leaving, takers, deal, "shard_id", "long")
+    return shards.join(dealt, "shard_id", "left").select("shard_id", F.col("node_id").alias("was"), F.coalesce("target", "node_id").alias("node_id"))
 
 
 def region_plan(regions: DataFrame, n_shards: int, high: float = 0.7, low: float = 0.3, max_level: int = K.GRID_MAX_LEVEL) -> DataFrame:
@@ -218,3 +246,27 @@ def failover(resources: DataFrame, nodes: DataFrame, failed: Column) -> DataFram
     dealt = lost.withColumn("grp", group).withColumn("turn", F.row_number().over(W.partitionBy("grp").orderBy("resource_id")) + F.col("grp"))
     moved = dealt.join(F.broadcast(n)).withColumn("place", F.when(F.col("n") > 0, F.pmod(F.col("turn"), F.nullif(F.col("n"), F.lit(0)))))
     return moved.join(ranked, "place", "left").select("resource_id", F.substring_index("resource_id", "-", 1).alias("kind"), F.col("node_id").alias("was"), F.col("target").alias("node_id"))
+
+
+def shard_owners(log: DataFrame) -> DataFrame:
+    """Owner of each shard by a log (seq, shard_id, node_id, op assign or release): its last assignment, unless that node released it since. A release by another node has no effect."""
+    newest = F.max(F.when(F.col("op") == "assign", F.struct("seq", "node_id"))).alias("held")
+    given = log.groupBy("shard_id").agg(newest).where("held is not null").select("shard_id", "held.seq", F.col("held.node_id").alias("node_id"))
+    freed = log.where("op = 'release'").groupBy("shard_id", "node_id").agg(F.max("seq").alias("released"))
+    return given.join(freed, ["shard_id", "node_id"], "left").where("released is null or released < seq").select("shard_id", "node_id", F.col("seq").alias("since"))
+
+
+def carry_out(cells: DataFrame, plan: DataFrame) -> DataFrame:
+    """Vehicles after a plan of region_plan: the region and shard that each is in.
+
+    cells has the vehicle's position, the cell of its region before (cell, level)
+    and its shard_id. A vehicle of a split region goes to the part that its
+    position lies in, one of a merged region to the region of both, all others
+    stay where they are.
+    """
+    finer = G.cells(F.col("level") + 1)
+    here = cells.select("id", F.col("cell").alias("was_cell"), F.col("shard_id").alias("was_shard"), *(c.alias(f"part_{k}") for c, k in zip(finer, "xyz")))
+    split = plan.where("action = 'split'").select(F.col("cell").alias("was_cell"), *(F.col(f"c{k}").alias(f"part_{k}") for k in "xyz"), F.col("region").alias("split_region"), F.col("shard_id").alias("split_shard"))
+    merged = plan.where("action = 'merge'").select(F.col("cell").alias("was_cell"), F.col("region").alias("merged_region"), F.col("shard_id").alias("merged_shard"))
+    rows = here.join(split, ["was_cell", "part_x", "part_y", "part_z"], "left").join(merged, "was_cell", "left")
+    return rows.select("id", F.coalesce("split_region", "merged_region", F.col("was_cell").cast("string")).alias("region"), F.coalesce("split_shard", "merged_shard", "was_shard").alias("shard_id"))

@@ -104,6 +104,29 @@ def node_rebalance(spark, sf):
     return P.rebalance_nodes(loaded)
 
 
+CELLS = f"""with recursive {B.SHARDS_SQL}, cells as (select shard_id as cell, vehicle_count as load, cast(shard_id % 4 as int) as shard_id from shards)"""
+GREEDY = f"""{CELLS}, q as (select cell, load, row_number() over (order by cell) as n from cells),
+f as (select 0::bigint as n, 0::bigint as cell, 0::bigint as load, 0 as shard_id, [{{'h': 0::bigint, 'k': k::int}} for k in range(4)] as t
+  union all select q.n, q.cell, q.load, t[1].k, list_sort(list_append(t[2:], {{'h': t[1].h + q.load, 'k': t[1].k}})) from f join q on q.n = f.n + 1)
+select cell, load, shard_id from f where n > 0"""
+REBALANCED = f"""{CELLS}, c as (select cell, load, case when cell < 16 then 0 else shard_id end as shard_id from cells),
+l as (select *, avg(held) over () as mean from (select cast(k as int) as shard_id, cast(coalesce(sum(load), 0) as bigint) as held from range(4) g(k) left join c on c.shard_id = k group by k)),
+w as (select c.*, held, mean, held - sum(load) over (partition by c.shard_id order by load desc, cell rows unbounded preceding) as rest from c join l using (shard_id) where held > 1.2e0*mean),
+q as (select *, row_number() over (order by held desc, shard_id, load desc, cell) as n from w where rest > mean),
+f as (select 0::bigint as n, 0::bigint as cell, 0 as target, list_sort(list({{'h': held, 'k': shard_id}})) as t from l where held < 0.8e0*mean
+  union all select n, cell, target, case when u[1].h > 0.9e0*mean then u[2:] else u end from (
+    select q.n, q.cell, q.mean, t[1].k as target, list_sort(list_append(t[2:], {{'h': t[1].h + q.load, 'k': t[1].k}})) as u from f join q on q.n = f.n + 1 where len(t) > 0))
+select c.cell, c.load, c.shard_id as was, coalesce(target, c.shard_id) as shard_id from c left join (select * from f where n > 0) f using (cell)"""
+NODE_REBALANCED = f"""with recursive {B.NODES_SQL}, {B.SHARDS_SQL}, s as (select shard_id, node_id, vehicle_count, cpu_usage / count(*) over (partition by node_id) as load, cpu_usage from shards join nodes using (node_id)),
+l as (select *, avg(node_load) over () as mean from (select node_id, max(cpu_usage) as node_load from s group by node_id)),
+q as (select s.*, 0.8e0*mean as goal, row_number() over (order by node_id, vehicle_count desc, shard_id) as n from s join l using (node_id) where node_load > 1.2e0*mean),
+t as (select node_id, node_load, row_number() over (order by node_id) as k from l where node_load < 0.8e0*mean),
+f as (select 0::bigint as n, 0::bigint as shard_id, 0::bigint as target, 1::bigint as k, 0e0 as got
+  union all select n, shard_id, target, case when total >= goal then k + 1 else k end, case when total >= goal then 0 else got end from (
+    select q.n, q.shard_id, q.goal, t.node_id as target, f.k, f.got + q.load as got, t.node_load + f.got + q.load as total from f join q on q.n = f.n + 1 join t on t.k = f.k))
+select s.shard_id, s.node_id as was, coalesce(target, s.node_id) as node_id from s left join (select * from f where n > 0) f using (shard_id)"""
+
+
 def region_plan(spark, sf):
     """The cells lie in rows of five."""
     placed = {"level": F.lit(2), "cx": F.col("cell") % 5, "cy": F.floor(F.col("cell") / 5), "cz": F.lit(0).cast("long")}
@@ -258,9 +281,9 @@ select *, cast(floor((recovered_at - ts)/3600) as bigint) as missed from g where
     "admission_chain": (admission_chain, None),
     "policy_rules": (policy_rules, None),
     "queue_capacity": (queue_capacity, None),
-    "greedy_shards": (greedy_shards, None),
-    "cell_rebalance": (cell_rebalance, None),
-    "node_rebalance": (node_rebalance, None),
+    "greedy_shards": (greedy_shards, GREEDY),
+    "cell_rebalance": (cell_rebalance, REBALANCED),
+    "node_rebalance": (node_rebalance, NODE_REBALANCED),
     "region_plan": (region_plan, None),
     "resource_failover": (resource_failover, None),
     "latency_stats": (latency_stats, f"with {STATS} select run, n, round(mean, 4) + 0e0 as mean, largest, p95, p99 from t"),
