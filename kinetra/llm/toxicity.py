@@ -4,12 +4,11 @@ Two models of how words are spelt, one of toxic and one of ordinary training
 texts. A character's probability after its history is the discounted count of
 its own class, backed off order by order; up to SHARED_ORDER characters the
 continuation counts are those of both classes together, so that rare spellings
-are smoothed alike in both. A word's evidence is the difference of its two
-log-likelihoods divided by its length (plus a prior length). A text is as
-toxic as its most toxic run of words, since toxic phrases are a small part of
-long texts; that evidence and the mean over the whole text enter a logistic
-calibration, fitted on a part of the training rows that the models have not
-seen.
+are smoothed alike in both. A text's two log-likelihoods, each divided by the text's
+length, are compared: over the whole text, and over its most toxic run of words
+(with a prior length), since toxic phrases are a small part of long texts. The
+two differences enter a logistic calibration, fitted on a part of the training
+rows that the models have not seen.
 """
 
 from __future__ import annotations
@@ -31,6 +30,7 @@ RUN = 2
 SAMPLE = 6000
 CALIBRATE = 4
 THRESHOLD = 0.3
+EVIDENCE = ("strongest", "toxic_log", "ordinary_log")
 HEAD, TAIL = "\x02", "\x03"
 #: Distinct words whose evidence a worker keeps.
 MEMO_WORDS = 200_000
@@ -102,8 +102,8 @@ def fit_models(toxic, grams, counts):
     return levels[::-1]
 
 
-def word_evidence(models, words):
-    """Difference of the log-likelihoods of each word, divided by its length plus PRIOR_LENGTH."""
+def word_likelihoods(models, words):
+    """Rows (toxic, ordinary, length) of the words: their two log-likelihoods, and their characters with the end."""
     lengths = np.array([len(w) for w in words])
     text = "".join([HEAD * (ORDER - 1) + w + TAIL for w in words])
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -125,36 +125,38 @@ def word_evidence(models, words):
         i = np.minimum(np.searchsorted(gram_keys, key), len(gram_keys) - 1)
         j = np.minimum(np.searchsorted(history_keys, history), len(history_keys) - 1)
         p = np.where(gram_keys[i] == key, found[:, i], 0.0) + np.where(history_keys[j] == history, fail[:, j], 1.0) * p
-    ratio = np.log(p[0]) - np.log(p[1])
-    return np.add.reduceat(ratio[where], np.cumsum(steps) - steps) / (lengths + PRIOR_LENGTH) if len(words) else np.zeros(0)
+    sums = [np.add.reduceat(np.log(p[k])[where], np.cumsum(steps) - steps) if len(words) else np.zeros(0) for k in range(2)]
+    return np.stack([*sums, steps.astype(float)], axis=1)
 
 
 def _evidence(models, raw, ends, memo):
-    """For each text the strongest run and the mean of its words' evidence; 0 for a text without words."""
+    """For each text the difference of its strongest run, and its toxic and ordinary log-likelihoods by length; 0 for a text without words."""
     h, places, (starts, stops) = word_hashes(raw, ends, lower=True, spans=True)
     keys, first, where = np.unique(h, return_index=True, return_inverse=True)
     n = len(places) - 1
+    out = np.zeros((n, 3))
     if not len(h):
-        return np.zeros(n), np.zeros(n)
-    value = np.array([memo.get(k, np.nan) for k in keys.tolist()])
-    new = np.flatnonzero(np.isnan(value))
+        return out
+    unknown = (np.nan, np.nan, np.nan)
+    value = np.array([memo.get(k, unknown) for k in keys.tolist()])
+    new = np.flatnonzero(np.isnan(value[:, 0]))
     if len(new):
         data = raw.tobytes()
-        value[new] = word_evidence(models, [data[a:b].decode().lower() for a, b in zip(starts[first[new]].tolist(), stops[first[new]].tolist())])
+        value[new] = word_likelihoods(models, [data[a:b].decode().lower() for a, b in zip(starts[first[new]].tolist(), stops[first[new]].tolist())])
         if len(memo) < MEMO_WORDS:
-            memo.update(zip(keys[new].tolist(), value[new].tolist()))
-    value = value[where]
+            memo.update(zip(keys[new].tolist(), map(tuple, value[new].tolist())))
     filled = np.flatnonzero(np.diff(places))
-    strongest, mean = np.zeros(n), np.zeros(n)
-    best, total = value.copy(), value.copy()
+    alone = ((value[:, 0] - value[:, 1]) / (value[:, 2] - 1 + PRIOR_LENGTH))[where]
+    best, total = alone.copy(), alone.copy()
     last = np.repeat(places[1:], np.diff(places)) - 1
     for run in range(2, RUN + 1):
-        total[: len(h) - run + 1] += value[run - 1 :]
+        total[: len(h) - run + 1] += alone[run - 1 :]
         fits = np.arange(len(h)) + run - 1 <= last
         best = np.where(fits, np.maximum(best, total / run), best)
-    strongest[filled] = np.maximum.reduceat(best, places[filled])
-    mean[filled] = np.add.reduceat(value, places[filled]) / np.diff(places)[filled]
-    return strongest, mean
+    out[filled, 0] = np.maximum.reduceat(best, places[filled])
+    toxic, ordinary, length = (np.add.reduceat(value[where, k], places[filled]) for k in range(3))
+    out[filled, 1], out[filled, 2] = toxic / length, ordinary / length
+    return out
 
 
 def _logistic(x, y, ridge=1e-3, steps=60):
@@ -170,22 +172,22 @@ def _logistic(x, y, ridge=1e-3, steps=60):
 
 
 def _run_evidence(shared, keys):
-    names = pa.schema([*((k, pa.int64()) for k in keys), ("strongest", pa.float64()), ("mean", pa.float64())])
+    names = pa.schema([*((k, pa.int64()) for k in keys), *((k, pa.float64()) for k in EVIDENCE)])
 
     def run(batches):
         memo = {}
         for batch in batches:
             for at in range(0, batch.num_rows, TEXTS):
                 part = batch.slice(at, TEXTS)
-                strongest, mean = _evidence(shared.value, *text_buffer(part.column("text")), memo)
-                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keys), pa.array(strongest), pa.array(mean)], schema=names)
+                found = _evidence(shared.value, *text_buffer(part.column("text")), memo)
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keys), *map(pa.array, found.T)], schema=names)
 
     return run
 
 
 def evidence(texts: DataFrame, shared, *keys: str) -> DataFrame:
     keys = ("doc_id", *keys)
-    return texts.select(*keys, "text").mapInArrow(_run_evidence(shared, keys), ", ".join(f"{k} long" for k in keys) + ", strongest double, mean double")
+    return texts.select(*keys, "text").mapInArrow(_run_evidence(shared, keys), ", ".join(f"{k} long" for k in keys) + "".join(f", {k} double" for k in EVIDENCE))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE, threshold: float = THRESHOLD, carry: str | None = None) -> DataFrame:
@@ -207,16 +209,16 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE,
     models = fit_models(counts.column("toxic").to_numpy(), counts.column("gram").to_pylist(), counts.column("n").to_numpy()) if counts.num_rows else []
     shared = spark.sparkContext.broadcast(models)
     # two numbers and a label for at most 2 * per_class rows
-    seen = evidence(rows.where(apart), shared).join(rows.select("doc_id", F.col("toxic").cast("double").alias("y")).dropDuplicates(["doc_id"]), "doc_id").select("strongest", "mean", "y").toArrow()
-    x, y = np.column_stack([seen.column("strongest"), seen.column("mean")]), seen.column("y").to_numpy()
+    seen = evidence(rows.where(apart), shared).join(rows.select("doc_id", F.col("toxic").cast("double").alias("y")).dropDuplicates(["doc_id"]), "doc_id").select("strongest", (F.col("toxic_log") - F.col("ordinary_log")).alias("whole"), "y").toArrow()
+    x, y = np.column_stack([seen.column("strongest"), seen.column("whole")]), seen.column("y").to_numpy()
     if len(set(y.tolist())) == 2:
         a, b, c = map(float, _logistic(x, y))
     else:
         share = float(y.mean()) if len(y) else 0.0
         a, b, c = 0.0, 0.0, float(np.log((share + 1e-3) / (1 - share + 1e-3)))
     forget(rows)
-    score = 1 / (1 + F.exp(-(F.col("strongest") * a + F.col("mean") * b + c)))
-    return evidence(docs, shared, *more).select("doc_id", *more, (crc_mod(F.col("doc_id"), 4) == 2).alias("held_out"), score.alias("score"), (score >= threshold).cast("int").alias("predicted"), "strongest", "mean")
+    score = 1 / (1 + F.exp(-(F.col("strongest") * a + (F.col("toxic_log") - F.col("ordinary_log")) * b + c)))
+    return evidence(docs, shared, *more).select("doc_id", *more, (crc_mod(F.col("doc_id"), 4) == 2).alias("held_out"), score.alias("score"), (score >= threshold).cast("int").alias("predicted"), *EVIDENCE)
 
 
 def op8_toxicity(spark, sf_dir):

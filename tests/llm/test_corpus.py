@@ -86,6 +86,29 @@ def test_quality_weights_agree_with_brute_force(spark, labels):
         assert r["score"] == pytest.approx(sum(mine) / max(1, len(mine)), abs=1)
 
 
+@pytest.mark.parametrize("threshold", [-400_000, -65_000, 0, 30_000])
+def test_quality_verdict_against_brute_force(spark, labels, threshold):
+    """kept is the base rules and the sum of the weights, counted in plain Python from the buckets of each word and pair."""
+    rows = [r for r in ROWS if r[0] != 12] + [(40 + k, " ".join(f"{'xyz'[(j * k) % 3]}{(j * j * k) % 61}" for j in range(60 + k))) for k in range(12)]
+    hashed = sorted({(w,) for _, t in rows for w in words(t)} | {p for _, t in rows for p in zip(words(t), words(t)[1:])})
+    known = spark.createDataFrame([(list(g),) for g in hashed], "g array<string>").select("g", F.when(F.size("g") > 1, F.xxhash64(F.get("g", 0), F.get("g", 1))).otherwise(F.xxhash64(F.get("g", 0))).alias("h"))
+    bucket = {tuple(r["g"]): r["h"] % quality.BUCKETS for r in known.collect()}
+    grams = lambda t: [bucket[(w,)] for w in words(t)] + [bucket[p] for p in zip(words(t), words(t)[1:])]
+    trusted = {r["doc_id"] for r in labels.where("quality = 1 and doc_id is not null").collect()}
+    raw, target = (collections.Counter(b for i, t in rows if keep(i) for b in grams(t)) for keep in (lambda i: True, lambda i: i in trusted))
+    share = lambda c, b: (c[b] + 1) / (sum(c.values()) + quality.BUCKETS)
+    weight = {b: round(1e6 * (math.log(share(target, b)) - math.log(share(raw, b)))) for b in raw}
+    expected = []
+    for i, t in rows:
+        w, c = words(t), collections.Counter(zip(words(t), words(t)[1:], words(t)[2:]))
+        twice = {k + d for k in range(len(w) - 2) if c[w[k], w[k + 1], w[k + 2]] > 1 for d in range(3)}
+        failed = len(w) < 50 or 100 * len(twice) > 50 * len(w)
+        expected.append((i, not failed and sum(weight[b] for b in grams(t)) >= threshold * len(grams(t))))
+    got = quality.judge(table(spark, rows, clashes=False), labels, threshold=threshold).collect()
+    assert multiset((r["doc_id"], r["kept"]) for r in got) == multiset(expected)
+    assert any(k for _, k in expected) or threshold > -400_000
+
+
 @pytest.mark.parametrize("order", [1, 2, 3])
 def test_lm_scoring(docs, empty, order):
     got = lm_scoring.score_texts(docs, crc_mod(F.col("doc_id"), 7) != 2, order=order, mu=3.0, theta=50.0).collect()
@@ -262,7 +285,43 @@ def test_kneser_ney_sums_to_one():
         mine = [k for k, g in enumerate(grams) if toxicity._hash(toxicity._codes([g[0][:-1]]))[0] == h]
         mass = sum(found[0][keys == toxicity._hash(toxicity._codes([grams[k][0]]))[0]][0] for k in mine)
         assert mass + f[0] == pytest.approx(1.0)
-    assert len(toxicity.word_evidence(models, words_of_two)) == 2
+    assert toxicity.word_likelihoods(models, words_of_two).shape == (2, 3)
+
+
+def test_toxicity_scores_against_brute_force():
+    """Likelihoods of texts by the recursive definition of the two models, from counted strings."""
+    import random
+
+    rng = random.Random(5)
+    make = lambda letters: "".join(rng.choice(letters) for _ in range(rng.randrange(1, 7)))
+    train = [(k % 3 == 0, make("abcé" if k % 3 else "bcdz")) for k in range(120)]
+    k, top = toxicity.DISCOUNT, toxicity.ORDER
+    pad = lambda w: "\x02" * (top - 1) + w + "\x03"
+    grams = collections.Counter((t, pad(w)[i : i + top]) for t, w in train for i in range(len(w) + 1))
+    models = toxicity.fit_models([t for t, _ in grams], [g for _, g in grams], list(grams.values()))
+    counts = {top: grams}
+    for order in range(1, top):
+        longer = {(False if order <= toxicity.SHARED_ORDER else t, g[-order - 1 :]) for t, g in grams}
+        counts[order] = collections.Counter((t, g[1:]) for t, g in longer)
+
+    def chance(t, g):
+        if not g:
+            return 1e-5
+        mine = {h: n for (c, h), n in counts[len(g)].items() if h[:-1] == g[:-1] and c == (False if len(g) <= toxicity.SHARED_ORDER else t)}
+        lower = chance(t, g[1:])
+        return (max(mine.get(g, 0) - k, 0) + min(k, 1) * len(mine) * lower) / sum(mine.values()) if mine else lower
+
+    spelt = lambda t, w: sum(math.log(chance(t, pad(w)[i : i + top])) for i in range(len(w) + 1))
+    texts = ["", " ".join(make("abcdzé") for _ in range(40)), "zzz", "bcd dcb\nunseenq", "  a  "]
+    import pyarrow as pa
+
+    got = toxicity._evidence(models, *toxicity.text_buffer(pa.array(texts)), {})
+    for text, (strongest, toxic, ordinary) in zip(texts, got):
+        w = text.split()
+        length = sum(len(x) + 1 for x in w) or 1
+        alone = [(spelt(True, x) - spelt(False, x)) / (len(x) + toxicity.PRIOR_LENGTH) for x in w]
+        runs = [sum(alone[i : i + n]) / n for n in range(1, toxicity.RUN + 1) for i in range(len(w) - n + 1)]
+        assert [strongest, toxic, ordinary] == pytest.approx([max(runs, default=0), sum(spelt(True, x) for x in w) / length, sum(spelt(False, x) for x in w) / length])
 
 
 def test_pii(docs, empty):
