@@ -24,6 +24,8 @@ SHARE, ENOUGH = 0.5, 100
 BLOCK_CHARS = 4_000_000
 #: log2 of the size of the table of q-grams asked first.
 TABLE_BITS = 22
+#: Pairs of a text place and an item place that are looked at together.
+HITS = 1_000_000
 #: Texts looked at together have about so many characters.
 CHUNK_CHARS = 400_000
 
@@ -96,21 +98,11 @@ def banded_edits(a, b, most):
     return int(row[len(b) - len(a) + most])
 
 
-def _candidates(index, q, window, errors, codes, starts):
-    """(item, first place in the item, last, first place in the text, last) of each region of a band that meets the bound; codes holds several texts, and a region stays within one."""
-    grams = _grams(codes, q)
-    at = np.flatnonzero(index.table[grams >> np.uint64(64 - TABLE_BITS)])
-    if not len(at):
-        return []
-    found = np.minimum(np.searchsorted(index.keys, grams[at]), len(index.keys) - 1)
-    same = index.keys[found] == grams[at]
-    at, found = at[same], found[same]
-    owner = np.searchsorted(starts, at, side="right") - 1
-    inside = at + q <= starts[owner + 1]
-    at, found, owner = at[inside], found[inside], owner[inside]
+def _dense(index, q, window, errors, starts, at, found, owner):
+    """Rows (owner, item, band, first place in the item, last, first hit, last) of the regions of each band in which windows meet the bound. at are text places, found the index's keys there."""
     times = index.count[found]
     hit = np.repeat(at, times)
-    entry = np.repeat(index.first[found] - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(times.sum()) if len(times) else np.zeros(0, np.int64)
+    entry = np.repeat(index.first[found] - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(times.sum())
     item, place, owner = index.item[entry], index.place[entry], np.repeat(owner, times)
     diagonal = hit - starts[owner] - place
     # bands of 2 * (errors + 1) diagonals begin every errors + 1
@@ -121,17 +113,50 @@ def _candidates(index, q, window, errors, codes, starts):
     need = window + 1 - q * (errors + 1)
     n = len(hit) - need + 1
     if n <= 0:
-        return []
+        return np.zeros((0, 7), np.int64)
     group = np.concatenate([[0], np.cumsum((item[1:] != item[:-1]) | (owner[1:] != owner[:-1]) | (band[1:] != band[:-1]))])
     dense = np.flatnonzero((group[:n] == group[need - 1 :]) & (hit[need - 1 :] - hit[:n] <= window + errors - q))
+    if not len(dense):
+        return np.zeros((0, 7), np.int64)
     # runs of windows that meet the bound and lie near each other are one region
-    out = []
-    if len(dense):
-        new = np.concatenate([[True], (group[dense][1:] != group[dense][:-1]) | (hit[dense][1:] - hit[dense + need - 1][:-1] > window)])
-        for i, j in zip(np.flatnonzero(new), np.concatenate([np.flatnonzero(new)[1:], [len(dense)]])):
-            s, e = dense[i], dense[j - 1] + need - 1
-            out.append((int(owner[s]), int(item[s]), int(place[s : e + 1].min()), int(place[s : e + 1].max()) + q, int(hit[s] - starts[owner[s]]), int(hit[e] - starts[owner[s]]) + q))
-    return out
+    new = np.flatnonzero(np.concatenate([[True], (group[dense][1:] != group[dense][:-1]) | (hit[dense][1:] - hit[dense + need - 1][:-1] > window)]))
+    first, last = dense[new], dense[np.concatenate([new[1:], [len(dense)]]) - 1] + need - 1
+    ends = np.stack([first, last + 1], axis=1).ravel()
+    low, high = (f.reduceat(np.append(place, place[-1]), ends)[::2] for f in (np.minimum, np.maximum))
+    return np.stack([owner[first], item[first], band[first], low, high, hit[first], hit[last]], axis=1)
+
+
+def _candidates(index, q, window, errors, codes, starts):
+    """(text, first place in the item, last, first place in the text, last) of each region of a band that meets the bound; codes holds several texts, and a region stays within one.
+
+    Places are taken in strips of at most HITS pairs, so that what repeats in
+    text and item is held in parts. A strip begins a window early: each window
+    lies within one, and regions of one band that go on in the next are joined.
+    """
+    grams = _grams(codes, q)
+    at = np.flatnonzero(index.table[grams >> np.uint64(64 - TABLE_BITS)])
+    if not len(at):
+        return []
+    found = np.minimum(np.searchsorted(index.keys, grams[at]), len(index.keys) - 1)
+    same = index.keys[found] == grams[at]
+    at, found = at[same], found[same]
+    owner = np.searchsorted(starts, at, side="right") - 1
+    inside = at + q <= starts[owner + 1]
+    at, found, owner = at[inside], found[inside], owner[inside]
+    if not len(at):
+        return []
+    strip = np.cumsum(index.count[found]) // HITS
+    begins = np.flatnonzero(np.concatenate([[True], strip[1:] != strip[:-1]]))
+    parts = []
+    for i, j in zip(begins, np.append(begins[1:], len(at))):
+        i = np.searchsorted(at, at[i] - (window + errors - q))
+        parts.append(_dense(index, q, window, errors, starts, at[i:j], found[i:j], owner[i:j]))
+    rows = np.concatenate(parts)
+    if len(parts) > 1 and len(rows):
+        rows = rows[np.lexsort((rows[:, 6], rows[:, 5], rows[:, 2], rows[:, 1], rows[:, 0]))]
+        new = np.flatnonzero(np.concatenate([[True], (rows[1:, :3] != rows[:-1, :3]).any(axis=1) | (rows[1:, 5] - rows[:-1, 6] > window)]))
+        rows = np.concatenate([rows[new, :3], np.minimum.reduceat(rows[:, 3:4], new), np.maximum.reduceat(rows[:, 4:5], new), np.minimum.reduceat(rows[:, 5:6], new), np.maximum.reduceat(rows[:, 6:7], new)], axis=1)
+    return [(o, item, low, high + q, h0 - int(starts[o]), h1 - int(starts[o]) + q) for o, item, _, low, high, h0, h1 in rows.tolist()]
 
 
 def _runs(a, b, q, slack):
