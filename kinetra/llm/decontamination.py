@@ -10,6 +10,9 @@ that bound are kept and verified by a banded alignment.
 
 from __future__ import annotations
 
+import bisect
+import heapq
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -208,28 +211,63 @@ def _parts(runs, least, errors, window):
             todo += [(i, first), (last + 1, j)]
 
 
-def _verify(index, text, region, q, window, errors):
-    """The region widened by equal characters, with its edits, or the parts of it that are within the budget if it is not; none below the least length."""
-    _, item, i0, i1, d0, d1 = region
-    passage = index.codes[item]
+def _widened(passage, text, i0, i1, d0, d1):
+    """The region with the equal characters on both sides of it."""
     while i0 > 0 and d0 > 0 and passage[i0 - 1] == text[d0 - 1]:
         i0, d0 = i0 - 1, d0 - 1
     while i1 < len(passage) and d1 < len(text) and passage[i1] == text[d1]:
         i1, d1 = i1 + 1, d1 + 1
+    return i0, i1, d0, d1
+
+
+def _verify(passage, text, region, q, window, errors):
+    """(i0, i1, d0, d1, edits) of the region, or of the parts of it that are within the budget if it is not; none below the least length."""
+    i0, i1, d0, d1 = region
     least = min(max(window, SHARE * len(passage)), max(window, ENOUGH), len(passage))
     if i1 - i0 < least:
         return []
     most = errors * (i1 - i0) // window
     edits = banded_edits(passage[i0:i1], text[d0:d1], most)
     if edits <= most:
-        return [(index.ids[item], d0, d1, i0, i1, edits)]
+        return [(i0, i1, d0, d1, edits)]
     found = []
     for a0, a1, b0, b1 in _parts(_runs(passage[i0:i1], text[d0:d1], q, 2 * (errors + 1)), least, errors, window):
         a0, a1, b0, b1 = int(i0 + a0), int(i0 + a1), int(d0 + b0), int(d0 + b1)
-        found.append((index.ids[item], b0, b1, a0, a1, banded_edits(passage[a0:a1], text[b0:b1], errors * (a1 - a0) // window)))
+        found.append((a0, a1, b0, b1, banded_edits(passage[a0:a1], text[b0:b1], errors * (a1 - a0) // window)))
     return found
 
 
+def _passages(index, text, regions, q, window, errors):
+    """(d0, d1, i0, i1, edits) of the passages in the regions of one text, no two of which share a place of the text: the longest first, of equals the first in the text.
+
+    A region is aligned once no longer one is left, and only what accepted
+    passages leave of it. So where text and item repeat themselves and meet on
+    many diagonals, most of these need no alignment.
+    """
+    # a passage has no fewer characters of the text
+    short = min(window, min(len(index.codes[item]) for item, *_ in regions)) * (window - errors) // window
+    widened = {(item, *_widened(index.codes[item], text, *places)) for item, *places in regions}
+    queue = [(d0 - d1, True, d0, d1, item, i0, i1, 0) for item, i0, i1, d0, d1 in widened]
+    heapq.heapify(queue)
+    begins, ends, found = [], [], []
+    while queue:
+        _, fresh, d0, d1, item, i0, i1, edits = heapq.heappop(queue)
+        first, last = bisect.bisect_right(ends, d0), bisect.bisect_left(begins, d1)
+        if first < last:
+            for g0, g1 in zip([d0, *ends[first:last]], [*begins[first:last], d1]):
+                j0, j1 = i0 + max(g0 - d0, 0), i1 - max(d1 - g1, 0)
+                if g1 - g0 >= short and j0 < j1:
+                    heapq.heappush(queue, (g0 - g1, True, g0, g1, item, j0, j1, 0))
+        elif fresh:
+            for i0, i1, d0, d1, edits in _verify(index.codes[item], text, (i0, i1, d0, d1), q, window, errors):
+                heapq.heappush(queue, (d0 - d1, False, d0, d1, item, i0, i1, edits))
+        else:
+            begins.insert(first, d0)
+            ends.insert(first, d1)
+            found.append((d0, d1, i0, i1, edits))
+    return sorted(found)
+
+
 def _search(shared, q, window, errors):
     def run(batches):
         index = Index(shared.value, q)
@@ -244,16 +282,12 @@ def _search(shared, q, window, errors):
                     j += 1
                 codes = _codes("".join(texts))
                 starts = np.cumsum([0, *map(len, texts)])
-                best = {}
-                for region in _candidates(index, q, window, errors, codes, starts):
-                    owner = region[0]
-                    for got in _verify(index, codes[starts[owner] : starts[owner + 1]], region, q, window, errors):
-                        # bands overlap: of the regions that share a place, the longest with fewest edits stays
-                        kept = best.setdefault((owner, got[0]), [])
-                        rivals = [x for x in kept if x[1] < got[2] and got[1] < x[2]]
-                        if got == min([got, *rivals], key=lambda x: (x[1] - x[2], x[5], x)):
-                            best[owner, got[0]] = [x for x in kept if x not in rivals] + [got]
-                rows += [(ids[i + owner], *x) for (owner, _), kept in sorted(best.items()) for x in sorted(set(kept))]
+                regions = {}
+                for owner, item, i0, i1, d0, d1 in _candidates(index, q, window, errors, codes, starts):
+                    regions.setdefault((owner, index.ids[item]), []).append((item, i0, i1, d0, d1))
+                for (owner, item_id), places in regions.items():
+                    found = _passages(index, codes[starts[owner] : starts[owner + 1]], places, q, window, errors)
+                    rows += [(ids[i + owner], item_id, *x) for x in found]
                 i = j
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [[]] * 7)], schema=FOUND_ARROW)
 

@@ -190,6 +190,18 @@ def test_leaks_beside_a_replaced_stretch(spark):
         assert edits == r["edits"] <= 0.06 * (r["item_end"] - r["item_start"])
 
 
+def test_leaks_of_one_period(spark):
+    """Text and item meet on thousands of diagonals; passages share no place of the text, are exact but for the ends, and leave less than one between them."""
+    items, rows = [(1, "ab " * 1500), (2, "x" * 120)], [(1, "ab " * 6000), (2, "ab " * 6000 + "end"), (3, "x" * 3000), (4, "ab cd " * 60)]
+    found = decontamination.find_leaks(table(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in found} == {(1, 1), (2, 1), (3, 2)}
+    for doc, text in rows[:3]:
+        spans = sorted((r["doc_start"], r["doc_end"]) for r in found if r["doc_id"] == doc)
+        ends = [0, *(b for _, b in spans)]
+        assert all(0 <= a - b < 94 for (a, _), b in zip(spans, ends)) and len(decontamination.normal(text)) - ends[-1] < 97
+    assert all(r["edits"] <= 12 for r in found)
+
+
 def test_leaks_in_strips_are_the_same(spark, monkeypatch):
     """However few pairs of places are looked at together, the same candidates come out, also of texts and items that repeat one period."""
     import random
