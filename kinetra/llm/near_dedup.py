@@ -11,8 +11,9 @@ A class of which more than 1 - threshold of the shingles stand in no other
 candidate class can be linked to none, and leaves before any comparison.
 Within a bucket, the remaining candidates are compared with a central member (the one that
 shares most buckets with others), not with each other: what is linked to it
-is settled, and the rest elects a centre of its own, for a few rounds. What
-remains is compared pair by pair, and so is what missed the centre with what
+is settled, and the rest elects a centre of its own, for two rounds, and for
+more while these at least halve the largest bucket. Large buckets are compared
+with their centre in parts. What remains is compared pair by pair, and so is what missed the centre with what
 is settled, where counts already known leave a link possible and the two are
 not in the same component yet. All links are confirmed on full shingle sets.
 """
@@ -30,6 +31,8 @@ from .words import mix, text_buffer, windows, word_hashes
 
 BANDS, ROWS = 26, 6
 ROUNDS = 2
+#: Members of a bucket that meet in one task; a larger bucket is cut into parts.
+CROWD = 512
 #: Bits of the table by which texts outside all buckets are left out before the shuffle.
 MAYBE_BITS = 1 << 23
 #: Shingles hashed at a time, so that a signature is made in cache.
@@ -151,14 +154,31 @@ def _possibly(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return near.where(F.getbit(byte, (bit % 8).cast("int")) == 1).drop("part", "bits")
 
 
+def _in_crowds(members: DataFrame, name: str) -> DataFrame:
+    """Members (bucket, rep, ...) of buckets that hold two or more, with the bucket's size n and the member's part of it.
+
+    Parts have about CROWD members. The large buckets alone, at most one for
+    every CROWD members, are joined first, so that no bucket is one group.
+    """
+    sizes = materialize(members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").withColumn("parts", F.ceil(F.col("n") / CROWD)), f"{name}-sizes")
+    large = materialize(sizes.where("parts > 1").select("bucket", "parts"), f"{name}-large")
+    dealt = members.join(large, "bucket", "left").withColumn("part", F.pmod(F.xxhash64("rep"), F.coalesce("parts", F.lit(1)))).drop("parts")
+    each = sizes.select("bucket", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    found = materialize(dealt.join(each, ["bucket", "part"]).distinct(), name)
+    forget(sizes)
+    forget(large)
+    return found
+
+
 def _linkable(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Members of classes whose shingles are shared widely enough for a link to be possible, in buckets that still hold two."""
     seen = sets.join(members.select("rep").distinct(), "rep", "left_semi").select("rep", F.size("shingles").alias("size"), "shingles")
     alone = seen.select("rep", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n"), F.min("rep").alias("rep")).where("n = 1").groupBy("rep").agg(F.count("*").alias("own"))
     able = seen.select("rep", "size").join(alone, "rep", "left").select("rep", "size", F.coalesce("own", F.lit(0)).alias("own")).where(f"100 * (size - own) >= {percent} * size")
-    left = members.select("bucket", "rep").join(able, "rep")
-    crowd = left.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    return materialize(left.join(crowd, "bucket").select("bucket", "rep", "n", "size", "own"), "near-members")
+    left = materialize(members.select("bucket", "rep").join(able, "rep"), "near-able")
+    found = _in_crowds(left, "near-open")
+    forget(left)
+    return found
 
 
 def _possible(x: str, y: str, percent: int):
@@ -204,19 +224,20 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5, bands: in
     carried = [carry] if carry else []
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), *carried)
     rows_of = materialize(docs.mapInArrow(_signatures(size, bands, rows, ("doc_id", *carried)), "".join(f"{k} long, " for k in ("doc_id", *carried)) + "n_shingles long, same binary, bands array<long>"), "near-signatures")
-    classes = rows_of.where("doc_id is not null and same is not null").groupBy("same").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
-    dealt = classes.select("rep", F.explode("bands").alias("bucket"))
-    crowded = dealt.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    members = materialize(dealt.join(crowded, "bucket").select("bucket", "rep", "n").distinct(), "near-members")
+    classes = materialize(rows_of.where("doc_id is not null and same is not null").groupBy("same").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "near-classes")
+    # classes of one doc_id with several texts may stand in a bucket twice
+    members = _in_crowds(classes.select("rep", F.explode("bands").alias("bucket")), "near-members")
     involved = members.select("rep").distinct()
     # a class is compared by one of its texts: that of its smallest document
     texts = _possibly(docs, involved).join(involved.hint("merge"), F.col("doc_id") == F.col("rep")).select("rep", "text")
     sets = materialize(texts.mapInArrow(_set_rows(size), "rep long, shingles array<long>"), "near-sets")
-    open_, known, late = _linkable(members, sets, percent), None, None
-    for _ in range(ROUNDS):
+    open_, known, late, n_rounds, largest = _linkable(members, sets, percent), None, None, 0, 0
+    # further rounds while they at least halve a bucket that is still large
+    while n_rounds < ROUNDS or CROWD < largest <= before / 2:
         central = open_.groupBy("rep").agg(F.sum("n").alias("weight"))
-        elected = open_.join(central, "rep").groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("rep")).alias("centre"))).alias("top")).select("bucket", (-F.col("top.centre")).alias("centre"))
-        stars = materialize(open_.join(elected, "bucket").where("rep <> centre").select("bucket", "rep", "centre", "size", "own"), "near-stars")
+        elected = open_.join(central, "rep").groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("rep")).alias("centre"))).alias("top"), F.max("part").alias("last"))
+        elected = elected.select("bucket", (-F.col("top.centre")).alias("centre"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))).alias("part"))
+        stars = materialize(open_.join(elected, ["bucket", "part"]).where("rep <> centre").select("bucket", "rep", "centre", "size", "own"), "near-stars")
         pairs = stars.select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct()
         pairs = pairs if known is None else pairs.join(known, ["a", "b"], "left_anti")
         found = _verified(pairs, sets)
@@ -226,9 +247,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5, bands: in
         missed, settled = judged.where("not linked").alias("x"), judged.where("linked").alias("y")
         grey = missed.join(settled, (F.col("x.bucket") == F.col("y.bucket")) & _possible("x", "y", percent)).select(F.col("x.rep").alias("rep"), F.col("y.rep").alias("other"))
         late = grey if late is None else late.unionByName(grey)
-        rest = judged.where("not linked").drop("linked")
-        sizes = rest.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-        open_ = materialize(rest.join(sizes, "bucket"), "near-open")
+        open_ = _in_crowds(judged.where("not linked").drop("linked"), "near-open")
+        n_rounds, before, largest = n_rounds + 1, largest or float("inf"), open_.agg(F.coalesce(F.max("n"), F.lit(0)).alias("n")).first()["n"]
     links = known.where(f"100 * both >= {percent} * either")
     label = components(links)
     rest = open_.alias("x").join(open_.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.rep") < F.col("y.rep")) & _possible("x", "y", percent)).select(F.col("x.rep").alias("rep"), F.col("y.rep").alias("other"))

@@ -228,10 +228,13 @@ def test_near_dedup(docs, empty):
     assert near_dedup.near_duplicates(empty).count() == 0
 
 
-def test_near_dedup_in_crowds(spark):
-    """Chains and crowds of near copies at every distance from the threshold."""
+@pytest.mark.parametrize("crowd", [near_dedup.CROWD, 7])
+def test_near_dedup_in_crowds(spark, monkeypatch, crowd):
+    """Chains and crowds of near copies at every distance from the threshold, in whole buckets and in parts of them."""
     import random
 
+    monkeypatch.setattr(near_dedup, "CROWD", crowd)
+
     rng, rows = random.Random(5), []
     base = [[f"b{k}w{i}" for i in range(120)] for k in range(3)]
     for i in range(260):
