@@ -129,6 +129,28 @@ def word_likelihoods(models, words):
     return np.stack([*sums, steps.astype(float)], axis=1)
 
 
+class Memo:
+    """Likelihoods of up to `most` words by their hash, in sorted arrays (32 bytes a word)."""
+
+    def __init__(self, most):
+        self.most, self.keys, self.rows = most, np.zeros(0, np.uint64), np.zeros((0, 3))
+
+    def get(self, keys):
+        """A row for each key, nan where it is not known."""
+        out = np.full((len(keys), 3), np.nan)
+        if len(self.keys):
+            at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+            known = self.keys[at] == keys
+            out[known] = self.rows[at[known]]
+        return out
+
+    def add(self, keys, rows):
+        """Keys are sorted and new."""
+        if len(self.keys) < self.most:
+            at = np.searchsorted(self.keys, keys)
+            self.keys, self.rows = np.insert(self.keys, at, keys), np.insert(self.rows, at, rows, axis=0)
+
+
 def _evidence(models, raw, ends, memo):
     """For each text the difference of its strongest run, and its toxic and ordinary log-likelihoods by length; 0 for a text without words."""
     h, places, (starts, stops) = word_hashes(raw, ends, lower=True, spans=True)
@@ -137,14 +159,12 @@ def _evidence(models, raw, ends, memo):
     out = np.zeros((n, 3))
     if not len(h):
         return out
-    unknown = (np.nan, np.nan, np.nan)
-    value = np.array([memo.get(k, unknown) for k in keys.tolist()])
+    value = memo.get(keys)
     new = np.flatnonzero(np.isnan(value[:, 0]))
     if len(new):
         data = raw.tobytes()
         value[new] = word_likelihoods(models, [data[a:b].decode().lower() for a, b in zip(starts[first[new]].tolist(), stops[first[new]].tolist())])
-        if len(memo) < MEMO_WORDS:
-            memo.update(zip(keys[new].tolist(), map(tuple, value[new].tolist())))
+        memo.add(keys[new], value[new])
     filled = np.flatnonzero(np.diff(places))
     alone = ((value[:, 0] - value[:, 1]) / (value[:, 2] - 1 + PRIOR_LENGTH))[where]
     best, total = alone.copy(), alone.copy()
@@ -175,7 +195,7 @@ def _run_evidence(shared, keys):
     names = pa.schema([*((k, pa.int64()) for k in keys), *((k, pa.float64()) for k in EVIDENCE)])
 
     def run(batches):
-        memo = {}
+        memo = Memo(MEMO_WORDS)
         for batch in batches:
             for at in range(0, batch.num_rows, TEXTS):
                 part = batch.slice(at, TEXTS)

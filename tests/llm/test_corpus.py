@@ -318,7 +318,7 @@ def test_toxicity_scores_against_brute_force():
     texts = ["", " ".join(make("abcdzé") for _ in range(40)), "zzz", "bcd dcb\nunseenq", "  a  "]
     import pyarrow as pa
 
-    got = toxicity._evidence(models, *toxicity.text_buffer(pa.array(texts)), {})
+    got = toxicity._evidence(models, *toxicity.text_buffer(pa.array(texts)), toxicity.Memo(7))
     for text, (strongest, toxic, ordinary) in zip(texts, got):
         w = text.split()
         length = sum(len(x) + 1 for x in w) or 1
