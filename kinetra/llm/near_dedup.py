@@ -37,6 +37,8 @@ CROWD = 512
 MAYBE_BITS = 1 << 23
 #: Shingles hashed at a time, so that a signature is made in cache.
 STRIP = 512
+#: Texts hashed together.
+TEXTS = 500
 
 
 def _sets(raw, ends, size):
@@ -81,11 +83,18 @@ def band_keys(coordinates, bands=BANDS, rows=ROWS):
     return key.view(np.int64)
 
 
+def _slices(batches):
+    """The batches in slices of at most TEXTS rows, which bound what hashing their texts holds."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, TEXTS):
+            yield batch.slice(at, TEXTS)
+
+
 def _signatures(size, bands, rows, keys):
     names = pa.schema([*((k, pa.int64()) for k in keys), ("n_shingles", pa.int64()), ("same", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches):
-        for batch in batches:
+        for batch in _slices(batches):
             raw, ends = text_buffer(batch.column("text"))
             n, same, bands_of = [], [], []
             for s in _sets(raw, ends, size):
@@ -106,7 +115,7 @@ def _set_rows(size):
     names = pa.schema([("rep", pa.int64()), ("shingles", pa.list_(pa.int64()))])
 
     def run(batches):
-        for batch in batches:
+        for batch in _slices(batches):
             raw, ends = text_buffer(batch.column("text"))
             sets = [s.view(np.int64) for s in _sets(raw, ends, size)]
             places = np.cumsum([0, *map(len, sets)], dtype=np.int32)
