@@ -29,7 +29,7 @@ FIRST_LATER = int(LATER.split("-")[0], 16)
 #: Word forms kept from one batch to the next, in each of two generations.
 MEMO_FORMS = 150_000
 #: Texts whose forms are merged together.
-TEXTS = 700
+TEXTS = 300
 SYMBOL_BITS = 20
 
 
