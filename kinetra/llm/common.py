@@ -18,10 +18,12 @@ _own_dir: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a fresh local one where it is unset."""
+    """The folder all executors share: spark.checkpoint.dir; only a session on one machine may leave it unset."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not _own_dir:
         _own_dir.append(tempfile.mkdtemp(prefix="kinetra-"))
         atexit.register(shutil.rmtree, _own_dir[0], ignore_errors=True)
@@ -56,10 +58,3 @@ def crc_mod(key: Column, n: int) -> Column:
 def let(value: Column, body) -> Column:
     """Evaluate an expression once and hand it to body as a variable."""
     return F.get(F.transform(F.array(value), lambda x: body(x)), 0)
-
-
-def pow2_at_least(n: float) -> int:
-    p = 1
-    while p < n:
-        p *= 2
-    return p

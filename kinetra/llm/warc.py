@@ -19,7 +19,6 @@ import json
 import uuid
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
@@ -124,14 +123,15 @@ def shard_of(borders: list[tuple[int, int]]):
     keys, many = np.array([b[0] for b in borders], np.int64), np.array([b[1] for b in borders], np.int64)
     first = np.cumsum(many) - many
 
-    @F.pandas_udf("long")
-    def find(page_id: pd.Series, spread: pd.Series) -> pd.Series:
-        given = page_id.notna().to_numpy()
-        out = -1 - spread.to_numpy() % NULL_SHARDS
+    # Arrow arrays keep a key that is null apart from the numbers, which pandas would turn into floats
+    @F.arrow_udf("long")
+    def find(page_id: pa.Array, spread: pa.Array) -> pa.Array:
+        given, spread = page_id.is_valid().to_numpy(zero_copy_only=False), spread.to_numpy()
+        out = -1 - spread % NULL_SHARDS
         if given.any():
-            at = np.searchsorted(keys, page_id[given].astype("int64").to_numpy(), side="right") - 1
-            out[given] = first[at] + spread.to_numpy()[given] % many[at]
-        return pd.Series(out)
+            at = np.searchsorted(keys, page_id.drop_null().to_numpy(), side="right") - 1
+            out[given] = first[at] + spread[given] % many[at]
+        return pa.array(out, pa.int64())
 
     return find
 

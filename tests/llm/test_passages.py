@@ -84,6 +84,18 @@ def test_warc_shards_of_far_and_hot_keys(spark, tmp_path):
     assert sorted(got) == sorted({(k, t) for k, _, t in rows})
 
 
+def test_warc_of_null_keys_beside_keys_above_two_to_the_53(spark, tmp_path):
+    """A null key in a batch must not change the shard of a large one: repeats stay revisits."""
+    same = "shared payload " * 20
+    rows = [(2**60 + k, "http://x", same if k % 2 else f"own {k} " * 30) for k in range(8)] + [(None, None, same), (None, "http://n", "x")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    folder = f"file://{tmp_path}/large"
+    warc.write_archives(pages, folder, shard_bytes=300)
+    got = {(r["page_id"], r["record_type"], r["refers_to"]) for r in warc.read_archives(spark, folder).where("page_id is not null").collect()}
+    assert got == {(2**60 + k, "revisit" if k in (3, 5, 7) else "response", 2**60 + 1 if k in (3, 5, 7) else None) for k in range(8)}
+    assert warc.read_archives(spark, folder).where("page_id is null").count() == 2
+
+
 def test_warc_record_ids_are_unique(pages, tmp_path):
     manifest = warc.write_archives(pages, f"file://{tmp_path}/ids")
     found = [h for x in manifest["files"] for h, _ in warc.parse(gzip.decompress((tmp_path / "ids" / x["name"]).read_bytes()))]
