@@ -25,9 +25,12 @@ def _motion(k: Column) -> dict[str, Column]:
 
 
 def fleet(spark: SparkSession, sf_dir: str, source: str = "customer", key: str = "c_custkey") -> DataFrame:
-    """Vehicles by the rows of a table; a table of one small file is one split, so its rows are dealt out before any join."""
-    k = F.col(key)
-    return table(spark, sf_dir, source).select(key).repartition(spark.sparkContext.defaultParallelism).select(
+    """Vehicles by the rows of a table; one with fewer splits than there are cores is dealt out before any join, larger ones are not moved."""
+    k, keys = F.col(key), table(spark, sf_dir, source).select(key)
+    cores = spark.sparkContext.defaultParallelism
+    if keys.rdd.getNumPartitions() < cores:
+        keys = keys.repartition(cores)
+    return keys.select(
         k.alias("id"), *(v.cast("double").alias(n) for n, v in _motion(k).items()),
         _pick([2.0, 4.0, 5.0, 1.0], k % 4).alias("size"), _pick(["car", "truck", "bus", "motorcycle"], k % 4).alias("type"), F.lit(0.0).alias("ts"),
     )

@@ -124,9 +124,9 @@ def shard_owners(spark, sf):
 
 
 def risk_by_id(spark, sf):
-    """The risk of smallest id."""
-    risks = D.detect(X.fleet(spark, sf))
-    return rounded(risks.join(F.broadcast(risks.agg(F.min("risk_id").alias("risk_id"))), "risk_id", "left_semi").select("risk_id", "vehicle_id", "other_vehicle_id", "risk_level"), "risk_level")
+    """The risk of smallest id, found in one pass."""
+    found = D.detect(X.fleet(spark, sf)).agg(F.min_by(F.struct("risk_id", "vehicle_id", "other_vehicle_id", "risk_level"), "risk_id").alias("risk")).where("risk is not null")
+    return rounded(found.select("risk.*"), "risk_level")
 
 
 def api_vehicle_risks(spark, sf):
@@ -136,7 +136,7 @@ def api_vehicle_risks(spark, sf):
 def collision_times(spark, sf):
     """When each look-ahead collision is due, for vehicles with two records of their past or more: here, their orders."""
     counts = X.table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.count("*").alias("history"))
-    due = D.lookahead(X.fleet(spark, sf).join(counts, "id"))
+    due = D.lookahead(X.fleet(spark, sf).join(counts, "id"), threshold=0.1)
     return rounded(due.select("vehicle_id1", "vehicle_id2", "estimated_collision_time"), "estimated_collision_time")
 
 

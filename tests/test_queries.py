@@ -1,4 +1,4 @@
-"""Every registered query against its DuckDB equivalent on the smallest tables, and streams against their batch twins."""
+"""Every registered query against its DuckDB equivalent, on the smallest tables that give it rows, and streams against their batch twins."""
 
 import glob
 import math
@@ -12,16 +12,22 @@ import __spark_entry__ as entry
 from kinetra.plans import registry
 
 QUERIES, SQL = registry.queries(), registry.oracle_sql()
+#: The smallest fleet has few vehicles in a cell, and no risk among them: what it leaves empty is compared on the next larger tables.
+LARGER = "/root/testdata/sf0.01"
 
 
-@pytest.fixture(scope="module")
-def duck():
+def tables(folder):
     con = duckdb.connect()
-    for path in glob.glob(f"{SF}/*.parquet"):
+    for path in glob.glob(f"{folder}/*.parquet"):
         con.sql(f"create view {os.path.basename(path)[:-8]} as select * from '{path}'")
     return con
 
 
+@pytest.fixture(scope="module")
+def duck():
+    return [(folder, tables(folder)) for folder in (SF, LARGER)]
+
+
 def plain(v):
     if v is None or (isinstance(v, float) and math.isnan(v)):
         return None
@@ -37,15 +43,20 @@ def table(names, rows):
 
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_query_equals_sql(spark, duck, name):
-    got, sql = QUERIES[name](spark, SF), duck.sql(SQL[name])
+    for folder, con in duck:
+        sql = con.sql(SQL[name])
+        expected = table(sql.columns, sql.fetchall())
+        if any(isinstance(v, (str, float)) and v for r in expected for v in r):
+            break
+    assert expected, "no tables give it a row"
+    got = QUERIES[name](spark, folder)
     assert sorted(got.columns) == sorted(sql.columns)
-    assert table(got.columns, got.collect()) == table(sql.columns, sql.fetchall())
+    assert table(got.columns, got.collect()) == expected
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_query_without_sql_runs(spark, name):
-    # the smallest fleet has few vehicles in a shard, and no risk among them
-    assert QUERIES[name](spark, SF).count() > 0 or name == "process_shard"
+    assert QUERIES[name](spark, SF).count() > 0 or QUERIES[name](spark, LARGER).count() > 0
 
 
 def test_entry(spark):
