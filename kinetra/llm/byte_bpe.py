@@ -23,6 +23,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import itertools
 
 import numpy as np
 import pyarrow as pa
@@ -38,11 +39,13 @@ LEAF = 8
 LONG = 96
 NONE = 1 << 60
 #: Pieces kept from one batch to the next, in each of two generations.
-MEMO_PIECES = 120_000
+MEMO_PIECES = 200_000
 #: Merged windows that are kept.
 MEMO_WINDOWS = 200_000
-#: Pieces of a text that are put together at a time.
-STRETCH = 100_000
+#: Characters of the pieces after which the next generation begins.
+MEMO_CHARS = 8_000_000
+#: Texts whose pieces are looked up together.
+TEXTS = 200
 #: Stands for a letter or number that the library's tables don't know yet and take for a sign.
 SIGN = "☃"
 
@@ -53,7 +56,8 @@ class Ranks:
     def __init__(self, source: bytes, pattern: str):
         self.rank_of = {base64.b64decode(a): int(b) for a, b in map(bytes.split, source.splitlines()) if a}
         self.bytes_of = {r: t for t, r in self.rank_of.items()}
-        self.windows: dict[bytes, list[int]] = {}
+        # tuples, which the garbage collector need not visit
+        self.windows: dict[bytes, tuple[int, ...]] = {}
         self.pattern = regex.compile(pattern)
         later = "".join("-".join(map(regex.escape, (chr(int(x, 16)) for x in run.split("-")))) for run in LATER.split())
         self.later = regex.compile(f"[{later}]")
@@ -66,7 +70,7 @@ class Ranks:
                 return [text[m.start() : m.end()] for m in self.pattern.finditer(seen)]
         return self.pattern.findall(text)
 
-    def merged(self, data: bytes) -> list[int]:
+    def merged(self, data: bytes) -> tuple[int, ...]:
         """Ranks of the tokens of a byte string by merging: the pair of lowest rank first, the leftmost of equals."""
         if len(data) > LONG:
             return self._merged_by_heap(data)
@@ -77,7 +81,7 @@ class Ranks:
             out = self.windows[data] = self._merged_in_list(data)
         return out
 
-    def _merged_in_list(self, data: bytes) -> list[int]:
+    def _merged_in_list(self, data: bytes) -> tuple[int, ...]:
         rank_of = self.rank_of
         parts = [data[i : i + 1] for i in range(len(data))]
         pairs = [rank_of.get(data[i : i + 2], NONE) for i in range(len(data) - 1)]
@@ -92,9 +96,9 @@ class Ranks:
                 pairs[i - 1] = rank_of.get(parts[i - 1] + parts[i], NONE)
             if i < len(pairs):
                 pairs[i] = rank_of.get(parts[i] + parts[i + 1], NONE)
-        return [rank_of[p] for p in parts]
+        return tuple([rank_of[p] for p in parts])
 
-    def _merged_by_heap(self, data: bytes) -> list[int]:
+    def _merged_by_heap(self, data: bytes) -> tuple[int, ...]:
         """The same in n log n steps: pairs wait in a heap, and one that has changed since is skipped."""
         rank_of, n = self.rank_of, len(data)
         stop, before, after = [*range(1, n + 1)], [*range(-1, n - 1)], [*range(1, n + 1)]
@@ -119,9 +123,9 @@ class Ranks:
         while i < n:
             out.append(rank_of[data[i : stop[i]]])
             i = after[i]
-        return out
+        return tuple(out)
 
-    def join(self, left: list[int], right: list[int]) -> list[int]:
+    def join(self, left: tuple[int, ...], right: tuple[int, ...]) -> tuple[int, ...]:
         """The encoding of two encodings' bytes together."""
         if not left or not right:
             return left + right
@@ -133,24 +137,24 @@ class Ranks:
                 return left[: len(left) - len(a)] + mid + right[len(b) :]
             size *= 2
 
-    def encode(self, data: bytes) -> list[int]:
+    def encode(self, data: bytes) -> tuple[int, ...]:
         """Ranks of the tokens of a byte string: halves first, then joined."""
         if len(data) <= LEAF:
             return self.merged(data)
         half = len(data) // 2
         return self.join(self.encode(data[:half]), self.encode(data[half:]))
 
-    def encode_piece(self, piece: str) -> list[int]:
+    def encode_piece(self, piece: str) -> tuple[int, ...]:
         """Ranks of a match of the pattern; one that is a token itself is that token."""
         data = piece.encode()
         whole = self.rank_of.get(data)
-        return self.encode(data) if whole is None else [whole]
+        return self.encode(data) if whole is None else (whole,)
 
-    def decode(self, ids: list[int]) -> bytes:
+    def decode(self, ids: tuple[int, ...]) -> bytes:
         """The bytes of tokens, joined in pairs up a tree; ids out of the vocabulary are an error."""
         level = [*map(self.bytes_of.__getitem__, ids)]
         while len(level) > 1:
-            level = [b"".join(level[k : k + 2]) for k in range(0, len(level), 2)]
+            level = [a + b for a, b in itertools.zip_longest(level[::2], level[1::2], fillvalue=b"")]
         return level[0] if level else b""
 
 
@@ -173,37 +177,31 @@ def encode_documents(docs: DataFrame, ranks: str, pattern: str, key: str = "doc_
     names = pa.schema([("doc_id", to_arrow_type(key_type)), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), *[("ids", pa.list_(pa.int32()))] * with_ids])
 
     def run(batches):
-        table = Ranks(source.value, pattern)
-        known, older = {}, {}
+        table, memo, older, size = Ranks(source.value, pattern), ({}, {}), ({}, {}), 0
+        digest = lambda data: hashlib.sha256(data).hexdigest()
         for batch in batches:
-            for at in range(batch.num_rows):
-                row = batch.slice(at, 1)
-                n, ids, decoded = 0, hashlib.sha256(), hashlib.sha256()
-                own, pieces = [], table.pieces(row.column("text")[0].as_py() or "")
-                for first in range(0, len(pieces), STRETCH):
-                    found = []
-                    for piece in pieces[first : first + STRETCH]:
-                        x = known.get(piece)
-                        if x is None:
-                            x = older.get(piece)
-                            if x is None:
-                                tokens = table.encode_piece(piece)
-                                x = (len(tokens), ",".join(map(str, tokens)), table.decode(tokens))
-                            if len(piece) <= LONG:
-                                known[piece] = x
-                        found.append(x)
-                    n += sum(x[0] for x in found)
-                    said = ",".join([x[1] for x in found])
-                    ids.update((said if first == 0 else "," + said).encode())
-                    decoded.update(b"".join([x[2] for x in found]))
+            for at in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(at, TEXTS)
+                texts = [table.pieces(t or "") for t in part.column("text").to_pylist()]
+                if len(memo[0]) > MEMO_PIECES or size > MEMO_CHARS:
+                    older, memo, size = memo, ({}, {}), 0
+                ids_of, bytes_of = memo
+                for piece in set().union(*texts).difference(ids_of):
+                    size += len(piece)
+                    if piece in older[0]:
+                        ids_of[piece], bytes_of[piece] = older[0][piece], older[1][piece]
+                    else:
+                        tokens = table.encode_piece(piece)
+                        ids_of[piece], bytes_of[piece] = ",".join(map(str, tokens)), table.decode(tokens)
+                rows = [[], [], [], []]
+                for pieces in texts:
+                    ids = ",".join(map(ids_of.__getitem__, pieces))
+                    rows[0].append(ids.count(",") + 1 if ids else 0)
+                    rows[1].append(digest(ids.encode()))
+                    rows[2].append(digest(b"".join(map(bytes_of.__getitem__, pieces))))
                     if with_ids:
-                        own.append(np.array(said.split(","), np.int32))
-                    if len(known) > MEMO_PIECES:
-                        older, known = known, {}
-                columns = [row.column("doc_id").cast(names[0].type), pa.array([n]), pa.array([ids.hexdigest()]), pa.array([decoded.hexdigest()])]
-                if with_ids:
-                    columns.append(pa.array([np.concatenate(own) if own else np.zeros(0, np.int32)], names[4].type))
-                yield pa.RecordBatch.from_arrays(columns, schema=names)
+                        rows[3].append(np.array(ids.split(",") if ids else [], np.int32))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(names[0].type), *(pa.array(r, f.type) for r, f in zip(rows, [*names][1:]))], schema=names)
 
     return docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
 

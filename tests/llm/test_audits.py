@@ -193,5 +193,5 @@ def test_byte_bpe_is_a_monoid(ranks):
         whole = ranks._merged_in_list(data)
         assert whole == ranks._merged_by_heap(data) == ranks.encode(data)
         x, y = sorted((rng.randint(0, len(data)), rng.randint(0, len(data))))
-        a, b, c = (ranks._merged_in_list(d) if d else [] for d in (data[:x], data[x:y], data[y:]))
+        a, b, c = (ranks._merged_in_list(d) if d else () for d in (data[:x], data[x:y], data[y:]))
         assert ranks.join(ranks.join(a, b), c) == ranks.join(a, ranks.join(b, c)) == whole
