@@ -23,7 +23,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-import itertools
 
 import numpy as np
 import pyarrow as pa
@@ -82,21 +81,22 @@ class Ranks:
         return out
 
     def _merged_in_list(self, data: bytes) -> tuple[int, ...]:
-        rank_of = self.rank_of
-        parts = [data[i : i + 1] for i in range(len(data))]
-        pairs = [rank_of.get(data[i : i + 2], NONE) for i in range(len(data) - 1)]
+        """The same over a list of the places between tokens and one of the ranks of neighbours."""
+        get, n = self.rank_of.get, len(data)
+        cuts = [*range(n + 1)]
+        pairs = [get(data[i : i + 2], NONE) for i in range(n - 1)]
         while pairs:
             best = min(pairs)
             if best == NONE:
                 break
             i = pairs.index(best)
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-            del pairs[i]
+            del cuts[i + 1], pairs[i]
             if i:
-                pairs[i - 1] = rank_of.get(parts[i - 1] + parts[i], NONE)
+                pairs[i - 1] = get(data[cuts[i - 1] : cuts[i + 1]], NONE)
             if i < len(pairs):
-                pairs[i] = rank_of.get(parts[i] + parts[i + 1], NONE)
-        return tuple([rank_of[p] for p in parts])
+                pairs[i] = get(data[cuts[i] : cuts[i + 2]], NONE)
+        rank_of = self.rank_of
+        return tuple([rank_of[data[i:j]] for i, j in zip(cuts, cuts[1:])])
 
     def _merged_by_heap(self, data: bytes) -> tuple[int, ...]:
         """The same in n log n steps: pairs wait in a heap, and one that has changed since is skipped."""
@@ -152,10 +152,10 @@ class Ranks:
 
     def decode(self, ids: tuple[int, ...]) -> bytes:
         """The bytes of tokens, joined in pairs up a tree; ids out of the vocabulary are an error."""
-        level = [*map(self.bytes_of.__getitem__, ids)]
-        while len(level) > 1:
-            level = [a + b for a, b in itertools.zip_longest(level[::2], level[1::2], fillvalue=b"")]
-        return level[0] if level else b""
+        if len(ids) < 3:
+            return b"".join(map(self.bytes_of.__getitem__, ids))
+        half = len(ids) // 2
+        return self.decode(ids[:half]) + self.decode(ids[half:])
 
 
 def encode_documents(docs: DataFrame, ranks: str, pattern: str, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
