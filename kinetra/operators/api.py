@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinetra.functions import grid as G
 from kinetra.operators import grid_stats, kv, lifecycle, trajectory
+from kinetra.sources.store import KeyedStore
 
 
 def vehicle_location(locations: DataFrame, vehicle_id, as_of: Column, ttl: float = 60.0) -> DataFrame:
@@ -33,15 +34,29 @@ def vehicles_in_cell(fleet: DataFrame, level: int, cx: int, cy: int, cz: int = 0
     return grid_stats.placed(fleet, level).where((F.col("cx") == cx) & (F.col("cy") == cy) & (F.col("cz") == cz)).select("id")
 
 
-def store_location(reports: DataFrame, history_folder: str) -> None:
-    """Append reports to the history, from which latest locations and histories are read."""
-    reports.write.mode("append").parquet(history_folder)
+LOCATION = "id long, ts double, seq long, x double, y double, z double, vx double, vy double, vz double, heading double, type string"
+RISK = "risk_id string, vehicle_id long, other_vehicle_id long, risk_level double, time_to_collision double, distance double, ts double"
 
 
-def store_risks(risks: DataFrame, folder: str) -> None:
-    """Append risks, and their ids under both vehicles."""
-    risks.write.mode("append").parquet(f"{folder}/risks")
-    risks.select("risk_id", "ts", F.explode(F.array("vehicle_id", "other_vehicle_id")).alias("vehicle")).write.mode("append").parquet(f"{folder}/by_vehicle")
+def location_stores(spark: SparkSession, folder: str, ttl: float = 60.0, history_ttl: float = 3600.0, cap: int = 10) -> tuple[KeyedStore, KeyedStore]:
+    """The latest location of each vehicle, and its last `cap` ones in order of arrival."""
+    return KeyedStore(spark, f"{folder}/latest", LOCATION, ["id"], ["ts", "seq"], ttl=ttl), KeyedStore(spark, f"{folder}/history", LOCATION, ["id"], ["seq"], keep=cap, ttl=history_ttl)
+
+
+def store_locations(reports: DataFrame, batch: int, stores: tuple[KeyedStore, KeyedStore]) -> None:
+    """A batch of reports into both stores; a batch that runs twice changes nothing."""
+    for store in stores:
+        store.append(reports, batch)
+
+
+def risk_stores(spark: SparkSession, folder: str, ttl: float = 3600.0, cap: int = 20) -> tuple[KeyedStore, KeyedStore]:
+    """Risks by id, and the last `cap` risks of each vehicle, whichever side it is on."""
+    return KeyedStore(spark, f"{folder}/risks", RISK, ["risk_id"], ["ts"], ttl=ttl), KeyedStore(spark, f"{folder}/by_vehicle", f"vehicle long, {RISK}", ["vehicle"], ["ts", "risk_level", "risk_id"], keep=cap, ttl=ttl)
+
+
+def store_risks(risks: DataFrame, batch: int, stores: tuple[KeyedStore, KeyedStore]) -> None:
+    stores[0].append(risks, batch)
+    stores[1].append(risks.select(F.explode(F.array("vehicle_id", "other_vehicle_id")).alias("vehicle"), *risks.columns), batch)
 
 
 def detection_task(fleet: DataFrame, vehicle_id, **options) -> DataFrame:

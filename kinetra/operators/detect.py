@@ -87,26 +87,33 @@ def midpoint(t: Column) -> list[Column]:
     return [(p + q) / 2 for p, q in zip(KN.position_at(t, "s_"), KN.position_at(t, "o_"))]
 
 
-def score(pairs: DataFrame, offset: Column | None = None, both: bool = False) -> DataFrame:
-    """Risk rows of probed pairs; offset shifts the time of predicted ones; both reports a pair from either side."""
+def score(pairs: DataFrame, offset: Column | None = None, both: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Risk rows of probed pairs; offset shifts the time of predicted ones; both reports a pair from either side; carry names more columns of the vehicles, which come out as name and other_name."""
     ttc = F.col("ttc")
     x, y, z = midpoint(ttc)
     total = ttc if offset is None else ttc + offset
     level = KN.risk_level(F.col("hit_distance"), ttc, F.col("speed"))
-    out = pairs.select("s_id", "o_id", "s_ts", "o_ts", total.alias("time_to_collision"), F.col("hit_distance").alias("distance"), F.col("speed").alias("relative_speed"), level.alias("risk_level"), x.alias("cx"), y.alias("cy"), z.alias("cz"))
+    out = pairs.select("s_id", "o_id", "s_ts", "o_ts", *(f"{p}{c}" for c in carry for p in ("s_", "o_")), total.alias("time_to_collision"), F.col("hit_distance").alias("distance"), F.col("speed").alias("relative_speed"), level.alias("risk_level"), x.alias("cx"), y.alias("cy"), z.alias("cz"))
     if both:
-        out = both_ways(out, id="id", ts="ts")
+        out = both_ways(out, id="id", ts="ts", **{c: c for c in carry})
     return out.select(
         F.sha2(F.concat_ws("|", F.col("s_id").cast("string"), F.col("o_id").cast("string"), F.col("s_ts").cast("string")), 256).alias("risk_id"),
         F.col("s_id").alias("vehicle_id"), F.col("o_id").alias("other_vehicle_id"), "time_to_collision", "distance", "relative_speed", "risk_level",
-        "cx", "cy", "cz", F.col("s_ts").alias("ts"), F.lit(offset is not None).alias("is_predicted"),
+        "cx", "cy", "cz", F.col("s_ts").alias("ts"), F.lit(offset is not None).alias("is_predicted"), *(F.col(f"{p}{c}").alias(n + c) for c in carry for p, n in (("s_", ""), ("o_", "other_"))),
     )
 
 
-def detect(fleet: DataFrame, radius: float = K.SEARCH_RADIUS, window: float = K.TIME_WINDOW, approach: str = "corrected") -> DataFrame:
-    """Risks of every ordered pair of the fleet: near, approaching, probed, scored. All terms are symmetric: each pair is evaluated once and reported from both sides."""
-    found = probe(temporal_filter(nearby(fleet, radius, symmetric=True), window, approach), window)
-    return score(found, both=True)
+def detect(fleet: DataFrame, radius: float = K.SEARCH_RADIUS, window: float = K.TIME_WINDOW, approach: str = "corrected", as_of: Column | None = None, stale_after: float = K.STALE_AFTER) -> DataFrame:
+    """Risks of every ordered pair of the fleet: near, approaching, probed, scored. All terms are symmetric: each pair is evaluated once and reported from both sides.
+
+    With as_of, a time, vehicles that reported more than stale_after seconds
+    before are no subjects; as neighbours they stay.
+    """
+    pairs = nearby(fleet, radius, symmetric=True)
+    if as_of is not None:
+        pairs = pairs.where(as_of - F.greatest("s_ts", "o_ts") <= stale_after)
+    risks = score(probe(temporal_filter(pairs, window, approach), window), both=True)
+    return risks if as_of is None else risks.where(as_of - F.col("ts") <= stale_after)
 
 
 def lookahead(fleet: DataFrame, seconds: float = K.LOOKAHEAD, threshold: float = K.LOOKAHEAD_RISK) -> DataFrame:

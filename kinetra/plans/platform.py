@@ -9,14 +9,15 @@ from kinetra.functions import grid as G
 from kinetra.operators import api as Q
 from kinetra.operators import detect as D
 from kinetra.operators import grid_stats as S
+from kinetra.operators import kv
 from kinetra.operators import metrics as M
 from kinetra.operators import placement as P
 from kinetra.plans import base as B
-from kinetra.plans import detection
+from kinetra.plans import detection, state
 from kinetra.plans.base import r6, rounded
 from kinetra.plans.grid import cell_sql
 from kinetra.plans.state import RISKS, _risks
-from kinetra.plans.streams import scratch
+from kinetra.plans.streams import rocksdb, scratch
 from kinetra.sources import files
 from kinetra.sources import messages as J
 from kinetra.streaming import detect as SD
@@ -52,21 +53,54 @@ def streaming_ingest(spark, sf):
     return spark.read.parquet(f"{folder}/out").select("id", "x", "y", "vx", "vy", "type")
 
 
+def _detected(spark, batches):
+    """The folder of a detection over a stream that brings the given frames of reports, batch by batch."""
+    folder = scratch(spark)
+    with rocksdb(spark):
+        for n, batch in enumerate(batches):
+            batch.select(*SD.REPORT).write.parquet(f"{folder}/in/n={n}")
+            reports = spark.readStream.schema(SD.REPORT_DDL).option("recursiveFileLookup", True).parquet(f"{folder}/in")
+            SD.incremental_detection(reports, folder, f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return folder
+
+
 def streaming_detection(spark, sf):
     """Alerts of the whole fleet after the last batch of a stream of reports, of which each vehicle has one or two."""
-    folder, fleet = scratch(spark), X.fleet(spark, sf)
-    fresh = fleet.withColumn("seq", F.lit(1).cast("long"))
+    fleet = X.fleet(spark, sf)
     old = fleet.where("id % 3 = 0").withColumns({"x": F.col("y"), "y": F.col("x"), "seq": F.lit(0).cast("long")})
-    old.coalesce(1).write.parquet(f"{folder}/in/n=0")
-    fresh.repartition(2, "id").write.parquet(f"{folder}/in/n=1")
-    reports = spark.readStream.schema(fresh.schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")
-    SD.fleet_detection(reports, f"{folder}/fleet", f"{folder}/alerts", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    every = spark.read.parquet(f"{folder}/alerts")
-    last = spark.read.parquet(f"{folder}/fleet").agg(F.max("batch").alias("batch"))  # a batch without alerts has no rows there
-    found = every.join(F.broadcast(last), "batch", "left_semi")
-    return rounded(found.select("vehicle_id", "other_vehicle_id", "risk_level"), "risk_level")
+    folder = _detected(spark, [old, fleet.withColumn("seq", F.lit(1).cast("long"))])
+    return rounded(SD.current_risks(spark, folder).where(F.col("risk_level") >= 0.3).select("vehicle_id", "other_vehicle_id", "risk_level"), "risk_level")
+
+
+def _journey(fleet):
+    """Three batches of reports: the whole fleet elsewhere at 0 s, two thirds of it on their places at 4 s, and those of even id moved on by 8 s of their motion at 12 s; some come late and count for nothing."""
+    swapped = {"x": F.col("y"), "y": F.col("x"), "ts": F.lit(0.0), "seq": F.lit(0).cast("long")}
+    here = fleet.withColumns({"ts": F.lit(4.0), "seq": F.lit(1).cast("long")})
+    moved = fleet.withColumns({"x": F.col("x") + F.col("vx") * 8, "y": F.col("y") + F.col("vy") * 8, "ts": F.lit(12.0), "seq": F.lit(2).cast("long")})
+    late = fleet.withColumns(swapped).withColumns({"ts": F.lit(1.0), "seq": F.lit(3).cast("long")}).where("id % 6 = 0")
+    return [fleet.withColumns(swapped), here.where("id % 3 > 0"), moved.where("id % 2 = 0").unionByName(late)]
 
 
+def moving_detection(spark, sf):
+    """Risks after the last batch of a moving fleet; who has not reported for 10 s is no subject any more."""
+    folder = _detected(spark, _journey(X.fleet(spark, sf)))
+    return rounded(SD.current_risks(spark, folder).select("vehicle_id", "other_vehicle_id", "risk_level", "ts"), "risk_level")
+
+
+def fresh_risks(spark, sf):
+    """The same fleet at once: the newest report of each vehicle, subjects no older than 10 s."""
+    a, b, c = _journey(X.fleet(spark, sf))
+    fleet = kv.latest(a.unionByName(b).unionByName(c), "id", "ts", "seq")
+    return rounded(D.detect(fleet, as_of=F.lit(12.0)).select("vehicle_id", "other_vehicle_id", "risk_level", "ts"), "risk_level")
+
+
+#: the newest report of each vehicle in place of the fleet
+JOURNEY = f"""with {B.fleet_sql(name="still")}, reports as (
+  select * replace (y as x, x as y), 0 as seq from still union all select * replace (4e0 as ts), 1 from still where id % 3 > 0
+  union all select * replace (x + vx*8e0 as x, y + vy*8e0 as y, 12e0 as ts), 2 from still where id % 2 = 0),
+fleet as (select * exclude seq from reports qualify row_number() over (partition by id order by ts desc, seq desc) = 1)"""
+MOVING = f"""{JOURNEY}, {B.pairs_sql("dist <= 100")}, {B.temporal_sql()}, {B.probe_sql("close", 100)}, {B.risks_sql().replace("select s_id", "select s_ts as ts, s_id")}
+select vehicle_id, other_vehicle_id, {r6("risk_level")}, ts from risks where 12 - ts <= 10"""
 STREAMED = f"""{detection.PAIRS}, {B.temporal_sql()}, {B.probe_sql("close", 100)}, {B.risks_sql()}
 select vehicle_id, other_vehicle_id, {r6("risk_level")} from risks where risk_level >= 0.3e0"""
 
@@ -133,6 +167,46 @@ def api_vehicle_risks(spark, sf):
     return Q.vehicle_risks(_risks(spark, sf), 42).select("vehicle_id", "other_vehicle_id", "risk_level")
 
 
+DAY = 86400.0
+
+
+def _stored(rows, batches, append, stores):
+    """Rows handed over in batches by the column n, of which one runs again after a compaction and one before the next."""
+    rows = rows.persist()
+    for n in range(batches):
+        append(rows.where(F.col("n") == n).drop("n"), n, stores)
+        if n % 2:
+            for store in stores:
+                store.compact()
+            append(rows.where(F.col("n") == n).drop("n"), n, stores)
+    append(rows.where(F.col("n") == batches - 1).drop("n"), batches - 1, stores)
+    rows.unpersist()
+
+
+def _locations(spark, sf):
+    stores = Q.location_stores(spark, scratch(spark), ttl=DAY / 4, history_ttl=3 * DAY)
+    _stored(X.tracks(spark, sf).withColumn("n", F.pmod("seq", F.lit(5))), 5, Q.store_locations, stores)
+    return stores
+
+
+def location_store(spark, sf):
+    """Latest locations that have not expired, out of a store that took the reports in batches."""
+    return _locations(spark, sf)[0].read(F.lit(state.AS_OF)).select("id", "ts", "seq", "x", "y", "type")
+
+
+def history_store(spark, sf):
+    """The last ten locations of each vehicle out of the same store; those that have expired are left out of the ten."""
+    return _locations(spark, sf)[1].read(F.lit(state.AS_OF)).select("id", "seq", "ts", "x")
+
+
+def risk_store(spark, sf):
+    """The last risks of each vehicle out of a store that took the risks in batches."""
+    stores = Q.risk_stores(spark, scratch(spark), cap=3)
+    ids = F.concat_ws("-", "vehicle_id", "other_vehicle_id")
+    _stored(_risks(spark, sf).withColumns({"n": F.pmod("vehicle_id", F.lit(3)), "risk_id": ids}).select("n", "risk_id", "vehicle_id", "other_vehicle_id", "risk_level", "time_to_collision", "distance", "ts"), 3, Q.store_risks, stores)
+    return stores[1].read().select("vehicle", "vehicle_id", "other_vehicle_id", "risk_level")
+
+
 def collision_times(spark, sf):
     """When each look-ahead collision is due, for vehicles with two records of their past or more: here, their orders."""
     counts = X.table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.count("*").alias("history"))
@@ -176,10 +250,16 @@ select region, shard_id, count(*) as vehicles from done group by all"""
 
 _LATE = detection.LOOKAHEAD.rsplit("\nselect", 1)[0]
 QUERIES = {
+    "location_store": (location_store, f"with {B.TRACKS_SQL}, t as (select * from tracks qualify row_number() over (partition by id order by ts desc, seq desc) = 1) select id, ts, seq, x, y, type from t where {state.AS_OF} <= ts + {DAY / 4}"),
+    "history_store": (history_store, f"with {B.TRACKS_SQL}, t as (select * from tracks qualify row_number() over (partition by id order by seq desc) <= 10) select id, seq, ts, x from t where {state.AS_OF} <= ts + {3 * DAY}"),
+    "risk_store": (risk_store, f"""{RISKS}, b as (select unnest([vehicle_id, other_vehicle_id]) as vehicle, * from r)
+select vehicle, vehicle_id, other_vehicle_id, risk_level from b qualify row_number() over (partition by vehicle order by ts desc, risk_level desc, vehicle_id || '-' || other_vehicle_id desc) <= 3"""),
     "report_files": (report_files, f"{FLEET} select cast(id as varchar) as id, {', '.join(VEHICLE)} from fleet"),
     "location_messages": (location_messages, f"with {B.TRACKS_SQL} select cast(id as varchar) as vehicle_id, case when seq % 10 > 0 then ts else 1e9 end as ts, x, y, vx, vy, heading, type as vehicle_type from tracks"),
     "streaming_ingest": (streaming_ingest, f"{FLEET} select cast(id as varchar) as id, x, y, vx, vy, type from fleet"),
     "streaming_detection": (streaming_detection, STREAMED),
+    "moving_detection": (moving_detection, MOVING),
+    "fresh_risks": (fresh_risks, MOVING),
     "result_files": (result_files, "with q as (select l_returnflag as run, l_extendedprice/100 as v from lineitem), s as (select run, count(*) as n, max(v) as largest, list_sort(list(v)) as v from q group by run) select run, n, largest, v[cast(floor(n*0.95e0) as bigint) + 1] as p95, v[cast(floor(n*0.99e0) as bigint) + 1] as p99 from s"),
     "metric_family": (metric_family, f"{EVENTS} select user_id % 10 as node_id, count(*) as samples, round(max(value), 6) + 0e0 as largest, max(seq) as last from ev group by 1"),
     "metric_series": (metric_series, f"""{EVENTS}, h as (select event_type as run, cast(floor(ts/3600) as bigint) as hour, count(*) as n, max(value) as top, min(value) as low from ev group by 1, 2),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -28,11 +29,22 @@ def scratch(spark) -> str:
     return f"{root.rstrip('/')}/kinetra-stream-{uuid.uuid4().hex}"
 
 
+@contextlib.contextmanager
+def rocksdb(spark):
+    """Streams that start inside keep their state in RocksDB. A stream takes the setting when it starts, so the session has it back at once."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, S.ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before else spark.conf.unset(name)
+
+
 def drain(stream, mode: str, spark):
     """Run a stream over what is there and return its rows with the number of their batch."""
-    folder, provider = scratch(spark), spark.conf.get("spark.sql.streaming.stateStore.providerClass")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", S.ROCKSDB)
-    try:
+    folder = scratch(spark)
+    with rocksdb(spark):
         query = (
             stream.writeStream.outputMode(mode)
             .option("checkpointLocation", f"{folder}/checkpoint")
@@ -40,9 +52,7 @@ def drain(stream, mode: str, spark):
             .trigger(availableNow=True)
             .start()
         )
-        query.awaitTermination()
-    finally:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", provider)
+    query.awaitTermination()
     schema = T.StructType([*stream.schema.fields, T.StructField("batch_no", T.IntegerType())])
     return spark.read.schema(schema).option("recursiveFileLookup", True).parquet(f"{folder}/out")
 

@@ -1,28 +1,191 @@
-"""Continuous detection: each batch of reports updates the fleet, and the fleet is evaluated as one snapshot."""
+"""Continuous detection whose cost follows the reports, not the fleet.
+
+Two states make it so. By vehicle: the newest report and the cell it lies in. By
+cell: the reports that lie there. A new report enters its cell, leaves the one
+before, and is shown to the cells around it; only the residents of these cells
+meet it. What a batch finds is appended to a log of risks that name the reports
+they were found in; a risk holds as long as both are the newest of their
+vehicles, so that nothing has to be taken back when a vehicle moves on.
+
+A vehicle whose report is older than STALE_AFTER seconds is no subject of risks
+any more, but others still meet it. Reads see that from the report's time; a
+timer tells when the watermark has passed it, too, so that compaction can drop
+what no later read will ask for.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql.streaming import DataStreamWriter
+import math
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
+
+from kinetra import constants as K
 from kinetra.operators import detect as D
-from kinetra.operators import kv, lifecycle
+from kinetra.sources.store import KeyedStore
+from kinetra.streaming.ingest import WATERMARK
+
+#: What a vehicle reports, with the number seq of the report.
+REPORT = ["id", *(f"{p}{c}" for p in ("", "v", "a") for c in "xyz"), "heading", "size", "type", "ts", "seq"]
+TYPES = {"id": "long", "type": "string", "seq": "long"}
+REPORT_DDL = ", ".join(f"{c} {TYPES.get(c, 'double')}" for c in REPORT)
+MOVE_DDL = f"cx long, cy long, kind string, {REPORT_DDL}"
+FOUND = [f"{p}{c}" for p in ("s_", "o_") for c in REPORT]
+FOUND_DDL = "kind string, " + ", ".join(f"{p}{c} {TYPES.get(c, 'double')}" for p in ("s_", "o_") for c in REPORT) + ", dist double"
+RISKS = "vehicle_id long, other_vehicle_id long, seq long, other_seq long, risk_id string, risk_level double, time_to_collision double, distance double, relative_speed double, ts double, batch long"
+VEHICLES = "id long, ts double, seq long, stale boolean"
+#: Added to event times, as a stream takes what is no later than 1970 for late, and reports may count from any origin.
+ORIGIN = 1e9
+#: Pairs that a cell hands on at a time.
+PAIRS = 5000
+#: Batches after which the logs are compacted.
+COMPACT_EVERY = 20
+
+
+class Moves(StatefulProcessor):
+    """By vehicle: of a batch's reports the newest, if it is newer than the one before, as rows for the cells that it concerns."""
+
+    def __init__(self, cell: float, stale_after: float):
+        self.cell, self.stale_after = cell, stale_after
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.at = handle.getValueState("at", "ts double, seq long, cx long, cy long")
+
+    def rows(self, out: list) -> pd.DataFrame:
+        return pd.DataFrame(out, columns=["cx", "cy", "kind", *REPORT])
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        held, best = self.at.get(), None
+        for batch in rows:
+            top = batch.sort_values(["ts", "seq"], kind="stable").iloc[-1]
+            if best is None or (top.ts, top.seq) > (best.ts, best.seq):
+                best = top
+        if held is not None and (best.ts, best.seq) <= (held[0], held[1]):
+            yield self.rows([])
+            return
+        report = [best[c] for c in REPORT]
+        cx, cy = math.floor(best.x / self.cell), math.floor(best.y / self.cell)
+        out = [(cx + i, cy + j, "probe" if i or j else "enter", *report) for i in (-1, 0, 1) for j in (-1, 0, 1)]
+        if held is not None and (cx, cy) != (held[2], held[3]):
+            out.append((held[2], held[3], "leave", *report))
+        self.at.update((float(best.ts), int(best.seq), cx, cy))
+        for timer in [*self.handle.listTimers()]:
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(int(1000 * (ORIGIN + best.ts + self.stale_after)) + 1)
+        yield self.rows(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        ts, seq, cx, cy = self.at.get()
+        told = dict.fromkeys(REPORT) | {"id": key[0], "ts": ts, "seq": seq}
+        out = self.rows([(cx, cy, "stale", *told.values())])
+        yield out.astype({c: "float64" for c in REPORT if c not in TYPES})
+
+    def close(self) -> None:
+        pass
+
+
+def typed(rows: pd.DataFrame) -> pd.DataFrame:
+    """Rows of FOUND_DDL as pandas types that Arrow takes for them: columns without values are not guessed, and texts are plain objects."""
+    texts = ("kind", "s_type", "o_type")
+    return rows.astype({c: "float64" for c in rows.columns if c not in texts and rows[c].dtype == object and c[2:] not in TYPES} | {c: "object" for c in texts})
+
 
+class Cell(StatefulProcessor):
+    """By cell: the reports that lie in it. Reports that enter it or are shown to it become pairs with those within the radius; each pair of two new reports is found once."""
 
-def fleet_detection(reports: DataFrame, table: str, alert_table: str, checkpoint: str, every: str = "500 milliseconds") -> DataStreamWriter:
-    """Merge reports (vehicle columns and seq) into the latest-report table, then append the snapshot's alerts.
+    def __init__(self, radius: float):
+        self.radius = radius
 
-    Both tables are written by batch number, so a batch that runs twice writes
-    the same rows to the same place: the fleet after batch n is n's folder.
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.residents = handle.getMapState("residents", "id long", ", ".join(REPORT_DDL.split(", ")[1:]))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        arrived = pd.concat([*rows])
+        columns = ["kind", *FOUND, "dist"]
+        told = arrived[arrived["kind"].isin(("enter", "stale"))]
+        if len(told):
+            # the newest report of a vehicle, for those who read the log
+            yield typed(told[["kind", *REPORT]].rename(columns={c: f"s_{c}" for c in REPORT}).reindex(columns=columns))
+        for gone in arrived.loc[arrived["kind"] == "leave", "id"]:
+            self.residents.removeKey((int(gone),))
+        entered = arrived[arrived["kind"] == "enter"]
+        for row in entered[REPORT].itertuples(index=False):
+            self.residents.updateValue((int(row.id),), (*map(float, row[1:12]), row.type, float(row.ts), int(row.seq)))
+        probes = arrived[arrived["kind"].isin(("enter", "probe"))]
+        held = [(*k, *v) for k, v in self.residents.iterator()] if len(probes) else []
+        if not held:
+            return
+        ids, places, fresh, out = np.array([r[0] for r in held]), np.array([r[1:4] for r in held]), {*entered["id"].tolist()}, []
+        for probe in probes[REPORT].itertuples(index=False, name=None):
+            far = np.sqrt(((places - np.array(probe[1:4], float)) ** 2).sum(axis=1))
+            for k in np.flatnonzero((far <= self.radius) & (ids != probe[0])).tolist():
+                # a resident that is new as well is shown to the probe's own cell, too
+                if held[k][0] > probe[0]:
+                    out.append(("pair", *probe, *held[k], far[k]))
+                elif held[k][0] not in fresh:
+                    out.append(("pair", *held[k], *probe, far[k]))
+            if len(out) >= PAIRS:
+                yield typed(pd.DataFrame(out, columns=columns))
+                out = []
+        if out:
+            yield typed(pd.DataFrame(out, columns=columns))
+
+    def close(self) -> None:
+        pass
+
+
+def meetings(reports: DataFrame, radius: float = K.SEARCH_RADIUS, stale_after: float = K.STALE_AFTER, watermark: str = WATERMARK) -> DataFrame:
+    """Rows of a stream of reports: pairs within the radius of which one has just reported (kind `pair`, the smaller id as s_), and the newest reports (`enter`) and vehicles without one for so long (`stale`) as s_."""
+    timed = reports.select(*REPORT, F.timestamp_micros(((F.col("ts") + ORIGIN) * 1e6).cast("long")).alias("time")).withWatermark("time", watermark)
+    # a little wider than the radius, so that rounding puts no neighbour two cells away
+    cell = radius * (1 + 1e-9) + 1e-6
+    moves = timed.groupBy("id").transformWithStateInPandas(Moves(cell, stale_after), MOVE_DDL, "append", "eventTime")
+    return moves.groupBy("cx", "cy").transformWithStateInPandas(Cell(radius), FOUND_DDL, "append", "none")
+
+
+def stores(spark: SparkSession, folder: str) -> tuple[KeyedStore, KeyedStore]:
+    """The logs of vehicles and of risks that a detection keeps in a folder."""
+    return KeyedStore(spark, f"{folder}/vehicles", VEHICLES, ["id"], ["ts", "seq", "stale"]), KeyedStore(spark, f"{folder}/risks", RISKS, ["vehicle_id", "other_vehicle_id"], ["batch"])
+
+
+def holding(spark: SparkSession, folder: str) -> DataFrame:
+    """Risks found in the newest reports of both vehicles, but for those whose subject a timer has told stale."""
+    vehicles, risks = (s.read() for s in stores(spark, folder))
+    subject = vehicles.where("not stale").select(F.col("id").alias("vehicle_id"), "seq")
+    other = vehicles.select(F.col("id").alias("other_vehicle_id"), F.col("seq").alias("other_seq"))
+    return risks.join(subject, ["vehicle_id", "seq"], "left_semi").join(other, ["other_vehicle_id", "other_seq"], "left_semi")
+
+
+def current_risks(spark: SparkSession, folder: str, as_of: Column | None = None, stale_after: float = K.STALE_AFTER) -> DataFrame:
+    """Risks that hold at a time, that of the newest report of all if none is given."""
+    if as_of is None:
+        as_of = stores(spark, folder)[0].read().agg(F.max("ts")).scalar()
+    return holding(spark, folder).where(as_of - F.col("ts") <= stale_after)
+
+
+def incremental_detection(reports: DataFrame, folder: str, checkpoint: str, every: str = "500 milliseconds", window: float = K.TIME_WINDOW) -> DataStreamWriter:
+    """Keep the logs of which current_risks() reads from a stream of reports (vehicle columns and seq).
+
+    Logs are written by batch number, so a batch that runs twice leaves them as
+    they were; compaction drops risks that no longer hold.
     """
 
     def run(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
-        if n:
-            batch = batch.unionByName(spark.read.schema(batch.schema).parquet(f"{table}/batch={n - 1}"))
-        kv.latest(batch, "id", "ts", "seq").write.mode("overwrite").parquet(f"{table}/batch={n}")
-        fleet = spark.read.schema(batch.schema).parquet(f"{table}/batch={n}")
-        alerts = lifecycle.raise_alerts(D.merge(D.detect(fleet)))
-        alerts.write.mode("overwrite").parquet(f"{alert_table}/batch={n}")
-
-    return reports.writeStream.option("checkpointLocation", checkpoint).trigger(processingTime=every).foreachBatch(run)
+        found = batch.persist()
+        vehicles, risks = stores(spark, folder)
+        vehicles.append(found.where("kind <> 'pair'").select(F.col("s_id").alias("id"), F.col("s_ts").alias("ts"), F.col("s_seq").alias("seq"), (F.col("kind") == "stale").alias("stale")), n)
+        pairs = found.where("kind = 'pair'").drop("kind")
+        scored = D.score(D.probe(D.temporal_filter(pairs, window), window), both=True, carry=("seq",))
+        risks.append(scored.withColumn("batch", F.lit(n).cast("long")), n)
+        found.unpersist()
+        if n % COMPACT_EVERY == COMPACT_EVERY - 1:
+            risks.compact(rows=holding(spark, folder))
+            vehicles.compact()
+
+    return meetings(reports).writeStream.option("checkpointLocation", checkpoint).trigger(processingTime=every).foreachBatch(run)
