@@ -7,6 +7,8 @@ them at a time; the sort before it spills.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -15,26 +17,33 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from kinetra import constants as K
+from kinetra.sources.scratch import written
+
 
+def fold(log: DataFrame, key: list[str], row: list[str], start, step, out: str, carry: Sequence[str] = ()) -> DataFrame:
+    """Fold each key's rows, in order of (ts, seq): rows of the key, the columns `carry` and `out`.
 
-def fold(log: DataFrame, key: list[str], row: list[str], start, step, out: str) -> DataFrame:
-    """Fold each key's rows, in order of (ts, seq). step(state, ts, seq, *row) returns the next state and the tuple of the row's results, of the columns `out`."""
-    schema = StructType([log.schema[k] for k in key] + StructType.fromDDL(out).fields)
-    arrow = to_arrow_schema(schema)
+    step(state, ts, seq, *row) returns the next state and the tuple of the
+    row's results, of the columns `out`; start makes a key's first state.
+    Columns that are carried spare the join that would bring them back.
+    """
+    schema = StructType([log.schema[k] for k in [*key, *carry]] + StructType.fromDDL(out).fields)
+    arrow, n, m = to_arrow_schema(schema), len(key), len(key) + 2 + len(row)
 
     def run(batches):
-        last, state = None, start
+        last, state = None, None
         for batch in batches:
             rows = []
             for values in zip(*(c.to_pylist() for c in batch.columns)):
-                if values[: len(key)] != last:
-                    last, state = values[: len(key)], start
-                state, result = step(state, *values[len(key) :])
-                rows.append(last + result)
+                if values[:n] != last:
+                    last, state = values[:n], start()
+                state, result = step(state, *values[n:m])
+                rows.append(last + values[m:] + result)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * len(arrow), arrow)], schema=arrow)
 
-    names = [*key, "ts", "seq", *row]
-    return log.select(*names).repartition(*key).sortWithinPartitions(*names).mapInArrow(run, schema)
+    names = [F.col(c).alias(f"_{i}") for i, c in enumerate([*key, "ts", "seq", *row, *carry])]
+    sort = [f"_{i}" for i in range(m)]
+    return log.select(*names).repartition(*sort[:n]).sortWithinPartitions(*sort).mapInArrow(run, schema)
 
 
 def _since(now, then):
@@ -44,17 +53,19 @@ def _since(now, then):
 def token_bucket(requests: DataFrame, rate: float, capacity: float, key: str = "client", cost: float = 1.0) -> DataFrame:
     """Whether each request (ts, seq) finds cost tokens; the bucket begins full."""
 
-    def step(s, ts, seq):
-        tokens, at = s
-        refilled = min(float(capacity), tokens + _since(ts, at) * rate)
-        ok = refilled >= cost
-        return (refilled - (cost if ok else 0.0), ts), (seq, ok)
+    def step(bucket, ts, seq):
+        bucket, ok = take(bucket, ts, rate, capacity, cost)
+        return bucket, (seq, ok)
 
-    return fold(requests, [key], [], (float(capacity), None), step, "seq long, allowed boolean")
+    return fold(requests, [key], [], lambda: None, step, "seq long, allowed boolean")
 
 
-def circuit_breaker(calls: DataFrame, failures: int = K.BREAKER["failures"], recovery: float = K.BREAKER["recovery"], trial_calls: int = K.BREAKER["trial_calls"], key: str = "endpoint") -> DataFrame:
-    """Whether each call (ts, seq, success) is let through, and the state after it. Rejected calls have no outcome."""
+#: State, failures, time of the last failure and trial calls of a breaker at its start.
+CLOSED = ("closed", 0, 0.0, 0)
+
+
+def breaker_step(failures: int, recovery: float, trial_calls: int):
+    """A breaker's step over calls (ts, seq, success): the result is (seq, let through, state after)."""
 
     def step(s, ts, seq, success):
         state, failed, since, trials = s
@@ -76,46 +87,117 @@ def circuit_breaker(calls: DataFrame, failures: int = K.BREAKER["failures"], rec
             since = ts
         return (state, failed, since, trials), (seq, ok, state)
 
-    return fold(calls, [key], ["success"], ("closed", 0, 0.0, 0), step, "seq long, allowed boolean, state string")
+    return step
+
+
+def circuit_breaker(calls: DataFrame, failures: int = K.BREAKER["failures"], recovery: float = K.BREAKER["recovery"], trial_calls: int = K.BREAKER["trial_calls"], key: str = "endpoint") -> DataFrame:
+    """Whether each call (ts, seq, success) is let through, and the state after it. Rejected calls have no outcome."""
+    return fold(calls, [key], ["success"], lambda: CLOSED, breaker_step(failures, recovery, trial_calls), "seq long, allowed boolean, state string")
+
+
+def take(bucket, ts, rate: float, capacity: float, cost: float = 1.0):
+    """A token bucket (tokens, time) after a request at ts, and whether it found its tokens; None is a bucket as it begins, full."""
+    tokens, at = bucket or (float(capacity), None)
+    refilled = min(float(capacity), tokens + _since(ts, at) * rate)
+    ok = refilled >= cost
+    return (refilled - (cost if ok else 0.0), ts), ok
 
 
-def _bucket(requests: DataFrame, rate: float, capacity: float, key: str, into: str) -> DataFrame:
-    """Requests with a verdict of one more limiter. Only those let through so far reach it."""
-    reach = requests.where(F.col("refused").isNull())
-    verdict = token_bucket(reach, rate, capacity, key).select("seq", "allowed")
-    return requests.join(verdict, "seq", "left").withColumn("refused", F.coalesce("refused", F.when(~F.col("allowed"), into))).drop("allowed")
+def _limited(requests: DataFrame, key: str, name: str, rate: float, capacity: float, carry: Sequence[str]) -> DataFrame:
+    """Requests with the verdict of one more limiter, which sees only those let through so far."""
+
+    def step(bucket, ts, seq, refused):
+        if refused is None:
+            bucket, ok = take(bucket, ts, rate, capacity)
+            refused = None if ok else name
+        return bucket, (refused,)
+
+    return fold(requests, [key], ["refused"], lambda: None, step, "refused string", [c for c in carry if c != key])
 
 
 def admission(requests: DataFrame, overall: tuple[float, float], endpoint: tuple[float, float], client: tuple[float, float], breaker: dict | None = None) -> DataFrame:
     """Global, endpoint and client limits and the endpoint's breaker, in that order; tokens taken before a refusal stay taken.
 
-    Each limiter sees only what those before let through, so the chain is four
-    folds, each by its own key; only the global one has a single key, as its
-    limit is one shared bucket.
+    The requests are read once and pass through four folds, each by its own
+    key, that hand them on with what has refused them. The global limit is one
+    shared bucket and so one key.
     """
-    rows = requests.withColumn("refused", F.lit(None).cast("string")).withColumn("everyone", F.lit(0))
-    rows = _bucket(rows, *overall, "everyone", "global")
-    rows = _bucket(rows, *endpoint, "endpoint", "endpoint")
-    rows = _bucket(rows, *client, "client", "client")
-    verdict = circuit_breaker(rows.where("refused is null"), **(breaker or {})).select("seq", "allowed")
-    rows = rows.join(verdict, "seq", "left")
-    return rows.select("seq", "endpoint", "client", F.coalesce("refused", F.when(~F.col("allowed"), "breaker")).alias("refused"))
-
-
-def policy(requests: DataFrame, rules: list[dict]) -> DataFrame:
-    """Rules in order: one whose conditions don't all hold is skipped; then its limiter, then its least priority, may refuse. refused is the number of the refusing rule."""
-    rows = requests.withColumn("refused", F.lit(None).cast("string"))
-    for i, rule in enumerate(rules):
-        match = F.lit(True)
-        for column, value in rule.get("conditions", {}).items():
-            match &= F.coalesce(F.col(column) == F.lit(value), F.lit(False))
-        rows = rows.withColumn("applies", match & F.col("refused").isNull())
-        if "rate" in rule:
-            verdict = token_bucket(rows.where("applies").withColumn("rule", F.lit(i)), rule["rate"], rule["capacity"], "rule").select("seq", "allowed")
-            rows = rows.join(verdict, "seq", "left").withColumn("refused", F.coalesce("refused", F.when(F.col("applies") & ~F.col("allowed"), F.lit(str(i))))).drop("allowed")
-        if "priority" in rule:
-            rows = rows.withColumn("refused", F.coalesce("refused", F.when(F.col("applies") & (F.col("current_priority") < rule["priority"]), F.lit(str(i)))))
-    return rows.drop("applies").select("seq", F.col("refused").cast("int").alias("refused"))
+    carry = ["ts", "seq", "endpoint", "client", "success"]
+    rows = requests.select(*carry, F.lit(None).cast("string").alias("refused"), F.lit(0).alias("everyone"))
+    rows = _limited(rows, "everyone", "global", *overall, carry)
+    rows = _limited(rows, "endpoint", "endpoint", *endpoint, carry)
+    rows = _limited(rows, "client", "client", *client, carry)
+    call = breaker_step(*(({} | K.BREAKER | (breaker or {}))[k] for k in ("failures", "recovery", "trial_calls")))
+
+    def step(state, ts, seq, success, refused):
+        if refused is None:
+            state, (_, ok, _) = call(state, ts, seq, success)
+            refused = None if ok else "breaker"
+        return state, (refused,)
+
+    return fold(rows, ["endpoint"], ["success", "refused"], lambda: CLOSED, step, "refused string", ["seq", "client"]).select("seq", "endpoint", "client", "refused")
+
+
+RULE = "struct<place:int,rate:double,capacity:double,priority:double>"
+
+
+def rules_of_requests(requests: DataFrame, rules: DataFrame, conditions: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """Each request's column `rules`: in order of place, the rules whose conditions hold.
+
+    rules (place, rate, capacity, priority: null where a rule has no limiter or
+    no least priority) and conditions (place, field, value as text) are tables;
+    a rule holds if all its conditions do, and always if it has none. A field
+    that is null or absent meets no condition. Matches are counted by request
+    and rule (relational division): a request meets only the conditions on its
+    own values.
+    """
+    told = F.struct(F.col("place").cast("int").alias("place"), *(F.col(c).cast("double").alias(c) for c in ("rate", "capacity", "priority"))).cast(RULE)
+    asked = conditions.groupBy("place").agg(F.count("*").alias("n"))
+    sized = rules.join(asked, "place", "left").select("place", told.alias("rule"), F.coalesce("n", F.lit(0)).alias("n"))
+    always = F.coalesce(sized.where("n = 0").agg(F.collect_list("rule")).scalar(), F.array().cast(f"array<{RULE}>"))
+    values = requests.select("seq", F.explode(F.array(*(F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("value")) for c in fields))).alias("x")).select("seq", "x.*").where("value is not null")
+    met = values.join(conditions, ["field", "value"]).groupBy("seq", "place").agg(F.count("*").alias("n"))
+    own = met.join(sized, ["place", "n"]).groupBy("seq").agg(F.collect_list("rule").alias("own"))
+    return requests.join(own, "seq", "left").withColumn("rules", F.sort_array(F.concat(F.coalesce("own", F.array().cast(f"array<{RULE}>")), always))).drop("own")
+
+
+def _families(rows: DataFrame) -> DataFrame:
+    """(place, family): limiters that stand on one request, directly or through others, are of one family, named by its smallest place."""
+    limiters = F.transform(F.filter("rules", lambda r: r["rate"].isNotNull()), lambda r: r["place"])
+    links = written(rows.select(F.explode(F.arrays_zip(limiters.alias("b"), F.transform(limiters, lambda _: F.get(limiters, F.lit(0))).alias("a"))).alias("x")).select("x.a", "x.b").distinct())
+    both = links.union(links.select("b", "a"))
+    labels = written(links.select(F.col("b").alias("place")).distinct().withColumn("family", F.col("place")))
+    while True:
+        near = both.join(labels.withColumnRenamed("place", "b"), "b").groupBy(F.col("a").alias("place")).agg(F.min("family").alias("near"))
+        step = written(labels.join(near, "place").select("place", F.least("family", "near").alias("family"), F.col("family").alias("was")))
+        labels = step.select("place", "family")
+        if step.where("family <> was").isEmpty():
+            return labels
+
+
+def policy(requests: DataFrame, rules: DataFrame, conditions: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """Rules in order of place: of those that hold for a request, its limiter, then its least priority, may refuse. refused is the place of the refusing rule.
+
+    Limiters that share no request are folded apart; requests that meet no
+    limiter need no order and are spread. A request without a priority passes
+    every least priority.
+    """
+    rows = written(rules_of_requests(requests.select("ts", "seq", "current_priority", *fields), rules, conditions, fields).select("ts", "seq", "current_priority", "rules"))
+    first = F.get(F.transform(F.filter("rules", lambda r: r["rate"].isNotNull()), lambda r: r["place"]), 0)
+    keyed = rows.withColumn("place", first).join(_families(rows), "place", "left").withColumn("family", F.coalesce(F.col("family").cast("long"), -1 - F.abs("seq")))
+
+    def step(buckets, ts, seq, priority, met):
+        for rule in met:
+            place = rule["place"]
+            if rule["rate"] is not None:
+                buckets[place], ok = take(buckets.get(place), ts, rule["rate"], rule["capacity"])
+                if not ok:
+                    return buckets, (seq, place)
+            if None not in (rule["priority"], priority) and priority < rule["priority"]:
+                return buckets, (seq, place)
+        return buckets, (seq, None)
+
+    return fold(keyed, ["family"], ["current_priority", "rules"], dict, step, "seq long, refused int").select("seq", "refused")
 
 
 def adaptive_rate(samples: DataFrame, start_rate: float, key: str = "endpoint") -> DataFrame:
@@ -128,7 +210,7 @@ def adaptive_rate(samples: DataFrame, start_rate: float, key: str = "endpoint")
             rate = min(10000.0, rate * 1.1)
         return rate, (seq, rate)
 
-    return fold(samples, [key], ["cpu"], float(start_rate), step, "seq long, rate double")
+    return fold(samples, [key], ["cpu"], lambda: float(start_rate), step, "seq long, rate double")
 
 
 def heartbeat_failures(beats: DataFrame, interval: float = K.HEARTBEAT_INTERVAL, misses: int = K.HEARTBEAT_MISSES) -> DataFrame:
@@ -147,4 +229,4 @@ def queue_verdicts(messages: DataFrame, capacity: int, drained: int) -> DataFram
         ok = left < capacity
         return (left + ok, tick), (seq, ok)
 
-    return fold(messages, ["topic"], ["tick"], (0, None), step, "seq long, accepted boolean")
+    return fold(messages, ["topic"], ["tick"], lambda: (0, None), step, "seq long, accepted boolean")

@@ -6,18 +6,43 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from kinetra.sources.scratch import written
+
+
+#: Cells in which a round of a selection counts.
+CELLS = 4096
+
 
 def percentile_at(samples: DataFrame, run: str, value: str, shares: dict[str, float]) -> DataFrame:
-    """sorted[int(n * share)] of each run, exactly, and without gathering a run in one place.
+    """sorted[int(n * share)] of each run, exactly, by selection: nothing is sorted and no run is gathered in one place.
 
-    Values are counted first, so that equal ones combine; their cumulative
-    counts then find the value at each index.
+    The range in which a percentile lies is cut into CELLS of equal width, of
+    which the values are counted, with the least and greatest of each; the cell
+    that holds the index is cut again between these, until it holds one value.
+    Each round reads the samples once and leaves a row for each run and share.
+    Nulls are no samples; infinities and NaN, the largest, have cells of their own.
     """
-    counted = samples.groupBy(run, value).agg(F.count("*").alias("n"))
-    upto = F.sum("n").over(W.partitionBy(run).orderBy(value))
-    total = F.sum("n").over(W.partitionBy(run))
-    rows = counted.select(run, value, upto.alias("upto"), total.alias("total"))
-    return rows.groupBy(run).agg(*(F.min(F.when(F.col("upto") > F.least(F.floor(F.col("total") * share), F.col("total") - 1), F.col(value))).alias(name) for name, share in shares.items()))
+    rows = samples.select(F.col(run).alias("run"), F.col(value).cast("double").alias("v")).where("v is not null")
+    finite = F.when(~F.isnan("v") & (F.abs("v") < float("inf")), F.col("v"))
+    all_of = rows.groupBy("run").agg(F.count("*").alias("n"), F.min(finite).alias("lo"), F.max(finite).alias("hi"))
+    asked = F.explode(F.array(*(F.struct(F.lit(name).alias("name"), F.lit(float(share)).alias("share")) for name, share in shares.items()))).alias("ask")
+    aims = all_of.select("run", asked, "n", "lo", "hi").select("run", "ask.name", F.least(F.floor(F.col("n") * F.col("ask.share")), F.col("n") - 1).alias("index"), "lo", "hi", F.lit(True).alias("open"))
+    aims, first, done = written(aims), True, None
+    while True:
+        inside = F.lit(True) if first else F.col("v").between(F.col("lo"), F.col("hi"))
+        # monotone in v whatever is rounded, and the greatest value never shares the least one's cell
+        width = F.expr(f"cast(floor(try_divide(v / 2 - lo / 2, hi / 2 - lo / 2) * {CELLS}) as int)")
+        cell = F.when(F.isnan("v"), CELLS + 1).when(F.col("v") == float("inf"), CELLS).when(F.col("v") == float("-inf"), -1).when(F.col("v") >= F.col("hi"), CELLS - 1).otherwise(F.coalesce(F.least(width, F.lit(CELLS - 2)), F.lit(0)))
+        counted = rows.join(aims.where("open"), "run").where(inside).groupBy("run", "name", "index", cell.alias("cell")).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        upto = F.sum("n").over(W.partitionBy("run", "name").orderBy("cell"))
+        found = counted.withColumn("upto", upto).where((F.col("upto") > F.col("index")) & (F.col("upto") - F.col("n") <= F.col("index")))
+        aims = written(found.select("run", "name", (F.col("index") - (F.col("upto") - F.col("n"))).alias("index"), "lo", "hi", (F.col("lo") < F.col("hi")).alias("open")))
+        closed = aims.where("not open").select("run", "name", "lo")
+        done = closed if done is None else done.unionByName(closed)
+        first = False
+        if aims.where("open").isEmpty():
+            break
+    return done.groupBy(F.col("run").alias(run)).agg(*(F.max(F.when(F.col("name") == name, F.col("lo"))).alias(name) for name in shares))
 
 
 def latency_stats(samples: DataFrame, run: str = "run", value: str = "latency_ms") -> DataFrame:

@@ -191,12 +191,67 @@ select client, seq, {r6("rate")} from f where n > 0"""
 
 
 def admission_chain(spark, sf):
-    return C.admission(_requests(spark, sf), (1 / 300, 50.0), (1 / 1500, 20.0), (1 / 40000, 3.0), {"failures": 3, "recovery": 3600.0})
+    return C.admission(_requests(spark, sf), *ADMITTED, {"failures": 3, "recovery": 3600.0})
+
+
+ADMITTED = ((1 / 300, 50.0), (1 / 1500, 20.0), (1 / 40000, 3.0))
+
+
+def _limiter_sql(source: str, name: str, key: str, rate: float, capacity: float, where: str = "true") -> str:
+    """CTEs {name}o and {name}: which of the rows of a source that meet a condition find a token, in order, by key."""
+    return f"""{name}o as (select seq, ts, {key} as key, row_number() over (partition by {key} order by ts, seq) as n from {source} where {where}),
+{name}f as (select key, 1::bigint as n, seq, ts, {capacity - 1}::double as tokens, true as allowed from {name}o where n = 1
+  union all select key, n, seq, ts, case when r >= 1 then r - 1 else r end, r >= 1 from (
+    select o.key, o.n, o.seq, o.ts, least({capacity}::double, f.tokens + (o.ts - f.ts)*{rate!r}::double) as r from {name}f f join {name}o o on o.key = f.key and o.n = f.n + 1))"""
+
+
+def _admission_sql() -> str:
+    chain, source = [], "o"
+    for name, key, limit in zip(("g", "e", "c"), ("0", "endpoint", "client"), ADMITTED):
+        chain.append(_limiter_sql(source, name, key, *limit))
+        chain.append(f"{name}r as (select * from {source} semi join (select seq from {name}f where allowed) using (seq))")
+        source = f"{name}r"
+    calls = RECURSIVE.split(", o as", 1)[0] + ", o as (select user_id as client, event_type as endpoint, ts, seq, event_type <> 'error' as success from ev), " + ", ".join(chain)
+    breaker = BREAKER.split("f as (", 1)[1].rsplit("\nselect", 1)[0].replace("client", "endpoint").replace(" o on", " q on").replace("o.", "q.").replace("from o ", "from q ").replace("60000", "3600").replace("cnt >= 2", "cnt >= 3")
+    return f"""{calls}, q as (select endpoint, ts, seq, success, row_number() over (partition by endpoint order by ts, seq) as n from cr), f as ({breaker}
+select seq, endpoint, client, case when seq not in (select seq from gr) then 'global' when seq not in (select seq from er) then 'endpoint' when seq not in (select seq from cr) then 'client'
+  when seq in (select seq from f where not allowed) then 'breaker' end as refused from o"""
+
+
+def _rules(spark, sf):
+    """A rule of each region, with its conditions as rows."""
+    k = F.col("r_regionkey").cast("int")
+    of = lambda values: F.get(F.array(*(F.lit(v) for v in values)), k)
+    rules = X.table(spark, sf, "region").select(k.alias("place"), *(of(v).cast("double").alias(n) for n, v in RULES.items()))
+    wanted = X.table(spark, sf, "region").select(k.alias("place"), F.explode(F.array(*(F.struct(F.lit(f).alias("field"), of(v).alias("value")) for f, v in CONDITIONS.items()))).alias("x"))
+    return rules, wanted.select("place", "x.*").where("value is not null")
+
+
+#: Of the rule of each region: its limiter, least priority, and what it asks of a request.
+RULES = {"rate": [1 / 2000, None, None, 1 / 500, 1 / 9000], "capacity": [5.0, None, None, 10.0, 2.0], "priority": [None, 9.0, 2.0, None, None]}
+CONDITIONS = {"endpoint": ["click", "view", None, "click", None], "client": [None, "7", None, None, "35"]}
 
 
 def policy_rules(spark, sf):
-    rules = [{"conditions": {"endpoint": "click"}, "rate": 1 / 2000, "capacity": 5.0}, {"priority": 2}, {"conditions": {"endpoint": "view", "client": 7}, "priority": 9}]
-    return C.policy(_requests(spark, sf), rules)
+    return C.policy(_requests(spark, sf), *_rules(spark, sf), ["endpoint", "client"])
+
+
+def _policy_sql() -> str:
+    """One rule after the other over what the ones before let through."""
+    ctes, source, refused = [], "o", []
+    for k in range(5):
+        wanted = " and ".join(f"{f} = '{v[k]}'" if f == "endpoint" else f"{f} = {v[k]}" for f, v in CONDITIONS.items() if v[k]) or "true"
+        gone = []
+        if RULES["rate"][k] is not None:
+            ctes.append(_limiter_sql(source, f"l{k}", "0", RULES["rate"][k], RULES["capacity"][k], wanted))
+            gone.append(f"seq in (select seq from l{k}f where not allowed)")
+        if RULES["priority"][k] is not None:
+            gone.append(f"({wanted} and current_priority < {RULES['priority'][k]})")
+        ctes.append(f"r{k} as (select * from {source} where not ({' or '.join(gone)}))")
+        source = f"r{k}"
+        refused.append(f"when seq not in (select seq from r{k}) then {k}")
+    calls = RECURSIVE.split(", o as", 1)[0] + ", o as (select user_id as client, event_type as endpoint, ts, seq, seq % 10 as current_priority from ev), " + ", ".join(ctes)
+    return f"{calls} select seq, cast(case {' '.join(refused)} end as int) as refused from o"
 
 
 def queue_capacity(spark, sf):
@@ -204,6 +259,13 @@ def queue_capacity(spark, sf):
     return C.queue_verdicts(ticks, 5, 2)
 
 
+QUEUED = f"""{RECURSIVE.split(", o as", 1)[0]}, o as (select event_type as topic, seq, cast(floor(ts/3600) as bigint) as tick, row_number() over (partition by event_type order by ts, seq) as n from ev),
+f as (select topic, n, seq, tick, 1::bigint as held, true as accepted from o where n = 1
+  union all select topic, n, seq, tick, case when l < 5 then l + 1 else l end, l < 5 from (
+    select o.topic, o.n, o.seq, o.tick, greatest(0, f.held - 2*(o.tick - f.tick)) as l from f join o on o.topic = f.topic and o.n = f.n + 1))
+select topic, seq, accepted from f"""
+
+
 def heartbeat_failures(spark, sf):
     beats = X.events(spark, sf).select((F.col("user_id") % 10).alias("node_id"), "ts", "seq")
     return C.heartbeat_failures(beats, 3600.0, 3)
@@ -278,9 +340,9 @@ select *, cast(floor((recovered_at - ts)/3600) as bigint) as missed from g where
     "token_bucket": (token_bucket, BUCKET),
     "circuit_breaker": (circuit_breaker, BREAKER),
     "adaptive_throttle": (adaptive_throttle, ADAPT),
-    "admission_chain": (admission_chain, None),
-    "policy_rules": (policy_rules, None),
-    "queue_capacity": (queue_capacity, None),
+    "admission_chain": (admission_chain, _admission_sql()),
+    "policy_rules": (policy_rules, _policy_sql()),
+    "queue_capacity": (queue_capacity, QUEUED),
     "greedy_shards": (greedy_shards, GREEDY),
     "cell_rebalance": (cell_rebalance, REBALANCED),
     "node_rebalance": (node_rebalance, NODE_REBALANCED),

@@ -17,9 +17,10 @@ from kinetra.plans import detection, state
 from kinetra.plans.base import r6, rounded
 from kinetra.plans.grid import cell_sql
 from kinetra.plans.state import RISKS, _risks
-from kinetra.plans.streams import rocksdb, scratch
+from kinetra.plans.streams import rocksdb
 from kinetra.sources import files
 from kinetra.sources import messages as J
+from kinetra.sources.scratch import scratch
 from kinetra.streaming import detect as SD
 from kinetra.streaming import ingest
 

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import contextlib
-import tempfile
-import uuid
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,21 +12,12 @@ from kinetra.operators import kv
 from kinetra.plans import base as B
 from kinetra.plans import operations
 from kinetra.sources import generators as G
+from kinetra.sources.scratch import scratch
 from kinetra.streaming import state as S
 
 EVENTS = f"with {B.EVENTS_SQL}"
 
 
-def scratch(spark) -> str:
-    """A folder that all executors share, where the cluster names one."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = f"file://{tempfile.gettempdir()}"
-    return f"{root.rstrip('/')}/kinetra-stream-{uuid.uuid4().hex}"
-
-
 @contextlib.contextmanager
 def rocksdb(spark):
     """Streams that start inside keep their state in RocksDB. A stream takes the setting when it starts, so the session has it back at once."""

@@ -1,6 +1,7 @@
 """Control folds, placement, expiry, percentiles and messages."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -34,8 +35,41 @@ def test_admission_order(spark):
 
 def test_policy(spark):
     df = spark.createDataFrame([(0.0, 0, "x", 1), (0.0, 1, "x", 9), (0.0, 2, "y", 1), (0.0, 3, None, 9)], "ts double, seq long, kind string, current_priority int")
-    got = [r["refused"] for r in C.policy(df, [{"conditions": {"kind": "x"}, "rate": 0.0, "capacity": 1.0}, {"priority": 5}]).orderBy("seq").collect()]
+    rules = spark.createDataFrame([(0, 0.0, 1.0, None), (1, None, None, 5.0)], "place int, rate double, capacity double, priority double")
+    wanted = spark.createDataFrame([(0, "kind", "x")], "place int, field string, value string")
+    got = [r["refused"] for r in C.policy(df, rules, wanted, ["kind"]).orderBy("seq").collect()]
     assert got == [1, 0, 1, None]
+    assert [r["refused"] for r in C.policy(df, rules.where("place = 0"), wanted, ["kind"]).orderBy("seq").collect()] == [None, 0, None, None]
+    assert C.policy(df, rules.where("false"), wanted.where("false"), ["kind"]).where("refused is null").count() == 4
+
+
+def test_policy_of_many_rules_with_null_fields(spark):
+    """Rules of none to three conditions in tables, against a plain loop over all of them."""
+    rng = random.Random(4)
+    values = [None, "p", "q", "r"]
+    rows = [(float(k // 3), k, rng.choice(values), rng.choice(values), rng.choice([None, 1, 2, 3]), rng.choice([None, 1, 5, 9])) for k in range(400)]
+    rules = [(k, *((rng.choice([0.1, 0.5]), float(rng.randint(1, 6))) if k % 3 else (None, None)), rng.choice([None, 3.0, 6.0])) for k in range(30)]
+    wanted = {k: {f: rng.choice(["p", "q", "r"] if f != "n" else ["1", "2"]) for f in rng.sample(["a", "b", "n"], rng.choice([0, 1, 1, 2, 2, 3]) if k != 5 else 0)} for k in range(30)}
+    df = spark.createDataFrame(rows, "ts double, seq long, a string, b string, n int, current_priority int")
+    tables = spark.createDataFrame(rules, "place int, rate double, capacity double, priority double"), spark.createDataFrame([(k, f, v) for k, c in wanted.items() for f, v in c.items()], "place int, field string, value string")
+    held, expected = {}, {}
+    for ts, seq, a, b, n, priority in rows:
+        seen = {"a": a, "b": b, "n": None if n is None else str(n)}
+        for k, rate, capacity, least in rules:
+            if any(seen[f] != v for f, v in wanted[k].items()):
+                continue
+            if rate is not None:
+                tokens, at = held.get(k, (capacity, ts))
+                tokens = min(capacity, tokens + (ts - at) * rate)
+                held[k] = (tokens - (tokens >= 1), ts)
+                if tokens < 1:
+                    expected[seq] = k
+                    break
+            if least is not None and priority is not None and priority < least:
+                expected[seq] = k
+                break
+    got = {r["seq"]: r["refused"] for r in C.policy(df, *tables, ["a", "b", "n"]).collect()}
+    assert {s: k for s, k in got.items() if k is not None} == expected and len(got) == 400 and len(set(expected.values())) > 5
 
 
 def test_expiry_is_strict(spark):
@@ -105,10 +139,13 @@ def test_folds_keep_no_array_of_a_key(spark, capsys):
     """One hot key in many batches, against a plain loop."""
     n, rate, capacity = 30000, 0.4, 7.0
     df = spark.range(n).select(F.col("id").alias("seq"), F.floor(F.col("id") * 1.3).cast("double").alias("ts"), F.lit(1).alias("client"), F.lit("e").alias("endpoint"), (F.col("id") % 3 > 0).alias("success"), (F.col("id") % 10 / 10).alias("cpu"), (F.col("id") % 10).alias("current_priority"))
-    policy, chain = C.policy(df, [{"rate": rate, "capacity": capacity}]), C.admission(df, (rate, capacity), (9.0, 9.0), (9.0, 9.0), {"failures": n, "recovery": 1.0})
-    for out in (policy, chain, C.token_bucket(df, rate, capacity), C.circuit_breaker(df), C.adaptive_rate(df, 100.0), C.queue_verdicts(df.select(F.lit("t").alias("topic"), "ts", "seq", F.floor("ts").alias("tick")), 5, 2)):
+    rules = spark.createDataFrame([(0, rate, capacity, None)], "place int, rate double, capacity double, priority double")
+    policy = C.policy(df, rules, spark.createDataFrame([], "place int, field string, value string"), ["endpoint"])
+    chain = C.admission(df, (rate, capacity), (9.0, 9.0), (9.0, 9.0), {"failures": n, "recovery": 1.0})
+    for out in (chain, C.token_bucket(df, rate, capacity), C.circuit_breaker(df), C.adaptive_rate(df, 100.0), C.queue_verdicts(df.select(F.lit("t").alias("topic"), "ts", "seq", F.floor("ts").alias("tick")), 5, 2)):
         out.explain()
-        assert "collect_list" not in capsys.readouterr().out
+        plan = capsys.readouterr().out
+        assert "collect_list" not in plan and "Join" not in plan
     tokens, at, refused = capacity, None, set()
     for i in range(n):
         ts = float(i * 13 // 10)
