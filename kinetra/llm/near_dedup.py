@@ -160,14 +160,25 @@ def _possibly(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return near.where(F.getbit(byte, (bit % 8).cast("int")) == 1).drop("part", "bits")
 
 
+def _with_count(rows: DataFrame, key: str) -> DataFrame:
+    """Rows of a written table whose key is not alone, with the number n of those that share it.
+
+    The counts are written: a join of two written tables is one of which Spark
+    splits the partition of a hot key, which it cannot where one side is an
+    aggregate.
+    """
+    return rows.join(materialize(rows.groupBy(key).agg(F.count("*").alias("n")).where("n > 1"), "near-counts"), key)
+
+
 def _linkable(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Members of classes whose shingles are shared widely enough for a link to be possible, in buckets that still hold two."""
     seen = sets.join(members.select("rep").distinct(), "rep", "left_semi").select("rep", F.size("shingles").alias("size"), "shingles")
     alone = seen.select("rep", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n"), F.min("rep").alias("rep")).where("n = 1").groupBy("rep").agg(F.count("*").alias("own"))
     able = seen.select("rep", "size").join(alone, "rep", "left").select("rep", "size", F.coalesce("own", F.lit(0)).alias("own")).where(f"100 * (size - own) >= {percent} * size")
-    left = members.select("bucket", "rep").join(able, "rep")
-    crowd = left.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    return materialize(left.join(crowd, "bucket").select("bucket", "rep", "n", "size", "own"), "near-members")
+    left = materialize(members.select("bucket", "rep").join(able, "rep").select("bucket", "rep", "size", "own"), "near-able")
+    out = materialize(_with_count(left, "bucket").select("bucket", "rep", "n", "size", "own"), "near-members")
+    forget(left)
+    return out
 
 
 def _possible(x: str, y: str, percent: int):
@@ -213,10 +224,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5, bands: in
     carried = [carry] if carry else []
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), *carried)
     rows_of = materialize(docs.mapInArrow(_signatures(size, bands, rows, ("doc_id", *carried)), "".join(f"{k} long, " for k in ("doc_id", *carried)) + "n_shingles long, same binary, bands array<long>"), "near-signatures")
-    classes = rows_of.where("doc_id is not null and same is not null").groupBy("same").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
+    classes = materialize(rows_of.where("doc_id is not null and same is not null").groupBy("same").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "near-classes")
     dealt = classes.select("rep", F.explode("bands").alias("bucket"))
-    crowded = dealt.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    members = materialize(dealt.join(crowded, "bucket").select("bucket", "rep", "n").distinct(), "near-members")
+    members = materialize(_with_count(dealt, "bucket").select("bucket", "rep", "n").distinct(), "near-members")
     involved = members.select("rep").distinct()
     # a class is compared by one of its texts: that of its smallest document
     texts = _possibly(docs, involved).join(involved.hint("merge"), F.col("doc_id") == F.col("rep")).select("rep", "text")
@@ -225,6 +235,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5, bands: in
     for _ in range(ROUNDS):
         central = open_.groupBy("rep").agg(F.sum("n").alias("weight"))
         elected = open_.join(central, "rep").groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("rep")).alias("centre"))).alias("top")).select("bucket", (-F.col("top.centre")).alias("centre"))
+        elected = materialize(elected, "near-centres")
         stars = materialize(open_.join(elected, "bucket").where("rep <> centre").select("bucket", "rep", "centre", "size", "own"), "near-stars")
         pairs = stars.select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct()
         pairs = pairs if known is None else pairs.join(known, ["a", "b"], "left_anti")
@@ -235,9 +246,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5, bands: in
         missed, settled = judged.where("not linked").alias("x"), judged.where("linked").alias("y")
         grey = missed.join(settled, (F.col("x.bucket") == F.col("y.bucket")) & _possible("x", "y", percent)).select(F.col("x.rep").alias("rep"), F.col("y.rep").alias("other"))
         late = grey if late is None else late.unionByName(grey)
-        rest = judged.where("not linked").drop("linked")
-        sizes = rest.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-        open_ = materialize(rest.join(sizes, "bucket"), "near-open")
+        open_ = materialize(_with_count(judged.where("not linked").drop("linked"), "bucket"), "near-open")
     links = known.where(f"100 * both >= {percent} * either")
     label = components(links)
     rest = open_.alias("x").join(open_.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.rep") < F.col("y.rep")) & _possible("x", "y", percent)).select(F.col("x.rep").alias("rep"), F.col("y.rep").alias("other"))
@@ -246,7 +255,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5, bands: in
     more = more.join(of("a"), "a", "left").join(of("b"), "b", "left").where("coalesce(label_a, a) <> coalesce(label_b, b)").select("a", "b").join(known, ["a", "b"], "left_anti")
     extra = _verified(more, sets).where(f"100 * both >= {percent} * either")
     label = components(links.select("a", "b").unionByName(extra.select("a", "b")))
-    in_class = classes.select("same", "rep").join(label, classes["rep"] == label["node"], "left").select("same", F.coalesce("label", "rep").alias("component"))
+    in_class = materialize(classes.select("same", "rep").join(label, classes["rep"] == label["node"], "left").select("same", F.coalesce("label", "rep").alias("component")), "near-components")
     # rows of one doc_id with several texts meet in the smallest of their components
     out = rows_of.select("doc_id", *carried, "n_shingles", "same").join(in_class, "same", "left")
     component = F.coalesce("component", "doc_id")
