@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from kinetra import constants as K
 from kinetra.functions import grid as G
+from kinetra.operators.ranking import placed
+from kinetra.sources.scratch import written
 
 #: Control tables that one greedy fold may read: nodes, shards and cells of one system.
 FOLD_ROWS = 1_000_000
@@ -201,37 +203,34 @@ def region_plan(regions: DataFrame, n_shards: int, high: float = 0.7, low: float
     no load.
     """
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows, held = rows.sort_values(["vehicle_count", "cell"], ascending=[False, True]), {k: [] for k in range(n_shards)}
-        for r in rows.itertuples(index=False):
-            held.setdefault(int(r.shard_id), []).append(r)
-        load = {k: sum(int(r.vehicle_count) for r in rs) for k, rs in sorted(held.items())}
-        most, new, out = max(load.values()), max(load) + 1, []
-        idle = [k for k in load if most and load[k] < low * most]
-        for shard in [k for k in load if load[k] > high * most]:
-            r = held[shard][0]
-            if r.level >= max_level:
-                continue
-            for i in range(8):
-                if i == 0:
-                    target = shard
-                elif idle:
-                    target = idle.pop(0)
-                else:
-                    target, new = new, new + 1
-                out.append(("split", r.cell, f"{r.cell}/{i}", r.level + 1, 2 * r.cx + i // 4, 2 * r.cy + i // 2 % 2, 2 * r.cz + i % 2, shard, target))
-        while len(idle) >= 2:
-            first, second = idle.pop(0), idle.pop(0)
-            beside = {(r.level, r.cx, r.cy, r.cz): r for r in held[second]}
-            steps = [tuple(s * (k == d) for k in range(3)) for d in range(3) for s in (-1, 1)]
-            pairs = ((r.cell, o.cell, r, o) for r in held[first] for x, y, z in steps if (o := beside.get((r.level, r.cx + x, r.cy + y, r.cz + z))))
-            pair = min(pairs, key=lambda p: p[:2], default=None)
-            if pair is None:
-                break
-            out += [("merge", r.cell, f"{pair[0]}+{pair[1]}", r.level, r.cx, r.cy, r.cz, was, first) for r, was in zip(pair[2:], (first, second))]
-        return pd.DataFrame(out, columns=["action", "cell", "region", "level", "cx", "cy", "cz", "was", "shard_id"])
-
-    return _fold(regions, fold, "action string, cell long, region string, level int, cx long, cy long, cz long, was int, shard_id int")
+    shards = regions.sparkSession.range(n_shards).select(F.col("id").cast("int").alias("shard_id")).union(regions.select(F.col("shard_id").cast("int"))).distinct()
+    held = regions.groupBy("shard_id").agg(F.sum("vehicle_count").alias("load"), F.min(F.struct((-F.col("vehicle_count")).alias("size"), "cell", "level", "cx", "cy", "cz")).alias("largest"))
+    loads = written(shards.join(held, "shard_id", "left").fillna(0, ["load"]))
+    # what later conditions need of all shards is one row each
+    of_all = loads.agg(F.max("load").alias("most"), (F.max("shard_id") + 1).alias("new"))
+    judged = loads.join(F.broadcast(of_all))
+    full = placed(judged.where((F.col("load") > high * F.col("most")) & (F.col("largest.level") < max_level)).select("shard_id", "largest.*", "new").orderBy("shard_id"))
+    idle = placed(judged.where("most > 0").where(F.col("load") < low * F.col("most")).select("shard_id").orderBy("shard_id"))
+    taken = full.agg((7 * F.count("*")).alias("taken")).join(F.broadcast(idle.agg(F.count("*").alias("waiting"))))
+    # splits: each full shard's seven parts that leave have a place in one line, as the idle shards have
+    parts = full.withColumnRenamed("place", "turn").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(7)))).withColumn("place", F.when(F.col("i") > 0, (F.col("turn") - 1) * 7 + F.col("i")))
+    given = parts.join(idle.select("place", F.col("shard_id").alias("taker")), "place", "left").join(F.broadcast(taken))
+    target = F.when(F.col("i") == 0, F.col("shard_id")).otherwise(F.coalesce("taker", F.col("new") + F.col("place") - F.col("waiting") - 1)).cast("int")
+    finer = {"level": F.col("level") + 1, "cx": 2 * F.col("cx") + F.floor(F.col("i") / 4), "cy": 2 * F.col("cy") + F.floor(F.col("i") / 2) % 2, "cz": 2 * F.col("cz") + F.col("i") % 2}
+    region = F.concat_ws("/", F.col("cell").cast("string"), F.col("i").cast("string"))
+    split = given.select(F.lit("split").alias("action"), "cell", region.alias("region"), *(v.cast("int" if c == "level" else "long").alias(c) for c, v in finer.items()), F.col("shard_id").cast("int").alias("was"), target.alias("shard_id"))
+    # merges: idle shards that took nothing meet in pairs, on the faces of their cells
+    spare = idle.join(F.broadcast(taken)).where("place > taken").withColumn("k", F.col("place") - F.col("taken") - 1)
+    mine = regions.join(spare.select("shard_id", F.floor(F.col("k") / 2).alias("pair"), (F.col("k") % 2).alias("side")), "shard_id")
+    faces = F.array(*(F.struct(*((F.col(f"c{c}") + s * (c == axis)).alias(f"c{c}") for c in "xyz")) for axis in "xyz" for s in (-1, 1)))
+    first = mine.where("side = 0").select("pair", "level", F.col("cell").alias("a"), F.col("shard_id").alias("one"), F.explode(faces).alias("face")).select("pair", "level", "a", "one", "face.*")
+    second = mine.where("side = 1").select("pair", "level", "cx", "cy", "cz", F.col("cell").alias("b"))
+    touching = first.join(second, ["pair", "level", "cx", "cy", "cz"]).groupBy("pair", "one").agg(F.min(F.struct("a", "b")).alias("x")).select("pair", "one", "x.*")
+    pairs = spare.where("k % 2 = 1").select(F.floor(F.col("k") / 2).alias("pair")).join(touching, "pair", "left")
+    ends = F.broadcast(pairs.agg(F.min(F.when(F.col("a").isNull(), F.col("pair"))).alias("end")))
+    chosen = pairs.join(ends).where("a is not null and (end is null or pair < end)").select("pair", "one", F.concat_ws("+", F.col("a").cast("string"), F.col("b").cast("string")).alias("region"), F.explode(F.array("a", "b")).alias("cell"))
+    merged = mine.join(chosen, ["pair", "cell"]).select(F.lit("merge").alias("action"), "cell", "region", "level", "cx", "cy", "cz", F.col("shard_id").cast("int").alias("was"), F.col("one").cast("int").alias("shard_id"))
+    return split.unionByName(merged)
 
 
 def failover(resources: DataFrame, nodes: DataFrame, failed: Column) -> DataFrame:

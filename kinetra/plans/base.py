@@ -3,11 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kinetra.sources.scratch import written
-
 COLUMNS = "x y z vx vy vz ax ay az heading size type ts".split()
 
 
@@ -16,20 +13,6 @@ def rounded(df: DataFrame, *names: str, places: int = 6) -> DataFrame:
     return df.withColumns({n: F.round(n, places) + F.lit(0.0) for n in names})
 
 
-def placed(df: DataFrame) -> DataFrame:
-    """The rows of a sorted frame with their place in its order, from 1.
-
-    The sorted ranges are written with each row's number in its range, and the
-    sizes of the ranges, one row each, give where they begin.
-    """
-    numbered = written(df.withColumn("_at", F.monotonically_increasing_id()))
-    part, inside = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
-    sizes = numbered.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
-    begins = sizes.select("_part", (F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).alias("_first"))
-    rows = numbered.withColumn("_part", part).join(begins, "_part")
-    return rows.select(*df.columns, (F.col("_first") + inside + 1).alias("place"))
-
-
 def r6(*names: str) -> str:
     return ", ".join(f"round({n}, 6) + 0e0 as {n}" for n in names)
 

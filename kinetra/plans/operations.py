@@ -9,6 +9,7 @@ from kinetra import fixtures as X
 from kinetra.operators import control as C
 from kinetra.operators import metrics as M
 from kinetra.operators import placement as P
+from kinetra.operators.ranking import placed
 from kinetra.plans import base as B
 from kinetra.plans.base import r6, rounded
 from kinetra.sources import messages as S
@@ -24,7 +25,7 @@ def task_order(spark, sf):
 
 def pending_task_order(spark, sf):
     """All tasks without a result, in the order in which they are to be assigned."""
-    return B.placed(P.task_order(X.tasks(spark, sf).where("status = 'O'")).select("task_id", "priority", "created_at"))
+    return placed(P.task_order(X.tasks(spark, sf).where("status = 'O'")).select("task_id", "priority", "created_at"))
 
 
 def task_timeouts(spark, sf):
@@ -133,6 +134,21 @@ def region_plan(spark, sf):
     return P.region_plan(_cells(spark, sf).withColumnRenamed("load", "vehicle_count").withColumns(placed), 4)
 
 
+#: splits fill the idle shards in order, then new ones; the idle ones left are paired until a pair has no cells that touch
+PLAN = f"""{CELLS}, r as (select cell, cell % 5 as cx, cell // 5 as cy, shard_id, load as n from cells),
+l as (select shard_id, coalesce(sum(n), 0) as held from (select cast(k as int) as shard_id from range(4) g(k)) left join r using (shard_id) group by shard_id), m as (select max(held) as most from l),
+s as (select r.*, row_number() over (order by r.shard_id) as turn from (select * from r qualify row_number() over (partition by shard_id order by n desc, cell) = 1) r join l using (shard_id), m where held > 0.7e0*most),
+idle as (select shard_id, row_number() over (order by shard_id) as place from l, m where held < 0.3e0*most),
+parts as (select s.*, i, case when i > 0 then (turn - 1)*7 + i end as place from s, range(8) g(i)),
+rest as (select shard_id, row_number() over (order by place) - 1 as k from idle where place > (select coalesce(max(place), 0) from parts)),
+two as (select a.k // 2 as k, a.shard_id as one, b.shard_id as other from rest a join rest b on a.k % 2 = 0 and b.k = a.k + 1),
+pick as (select two.k, one, a.cell as a, b.cell as b from two join r a on a.shard_id = one join r b on b.shard_id = other and abs(a.cx - b.cx) + abs(a.cy - b.cy) = 1 qualify row_number() over (partition by two.k order by a.cell, b.cell) = 1),
+merged as (select unnest([a, b]) as cell, a || '+' || b as region, one from pick where k < (select coalesce(min(k), 1000000) from two where k not in (select k from pick)))
+select 'split' as action, cell, cell || '/' || i as region, 3 as level, cast(2*cx + i // 4 as bigint) as cx, cast(2*cy + i // 2 % 2 as bigint) as cy, cast(i % 2 as bigint) as cz, parts.shard_id as was,
+  cast(case when i = 0 then parts.shard_id else coalesce(idle.shard_id, 4 + parts.place - (select count(*) from idle) - 1) end as int) as shard_id from parts left join idle using (place)
+union all select 'merge', r.cell, region, 2, r.cx, r.cy, 0, r.shard_id, one from merged join r using (cell)"""
+
+
 def _resources(spark, sf):
     """A resource of each task, spread over all nodes."""
     nodes = X.nodes(spark, sf)
@@ -346,7 +362,7 @@ select *, cast(floor((recovered_at - ts)/3600) as bigint) as missed from g where
     "greedy_shards": (greedy_shards, GREEDY),
     "cell_rebalance": (cell_rebalance, REBALANCED),
     "node_rebalance": (node_rebalance, NODE_REBALANCED),
-    "region_plan": (region_plan, None),
+    "region_plan": (region_plan, PLAN),
     "resource_failover": (resource_failover, None),
     "latency_stats": (latency_stats, f"with {STATS} select run, n, round(mean, 4) + 0e0 as mean, largest, p95, p99 from t"),
     "metric_compare": (metric_compare, f"""with {STATS}, u as (select run, round(n/mean, 6) as throughput, round(mean, 6) as mean, round(p99, 6) as p99, n % 7 as error_rate from t)

@@ -8,6 +8,7 @@ from kinetra import fixtures as X
 from kinetra.operators import detect as D
 from kinetra.operators import kv as V
 from kinetra.operators import lifecycle as A
+from kinetra.operators.ranking import placed
 from kinetra.plans import base as B
 from kinetra.plans import detection as P
 from kinetra.plans.base import r6, rounded
@@ -45,7 +46,7 @@ def alert_queue(spark, sf):
 
 def alert_order(spark, sf):
     """All alerts in the order of the queue."""
-    return B.placed(A.queue(_alerts(spark, sf)).select(*PAIR, "priority", "ts"))
+    return placed(A.queue(_alerts(spark, sf)).select(*PAIR, "priority", "ts"))
 
 
 def alert_stats(spark, sf):

@@ -162,7 +162,7 @@ def test_folds_keep_no_array_of_a_key(spark, capsys):
 def test_region_plan(spark):
     """Parts of a split go to idle shards, then to new ones; only cells of two idle shards that touch are merged."""
     names = "cell long, level int, cx long, cy long, cz long, vehicle_count long, shard_id int"
-    plan = lambda rows, n: P.region_plan(spark.createDataFrame(rows, names), n).collect()
+    plan = lambda rows, n: P.region_plan(spark.createDataFrame(rows, names), n).orderBy("action", "cell", "region").collect()
     full = [(1, 2, 3, 1, 0, 90, 0), (2, 2, 3, 2, 0, 10, 0)]
     idle = [(k, 2, 9, k, 0, 1, k) for k in range(1, 8)]
     got = plan(full + [(10 + c, *r) for c, *r in idle], 8)
