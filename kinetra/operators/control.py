@@ -230,3 +230,18 @@ def queue_verdicts(messages: DataFrame, capacity: int, drained: int) -> DataFram
         return (left + ok, tick), (seq, ok)
 
     return fold(messages, ["topic"], ["tick"], lambda: (0, None), step, "seq long, accepted boolean")
+
+
+#: Statuses of a recovery in the order in which they may follow each other; an ended one may be initiated again.
+RECOVERY_STEPS = {(None, "initiated"), ("initiated", "starting"), ("starting", "completed"), ("starting", "failed"), ("completed", "initiated"), ("failed", "initiated")}
+
+
+def conformance(log: DataFrame, steps: set[tuple[str | None, str]] = RECOVERY_STEPS, key: str = "recovery_id") -> DataFrame:
+    """Whether each status of a workflow (key, ts, seq, status) may follow the state before it, and the state after: a status that may not changes nothing."""
+
+    def step(state, ts, seq, status):
+        ok = (state, status) in steps
+        state = status if ok else state
+        return state, (seq, status, ok, state)
+
+    return fold(log, [key], ["status"], lambda: None, step, "seq long, status string, valid boolean, state string")

@@ -6,11 +6,14 @@ from pyspark.sql import functions as F
 
 from kinetra import fixtures as X
 from kinetra.operators import api as Q
+from kinetra.operators import control as C
 from kinetra.operators import metrics as M
 from kinetra.plans import base as B
 from kinetra.plans import detection as P
 from kinetra.plans.grid import cell_sql
+from kinetra.sources import files
 from kinetra.sources import generators as G
+from kinetra.sources.scratch import scratch
 
 EVENTS, TRACKS = f"with {B.EVENTS_SQL}", f"with {B.TRACKS_SQL}"
 SHARD = "cast((((cx::bigint*73856093 + cy::bigint*19349663 + cz::bigint*83492791) % 10) + 10) % 10 as bigint)"
@@ -55,6 +58,27 @@ def recoveries(spark, sf):
     return Q.recoveries(X.events(spark, sf).select((F.col("user_id") % 30).alias("recovery_id"), F.col("event_type").alias("status"), "ts", "seq"))
 
 
+def recovery_conformance(spark, sf):
+    """Each status of a recovery against the steps that are allowed."""
+    status = F.get(F.array(*map(F.lit, ["initiated", "starting", "completed", "failed"])), (F.col("event_id") * 7 % 4).cast("int"))
+    log = X.events(spark, sf).select((F.col("user_id") % 30).alias("recovery_id"), "ts", "seq", status.alias("status"))
+    return C.conformance(log)
+
+
+def snapshots(spark, sf):
+    """Seven backups of the events by day of the week, of which the newest five are kept, a half-written one is not seen and the one before the last is restored."""
+    folder, e = scratch(spark), X.events(spark, sf).withColumn("day", F.col("event_id") % 7)
+    for day in range(7):
+        files.backup({"events": e.where(F.col("day") == day).select("event_id", "event_type", "value"), "counts": e.where(F.col("day") == day).groupBy("event_type").count()}, folder, f"day{day}", float(day))
+    e.limit(1).select("event_id").write.parquet(f"{folder}/backup_half/events")
+    files.retain(spark, folder, 5)
+    kept = files.backups(spark, folder)
+    back = files.restore(spark, folder, kept.offset(1).first()["backup_id"])
+    left = kept.agg(F.count("*").alias("kept"), F.min("created_at").alias("oldest"))
+    rows = back["events"].groupBy("event_type").agg(F.count("*").alias("events"), F.max("event_id").alias("last")).join(back["counts"], "event_type")
+    return rows.select("event_type", "events", "last", F.col("count").alias("counted"), left.select("kept").scalar().alias("kept"), left.select("oldest").scalar().alias("oldest"))
+
+
 def road_hops(spark, sf):
     roads, edges, _ = G.grid_roads(spark, 6, 4, 100.0)
     at = X.fleet(spark, sf).select("id", F.concat(F.lit("h"), F.col("id") % 5).alias("road"))
@@ -89,6 +113,13 @@ QUERIES = {
     "transfers": (transfers, f"{EVENTS} select a.seq as request_id, a.user_id, b.props as state from ev a left join (select * from ev where value >= 50) b on a.seq = b.seq"),
     "all_transfers": (all_transfers, f"{EVENTS} select seq as request_id, user_id, case when event_type <> 'error' then props end as state from ev"),
     "recoveries": (recoveries, f"{EVENTS} select user_id % 30 as recovery_id, event_type as status, ts, seq from ev qualify row_number() over (partition by user_id % 30 order by ts desc, seq desc) = 1"),
+    "recovery_conformance": (recovery_conformance, f"""with recursive {B.EVENTS_SQL}, o as (select user_id % 30 as recovery_id, seq, ['initiated', 'starting', 'completed', 'failed'][event_id*7 % 4 + 1] as status, row_number() over (partition by user_id % 30 order by ts, seq) as n from ev),
+f as (select recovery_id, n, seq, status, status = 'initiated' as valid, case when status = 'initiated' then status end as state from o where n = 1
+  union all select recovery_id, n, seq, status, ok, case when ok then status else state end from (
+    select o.recovery_id, o.n, o.seq, o.status, f.state, case o.status when 'initiated' then f.state is null or f.state in ('completed', 'failed') when 'starting' then coalesce(f.state = 'initiated', false) else coalesce(f.state = 'starting', false) end as ok
+    from f join o on o.recovery_id = f.recovery_id and o.n = f.n + 1))
+select recovery_id, seq, status, valid, state from f"""),
+    "snapshots": (snapshots, f"{EVENTS} select event_type, count(*) as events, max(event_id) as last, count(*) as counted, 5::bigint as kept, 2e0 as oldest from ev where event_id % 7 = 5 group by event_type"),
     "road_hops": (road_hops, "select c_custkey as id, 'h' || (c_custkey % 5) as road, 'v' || k as next from customer, range(0, 7) as g(k)"),
     "fleet_stats": (fleet_stats, f"with {B.fleet_sql()} select type, count(*) as vehicles, count(*) filter (x < 1000 and y < 1000) as in_city from fleet group by type"),
     "system_stats": (system_stats, f"""with {B.NODES_SQL}, s as (select to_json({{'n': count(*)}}) as nodes, to_json({{'n': count(*) filter (status = 'active')}}) as active from nodes)

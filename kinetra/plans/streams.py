@@ -13,6 +13,7 @@ from kinetra.plans import base as B
 from kinetra.plans import operations
 from kinetra.sources import generators as G
 from kinetra.sources.scratch import scratch
+from kinetra.streaming import requests as RQ
 from kinetra.streaming import state as S
 
 EVENTS = f"with {B.EVENTS_SQL}"
@@ -90,6 +91,26 @@ def streaming_heartbeats(spark, sf):
     return drain(S.node_failures(beats, 3600.0, 3), "append", spark).drop("batch_no")
 
 
+#: Seconds after which no task or transfer is waited for any longer.
+LONGEST = 700
+
+
+def streaming_tasks(spark, sf):
+    """A task of each event, and a result of each that is no error, some of them after the task's timeout."""
+    e = _events(spark, sf)
+    tasks = e.select(F.col("event_id").alias("task_id"), "time", (60 + F.col("event_id") % 600).alias("timeout"))
+    results = _events(spark, sf).where("event_type <> 'error'").select(F.col("event_id").alias("task_id"), F.expr("time + make_dt_interval(0, 0, 0, event_id * 7 % 700)").alias("time"), (F.col("event_type") != "signup").alias("success"))
+    return drain(RQ.task_states(tasks, results, LONGEST), "append", spark).drop("batch_no")
+
+
+def streaming_transfers(spark, sf):
+    """A state request of each event; errors are not answered, and some answers come too late."""
+    e = _events(spark, sf)
+    requests = e.select(F.col("event_id").alias("request_id"), "time", "user_id")
+    responses = _events(spark, sf).where("event_type <> 'error'").select(F.col("event_id").alias("request_id"), F.expr("time + make_dt_interval(0, 0, 0, event_id * 11 % 1000)").alias("time"), F.col("event_type").alias("state"))
+    return drain(RQ.transfer_states(requests, responses, LONGEST), "append", spark).drop("batch_no")
+
+
 def sim_step(spark, sf):
     moved = G.move(X.fleet(spark, sf), 1.0, 2003.0, steps=3)
     return B.rounded(moved, *"x y vx vy heading".split()).select("id", "x", "y", "vx", "vy", "ts", "heading")
@@ -108,6 +129,12 @@ select vehicle_id, other_vehicle_id, case when kind = 'ack' then 'acknowledged'
 from k where kind = 'risk' or held union all select vehicle_id, other_vehicle_id, 'expired', priority, ts + 30 from x"""
 
 QUERIES = {
+    "streaming_tasks": (streaming_tasks, f"""{EVENTS}, a as (select event_id as task_id, us, 60 + event_id % 600 as timeout, event_type, case when event_type <> 'error' then event_id * 7 % 700 end as after from ev),
+w as (select least(max(us), max(us + after * 1000000)) - 30000000 as mark from a)
+select task_id, case when after is null or after > timeout then 'timed_out' when event_type <> 'signup' then 'completed' else 'failed' end as state from a, w where after is not null or us + {LONGEST}000000 < mark"""),
+    "streaming_transfers": (streaming_transfers, f"""{EVENTS}, a as (select event_id as request_id, us, user_id, event_type, case when event_type <> 'error' then event_id * 11 % 1000 end as after from ev),
+w as (select least(max(us), max(us + after * 1000000)) - 30000000 as mark from a)
+select request_id, user_id, case when after <= {LONGEST} then event_type end as state, coalesce(after <= {LONGEST}, false) as answered from a, w where after <= {LONGEST} or us + {LONGEST}000000 < mark"""),
     "streaming_latest": (streaming_latest, f"{EVENTS} select user_id as id, ts, seq, cast(event_id*7919 % 2000 as double) as x, cast(event_id*104729 % 2003 as double) as y from ev qualify row_number() over (partition by user_id order by ts desc, seq desc) = 1"),
     "streaming_trajectories": (streaming_trajectories, f"{EVENTS}, t as (select user_id, seq, row_number() over (partition by user_id order by seq desc) as back from ev) select user_id as id, cast(count(*) as int) as points, min(seq) as oldest from t where back <= 20 group by user_id"),
     "streaming_windows": (streaming_windows, f"""{EVENTS}, w as (select cast(us // 3600000000 * 3600 as bigint) as start, event_type, count(*) as events, round(sum(value), 6) + 0e0 as total from ev group by 1, 2)

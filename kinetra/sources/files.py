@@ -52,3 +52,11 @@ def restore(spark: SparkSession, folder: str, backup_id: str) -> dict[str, DataF
 def superseded(found: DataFrame, keep: int = 5) -> DataFrame:
     """Backups beyond the newest `keep`."""
     return found.orderBy(F.desc("created_at")).offset(keep)
+
+
+def retain(spark: SparkSession, folder: str, keep: int = 5) -> None:
+    """Delete the backups beyond the newest `keep`. Their metadata goes first, so that none is seen in part."""
+    for row in superseded(backups(spark, folder), keep).toLocalIterator():
+        for part in ("/metadata", ""):
+            path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/backup_{row['backup_id']}{part}")
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
