@@ -245,3 +245,24 @@ def conformance(log: DataFrame, steps: set[tuple[str | None, str]] = RECOVERY_ST
         return state, (seq, status, ok, state)
 
     return fold(log, [key], ["status"], lambda: None, step, "seq long, status string, valid boolean, state string")
+
+
+def elections(votes: DataFrame, known: int, key: str = "cluster") -> DataFrame:
+    """Term and leader of a cluster after each vote (ts, seq, term, voter, candidate, granted).
+
+    A vote of a higher term ends the leadership of the term before; votes of a
+    lower one and further votes of a voter in a term don't count; a candidate
+    with more than half of the known nodes leads its term.
+    """
+
+    def step(state, ts, seq, term, voter, candidate, granted):
+        now, voted, leader = state
+        if term > now:
+            now, voted, leader = term, {}, None
+        if term == now and granted and voter not in voted:
+            voted = voted | {voter: candidate}
+            if leader is None and 2 * sum(c == candidate for c in voted.values()) > known:
+                leader = candidate
+        return (now, voted, leader), (seq, now, leader)
+
+    return fold(votes, [key], ["term", "voter", "candidate", "granted"], lambda: (-1, {}, None), step, "seq long, current_term long, leader long")

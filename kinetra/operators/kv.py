@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from kinetra.operators.control import fold
 
 def latest(log: DataFrame, key: str, *order: str) -> DataFrame:
     """The newest row of each key. An aggregate of structs, so that rows combine before the shuffle."""
@@ -29,18 +30,26 @@ def merge_latest(log: DataFrame) -> DataFrame:
     return latest(log, "key", "ts", "seq").where("op = 'put'")
 
 
-def merge_arrival(log: DataFrame) -> DataFrame:
-    """Last writer wins without tombstones, in arrival order: an operation applies if the key is absent or it is strictly newer, so that a delete lets an older put in again. One key's log is folded at a time."""
-    row = F.struct("seq", "ts", "value", "op")
-    ordered = F.array_sort(F.collect_list(row))
-    empty = F.lit(None).cast("struct<ts:double,value:double>")
+def merge_arrival(log: DataFrame, own: int | None = None) -> DataFrame:
+    """Last writer wins without tombstones, in arrival order: an operation applies if the key is absent or it is strictly newer, so that a delete lets an older put in again. With own, a node's number, its own messages (source_node) are ignored, as it has applied them itself."""
 
-    def step(state: Column, x: Column) -> Column:
-        newer = state.isNull() | (x["ts"] > state["ts"])
-        put = F.struct(x["ts"].alias("ts"), x["value"].alias("value"))
-        return F.when(newer & (x["op"] == "put"), put).when(newer & (x["op"] == "delete"), empty).otherwise(state)
+    def step(state, _, seq, ts, value, op):
+        if state is None or (ts is not None and ts > state[0]):
+            state = {"put": (ts, value), "delete": None}.get(op, state)
+        return state, (seq, *(state or (None, None)), state is not None)
 
-    return log.groupBy("key").agg(ordered.alias("log")).select("key", F.aggregate("log", empty, step).alias("s")).where("s is not null").select("key", "s.*")
+    rows = (log if own is None else log.where(F.col("source_node") != own)).withColumns({"at": F.col("ts"), "ts": F.lit(0.0)})
+    return latest(fold(rows, ["key"], ["at", "value", "op"], lambda: None, step, "seq long, ts double, value double, held boolean"), "key", "seq").where("held").select("key", "ts", "value")
+
+
+def registry(log: DataFrame) -> DataFrame:
+    """Nodes by a log of operations (node_id, ts, seq, op, load): put registers a node with a load, load changes that of a registered one, delete removes it."""
+
+    def step(load, _, seq, op, told):
+        load = told if op == "put" or (op == "load" and load is not None) else None if op == "delete" else load
+        return load, (seq, load)
+
+    return latest(fold(log, ["node_id"], ["op", "load"], lambda: None, step, "seq long, load double"), "node_id", "seq").where("load is not null").select("node_id", "load")
 
 
 def risks_of_vehicles(risks: DataFrame, n: int = 20) -> DataFrame:

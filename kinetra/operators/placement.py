@@ -31,11 +31,12 @@ def least_loaded(nodes: DataFrame, load: str, by: list[str], id_: str = "node_id
 def assign_tasks(tasks: DataFrame, nodes: DataFrame, load: str = "cpu_usage") -> DataFrame:
     """Detection tasks go to the least loaded active node of their grid, if it has one; all others to the least loaded active node.
 
-    Both tables of choices are aggregates with a row for each grid and one in
+    A node has one grid, or several in an array grid_ids. Both tables of choices are aggregates with a row for each grid and one in
     all, so the tasks are never shuffled.
     """
     live = active(nodes)
-    of_grid = least_loaded(live, load, ["grid"]).select("grid", F.col("node_id").alias("of_grid"))
+    by_grid = live.withColumn("grid", F.explode("grid_ids")) if "grid_ids" in live.columns else live
+    of_grid = least_loaded(by_grid, load, ["grid"]).select("grid", F.col("node_id").alias("of_grid"))
     anywhere = least_loaded(live, load, []).select(F.col("node_id").alias("anywhere"))
     joined = tasks.join(of_grid, "grid", "left").join(F.broadcast(anywhere), how="left")
     local = (F.col("task_type") == "collision_detection") & F.col("of_grid").isNotNull()

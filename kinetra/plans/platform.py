@@ -131,8 +131,8 @@ def metric_series(spark, sf):
     hours = X.events(spark, sf).groupBy(F.col("event_type").alias("run"), F.floor(F.col("ts") / 3600).alias("hour")).agg(F.count("*").alias("n"), F.max("value").alias("top"), F.min("value").alias("low"))
     number = lambda c: c.cast("double")
     samples = hours.select("run", number(F.col("hour") * 3600).alias("timestamp"), (F.col("n") / 3600).alias("throughput"), F.col("low").alias("avg_latency"), F.col("top").alias("p95_latency"), F.col("top").alias("p99_latency"), (F.col("top") * 2).alias("max_latency"), number(F.col("n") % 5).alias("error_rate"), number(F.col("hour") % 100).alias("cpu_usage"), number(F.col("hour") % 50).alias("memory_usage"))
-    files.write_metric_family(samples, folder, "run")
-    back = spark.read.csv(folder, header=True, schema="timestamp double, throughput double, avg_latency double, p95_latency double, p99_latency double, max_latency double, error_rate double, cpu_usage double, memory_usage double, run string")
+    files.write_metric_family(samples.withColumn("file", F.concat("run", F.lit("_metrics.csv"))).drop("run"), folder, "file")
+    back = files.read_metrics(spark, folder)
     return rounded(M.series_stats(back), *_SERIES)
 
 

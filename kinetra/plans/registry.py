@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from kinetra.plans import detection, grid, operations, platform, routes, state, streams
+from kinetra.plans import detection, grid, operations, platform, routes, services, state, streams
 
-FAMILIES = (detection, grid, state, operations, routes, streams, platform)
+FAMILIES = (detection, grid, state, operations, routes, streams, platform, services)
 
 
 def queries():

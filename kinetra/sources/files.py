@@ -15,9 +15,9 @@ def read_reports(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def read_metrics(spark: SparkSession, folder: str) -> DataFrame:
-    """All *_metrics.csv of a folder as numbers, with the file's name as run."""
+    """All *_metrics.csv of a folder, files or folders of files, as numbers, with the name before _metrics as run."""
     rows = spark.read.csv(f"{folder}/*_metrics.csv", header=True, schema=S.PERFORMANCE)
-    return rows.select("*", F.regexp_replace(F.col("_metadata.file_name"), "_metrics.csv$", "").alias("run"))
+    return rows.select("*", F.regexp_extract(F.col("_metadata.file_path"), "([^/=]+)_metrics[.]csv", 1).alias("run"))
 
 
 def write_results(latencies: DataFrame, metrics: DataFrame, summary: DataFrame, folder: str) -> None:

@@ -20,10 +20,14 @@ def dropped_files(spark: SparkSession, folder: str, per_trigger: int = 100) -> D
     return spark.readStream.option("maxFilesPerTrigger", per_trigger).text(folder)
 
 
+def keyed_json(rows: DataFrame, key: str) -> DataFrame:
+    """Rows as messages: the key as text, and all columns as JSON."""
+    return rows.select(F.col(key).cast("string").alias("key"), F.to_json(F.struct(*rows.columns)).alias("value"))
+
+
 def to_kafka(rows: DataFrame, servers: str, topic: str, key: str, checkpoint: str) -> DataStreamWriter:
     """Rows as JSON keyed by a column."""
-    wire = rows.select(F.col(key).cast("string").alias("key"), F.to_json(F.struct(*rows.columns)).alias("value"))
-    return wire.writeStream.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", topic).option("checkpointLocation", checkpoint)
+    return keyed_json(rows, key).writeStream.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", topic).option("checkpointLocation", checkpoint)
 
 
 def to_console(rows: DataFrame, mode: str = "append") -> DataStreamWriter:
