@@ -116,9 +116,9 @@ def detect(fleet: DataFrame, radius: float = K.SEARCH_RADIUS, window: float = K.
     return risks if as_of is None else risks.where(as_of - F.col("ts") <= stale_after)
 
 
-def lookahead(fleet: DataFrame, seconds: float = K.LOOKAHEAD, threshold: float = K.LOOKAHEAD_RISK) -> DataFrame:
-    """Constant-velocity risk at a fixed horizon for vehicles with two history rows or more (column history)."""
-    pairs = nearby(fleet.where("history >= 2"), K.SEARCH_RADIUS).where(F.col("dist") <= K.LOOKAHEAD_DISTANCE)
+def lookahead_of(pairs: DataFrame, seconds: float = K.LOOKAHEAD, threshold: float = K.LOOKAHEAD_RISK, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Constant-velocity risk at a fixed horizon of pairs; carry names more columns of the vehicles, which come out as name and other_name."""
+    pairs = pairs.where(F.col("dist") <= K.LOOKAHEAD_DISTANCE)
     s, o = KN.position_at(F.lit(seconds), "s_", accelerate=False), KN.position_at(F.lit(seconds), "o_", accelerate=False)
     pairs = pairs.withColumns({"future": KN.norm(*(p - q for p, q in zip(s, o))), "speed": KN.norm(*KN.relative_velocity())})
     away = (F.col("future") > F.col("dist")) & (F.col("dist") > 2 * K.CONTACT_RADIUS)
@@ -128,9 +128,15 @@ def lookahead(fleet: DataFrame, seconds: float = K.LOOKAHEAD, threshold: float =
         F.sha2(F.concat_ws("|", F.col("s_id").cast("string"), F.col("o_id").cast("string"), F.col("s_ts").cast("string")), 256).alias("risk_id"), F.col("s_ts").alias("ts"),
         F.col("s_id").alias("vehicle_id1"), F.col("o_id").alias("vehicle_id2"), "risk_level", (F.col("s_ts") + ttc).alias("estimated_collision_time"),
         *(((p + q) / 2).alias(f"p{c}") for p, q, c in zip(s, o, "xyz")), F.col("speed").alias("relative_velocity"), ttc.alias("time_to_collision"),
+        *(F.col(f"{p}{c}").alias(n + c) for c in carry for p, n in (("s_", ""), ("o_", "other_"))),
     )
 
 
+def lookahead(fleet: DataFrame, seconds: float = K.LOOKAHEAD, threshold: float = K.LOOKAHEAD_RISK) -> DataFrame:
+    """Constant-velocity risk at a fixed horizon for vehicles with two history rows or more (column history)."""
+    return lookahead_of(nearby(fleet.where("history >= 2"), K.SEARCH_RADIUS), seconds, threshold)
+
+
 def contacts(fleet: DataFrame, cell_size: float = 20.0) -> DataFrame:
     """Ordered pairs closer than the sum of their sizes, strictly. Evaluated once a pair, then reported from both sides."""
     pairs = radius_pairs(fleet, fleet, "s_size", cell_size, "dist < s_size + o_size", symmetric=True, other_reach="o_size")

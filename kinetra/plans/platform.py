@@ -54,14 +54,15 @@ def streaming_ingest(spark, sf):
     return spark.read.parquet(f"{folder}/out").select("id", "x", "y", "vx", "vy", "type")
 
 
-def _detected(spark, batches):
+def _detected(spark, batches, **options):
     """The folder of a detection over a stream that brings the given frames of reports, batch by batch."""
-    folder = scratch(spark)
+    folder, files_each = scratch(spark), spark.sparkContext.defaultParallelism
+    for n, batch in enumerate(batches):
+        batch.select(*SD.REPORT).repartition(files_each).write.parquet(f"{folder}/in/n={n}")
+    reports = spark.readStream.schema(SD.REPORT_DDL).option("recursiveFileLookup", True).option("maxFilesPerTrigger", files_each).parquet(f"{folder}/in")
     with rocksdb(spark):
-        for n, batch in enumerate(batches):
-            batch.select(*SD.REPORT).write.parquet(f"{folder}/in/n={n}")
-            reports = spark.readStream.schema(SD.REPORT_DDL).option("recursiveFileLookup", True).parquet(f"{folder}/in")
-            SD.incremental_detection(reports, folder, f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+        query = SD.incremental_detection(reports, folder, f"{folder}/checkpoint", **options).trigger(availableNow=True).start()
+    query.awaitTermination()
     return folder
 
 
@@ -88,6 +89,12 @@ def moving_detection(spark, sf):
     return rounded(SD.current_risks(spark, folder).select("vehicle_id", "other_vehicle_id", "risk_level", "ts"), "risk_level")
 
 
+def moving_lookahead(spark, sf):
+    """Look-ahead risks after the last batch of the same fleet, of vehicles that have reported twice or more."""
+    folder = _detected(spark, _journey(X.fleet(spark, sf)), lookahead=0.1)
+    return rounded(SD.current_lookahead(spark, folder).select("vehicle_id", "other_vehicle_id", "risk_level", "time_to_collision"), "risk_level", "time_to_collision")
+
+
 def fresh_risks(spark, sf):
     """The same fleet at once: the newest report of each vehicle, subjects no older than 10 s."""
     a, b, c = _journey(X.fleet(spark, sf))
@@ -102,6 +109,9 @@ JOURNEY = f"""with {B.fleet_sql(name="still")}, reports as (
 fleet as (select * exclude seq from reports qualify row_number() over (partition by id order by ts desc, seq desc) = 1)"""
 MOVING = f"""{JOURNEY}, {B.pairs_sql("dist <= 100")}, {B.temporal_sql()}, {B.probe_sql("close", 100)}, {B.risks_sql().replace("select s_id", "select s_ts as ts, s_id")}
 select vehicle_id, other_vehicle_id, {r6("risk_level")}, ts from risks where 12 - ts <= 10"""
+LOOKED = f"""{JOURNEY.replace("fleet as (", "known as (")}, fleet as (select * from known where 1 + (id % 3 > 0)::int + (id % 2 = 0)::int + (id % 6 = 0)::int >= 2),
+{B.pairs_sql("dist <= 100")}{detection.LOOKAHEAD.split(B.pairs_sql("dist <= 100"), 1)[1].rsplit(chr(10) + "select", 1)[0].replace("select s_id as vehicle_id1", "select s_ts as ts, s_id as vehicle_id1")}
+select vehicle_id1 as vehicle_id, vehicle_id2 as other_vehicle_id, {r6("risk_level", "time_to_collision")} from h where 12 - ts <= 10"""
 STREAMED = f"""{detection.PAIRS}, {B.temporal_sql()}, {B.probe_sql("close", 100)}, {B.risks_sql()}
 select vehicle_id, other_vehicle_id, {r6("risk_level")} from risks where risk_level >= 0.3e0"""
 
@@ -260,6 +270,7 @@ select vehicle, vehicle_id, other_vehicle_id, risk_level from b qualify row_numb
     "streaming_ingest": (streaming_ingest, f"{FLEET} select cast(id as varchar) as id, x, y, vx, vy, type from fleet"),
     "streaming_detection": (streaming_detection, STREAMED),
     "moving_detection": (moving_detection, MOVING),
+    "moving_lookahead": (moving_lookahead, LOOKED),
     "fresh_risks": (fresh_risks, MOVING),
     "result_files": (result_files, "with q as (select l_returnflag as run, l_extendedprice/100 as v from lineitem), s as (select run, count(*) as n, max(v) as largest, list_sort(list(v)) as v from q group by run) select run, n, largest, v[cast(floor(n*0.95e0) as bigint) + 1] as p95, v[cast(floor(n*0.99e0) as bigint) + 1] as p99 from s"),
     "metric_family": (metric_family, f"{EVENTS} select user_id % 10 as node_id, count(*) as samples, round(max(value), 6) + 0e0 as largest, max(seq) as last from ev group by 1"),

@@ -31,11 +31,14 @@ from kinetra.streaming.ingest import WATERMARK
 
 #: What a vehicle reports, with the number seq of the report.
 REPORT = ["id", *(f"{p}{c}" for p in ("", "v", "a") for c in "xyz"), "heading", "size", "type", "ts", "seq"]
-TYPES = {"id": "long", "type": "string", "seq": "long"}
-REPORT_DDL = ", ".join(f"{c} {TYPES.get(c, 'double')}" for c in REPORT)
-MOVE_DDL = f"cx long, cy long, kind string, {REPORT_DDL}"
-FOUND = [f"{p}{c}" for p in ("s_", "o_") for c in REPORT]
-FOUND_DDL = "kind string, " + ", ".join(f"{p}{c} {TYPES.get(c, 'double')}" for p in ("s_", "o_") for c in REPORT) + ", dist double"
+#: With the number of the vehicle's reports so far.
+KNOWN = [*REPORT, "history"]
+TYPES = {"id": "long", "type": "string", "seq": "long", "history": "long"}
+REPORT_DDL, KNOWN_DDL = (", ".join(f"{c} {TYPES.get(c, 'double')}" for c in names) for names in (REPORT, KNOWN))
+MOVE_DDL = f"cx long, cy long, kind string, {KNOWN_DDL}"
+FOUND = [f"{p}{c}" for p in ("s_", "o_") for c in KNOWN]
+FOUND_DDL = "kind string, " + ", ".join(f"{p}{c} {TYPES.get(c, 'double')}" for p in ("s_", "o_") for c in KNOWN) + ", dist double"
+LOOKAHEADS = "vehicle_id long, other_vehicle_id long, seq long, other_seq long, risk_level double, time_to_collision double, relative_velocity double, ts double, batch long"
 RISKS = "vehicle_id long, other_vehicle_id long, seq long, other_seq long, risk_id string, risk_level double, time_to_collision double, distance double, relative_speed double, ts double, batch long"
 VEHICLES = "id long, ts double, seq long, stale boolean"
 #: Added to event times, as a stream takes what is no later than 1970 for late, and reports may count from any origin.
@@ -54,36 +57,42 @@ class Moves(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.at = handle.getValueState("at", "ts double, seq long, cx long, cy long")
+        self.at = handle.getValueState("at", "ts double, seq long, cx long, cy long, history long")
+
+    def goes_stale(self, ts: float) -> int:
+        """When a report of that time is too old, in milliseconds of event time."""
+        return int(1000 * (ORIGIN + ts + self.stale_after)) + 1
 
     def rows(self, out: list) -> pd.DataFrame:
-        return pd.DataFrame(out, columns=["cx", "cy", "kind", *REPORT])
+        return pd.DataFrame(out, columns=["cx", "cy", "kind", *KNOWN])
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        held, best = self.at.get(), None
+        held, best, n = self.at.get(), None, 0
         for batch in rows:
+            n += len(batch)
             top = batch.sort_values(["ts", "seq"], kind="stable").iloc[-1]
             if best is None or (top.ts, top.seq) > (best.ts, best.seq):
                 best = top
         if held is not None and (best.ts, best.seq) <= (held[0], held[1]):
             yield self.rows([])
             return
-        report = [best[c] for c in REPORT]
+        history = n + (held[4] if held is not None else 0)
+        report = [*(best[c] for c in REPORT), history]
         cx, cy = math.floor(best.x / self.cell), math.floor(best.y / self.cell)
         out = [(cx + i, cy + j, "probe" if i or j else "enter", *report) for i in (-1, 0, 1) for j in (-1, 0, 1)]
         if held is not None and (cx, cy) != (held[2], held[3]):
             out.append((held[2], held[3], "leave", *report))
-        self.at.update((float(best.ts), int(best.seq), cx, cy))
-        for timer in [*self.handle.listTimers()]:
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(int(1000 * (ORIGIN + best.ts + self.stale_after)) + 1)
+        self.at.update((float(best.ts), int(best.seq), cx, cy, history))
+        if held is not None and held[0] != best.ts:
+            self.handle.deleteTimer(self.goes_stale(held[0]))
+        self.handle.registerTimer(self.goes_stale(best.ts))
         yield self.rows(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        ts, seq, cx, cy = self.at.get()
-        told = dict.fromkeys(REPORT) | {"id": key[0], "ts": ts, "seq": seq}
+        ts, seq, cx, cy, history = self.at.get()
+        told = dict.fromkeys(KNOWN) | {"id": key[0], "ts": ts, "seq": seq, "history": history}
         out = self.rows([(cx, cy, "stale", *told.values())])
-        yield out.astype({c: "float64" for c in REPORT if c not in TYPES})
+        yield out.astype({c: "float64" for c in KNOWN if c not in TYPES})
 
     def close(self) -> None:
         pass
@@ -102,7 +111,7 @@ class Cell(StatefulProcessor):
         self.radius = radius
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.residents = handle.getMapState("residents", "id long", ", ".join(REPORT_DDL.split(", ")[1:]))
+        self.residents = handle.getMapState("residents", "id long", ", ".join(KNOWN_DDL.split(", ")[1:]))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         arrived = pd.concat([*rows])
@@ -110,18 +119,18 @@ class Cell(StatefulProcessor):
         told = arrived[arrived["kind"].isin(("enter", "stale"))]
         if len(told):
             # the newest report of a vehicle, for those who read the log
-            yield typed(told[["kind", *REPORT]].rename(columns={c: f"s_{c}" for c in REPORT}).reindex(columns=columns))
+            yield typed(told[["kind", *KNOWN]].rename(columns={c: f"s_{c}" for c in KNOWN}).reindex(columns=columns))
         for gone in arrived.loc[arrived["kind"] == "leave", "id"]:
             self.residents.removeKey((int(gone),))
         entered = arrived[arrived["kind"] == "enter"]
-        for row in entered[REPORT].itertuples(index=False):
-            self.residents.updateValue((int(row.id),), (*map(float, row[1:12]), row.type, float(row.ts), int(row.seq)))
+        for row in entered[KNOWN].itertuples(index=False):
+            self.residents.updateValue((int(row.id),), (*map(float, row[1:12]), row.type, float(row.ts), int(row.seq), int(row.history)))
         probes = arrived[arrived["kind"].isin(("enter", "probe"))]
         held = [(*k, *v) for k, v in self.residents.iterator()] if len(probes) else []
         if not held:
             return
         ids, places, fresh, out = np.array([r[0] for r in held]), np.array([r[1:4] for r in held]), {*entered["id"].tolist()}, []
-        for probe in probes[REPORT].itertuples(index=False, name=None):
+        for probe in probes[KNOWN].itertuples(index=False, name=None):
             far = np.sqrt(((places - np.array(probe[1:4], float)) ** 2).sum(axis=1))
             for k in np.flatnonzero((far <= self.radius) & (ids != probe[0])).tolist():
                 # a resident that is new as well is shown to the probe's own cell, too
@@ -153,23 +162,41 @@ def stores(spark: SparkSession, folder: str) -> tuple[KeyedStore, KeyedStore]:
     return KeyedStore(spark, f"{folder}/vehicles", VEHICLES, ["id"], ["ts", "seq", "stale"]), KeyedStore(spark, f"{folder}/risks", RISKS, ["vehicle_id", "other_vehicle_id"], ["batch"])
 
 
-def holding(spark: SparkSession, folder: str) -> DataFrame:
+def lookahead_store(spark: SparkSession, folder: str) -> KeyedStore:
+    return KeyedStore(spark, f"{folder}/lookahead", LOOKAHEADS, ["vehicle_id", "other_vehicle_id"], ["batch"])
+
+
+def holding(vehicles: KeyedStore, risks: KeyedStore) -> DataFrame:
     """Risks found in the newest reports of both vehicles, but for those whose subject a timer has told stale."""
-    vehicles, risks = (s.read() for s in stores(spark, folder))
-    subject = vehicles.where("not stale").select(F.col("id").alias("vehicle_id"), "seq")
-    other = vehicles.select(F.col("id").alias("other_vehicle_id"), F.col("seq").alias("other_seq"))
-    return risks.join(subject, ["vehicle_id", "seq"], "left_semi").join(other, ["other_vehicle_id", "other_seq"], "left_semi")
+    known = vehicles.read()
+    subject = known.where("not stale").select(F.col("id").alias("vehicle_id"), "seq")
+    other = known.select(F.col("id").alias("other_vehicle_id"), F.col("seq").alias("other_seq"))
+    return risks.read().join(subject, ["vehicle_id", "seq"], "left_semi").join(other, ["other_vehicle_id", "other_seq"], "left_semi")
+
+
+def _current(vehicles: KeyedStore, risks: KeyedStore, as_of: Column | None, stale_after: float) -> DataFrame:
+    if as_of is None:
+        as_of = vehicles.read().agg(F.max("ts")).scalar()
+    return holding(vehicles, risks).where(as_of - F.col("ts") <= stale_after)
 
 
 def current_risks(spark: SparkSession, folder: str, as_of: Column | None = None, stale_after: float = K.STALE_AFTER) -> DataFrame:
     """Risks that hold at a time, that of the newest report of all if none is given."""
-    if as_of is None:
-        as_of = stores(spark, folder)[0].read().agg(F.max("ts")).scalar()
-    return holding(spark, folder).where(as_of - F.col("ts") <= stale_after)
+    return _current(*stores(spark, folder), as_of, stale_after)
+
+
+def current_lookahead(spark: SparkSession, folder: str, as_of: Column | None = None, stale_after: float = K.STALE_AFTER) -> DataFrame:
+    """Look-ahead risks that hold at a time, of vehicles with two reports or more."""
+    return _current(stores(spark, folder)[0], lookahead_store(spark, folder), as_of, stale_after)
+
+
+def _turned(pairs: DataFrame) -> DataFrame:
+    """Pairs with their sides changed."""
+    return pairs.select(*(F.col(f"{q}{c}").alias(f"{p}{c}") for p, q in (("s_", "o_"), ("o_", "s_")) for c in KNOWN), "dist")
 
 
-def incremental_detection(reports: DataFrame, folder: str, checkpoint: str, every: str = "500 milliseconds", window: float = K.TIME_WINDOW) -> DataStreamWriter:
-    """Keep the logs of which current_risks() reads from a stream of reports (vehicle columns and seq).
+def incremental_detection(reports: DataFrame, folder: str, checkpoint: str, every: str = "500 milliseconds", window: float = K.TIME_WINDOW, lookahead: float | None = None) -> DataStreamWriter:
+    """Keep the logs of which current_risks() reads from a stream of reports (vehicle columns and seq); with lookahead, a least risk level, those of current_lookahead(), too.
 
     Logs are written by batch number, so a batch that runs twice leaves them as
     they were; compaction drops risks that no longer hold.
@@ -183,9 +210,15 @@ def incremental_detection(reports: DataFrame, folder: str, checkpoint: str, ever
         pairs = found.where("kind = 'pair'").drop("kind")
         scored = D.score(D.probe(D.temporal_filter(pairs, window), window), both=True, carry=("seq",))
         risks.append(scored.withColumn("batch", F.lit(n).cast("long")), n)
+        logs = [risks]
+        if lookahead is not None:
+            logs.append(lookahead_store(spark, folder))
+            due = D.lookahead_of(pairs.where("s_history >= 2 and o_history >= 2").unionByName(_turned(pairs).where("s_history >= 2 and o_history >= 2")), threshold=lookahead, carry=("seq",))
+            logs[1].append(due.withColumnsRenamed({"vehicle_id1": "vehicle_id", "vehicle_id2": "other_vehicle_id"}).withColumn("batch", F.lit(n).cast("long")), n)
         found.unpersist()
         if n % COMPACT_EVERY == COMPACT_EVERY - 1:
-            risks.compact(rows=holding(spark, folder))
+            for log in logs:
+                log.compact(rows=holding(vehicles, log))
             vehicles.compact()
 
     return meetings(reports).writeStream.option("checkpointLocation", checkpoint).trigger(processingTime=every).foreachBatch(run)

@@ -97,6 +97,29 @@ def test_percentile_rule(spark, n):
     assert r["p95"] == values[min(n - 1, int(n * 0.95))] and r["p99"] == values[min(n - 1, int(n * 0.99))]
 
 
+def test_percentiles_by_selection(spark):
+    """Ties, one-value runs, far outliers, values that differ in the last bit, infinities, NaN and nulls, against the index rule on sorted values."""
+    rng = random.Random(9)
+    runs = {
+        "ties": [float(rng.randrange(4)) for _ in range(500)], "one": [7.5] * 40, "single": [-3.0], "far": [1e-300, 1e300, -1e300, *(rng.random() for _ in range(300))], "close": [1.0 + k * 2.0**-52 for k in range(200)],
+        "wide": [rng.choice([-1, 1]) * 10.0 ** rng.randrange(-300, 300) for _ in range(400)], "odd": [float("inf")] * 3 + [float("-inf")] * 4 + [float("nan")] * 2 + [rng.gauss(0, 1) for _ in range(91)], "ends": [-1.7e308, 1.7e308, 0.0, 5e-324],
+    }
+    rows = [(r, v) for r, values in runs.items() for v in values] + [("ties", None), ("nulls", None)]
+    rng.shuffle(rows)
+    shares = {"p0": 0.0, "p50": 0.5, "p95": 0.95, "p99": 0.99, "p100": 1.0}
+    got = {r["run"]: r.asDict() for r in M.percentile_at(spark.createDataFrame(rows, "run string, v double"), "run", "v", shares).collect()}
+    assert set(got) == set(runs)
+    for run, values in runs.items():
+        values = sorted(values, key=lambda v: (v != v, v))
+        for name, share in shares.items():
+            assert repr(got[run][name]) == repr(values[min(len(values) - 1, int(len(values) * share))]), (run, name)
+
+
+def test_percentiles_sort_nothing(spark, capsys):
+    M.percentile_at(spark.range(1000).select(F.lit("r").alias("run"), F.col("id").cast("double").alias("v")), "run", "v", {"p": 0.5}).explain()
+    assert "Window" not in capsys.readouterr().out
+
+
 def test_rebalance_keeps_load(spark):
     cells = spark.createDataFrame([(i, (i * 37) % 50 + 1, 0 if i < 30 else i % 4) for i in range(40)], "cell long, load long, shard_id int")
     rows = P.rebalance_cells(cells, 4).collect()

@@ -46,10 +46,10 @@ def test_incremental_detection_equals_batch_after_each_batch(spark, tmp_path):
     # the watermark (65 s) has passed the reports of all others
     stale = {r["id"] for r in vehicles.read().where("stale").collect()}
     assert stale == {*range(60)} - {7, 8}
-    before = SD.holding(spark, folder).count()
-    risks.compact(rows=SD.holding(spark, folder))
+    before = SD.holding(vehicles, risks).count()
+    risks.compact(rows=SD.holding(vehicles, risks))
     vehicles.compact()
-    assert SD.holding(spark, folder).count() == before == risks.read().count()
+    assert SD.holding(vehicles, risks).count() == before == risks.read().count()
 
 
 @pytest.fixture
