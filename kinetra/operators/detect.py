@@ -148,8 +148,8 @@ def encounters(fleet: DataFrame, closing_speed: float = K.CLOSING_SPEED, horizon
     gap, touching = "(dist - s_size - o_size)", "dist < s_size + o_size"
     near = f"{touching} or (dist <= 10 * s_size + o_size and {gap} >= 0 and {gap} / {closing_speed!r}D <= {horizon!r}D)"
     slim = fleet.select("id", *"xyz", "size")
-    pairs = radius_pairs(slim, slim, "10 * s_size", cell_size, near, other_reach="o_size")
-    return pairs.selectExpr("s_id as vehicle_id", "o_id as other_vehicle_id", "dist as distance", f"case when not ({touching}) then {gap} / {closing_speed!r}D end as time_to_contact")
+    out = f"s_id as vehicle_id, o_id as other_vehicle_id, dist as distance, case when not ({touching}) then {gap} / {closing_speed!r}D end as time_to_contact"
+    return radius_pairs(slim, slim, "10 * s_size", cell_size, near, other_reach="o_size", out=out)
 
 
 def time_to_contact(fleet: DataFrame, closing_speed: float = K.CLOSING_SPEED, horizon: float = K.CONTACT_HORIZON, cell_size: float = 50.0) -> DataFrame:

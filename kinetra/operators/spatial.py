@@ -36,19 +36,34 @@ def box_pairs(s: DataFrame, o: DataFrame, s_box: dict, o_box: dict, cell_size: f
     return s.join(o, ["_cx", "_cy"]).where(f"_cx = greatest(_slx, _olx) and _cy = greatest(_sly, _oly) and {keep}").select(*columns)
 
 
-def radius_pairs(subjects: DataFrame, others: DataFrame, reach: str, cell_size: float, within: str | None = None, symmetric: bool = False, other_reach: str = "0D") -> DataFrame:
+def _side_sql(view: str, columns: list[str], prefix: str, reach: str, cell_size: float, side: str) -> str:
+    """The rows of a view in all cells that a square of a reach around them touches, as cells_touched() gives them."""
+    edges = []
+    for axis in "xy":
+        low, high = f"(`{prefix}{axis}` - ({reach}))", f"(`{prefix}{axis}` + ({reach}))"
+        edges.append(f"{cell_sql(f'{low} - abs({low}) * 1e-12 - 1e-9', cell_size)} as _{side}l{axis}, {cell_sql(f'{high} + abs({high}) * 1e-12 + 1e-9', cell_size)} as _{side}h{axis}")
+    named = ", ".join(f"`{c}` as `{prefix}{c}`" for c in columns)
+    unfolded = " ".join(f"lateral view explode(sequence(_{side}l{axis}, _{side}h{axis})) as _{side}c{axis}" for axis in "xy")
+    return f"(select * from (select *, {', '.join(edges)} from (select {named} from {view})) {unfolded})"
+
+
+def radius_pairs(subjects: DataFrame, others: DataFrame, reach: str, cell_size: float, within: str | None = None, symmetric: bool = False, other_reach: str = "0D", out: str | None = None) -> DataFrame:
     """All (s_*, o_*) pairs of different ids with `dist` at most reach + other_reach, SQL terms over s_* and over o_*.
 
     The reaches bound the search; within, if given, is the predicate in place
-    of that distance. symmetric keeps s_id < o_id only.
+    of that distance. symmetric keeps s_id < o_id only. out: what to select of
+    a pair, if not all. One statement, so that a small fleet's plan is analysed
+    once and not for each of its steps.
     """
-    around = lambda side, r: {c: (f"{side}{c} - ({r})", f"{side}{c} + ({r})") for c in "xy"}
     far, different = f"({reach} + {other_reach})", "s_id < o_id" if symmetric else "s_id <> o_id"
     square = " + ".join(f"(s_{c} - o_{c}) * (s_{c} - o_{c})" for c in "xyz")
     # squares first: the root is taken for pairs that are close enough already
     close = f"{square} <= {far} * {far} * (1 + 1e-12D) + 1e-9D"
-    pairs = box_pairs(prefixed(subjects, "s_"), prefixed(others, "o_"), around("s_", reach), around("o_", other_reach), cell_size, f"{different} and {close}")
-    return pairs.selectExpr("*", f"sqrt({square}) as dist").where(within or f"dist <= {far}")
+    s, o = _side_sql("{subjects}", subjects.columns, "s_", reach, cell_size, "s"), _side_sql("{others}", others.columns, "o_", other_reach, cell_size, "o")
+    columns = ", ".join(f"`{p}{c}`" for p, df in (("s_", subjects), ("o_", others)) for c in df.columns)
+    once = "_scx = greatest(_slx, _olx) and _scy = greatest(_sly, _oly)"
+    pairs = f"select {columns}, sqrt({square}) as dist from {s} join {o} on _scx = _ocx and _scy = _ocy where {once} and {different} and {close}"
+    return subjects.sparkSession.sql(f"select {out or '*'} from ({pairs}) where {within or f'dist <= {far}'}", subjects=subjects, others=others)
 
 
 def both_ways(pairs: DataFrame, **columns: str) -> DataFrame:
