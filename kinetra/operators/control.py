@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -200,17 +201,54 @@ def policy(requests: DataFrame, rules: DataFrame, conditions: DataFrame, fields:
     return fold(keyed, ["family"], ["current_priority", "rules"], dict, step, "seq long, refused int").select("seq", "refused")
 
 
+#: Rates above and below these uses of the processor are scaled, down to a least and up to a greatest rate.
+BUSY, IDLE, DOWN, UP, LEAST_RATE, GREATEST_RATE = 0.8, 0.5, 0.8, 1.1, 10.0, 10000.0
+CHUNKS = "chunk long, n long, seq long, scale double, low double, high double"
+
+
+def _scalings(key_field):
+    """Rows (key, ts, seq, cpu) of a sorted range with what the samples of the key since the range began do to a rate r: min(high, max(low, scale * r))."""
+    arrow = to_arrow_schema(StructType([key_field, *StructType.fromDDL(CHUNKS).fields]))
+
+    def run(batches):
+        chunk, last, n, f = TaskContext.get().partitionId(), None, 0, None
+        for batch in batches:
+            rows = []
+            for k, _, seq, cpu in zip(*(c.to_pylist() for c in batch.columns)):
+                if n == 0 or k != last:
+                    last, n, f = k, 0, (1.0, 0.0, float("inf"))
+                if cpu is not None and cpu > BUSY:
+                    f = f[0] * DOWN, max(LEAST_RATE, f[1] * DOWN), max(LEAST_RATE, f[2] * DOWN)
+                elif cpu is not None and cpu < IDLE:
+                    f = f[0] * UP, min(GREATEST_RATE, f[1] * UP), min(GREATEST_RATE, f[2] * UP)
+                n += 1
+                rows.append((k, chunk, n, seq, *f))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f_.type) for c, f_ in zip(zip(*rows) if rows else [[]] * len(arrow), arrow)], schema=arrow)
+
+    return run
+
+
 def adaptive_rate(samples: DataFrame, start_rate: float, key: str = "endpoint") -> DataFrame:
-    """Rate after each sample (ts, seq, cpu): times 0.8 above 0.8 (10 at least), times 1.1 below 0.5 (10000 at most)."""
+    """Rate after each sample (ts, seq, cpu): times 0.8 above 0.8 (10 at least), times 1.1 below 0.5 (10000 at most).
+
+    Any run of samples scales a rate and clamps it, and so do two runs after
+    each other. So the samples are cut into sorted ranges, of one key or many;
+    a range knows what its samples do to any rate, and the rates with which
+    keys enter a range follow from one row for each key and range. A key
+    that has all rows uses all cores. Rounding differs from a loop's in the
+    last digits.
+    """
+    rows = samples.select(F.col(key).alias("_k"), "ts", "seq", "cpu")
+    order = ["_k", "ts", "seq"]
+    cut = written(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_scalings(rows.schema["_k"]), StructType([rows.schema["_k"], *StructType.fromDDL(CHUNKS).fields])))
+    runs = cut.groupBy("_k", "chunk").agg(F.max_by(F.struct("scale", "low", "high"), "n").alias("f")).select("_k", F.col("chunk").alias("ts"), F.col("chunk").alias("seq"), "f.*")
 
-    def step(rate, ts, seq, cpu):
-        if cpu is not None and cpu > 0.8:
-            rate = max(10.0, rate * 0.8)
-        elif cpu is not None and cpu < 0.5:
-            rate = min(10000.0, rate * 1.1)
-        return rate, (seq, rate)
+    def step(rate, _, chunk, scale, low, high):
+        return min(high, max(low, scale * rate)), (chunk, rate)
 
-    return fold(samples, [key], ["cpu"], lambda: float(start_rate), step, "seq long, rate double")
+    starts = fold(runs, ["_k"], ["scale", "low", "high"], lambda: float(start_rate), step, "chunk long, start double").withColumnRenamed("_k", "_key")
+    joined = cut.join(starts.withColumnRenamed("chunk", "_chunk"), F.col("_k").eqNullSafe(F.col("_key")) & (F.col("chunk") == F.col("_chunk")))
+    return joined.select(F.col("_k").alias(key), "seq", F.least("high", F.greatest("low", F.col("scale") * F.col("start"))).alias("rate"))
 
 
 def heartbeat_failures(beats: DataFrame, interval: float = K.HEARTBEAT_INTERVAL, misses: int = K.HEARTBEAT_MISSES) -> DataFrame:

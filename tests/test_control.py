@@ -97,6 +97,31 @@ def test_percentile_rule(spark, n):
     assert r["p95"] == values[min(n - 1, int(n * 0.95))] and r["p99"] == values[min(n - 1, int(n * 0.99))]
 
 
+def test_adaptive_rate_of_one_key_in_many_ranges(spark):
+    """A key with nearly all rows, in ranges of its own, against the plain loop; long runs up and down meet both bounds."""
+    rng, rows = random.Random(6), []
+    for k in range(6000):
+        busy = 0.9 if (k // 700) % 2 else 0.1
+        rows.append((None if k % 50 == 0 else "hot" if k % 10 else "few", float(k // 2), k, rng.choice([busy, busy, busy, 0.6, None, 1 - busy])))
+    conf = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "11"}
+    old = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = {(r["client"], r["seq"]): r["rate"] for r in C.adaptive_rate(spark.createDataFrame(rows, "client string, ts double, seq long, cpu double"), 100.0, "client").collect()}
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    held, seen = {}, set()
+    for client, _, seq, cpu in rows:
+        rate = held.get(client, 100.0)
+        rate = max(10.0, rate * 0.8) if cpu is not None and cpu > 0.8 else min(10000.0, rate * 1.1) if cpu is not None and cpu < 0.5 else rate
+        held[client] = rate
+        seen.add(rate)
+        assert got[client, seq] == pytest.approx(rate, rel=1e-9)
+    assert len(got) == len(rows) and {10.0, 10000.0} <= seen
+
+
 def test_percentiles_by_selection(spark):
     """Ties, one-value runs, far outliers, values that differ in the last bit, infinities, NaN and nulls, against the index rule on sorted values."""
     rng = random.Random(9)
@@ -165,7 +190,7 @@ def test_folds_keep_no_array_of_a_key(spark, capsys):
     rules = spark.createDataFrame([(0, rate, capacity, None)], "place int, rate double, capacity double, priority double")
     policy = C.policy(df, rules, spark.createDataFrame([], "place int, field string, value string"), ["endpoint"])
     chain = C.admission(df, (rate, capacity), (9.0, 9.0), (9.0, 9.0), {"failures": n, "recovery": 1.0})
-    for out in (chain, C.token_bucket(df, rate, capacity), C.circuit_breaker(df), C.adaptive_rate(df, 100.0), C.queue_verdicts(df.select(F.lit("t").alias("topic"), "ts", "seq", F.floor("ts").alias("tick")), 5, 2)):
+    for out in (chain, C.token_bucket(df, rate, capacity), C.circuit_breaker(df), C.queue_verdicts(df.select(F.lit("t").alias("topic"), "ts", "seq", F.floor("ts").alias("tick")), 5, 2)):
         out.explain()
         plan = capsys.readouterr().out
         assert "collect_list" not in plan and "Join" not in plan
