@@ -243,6 +243,21 @@ def test_near_dedup_in_crowds(spark):
     assert got == brute_components(rows, 85)
 
 
+@pytest.mark.parametrize("share, bands, rows", [(0.80, 32, 5), (0.85, 26, 6)])
+def test_near_dedup_recall_at_the_threshold(share, bands, rows):
+    """Circulant coordinates are not independent: recall of random pairs at the threshold is measured, not derived."""
+    import numpy as np
+
+    rng, missed = np.random.default_rng(1), 0
+    for k in range(600):
+        n = (6, 12, 30, 80, 200, 500)[k % 6]
+        both = next(b for b in range(1, n + 1) if b >= share * (2 * n - b))
+        x = rng.integers(0, 2**63, 2 * n - both, dtype=np.uint64)
+        a, b = (near_dedup.band_keys(near_dedup.signature(np.unique(s), bands, rows), bands, rows) for s in (x[:n], np.concatenate([x[:both], x[n:]])))
+        missed += not (a == b).any()
+    assert missed == 0
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 102), (101, 102), (200, 201), (201, 202), (202, 200)]
     got = {r["node"]: r["label"] for r in near_dedup.components(spark.createDataFrame(edges, "a long, b long")).collect()}
