@@ -2,7 +2,9 @@
 
 import itertools
 import math
+import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from kinetra.functions import alerts as A
 from kinetra.functions import grid as G
 from kinetra.operators import detect as D
 from kinetra.operators import trajectory as T
+from kinetra.plans.base import rounded
 from kinetra.sources import generators
 
 COLUMNS = "id x y z vx vy vz ax ay az heading size type ts".split()
@@ -165,3 +168,42 @@ def test_motion_reflects_at_walls(spark):
 def test_road_grid(spark):
     roads, edges, meets = generators.grid_roads(spark, 3, 2, 50.0)
     assert (roads.count(), edges.count(), meets.count()) == (3 + 4, 24, 12)
+
+
+def test_probe_of_batches(spark):
+    """Arithmetic over whole batches, no function called step by step, finds what trying every step does."""
+    rng = random.Random(5)
+    rows = [dict(id=i, size=2.0 + i % 3, **{f"{p}{c}": float(rng.randrange(-n, n + 1)) / 2 for p, n in (("", 90), ("v", 40), ("a", 4)) for c in "xyz"}) for i in range(60)]
+    pairs = D.closing(D.nearby(vehicles(spark, *rows)))
+    found = D.probe(pairs)
+    assert "lambda" not in optimized(found)
+
+    def at(r, side, c, t):
+        return r[f"{side}_{c}"] + r[f"{side}_v{c}"] * t + 0.5 * r[f"{side}_a{c}"] * t * t
+
+    expected = {}
+    for r in pairs.collect():
+        for k in range(100):
+            t = k * 0.1
+            x, y, z = (at(r, "s", c, t) - at(r, "o", c, t) for c in "xyz")
+            if (d := math.sqrt(x * x + y * y + z * z)) <= (r["s_size"] + r["o_size"]) / 2 + 5:
+                expected[r["s_id"], r["o_id"]] = k, k * 0.1, d
+                break
+    got = {(r["s_id"], r["o_id"]): (r["hit_k"], r["ttc"], r["hit_distance"]) for r in found.collect()}
+    assert got == expected and len({k for k, _, _ in got.values()}) > 10
+
+
+def test_probe_of_nothing_known(spark):
+    """A pair without a place has no hit and keeps no other from its own."""
+    fleet = vehicles(spark, dict(id=1, x=0.0), dict(id=2, x=3.0), dict(id=3, x=6.0))
+    pairs = D.closing(D.nearby(fleet)).withColumn("o_ax", F.when(F.col("o_id") != 3, F.col("o_ax")))
+    assert {(r["s_id"], r["o_id"]) for r in D.probe(pairs).collect()} == {(1, 2), (3, 2), (2, 1), (3, 1)}
+
+
+def test_rounding_is_that_of_the_sql(spark):
+    values = [1.0000005, -1.0000005, 0.1234565, 2.5e-7, -2.5e-7, 5e-7, 123456.7890125, 9007199254740993.0, 4.6e15, 1e300, float("inf"), float("nan"), None, -0.0]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double")
+    got = {r["i"]: r["v"] for r in rounded(df, "v").collect()}
+    for i, v in enumerate(values):
+        (expected,) = duckdb.execute("select round(?::double, 6) + 0e0", [v]).fetchall()[0]
+        assert got[i] == expected or (math.isnan(got[i]) and math.isnan(expected))
