@@ -83,6 +83,6 @@ def predict(fleet: DataFrame, radius: float = K.SEARCH_RADIUS, window: float = K
     near = KN.norm(*(F.col(f"o_{c}") - p for c, p in zip("xyz", there))) <= radius
     pairs = D.staged(pairs, "moved", F.struct(*(p.alias(f"s_{c}") for c, p in zip("xyz", there)), *(p.alias(f"o_{c}") for c, p in zip("xyz", KN.position_at(t, "o_")))), near)
     pairs = pairs.drop(*(f"{p}_{c}" for p in "so" for c in "xyz"), *(f"s_{k}" for k in part)).select("*", "moved.*").drop("moved").withColumn("s_ts", F.col("s_ts") + t)
-    # the cheap bound of a whole window comes before the probe of its steps
-    reachable = KN.distance("s_", "o_") - (F.col("speed") + F.col("change") * window) * window <= KN.safe_distance() + 1e-6
+    # the cheap bound of a whole window, from its middle, comes before the probe of its steps
+    reachable = KN.distance_at(F.lit(window / 2)) - (F.col("speed") + F.col("change") * window) * (window / 2) <= KN.safe_distance() + 1e-6
     return D.merge(D.score(D.probe(pairs.where(reachable), window), t), scope)

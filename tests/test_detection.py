@@ -122,6 +122,22 @@ def test_prediction_of_some_is_that_of_all(spark):
     assert sorted(map(tuple, some)) == sorted(map(tuple, T.predict(fleet).where("vehicle_id < '5'").collect())) and some
 
 
+def test_few_windows_are_probed_in_vain(spark, monkeypatch):
+    """The bound of a predicted window leaves few windows without a hit; from its start instead of its middle it left five of six."""
+    probed, found, probe = [], [], D.probe
+
+    def counted(pairs, window):
+        hit = probe(pairs, window)
+        probed.append(pairs.count())
+        found.append(hit.count())
+        return hit
+
+    monkeypatch.setattr(D, "probe", counted)
+    fleet = generators.uniform_fleet(spark, 300, width=600.0, seed=8).withColumns({"pattern": F.lit("accelerating"), **dict.fromkeys(("z", "vz", "az"), F.lit(0.0))})
+    T.predict(fleet)
+    assert found[0] > 100 and probed[0] < 4 * found[0], (probed, found)
+
+
 def test_empty_fleet(spark):
     none = vehicles(spark)
     for df in (D.detect(none), D.contacts(none), D.time_to_contact(none), D.lookahead(none.withColumn("history", F.lit(2))), T.predict(none.withColumn("pattern", F.lit("accelerating")))):
