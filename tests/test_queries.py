@@ -79,3 +79,11 @@ def test_stream_of_heartbeats_equals_batch(spark):
     gaps = sorted((r["node_id"], r["recovered_at"] * 1000) for r in QUERIES["heartbeat_failures"](spark, SF).collect())
     back = sorted((r["node_id"], r["ms"]) for r in QUERIES["streaming_heartbeats"](spark, SF).collect() if r["event"] == "recovered")
     assert [n for n, _ in gaps] == [n for n, _ in back] and all(abs(a - b) <= 1 for (_, a), (_, b) in zip(gaps, back))
+
+
+@pytest.mark.parametrize("name", ["lww_arrival", "lww_remote"])
+def test_arrivals_of_equal_remainder_are_not_tied(spark, tmp_path, name):
+    """The put and the newer delete of a key have the same remainder of 10007: the delete comes last."""
+    table = spark.createDataFrame([(3, 5, 1, "click", 1.0), (3 + 3 * 10007, 6, 1, "error", 2.0), (6, 5, 2, "click", 3.0)], "event_id long, s long, user_id long, event_type string, value double")
+    table.selectExpr("event_id", "timestamp_seconds(s) as ts", "user_id", "event_type", "value", "'' as props").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    assert [tuple(r) for r in QUERIES[name](spark, str(tmp_path)).collect()] == [(2, 3.0, 5.0)]
