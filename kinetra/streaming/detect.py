@@ -43,8 +43,8 @@ RISKS = "vehicle_id long, other_vehicle_id long, seq long, other_seq long, risk_
 VEHICLES = "id long, ts double, seq long, stale boolean"
 #: Added to event times, as a stream takes what is no later than 1970 for late, and reports may count from any origin.
 ORIGIN = 1e9
-#: Pairs that a cell hands on at a time.
-PAIRS = 5000
+#: Pairs that a cell compares and hands on at a time.
+PAIRS = 200_000
 #: Batches after which the logs are compacted.
 COMPACT_EVERY = 20
 
@@ -125,24 +125,25 @@ class Cell(StatefulProcessor):
         entered = arrived[arrived["kind"] == "enter"]
         for row in entered[KNOWN].itertuples(index=False):
             self.residents.updateValue((int(row.id),), (*map(float, row[1:12]), row.type, float(row.ts), int(row.seq), int(row.history)))
-        probes = arrived[arrived["kind"].isin(("enter", "probe"))]
-        held = [(*k, *v) for k, v in self.residents.iterator()] if len(probes) else []
-        if not held:
+        probes = arrived.loc[arrived["kind"].isin(("enter", "probe")), KNOWN]
+        held = pd.DataFrame([(*k, *v) for k, v in self.residents.iterator()] if len(probes) else [], columns=KNOWN)
+        if not len(held):
             return
-        ids, places, fresh, out = np.array([r[0] for r in held]), np.array([r[1:4] for r in held]), {*entered["id"].tolist()}, []
-        for probe in probes[KNOWN].itertuples(index=False, name=None):
-            far = np.sqrt(((places - np.array(probe[1:4], float)) ** 2).sum(axis=1))
-            for k in np.flatnonzero((far <= self.radius) & (ids != probe[0])).tolist():
-                # a resident that is new as well is shown to the probe's own cell, too
-                if held[k][0] > probe[0]:
-                    out.append(("pair", *probe, *held[k], far[k]))
-                elif held[k][0] not in fresh:
-                    out.append(("pair", *held[k], *probe, far[k]))
-            if len(out) >= PAIRS:
-                yield typed(pd.DataFrame(out, columns=columns))
-                out = []
-        if out:
-            yield typed(pd.DataFrame(out, columns=columns))
+        ids, places, fresh = held["id"].to_numpy(), held[[*"xyz"]].to_numpy(float), held["id"].isin(entered["id"]).to_numpy()
+        several = max(1, PAIRS // len(held))
+        for begin in range(0, len(probes), several):
+            some = probes.iloc[begin : begin + several]
+            own = some["id"].to_numpy()[:, None]
+            far = np.sqrt(((places - some[[*"xyz"]].to_numpy(float)[:, None]) ** 2).sum(axis=2))
+            # the smaller id comes first; a resident that is new as well is shown to the probe's own cell, too
+            for chosen, first in (((ids > own), True), ((ids < own) & ~fresh, False)):
+                probe, resident = np.nonzero((far <= self.radius) & chosen)
+                if len(probe):
+                    s, o = (side.add_prefix(p).reset_index(drop=True) for p, side in zip(("s_", "o_"), (some.iloc[probe], held.iloc[resident]) if first else (held.iloc[resident], some.iloc[probe])))
+                    found = pd.concat([s, o], axis=1)
+                    found.insert(0, "kind", "pair")
+                    found["dist"] = far[probe, resident]
+                    yield typed(found[columns])
 
     def close(self) -> None:
         pass

@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -85,3 +87,30 @@ def test_store_ignores_an_unfinished_base(spark, history, tmp_path):
     history.append(spark.createDataFrame([(1, 0.0, 1, 0.5)], "id long, ts double, seq long, x double"), 0)
     (tmp_path / "history" / "base" / "7").mkdir(parents=True)
     assert history.read().count() == 1
+
+
+def test_pairs_of_a_cell_come_in_blocks():
+    """What a cell finds is compared and handed on in blocks, not probe by probe, and is what all pairs show."""
+    rng = np.random.default_rng(1)
+
+    def reports(n, first, kind):
+        numbers = {c: rng.uniform(0, 200, n) for c in SD.KNOWN} | {"id": np.arange(first, first + n), "type": ["car"] * n, "seq": np.ones(n, int), "history": np.ones(n, int)}
+        return pd.DataFrame({"kind": kind} | numbers)
+
+    class Residents(dict):
+        iterator, updateValue = dict.items, dict.__setitem__
+
+    cell = SD.Cell(100.0)
+    cell.residents = Residents()
+    for _ in cell.handleInputRows((0, 0), iter([reports(50, 1000, "enter")]), None):
+        pass
+    arrived = pd.concat([reports(350, 1, "enter"), reports(100, 5000, "probe")])
+    frames = [f for f in cell.handleInputRows((0, 0), iter([arrived]), None) if (f["kind"] == "pair").any()]
+    got = [p for f in frames for p in zip(f["s_id"], f["o_id"], f["dist"])]
+    places, fresh, expected = {k[0]: v[:3] for k, v in cell.residents.items()}, {*range(1, 351)}, {}
+    for row in arrived.itertuples():
+        for other, place in places.items():
+            d = np.sqrt(sum((a - b) ** 2 for a, b in zip((row.x, row.y, row.z), place)))
+            if row.id != other and d <= 100 and (other > row.id or other not in fresh):
+                expected[min(row.id, other), max(row.id, other)] = d
+    assert {(s, o): d for s, o, d in got} == pytest.approx(expected) and len(got) == len(expected) > 15_000 and len(frames) <= 2
