@@ -5,6 +5,7 @@ import math
 import random
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -223,3 +224,42 @@ def test_rounding_is_that_of_the_sql(spark):
     for i, v in enumerate(values):
         (expected,) = duckdb.execute("select round(?::double, 6) + 0e0", [v]).fetchall()[0]
         assert got[i] == expected or (math.isnan(got[i]) and math.isnan(expected))
+
+
+@pytest.mark.parametrize("shift", [0.0, -1e6])
+def test_blocks_lose_no_pair(spark, shift):
+    """Pairs by blocks of half of the neighbouring cells are those of the join, in cells with more rows than a block and with others, for both rules and the look-ahead."""
+    rng = random.Random(7)
+    rows = [dict(id=i, x=shift + rng.choice([100.0, float(rng.randrange(-300, 300))]), y=float(rng.randrange(-150, 150)), size=1.0 + i % 4, **{f"{p}{c}": float(rng.randrange(-n, n + 1)) / 2 for p, n in (("v", 30), ("a", 3)) for c in "xy"}) for i in range(500)]
+    fleet = vehicles(spark, *rows).withColumn("history", F.lit(2)).localCheckpoint()
+    pairs = D.nearby(fleet, symmetric=True)
+    for approach in ("corrected", "literal"):
+        met = lambda df: sorted((min(r["s_id"], r["o_id"]), max(r["s_id"], r["o_id"]), r["t_closest"], r["d_closest"]) for r in df.collect())
+        expected = met(D.temporal_filter(pairs, approach=approach))
+        assert met(D.approaching(fleet, approach=approach)) == expected and len(expected) > 100
+        hit = lambda df: sorted((min(r["s_id"], r["o_id"]), max(r["s_id"], r["o_id"]), r["hit_k"], r["hit_distance"]) for r in df.collect())
+        assert hit(D.probe(D.approaching(fleet, approach=approach, step=0.1))) == hit(D.probe(D.temporal_filter(pairs, approach=approach)))
+    look = lambda df: sorted(map(tuple, df.collect()))
+    assert look(D.lookahead(fleet, threshold=0.1)) == look(D.lookahead_of(D.nearby(fleet), threshold=0.1)) != []
+
+
+def test_pairs_are_compared_in_blocks(spark):
+    """No row of the join is one candidate pair: what meets in it are blocks."""
+    plan = optimized(D.detect(generators.uniform_fleet(spark, 50)))
+    join = plan[plan.index("Join Inner"):].split("\n", 1)[0]
+    assert "_bx" in join and "MapInArrow" in plan and "s_x" not in join
+
+
+def test_leaps_of_the_probe_miss_no_hit():
+    """Steps that a pair's speed rules out are leapt over: few distances, the hits of trying every step."""
+    rng = np.random.default_rng(3)
+    m = 4000
+    sides = [tuple((rng.integers(-100, 100, m) / 1.0, rng.integers(-20, 20, m) / 1.0, rng.integers(-2, 3, m) / 4.0) for _ in "so") for _ in "xy"]
+    speed, safe = np.sqrt(sum((s[1] - o[1]) ** 2 for s, o in sides)), rng.integers(6, 11, m) / 1.0
+    k, d = D.first_hits(sides, safe, speed, 0.1, 100)
+    expected = np.full(m, -1)
+    for j in reversed(range(100)):
+        t = j * 0.1
+        apart = np.sqrt(sum(((s[0] + s[1] * t + s[2] * t * t) - (o[0] + o[1] * t + o[2] * t * t)) ** 2 for s, o in sides))
+        expected[apart <= safe] = j
+    assert (k == expected).all() and (k >= 0).sum() > 100 and np.isnan(d[k < 0]).all()
