@@ -263,3 +263,13 @@ def test_leaps_of_the_probe_miss_no_hit():
         apart = np.sqrt(sum(((s[0] + s[1] * t + s[2] * t * t) - (o[0] + o[1] * t + o[2] * t * t)) ** 2 for s, o in sides))
         expected[apart <= safe] = j
     assert (k == expected).all() and (k >= 0).sum() > 100 and np.isnan(d[k < 0]).all()
+
+
+def test_risks_of_one_vehicle(spark):
+    """They are those of the whole fleet on either side, and the join's one side is that vehicle."""
+    fleet = generators.city_fleet(spark, 400, 800.0, seed=11, partitions=2).localCheckpoint()
+    pairs = lambda df: sorted((r["vehicle_id"], r["other_vehicle_id"], r["risk_level"], r["time_to_collision"]) for r in df.collect())
+    whole = D.detect(fleet)
+    busy = whole.groupBy("vehicle_id").count().orderBy(F.desc("count")).first()["vehicle_id"]
+    expected = pairs(whole.where((F.col("vehicle_id") == busy) | (F.col("other_vehicle_id") == busy)))
+    assert pairs(D.detect_of(fleet, busy)) == expected and len(expected) >= 2
