@@ -1,9 +1,10 @@
 """Queries over all of their rows, on tables larger than a cut would leave whole."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from kinetra import fixtures as X
-from kinetra.plans import registry
+from kinetra.plans import registry, state
 
 SF = "/root/testdata/sf0.01"
 QUERIES = registry.queries()
@@ -48,3 +49,11 @@ def test_transfers_of_every_event(spark):
     assert len(got) == len(events) and any(r["event_type"] == "error" for r in events)
     for r in events:
         assert got[r["seq"]]["user_id"] == r["user_id"] and got[r["seq"]]["state"] == (None if r["event_type"] == "error" else r["props"])
+
+
+@pytest.mark.parametrize("name", ["alert_queue", "alert_order"])
+def test_alerts_are_sorted_after_the_search(spark, monkeypatch, name):
+    """What is sorted, and so sampled, is a table: it holds no search for pairs."""
+    monkeypatch.setattr(state, "placed", lambda df: df)
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Sort" in plan and "Join" not in plan
