@@ -177,6 +177,14 @@ def test_one_decimal_rounds_ties_to_even(spark):
     assert [r[0] for r in df.select(A.one_decimal(F.col("v"))).collect()] == [f"{v:.1f}" for v in (0.25, 0.75, 2.25, 2.35, 0.05, 1.0)]
 
 
+def test_one_decimal_is_that_of_the_exact_value(spark):
+    """Decimals that end in 5 lie a little beside their tie; Python's own format is exact."""
+    values = [k / 100 for k in range(1, 20000, 2)] + [k / 20 for k in range(4000)] + [0.0, 0.04, 0.09999999999999999, 99.95, 99.96, 1e8 + 0.05, 3e9]
+    values += [math.nextafter(v, way) for v in values if v for way in (0.0, math.inf)]
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", A.one_decimal(F.col("v")).alias("t")).collect()
+    assert len(rows) == len(values) and [(r["v"], r["t"]) for r in rows if r["t"] != f"{r['v']:.1f}"] == []
+
+
 def test_motion_reflects_at_walls(spark):
     r = generators.move(vehicles(spark, dict(id=1, x=95.0, vx=10.0)), 1.0, 100.0).first()
     assert (r["x"], r["vx"]) == (95.0, -10.0) and r["heading"] == pytest.approx(math.pi)
