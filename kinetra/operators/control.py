@@ -47,6 +47,42 @@ def fold(log: DataFrame, key: list[str], row: list[str], start, step, out: str,
     return log.select(*names).repartition(*sort[:n]).sortWithinPartitions(*sort).mapInArrow(run, schema)
 
 
+def fold_all(log: DataFrame, row: list[str], start, step, out: str, carry: Sequence[str]) -> DataFrame:
+    """fold() of all rows as one sequence: rows of `carry` (ts and seq among them) and `out`.
+
+    Ranges are sorted side by side and packed, so that the one task which folds
+    them sorts a row for each batch and not for each of its rows.
+    """
+    rows = log.select(*(F.col(c).alias(f"_{i}") for i, c in enumerate(["ts", "seq", *row, *carry])))
+    schema, n = StructType([log.schema[c] for c in carry] + StructType.fromDDL(out).fields), 2 + len(row)
+    packed, arrow = to_arrow_schema(rows.schema), to_arrow_schema(schema)
+
+    def pack(batches):
+        part, k = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            rows = pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(batch.columns, packed)], schema=packed)
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, packed, options=pa.ipc.IpcWriteOptions(compression="zstd")) as told:
+                told.write_batch(rows)
+            yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([k]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["part", "k", "rows"])
+            k += 1
+
+    def run(batches):
+        state = start()
+        for batch in batches:
+            for raw in batch.column(2):
+                for rows in pa.ipc.open_stream(raw.as_buffer()):
+                    results = []
+                    for values in zip(*(c.to_pylist() for c in rows.columns[:n])):
+                        state, result = step(state, *values)
+                        results.append(result)
+                    yield pa.RecordBatch.from_arrays([*rows.columns[n:], *(pa.array(c, f.type) for c, f in zip(zip(*results), list(arrow)[len(carry):]))], schema=arrow)
+
+    order = [f"_{i}" for i in range(n)]
+    runs = rows.repartitionByRange(*order[:2]).sortWithinPartitions(*order).mapInArrow(pack, "part long, k long, rows binary")
+    return runs.repartition(1).sortWithinPartitions("part", "k").mapInArrow(run, schema)
+
+
 def _since(now, then):
     return 0 if now is None or then is None else now - then
 
@@ -104,8 +140,8 @@ def take(bucket, ts, rate: float, capacity: float, cost: float = 1.0):
     return (refilled - (cost if ok else 0.0), ts), ok
 
 
-def _limited(requests: DataFrame, key: str, name: str, rate: float, capacity: float, carry: Sequence[str]) -> DataFrame:
-    """Requests with the verdict of one more limiter, which sees only those let through so far."""
+def _limited(requests: DataFrame, key: str | None, name: str, rate: float, capacity: float, carry: Sequence[str]) -> DataFrame:
+    """Requests with the verdict of one more limiter, which sees only those let through so far; without a key, one limiter for all."""
 
     def step(bucket, ts, seq, refused):
         if refused is None:
@@ -113,6 +149,8 @@ def _limited(requests: DataFrame, key: str, name: str, rate: float, capacity: fl
             refused = None if ok else name
         return bucket, (refused,)
 
+    if key is None:
+        return fold_all(requests, ["refused"], lambda: None, step, "refused string", carry)
     return fold(requests, [key], ["refused"], lambda: None, step, "refused string", [c for c in carry if c != key])
 
 
@@ -121,11 +159,11 @@ def admission(requests: DataFrame, overall: tuple[float, float], endpoint: tuple
 
     The requests are read once and pass through four folds, each by its own
     key, that hand them on with what has refused them. The global limit is one
-    shared bucket and so one key.
+    shared bucket and so one sequence, which reaches its task in packed batches.
     """
     carry = ["ts", "seq", "endpoint", "client", "success"]
-    rows = requests.select(*carry, F.lit(None).cast("string").alias("refused"), F.lit(0).alias("everyone"))
-    rows = _limited(rows, "everyone", "global", *overall, carry)
+    rows = requests.select(*carry, F.lit(None).cast("string").alias("refused"))
+    rows = _limited(rows, None, "global", *overall, carry)
     rows = _limited(rows, "endpoint", "endpoint", *endpoint, carry)
     rows = _limited(rows, "client", "client", *client, carry)
     call = breaker_step(*(({} | K.BREAKER | (breaker or {}))[k] for k in ("failures", "recovery", "trial_calls")))

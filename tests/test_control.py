@@ -222,3 +222,14 @@ def test_region_plan(spark):
     full = [(1, 3, 3, 1, 0, 90, 0)]
     cells = [(20, 2, 0, 0, 0, 2, 1), (21, 2, 5, 5, 0, 3, 1), (22, 2, 5, 6, 0, 2, 2), (23, 2, 8, 8, 0, 1, 2), (24, 2, 1, 1, 0, 1, 3), (25, 2, 2, 2, 0, 1, 4)]
     assert [(r["action"], r["cell"], r["region"], r["was"], r["shard_id"]) for r in plan(full + cells, 5)] == [("merge", 21, "21+22", 1, 1), ("merge", 22, "21+22", 2, 1)]
+
+
+def test_shared_limit_sorts_batches_in_its_task(spark, capsys):
+    """The task that holds all requests sorts a packed row for each batch of them, in the order of (ts, seq), nulls first."""
+    rows = [(float(i * 7 % 50) if i % 11 else None, i, "e", i % 3, True) for i in range(400)]
+    log = spark.createDataFrame(rows, "ts double, seq long, endpoint string, client long, success boolean").repartition(4)
+    got = C.fold_all(log, [], lambda: 0, lambda n, ts, seq: (n + 1, (n,)), "place int", ["ts", "seq", "client"])
+    assert [(r["ts"], r["seq"], r["client"]) for r in sorted(got.collect(), key=lambda r: r["place"])] == [(r[0], r[1], r[3]) for r in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0.0, r[1]))]
+    C.admission(log, (1.0, 5.0), (1.0, 5.0), (1.0, 5.0)).explain()
+    plan = capsys.readouterr().out
+    assert "SinglePartition" in plan and "everyone" not in plan and plan.count("rows#") > 0
