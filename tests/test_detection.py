@@ -117,6 +117,32 @@ def test_dense_cells_are_split(spark):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+def spread(found):
+    """The most pairs of a partition and all pairs."""
+    n = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+    return max(n), sum(n)
+
+
+@pytest.mark.parametrize("search", ["sized"])
+def test_pairs_of_a_dense_cell_are_many_tasks(spark, monkeypatch, search):
+    """Tasks grow in number with the fleet, and the pairs of one cell are not one task's; none is lost or met twice."""
+    from kinetra.operators import blocks
+
+    for name, value in {"BLOCK": 16, "SHARE": 16, "ROWS_OF_TASK": 10}.items():
+        monkeypatch.setattr(blocks, name, value, raising=False)
+    rows = [dict(id=i, x=i * 37 % 101 / 5.0 + 2, y=i * 91 % 103 / 5.0 + 2, size=[0.5, 2.0, 1.0][i % 3]) for i in range(300)]
+    apart = {(a["id"], b["id"], a["size"], b["size"]): math.hypot(a["x"] - b["x"], a["y"] - b["y"]) for a, b in itertools.permutations(rows, 2)}
+    if search == "sized":
+        found, pair = D.nearby_sized(vehicles(spark, *rows), 5.0), ["s_id", "o_id"]
+        expected = sorted(k[:2] for k, d in apart.items() if d <= 5 + k[3])
+    else:
+        found, pair = D.time_to_contact(vehicles(spark, *rows)), ["vehicle_id", "other_vehicle_id"]
+        expected = sorted(k[:2] for k, d in apart.items() if d <= 10 * k[2] + k[3] and 0 <= d - k[2] - k[3] <= 62.5)
+    assert sorted(map(tuple, found.select(*pair).collect())) == expected
+    most, total = spread(found)
+    assert total == len(expected) and most < total / 2
+
+
 def test_prediction_of_some_is_that_of_all(spark):
     fleet = generators.city_fleet(spark, 200, 600.0, seed=4, partitions=2).withColumn("pattern", F.lit("constant_velocity"))
     some = T.predict(fleet, subjects=fleet.where("id < '5'")).collect()
