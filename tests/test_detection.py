@@ -123,7 +123,7 @@ def spread(found):
     return max(n), sum(n)
 
 
-@pytest.mark.parametrize("search", ["sized"])
+@pytest.mark.parametrize("search", ["sized", "contact"])
 def test_pairs_of_a_dense_cell_are_many_tasks(spark, monkeypatch, search):
     """Tasks grow in number with the fleet, and the pairs of one cell are not one task's; none is lost or met twice."""
     from kinetra.operators import blocks
