@@ -77,21 +77,54 @@ def approaching(fleet: DataFrame, radius: float = K.SEARCH_RADIUS, window: float
 
 
 HITS = "array<array<struct<k:int,d:double>>>"
+#: hits with what else score() needs of a pair's motion
+MET = "array<array<struct<k:int,d:double,speed:double,cx:double,cy:double,cz:double>>>"
 
 
-def _listed(k: np.ndarray, d: np.ndarray) -> pa.Array:
-    """First hits, -1 for none, as HITS."""
+def _listed(k: np.ndarray, *columns: np.ndarray) -> pa.Array:
+    """First hits, -1 for none, with their distances and what else is given, as HITS or MET."""
     hit = np.concatenate(([0], np.cumsum(k >= 0))).astype(np.int32)
-    values = pa.StructArray.from_arrays([pa.array(k[k >= 0]), pa.array(d[k >= 0])], ["k", "d"])
+    names = ["k", "d", "speed", "cx", "cy", "cz"][: 1 + len(columns)]
+    values = pa.StructArray.from_arrays([pa.array(c[k >= 0]) for c in (k, *columns)], names)
     return pa.ListArray.from_arrays(hit, pa.ListArray.from_arrays(np.arange(hit[-1] + 1, dtype=np.int32), values))
 
 
+def met(fleet: DataFrame, radius: float, window: float, approach: str, step: float) -> DataFrame:
+    """The pairs of temporal_filter() with a hit of probe(), each once, in either order, as probe() and score() take them.
+
+    Both are found in the pass over the blocks, term for term as there, so
+    that a pair is handed on without its motion: that took most of the time.
+    """
+    sign, motion = 1 if approach == "corrected" else -1, [f"{k}{c}" for k in ("", "v", "a") for c in KN.AXES]
+
+    def at(m, c, t):
+        return m[c] + m[f"v{c}"] * t + 0.5 * m[f"a{c}"] * t * t
+
+    def norm(x, y, z):
+        return np.sqrt(x * x + y * y + z * z)
+
+    def judged(s, o):
+        with np.errstate(all="ignore"):
+            r, w = [o[c] - s[c] for c in KN.AXES], [s[f"v{c}"] - o[f"v{c}"] for c in KN.AXES]
+            speed, product, safe = norm(*w), r[0] * w[0] + r[1] * w[1] + r[2] * w[2], (s["size"] + o["size"]) / 2 + K.SAFE_DISTANCE_BASE
+            t = sign * product / (speed * speed)
+            keep = (speed >= K.MIN_RELATIVE_SPEED) & (t >= 0) & (t <= window) & (norm(*(at(s, c, t) - at(o, c, t) for c in KN.AXES)) <= safe)
+            if approach == "literal":
+                keep &= ~((product > 0) & (norm(*r) > 5))
+            left = np.flatnonzero(keep)
+            s, o = ({c: m[c].take(left) for c in motion} for m in (s, o))
+            k, d = first_hits([tuple((m[c], m[f"v{c}"], 0.5 * m[f"a{c}"]) for m in (s, o)) for c in KN.AXES], safe[left], speed[left], step, int(window / step))
+            ttc = k * step
+            return left[k >= 0], _listed(*(c[k >= 0] for c in (k, d, speed[left], *((at(s, c, ttc) + at(o, c, ttc)) / 2 for c in KN.AXES))))
+
+    pairs = block_pairs(fleet, radius, closest_tests(window, sign, K.SAFE_DISTANCE_BASE), [*motion, "size"], ["id", "ts", "size", "heading", "type"], last=(judged, MET))
+    return pairs.where(F.col("dist") <= radius)
+
+
 def hits(step: float, n: int) -> Column:
     """Of the steps 0 to n - 1 the first at which a pair is within its safe distance, as {k, d} in the list of its stride; pairs without one have no list.
 
-    The distance of a pair cannot change faster than its speed at the start
-    plus its change over the whole window, so that steps which are nearer in
-    time than that allows have no hit and are not tried. Runs over columns of
+    Steps that first_hits() rules out have no hit and are not tried. Runs over columns of
     a batch of pairs, with the terms of distance_at().
     """
     motion = [F.col(f"{p}{k}{c}").cast("double") for c in KN.AXES for p in ("s_", "o_") for k in ("", "v", "a")]
@@ -109,34 +142,46 @@ def hits(step: float, n: int) -> Column:
 
 
 def first_hits(sides: list, safe: np.ndarray, speed: np.ndarray, step: float, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first step of each pair within its safe distance, -1 for none, and the distance there."""
+    """The first step of each pair within its safe distance, -1 for none, and the distance there.
+
+    Along the line between them a pair comes nearer by its closing speed and
+    by half its acceleration times the square of the time, at the most: what
+    that rules out is leapt over. The speed at the start, which callers give,
+    bounds that less closely and is not used.
+    """
     first, at = np.full(len(safe), -1, np.int32), np.full(len(safe), np.nan)
-    # the most that a distance can change in a step
-    pace = (speed + np.sqrt(sum((2 * (s[2] - o[2])) ** 2 for s, o in sides)) * (n * step)) * step
+    pull = np.sqrt(sum((2 * (s[2] - o[2])) ** 2 for s, o in sides))
     # an axis in which nothing lies or moves adds nothing
     moving = [side for side in sides if any(c.any() for part in side for c in part)] or sides[:1]
-    rows, k, motion = np.arange(len(safe)), np.zeros(len(safe), np.int64), [c for side in moving for part in side for c in part]
+    # of the pairs that are left, a row for each term
+    rows, k, motion = np.arange(len(safe)), np.zeros(len(safe), np.int64), np.array([safe, pull, *(c for side in moving for part in side for c in part)])
     while len(rows):
-        t, total = k * step, 0.0
-        for j in range(0, len(motion), 6):
-            p, v, a, q, w, b = motion[j : j + 6]
+        safe, pull = motion[:2]
+        t, total, closing = k * step, 0.0, 0.0
+        for p, v, a, q, w, b in motion[2:].reshape(-1, 6, len(rows)):
             apart = (p + v * t + a * t * t) - (q + w * t + b * t * t)
             total = total + apart * apart
+            closing = closing - apart * ((v - w) + 2 * (a - b) * t)
         d = np.sqrt(total)
         hit = d <= safe
         first[rows[hit]], at[rows[hit]] = k[hit], d[hit]
-        # what is not a number is not ruled out, but tried step by step
-        k = k + np.fmin(np.fmax(np.ceil((d - safe - 1e-6) / pace), 1), n).astype(np.int64)
+        with np.errstate(all="ignore"):
+            gap, closing = d - safe - 1e-6, closing / d
+            leap = 2 * gap / (closing + np.sqrt(closing * closing + 2 * pull * gap)) / step * (1 - 1e-9)
+        # what is not a number is not ruled out, but tried step by step; who only moves away, without a pull, does not come back
+        leap = np.where((pull == 0) & (closing <= 0) & (gap > 0), n, leap)
+        k = k + np.fmin(np.fmax(np.ceil(leap), 1), n).astype(np.int64)
         left = np.flatnonzero(~hit & (k < n))
-        rows, k, safe, pace, motion = rows[left], k[left], safe[left], pace[left], [c[left] for c in motion]
+        rows, k, motion = rows[left], k[left], motion.take(left, axis=1)
     return first, at
 
 
 def probe(pairs: DataFrame, window: float = K.TIME_WINDOW, step: float = K.PROBE_STEP) -> DataFrame:
-    """First time on the grid 0, step, … at which a pair (with its speed) is within its safe distance; pairs without one are dropped. Hits that approaching() has found are not sought again."""
+    """First time on the grid 0, step, … at which a pair (with its speed) is within its safe distance; pairs without one are dropped. Hits that approaching() or met() has found are not sought again."""
     # a generator's rows: later filters stay above it, and the probe is run once
     found = F.flatten("found") if "found" in pairs.columns else hits(step, int(window / step))
     pairs = pairs.withColumn("hit", F.explode(F.slice(found, 1, 1)))
+    pairs = pairs.withColumns({c: F.col(f"hit.{c}") for c in pairs.schema["hit"].dataType.names if c not in ("k", "d")})
     return pairs.withColumns({"ttc": F.col("hit.k") * F.lit(step), "hit_distance": F.col("hit.d"), "hit_k": F.col("hit.k")}).drop("hit", "found")
 
 
@@ -147,7 +192,7 @@ def midpoint(t: Column) -> list[Column]:
 def score(pairs: DataFrame, offset: Column | None = None, both: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """Risk rows of probed pairs; offset shifts the time of predicted ones; both reports a pair from either side; carry names more columns of the vehicles, which come out as name and other_name."""
     ttc = F.col("ttc")
-    x, y, z = midpoint(ttc)
+    x, y, z = midpoint(ttc) if "cx" not in pairs.columns else map(F.col, ("cx", "cy", "cz"))
     total = ttc if offset is None else ttc + offset
     level = KN.risk_level(F.col("hit_distance"), ttc, F.col("speed"))
     out = pairs.select("s_id", "o_id", "s_ts", "o_ts", *(f"{p}{c}" for c in carry for p in ("s_", "o_")), total.alias("time_to_collision"), F.col("hit_distance").alias("distance"), F.col("speed").alias("relative_speed"), level.alias("risk_level"), x.alias("cx"), y.alias("cy"), z.alias("cz"))
@@ -166,7 +211,7 @@ def detect(fleet: DataFrame, radius: float = K.SEARCH_RADIUS, window: float = K.
     With as_of, a time, vehicles that reported more than stale_after seconds
     before are no subjects; as neighbours they stay.
     """
-    pairs = approaching(fleet, radius, window, approach, step=K.PROBE_STEP)
+    pairs = met(fleet, radius, window, approach, K.PROBE_STEP)
     if as_of is not None:
         pairs = pairs.where(as_of - F.greatest("s_ts", "o_ts") <= stale_after)
     risks = score(probe(pairs, window), both=True)

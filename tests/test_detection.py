@@ -284,6 +284,17 @@ def test_pairs_are_compared_in_blocks(spark):
     assert "_bx" in join and "MapInArrow" in plan and "s_x" not in join
 
 
+@pytest.mark.parametrize("approach", ["corrected", "literal"])
+def test_pairs_leave_the_blocks_without_their_motion(spark, approach):
+    """What the blocks find equals the stages over rows, to the last bit; a pair is handed on as a risk needs it."""
+    fleet = generators.uniform_fleet(spark, 300, width=300.0, seed=6).withColumn("heading", F.when(F.col("x") > 20, F.col("heading")))
+    found = D.detect(fleet, approach=approach)
+    by_rows = D.score(D.probe(D.temporal_filter(D.nearby(fleet, symmetric=True), approach=approach)), both=True)
+    rows = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    assert rows(found) == rows(by_rows) != []
+    assert "s_vx" not in optimized(found) and "s_vx" in optimized(by_rows)
+
+
 def test_leaps_of_the_probe_miss_no_hit():
     """Steps that a pair's speed rules out are leapt over: few distances, the hits of trying every step."""
     rng = np.random.default_rng(3)
