@@ -21,14 +21,17 @@ EVENTS = f"with {B.EVENTS_SQL}"
 
 @contextlib.contextmanager
 def rocksdb(spark):
-    """Streams that start inside keep their state in RocksDB. A stream takes the setting when it starts, so the session has it back at once."""
-    name = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, S.ROCKSDB)
+    """Streams that start inside keep their state in RocksDB, in a part for each core, or 8, at most, as each part costs a Python process and a commit a batch, however few its rows. A stream takes the settings when it starts, so the session has them back at once."""
+    parts = "spark.sql.shuffle.partitions"
+    settings = {"spark.sql.streaming.stateStore.providerClass": S.ROCKSDB, parts: str(min(int(spark.conf.get(parts)), max(8, spark.sparkContext.defaultParallelism)))}
+    before = {name: spark.conf.get(name, None) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(name, before) if before else spark.conf.unset(name)
+        for name, value in before.items():
+            spark.conf.set(name, value) if value else spark.conf.unset(name)
 
 
 def drain(stream, mode: str, spark):

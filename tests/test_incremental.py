@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from kinetra.operators import detect as D
 from kinetra.operators import kv
+from kinetra.operators.blocks import closest_tests
 from kinetra.plans.streams import rocksdb
 from kinetra.sources.store import KeyedStore
 from kinetra.streaming import detect as SD
@@ -114,3 +115,51 @@ def test_pairs_of_a_cell_come_in_blocks():
             if row.id != other and d <= 100 and (other > row.id or other not in fresh):
                 expected[min(row.id, other), max(row.id, other)] = d
     assert {(s, o): d for s, o, d in got} == pytest.approx(expected) and len(got) == len(expected) > 15_000 and len(frames) <= 2
+
+
+def test_cells_hand_on_pairs_at_risk_alone():
+    """All pairs of a cell took most of the time of a stream: those without a hit stay where they were found, and are those that all pairs show."""
+    rng = np.random.default_rng(2)
+    n = 400
+    numbers = {c: rng.uniform(0, 100, n) if c in "xy" else rng.uniform(-10, 10, n) if c[0] == "v" else np.zeros(n) for c in SD.KNOWN}
+    numbers |= {"id": np.arange(n), "type": ["car"] * n, "size": np.full(n, 2.0), "seq": np.ones(n, int), "history": np.ones(n, int)}
+    arrived, found = pd.DataFrame({"kind": "enter"} | numbers), []
+    judge = D.judge_met(10.0, "corrected", 0.1)
+    for cell in (SD.Cell(100.0), SD.Cell(100.0, judge, closest_tests(10.0, 1, 5.0), columns=SD.SCORED)):
+        cell.residents = SD.Residents(None)
+        found.append(pd.concat([f[f["kind"] == "pair"] for f in cell.handleInputRows((0, 0), iter([arrived]), None) if (f["kind"] == "pair").any()]))
+    every, some = found
+    s, o = ({c: every[f"{p}{c}"].to_numpy(float) for c in [*D.MOTION, "size"]} for p in ("s_", "o_"))
+    left, k = judge(s, o)[:2]
+    expected = sorted(zip(every["s_id"].to_numpy()[left], every["o_id"].to_numpy()[left], k))
+    assert sorted(zip(some["s_id"], some["o_id"], some["hit_k"])) == expected and 0 < len(expected) < len(every) / 2
+
+
+def test_vehicles_of_a_pack_move_in_one_call():
+    """A call for each vehicle cost some ms: a batch of reports of many is one, whatever Arrow batches it comes in."""
+
+    class Pack:
+        value, timers = None, []
+        get, update = (lambda self: self.value), (lambda self, value: setattr(self, "value", value))
+        listTimers, deleteTimer, registerTimer = (lambda self: [*self.timers]), (lambda self, t: self.timers.remove(t)), (lambda self, t: self.timers.append(t))
+
+    moves = SD.Moves(100.0, 10.0)
+    moves.handle = moves.pack = Pack()
+    reports = lambda *rows: pd.DataFrame([[*r, *[0.0] * 9, "car", ts, seq] for *r, ts, seq in rows], columns=SD.REPORT)
+    told = [*moves.handleInputRows((0,), iter([reports((1, 50.0, 50.0, 0.0, 0), (2, 150.0, 50.0, 0.0, 1)), reports((1, 250.0, 50.0, 4.0, 2))]), None)]
+    assert [(*r,) for r in pd.concat(told)[["id", "cx", "kind", "history"]].itertuples(index=False)] == [(1, 2, "enter", 2), (2, 1, "enter", 1)]
+    told = [*moves.handleInputRows((0,), iter([reports((1, 50.0, 50.0, 1.0, 9), (2, 50.0, 50.0, 5.0, 3))]), None)]
+    assert [(*r,) for r in pd.concat(told)[["id", "cx", "kind", "history"]].itertuples(index=False)] == [(2, 0, "enter", 2), (2, 1, "leave", 2)]
+    assert len(moves.handle.timers) == 1
+
+
+def test_streams_keep_state_in_few_parts(spark):
+    """Each part costs a Python process and a commit a batch: 200 of them, the usual number, did not end in 150 s at sf0.1."""
+    name, before = "spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set(name, "200")
+    try:
+        with rocksdb(spark):
+            assert int(spark.conf.get(name)) == max(8, spark.sparkContext.defaultParallelism)
+        assert spark.conf.get(name) == "200"
+    finally:
+        spark.conf.set(name, before)
