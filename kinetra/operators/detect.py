@@ -225,6 +225,18 @@ def score(pairs: DataFrame, offset: Column | None = None, both: bool = False, ca
     )
 
 
+def risk_of(distance: np.ndarray, ttc: np.ndarray, speed: np.ndarray, safe: np.ndarray, angle: np.ndarray, same_type: np.ndarray) -> np.ndarray:
+    """KN.risk_level() of columns, term for term."""
+    w = K.RISK_WEIGHTS
+    total = w["distance"] * (1 - distance / safe) + w["time"] * (1 - np.minimum(1.0, ttc / K.MAX_WARNING_TIME)) + w["speed"] * np.minimum(1.0, speed / K.MAX_RELATIVE_SPEED)
+    return np.maximum(0.0, np.minimum(1.0, total + w["angle"] * np.sin(angle) + w["type"] * np.where(same_type, K.SAME_TYPE, K.OTHER_TYPE)))
+
+
+def distinct_ids(fleet: DataFrame) -> bool:
+    """Is each vehicle one row? Then so is each pair, and nothing has to be merged."""
+    return fleet.groupBy("id").count().where("count > 1").isEmpty()
+
+
 def detect(fleet: DataFrame, radius: float = K.SEARCH_RADIUS, window: float = K.TIME_WINDOW, approach: str = "corrected", as_of: Column | None = None, stale_after: float = K.STALE_AFTER) -> DataFrame:
     """Risks of every ordered pair of the fleet: near, approaching, probed, scored. All terms are symmetric: each pair is evaluated once and reported from both sides.
 

@@ -165,6 +165,20 @@ def test_few_windows_are_probed_in_vain(spark, monkeypatch):
     assert found[0] > 100 and probed[0] < 4 * found[0], (probed, found)
 
 
+def test_prediction_by_blocks_is_that_of_the_join(spark):
+    """Patterns, heights, missing types, ids that repeat and some subjects: the same highest risk of each pair, and rows that are pairs, not steps of pairs, leave the tasks."""
+    fleet = generators.uniform_fleet(spark, 400, width=500.0, seed=5).withColumn("pattern", F.get(F.array(*map(F.lit, ["stationary", "constant_velocity", "accelerating", "unknown"])), F.pmod(F.xxhash64("id"), F.lit(4)).cast("int")))
+    fleet = fleet.withColumn("type", F.when(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(5)) > 0, F.col("type")))
+    flat = fleet.withColumns(dict.fromkeys(("z", "vz", "az"), F.lit(0.0)))
+    columns = ["vehicle_id", "other_vehicle_id", *(F.round(c, 9).alias(c) for c in ("risk_level", "time_to_collision", "distance"))]
+    twice = flat.unionByName(flat.where("pattern = 'accelerating'").withColumn("x", F.col("x") + 3))
+    for some in (fleet, flat, twice):
+        subjects = some.where(F.pmod(F.xxhash64("id", F.lit(2)), F.lit(3)) > 0)
+        expected = sorted(map(tuple, T.predict(some, subjects=subjects).select(*columns).collect()))
+        assert sorted(map(tuple, T.predict_fleet(some, subjects=subjects).select(*columns).collect())) == expected and (len(expected) > 200 or some is fleet)
+    assert "Window" not in T.predict_fleet(flat)._jdf.queryExecution().toString()
+
+
 def test_empty_fleet(spark):
     none = vehicles(spark)
     for df in (D.detect(none), D.contacts(none), D.time_to_contact(none), D.lookahead(none.withColumn("history", F.lit(2))), T.predict(none.withColumn("pattern", F.lit("accelerating")))):
