@@ -75,7 +75,7 @@ def shard_vehicles(fleet: DataFrame, shards: DataFrame, level: int, n_shards: in
 def process_shard(fleet: DataFrame, shard: int, level: int, n_shards: int) -> DataFrame:
     """Alerts of the vehicles of one shard, against the whole fleet."""
     own = grid_stats.placed(fleet, level).where(G.mixed(F.col("cx"), F.col("cy"), F.col("cz"), n_shards) == shard).select("id")
-    return lifecycle.raise_alerts(trajectory.predict(fleet, subjects=fleet.join(own, "id", "left_semi")))
+    return lifecycle.raise_alerts(trajectory.predict_fleet(fleet, subjects=fleet.join(own, "id", "left_semi")))
 
 
 def transfers(requests: DataFrame, responses: DataFrame) -> DataFrame:
