@@ -72,7 +72,10 @@ select vehicle_id1, vehicle_id2, {r6("risk_level", "time_to_collision", "relativ
 
 
 def merge_risks(spark, sf):
-    found = D.merge(rounded(D.detect(X.fleet(spark, sf)), "risk_level", "time_to_collision"), "global")
+    fleet = X.fleet(spark, sf)
+    risks = rounded(D.detect(fleet), "risk_level", "time_to_collision")
+    # a pair's two rows are the same but for their sides: where ids are distinct, nothing has to be sorted to tell the first
+    found = risks.where("vehicle_id < other_vehicle_id") if D.distinct_ids(fleet) else D.merge(risks, "global")
     return found.select("vehicle_id", "other_vehicle_id", "risk_level", "time_to_collision")
 
 

@@ -179,6 +179,18 @@ def test_prediction_by_blocks_is_that_of_the_join(spark):
     assert "Window" not in T.predict_fleet(flat)._jdf.queryExecution().toString()
 
 
+def test_merged_risks_are_not_sorted_by_pair(spark, tmp_path):
+    """Where ids are distinct a pair's first row is known without a window; where they repeat, pairs are still merged."""
+    from kinetra.plans import detection as P
+
+    spark.range(3000).selectExpr("id as c_custkey").write.parquet(f"{tmp_path}/one/customer.parquet")
+    spark.range(3000).unionByName(spark.range(100)).selectExpr("id as c_custkey").write.parquet(f"{tmp_path}/two/customer.parquet")
+    merged = P.merge_risks(spark, f"{tmp_path}/one")
+    assert "Window" not in merged._jdf.queryExecution().toString()
+    rows = sorted(map(tuple, merged.collect()))
+    assert rows and rows == sorted(map(tuple, P.merge_risks(spark, f"{tmp_path}/two").collect()))
+
+
 def test_empty_fleet(spark):
     none = vehicles(spark)
     for df in (D.detect(none), D.contacts(none), D.time_to_contact(none), D.lookahead(none.withColumn("history", F.lit(2))), T.predict(none.withColumn("pattern", F.lit("accelerating")))):
