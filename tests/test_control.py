@@ -233,3 +233,26 @@ def test_shared_limit_sorts_batches_in_its_task(spark, capsys):
     C.admission(log, (1.0, 5.0), (1.0, 5.0), (1.0, 5.0)).explain()
     plan = capsys.readouterr().out
     assert "SinglePartition" in plan and "everyone" not in plan and plan.count("rows#") > 0
+
+
+def test_foremost_rows_are_those_of_the_window(spark, monkeypatch):
+    """Ties, nulls and what is no number included: the window over the rows that are left gives what it gives over all, and few are left."""
+    from pyspark.sql import Window as W
+
+    from kinetra.operators import ranking as R
+
+    monkeypatch.setattr(R, "GATHERED", 500)
+    rows = spark.range(0, 20_000, 1, 4).select(F.when(F.col("id") % 97 > 0, F.col("id") * 7919 % 40).alias("k"), F.when(F.col("id") % 50 == 0, None).when(F.col("id") % 51 == 0, float("nan")).otherwise((F.col("id") * 31 % 83).cast("double")).alias("a"), (F.col("id") * 17 % 1009).cast("string").alias("b"), "id")
+    rank = F.row_number().over(W.partitionBy("k").orderBy(F.desc("a"), "b", "id"))
+    top = lambda df: sorted(map(repr, df.withColumn("rank", rank).where("rank <= 3").collect()))
+    left = R.foremost(rows, ["k"], [("a", "descending"), ("b", "ascending"), ("id", "ascending")], 3)
+    assert top(left) == top(rows) and left.where("k is not null and a is not null and not isnan(a)").count() <= 4 * 40 * 3
+
+
+def test_ranked_risks_are_cut_before_they_are_sorted(spark):
+    """A window over all risks wrote them to disk."""
+    from kinetra.operators import kv
+
+    risks = spark.range(10).selectExpr("id as vehicle_id", "id + 1 as other_vehicle_id", "0.5D as risk_level", "0D as ts")
+    plan = kv.risks_of_vehicles(risks, 2)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Window") < plan.index("MapInArrow")
