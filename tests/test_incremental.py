@@ -84,6 +84,13 @@ def test_store_of_several_batches_and_a_replayed_one(spark, history):
     assert history._numbers("base") == [2, 4] and history._numbers("delta") == [3, 4, 5]
 
 
+def test_store_writes_no_rows_that_no_read_gives(spark, history, tmp_path):
+    rows = spark.range(0, 400, 1, 2).selectExpr("id % 4 as id", "0D as ts", "id as seq", "0.5D as x")
+    history.append(rows, 0)
+    assert spark.read.parquet(f"{tmp_path}/history/delta/0").count() <= 2 * 4 * 3
+    assert sorted(r["seq"] for r in history.read().collect()) == [*range(388, 400)]
+
+
 def test_store_ignores_an_unfinished_base(spark, history, tmp_path):
     history.append(spark.createDataFrame([(1, 0.0, 1, 0.5)], "id long, ts double, seq long, x double"), 0)
     (tmp_path / "history" / "base" / "7").mkdir(parents=True)
